@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from . import bpe
 from . import quality_rules as qr
 from .common import table
+
+from .packing import pack
 from .pii import find_pii
+from .quality_classifier import quality_scores
+from .toxicity import toxicity_scores
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -50,10 +54,28 @@ def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return pack(docs, tokenizer_path())
+
+
+def op4_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (F.col("fold") == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (F.col("fold") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_rff_quality": op4_rff_quality,
+    "op6_mil_toxicity": op6_mil_toxicity,
     "op5_pii_anchor_expansion": op5_pii_anchor_expansion,
     "op8_bpe_trie": op8_bpe_trie,
+    "op10_mixture_packing": op10_mixture_packing,
 }
 
 
