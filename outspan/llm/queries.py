@@ -12,6 +12,7 @@ from .common import table
 from .packing import pack
 from .pii import find_pii
 from .quality_classifier import quality_scores
+from .site_style_tree import extract_main_text
 from .toxicity import toxicity_scores
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -59,6 +60,12 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, tokenizer_path())
 
 
+def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = extract_main_text(pages)
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (F.col("fold") == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -71,6 +78,7 @@ def op6_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_site_style_tree": op2_site_style_tree,
     "op4_rff_quality": op4_rff_quality,
     "op6_mil_toxicity": op6_mil_toxicity,
     "op5_pii_anchor_expansion": op5_pii_anchor_expansion,
