@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from . import quality_rules as qr
+from .chosen_path import jaccard_classes
 from .common import table
 
+from .multi_index import nearest, sign_codes
 from .packing import pack
 from .pii import find_pii
 from .quality_classifier import quality_scores
@@ -55,6 +57,11 @@ def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_classes(docs).select("doc_id", "class_id", "n_links", "n_same")
+
+
 def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return pack(docs, tokenizer_path())
@@ -66,6 +73,11 @@ def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op3_multi_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = sign_codes(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "embedding")
+    return nearest(codes, codes.filter(F.col("id") % 100 == 0), k=10)
+
+
 def op4_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (F.col("fold") == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -79,10 +91,12 @@ def op6_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_site_style_tree": op2_site_style_tree,
+    "op3_multi_index_topk": op3_multi_index_topk,
     "op4_rff_quality": op4_rff_quality,
     "op6_mil_toxicity": op6_mil_toxicity,
     "op5_pii_anchor_expansion": op5_pii_anchor_expansion,
     "op8_bpe_trie": op8_bpe_trie,
+    "op9_chosen_path_join": op9_chosen_path_join,
     "op10_mixture_packing": op10_mixture_packing,
 }
 
@@ -104,4 +118,11 @@ def _op1_sql() -> str:
         NOT {qr.BASE_FAILED.replace('n_', 's.n_')} AND coalesce(f.d2 / f.scale, 0e0) <= {qr.CUTOFF} AS kept FROM stats s LEFT JOIN final f ON s.rid = f.rid""")
 
 
-ORACLE = {"op1_quality_rules": _op1_sql()}
+def _op3_sql() -> str:
+    half = lambda a: " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN {1 << (i - a)} ELSE 0 END" for i in range(a, a + 32))
+    return f"""WITH c AS (SELECT vec_id AS id, CAST({half(0)} AS BIGINT) AS lo, CAST({half(32)} AS BIGINT) AS hi FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+        d AS (SELECT q.id AS query_id, c.id AS neighbor_id, CAST(bit_count(xor(q.lo, c.lo)) + bit_count(xor(q.hi, c.hi)) AS INTEGER) AS distance FROM c q, c WHERE q.id % 100 = 0)
+        SELECT query_id, neighbor_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM d QUALIFY rank <= 10"""
+
+
+ORACLE = {"op1_quality_rules": _op1_sql(), "op3_multi_index_topk": _op3_sql()}
