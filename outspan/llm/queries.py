@@ -15,6 +15,7 @@ from .packing import pack
 from .pii import find_pii
 from .quality_classifier import quality_scores
 from .site_style_tree import extract_main_text
+from .suffix_dedup import remove_repeats
 from .toxicity import toxicity_scores
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,6 +46,11 @@ def op5_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, digest=True)
+
+
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, tokenizer_path()).drop("text")
@@ -95,6 +101,7 @@ QUERIES = {
     "op4_rff_quality": op4_rff_quality,
     "op6_mil_toxicity": op6_mil_toxicity,
     "op5_pii_anchor_expansion": op5_pii_anchor_expansion,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_bpe_trie": op8_bpe_trie,
     "op9_chosen_path_join": op9_chosen_path_join,
     "op10_mixture_packing": op10_mixture_packing,
