@@ -146,10 +146,10 @@ def weighted_tail_mean_band(df: DataFrame, keys: list[str], value: str, weight:
 def binned_stats(hist: DataFrame, keys: list[str], level: float, method: str = "symmetric") -> DataFrame:
     """Mean, median and interval of bin centres (centre, n) as if repeated n times, by ranks in cumulative counts."""
     over = Window.partitionBy(*keys)
-    h = hist.filter("n > 0").withColumn("upto", F.sum("n").over(over.orderBy("centre"))).withColumn("N", F.sum("n").over(over))
+    h = hist.filter("n > 0").withColumn("upto", F.sum("n").over(over.orderBy("centre"))).withColumn("__N", F.sum("n").over(over))
     # The value at sorted position r (from 0): the first centre with upto > r.
     at = lambda r: F.min(F.when(F.col("upto") > r, F.col("centre")))
-    pos = {p: (F.col("N") - 1) * F.lit(p) for p in (0.5, (1 - level) / 2, (1 + level) / 2)}
+    pos = {p: (F.col("__N") - 1) * F.lit(p) for p in (0.5, (1 - level) / 2, (1 + level) / 2)}
     aggs = [(F.sum(F.col("centre") * F.col("n")) / F.sum("n")).alias("mean")]
     for name, p in (("median", 0.5), ("lo", (1 - level) / 2), ("hi", (1 + level) / 2)):
         aggs += [at(F.floor(pos[p])).alias(f"{name}_a"), at(F.ceil(pos[p])).alias(f"{name}_b"), F.max(pos[p] - F.floor(pos[p])).alias(f"{name}_f")]
@@ -158,9 +158,9 @@ def binned_stats(hist: DataFrame, keys: list[str], level: float, method: str = "
     out = out.select(*keys, "mean", mix("median"), mix("lo"), mix("hi"))
     if method == "symmetric":
         return out
-    full = h.select(*keys, F.col("centre").alias("v"), "upto", "N", F.col("n").alias("c"))
-    m = F.when(F.col("N") == 1, 0).otherwise(F.least(F.greatest(F.floor(F.col("N") * F.lit(level)), F.lit(1)), F.col("N") - 1)).cast("long")
-    starts = full.withColumn("rank", F.col("upto") - F.col("c") + 1 + m).filter(F.col("rank") <= F.col("N")).select(*keys, "rank", F.col("v").alias("a"), F.lit(None).cast("double").alias("b"))
+    full = h.select(*keys, F.col("centre").alias("v"), "upto", "__N", F.col("n").alias("c"))
+    m = F.when(F.col("__N") == 1, 0).otherwise(F.least(F.greatest(F.floor(F.col("__N") * F.lit(level)), F.lit(1)), F.col("__N") - 1)).cast("long")
+    starts = full.withColumn("rank", F.col("upto") - F.col("c") + 1 + m).filter(F.col("rank") <= F.col("__N")).select(*keys, "rank", F.col("v").alias("a"), F.lit(None).cast("double").alias("b"))
     both = starts.union(full.select(*keys, F.col("upto").alias("rank"), F.lit(None).cast("double"), F.col("v")))
     w = Window.partitionBy(*keys).orderBy(F.col("rank").desc()).rangeBetween(Window.unboundedPreceding, 0)
     best = both.withColumn("end", F.min("b").over(w)).filter("a IS NOT NULL").groupBy(*keys).agg(F.min(F.struct((F.col("end") - F.col("a")).alias("d"), F.col("a").alias("a"), F.col("end").alias("e"))).alias("s"))

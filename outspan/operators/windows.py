@@ -155,24 +155,29 @@ def segment_windows(obs: DataFrame, o: WindowOptions = WindowOptions()) -> DataF
         cum = lambda z: np.concatenate([[0.0], np.cumsum(z)])
         s1, sx, sxx, sv, svv, sxv = cum(np.ones(n)), cum(x), cum(x * x), cum(v), cum(v * v), cum(x * v)
 
-        def costs(j: int, i: np.ndarray) -> np.ndarray:
-            """Squared error of the chords from points i to j, over points i..j."""
-            b = (v[j] - v[i]) / np.maximum(x[j] - x[i], 1e-12)
-            a = v[i] - b * x[i]
-            d = lambda s: s[j + 1] - s[i]
-            return np.maximum(0.0, d(svv) + a * a * d(s1) + b * b * d(sxx) - 2 * a * d(sv) - 2 * b * d(sxv) + 2 * a * b * d(sx))
+        def costs(j: np.ndarray) -> np.ndarray:
+            """Squared errors of the chords from each point i to the points j, over points i..j; infinite where a chord is too short."""
+            i = np.arange(n)[:, None]
+            b = (v[j] - v[:, None]) / np.where(x[j] > x[:, None], x[j] - x[:, None], 1.0)
+            a = v[:, None] - b * x[:, None]
+            d = lambda s: s[j + 1] - s[:-1, None]
+            error = np.maximum(0.0, d(svv) + a * a * d(s1) + b * b * d(sxx) - 2 * a * d(sv) - 2 * b * d(sxv) + 2 * a * b * d(sx))
+            return np.where(j - i >= min(least, n - 1), error, np.inf)
 
         best = np.full((o.kmax + 1, n), np.inf)
         back = np.zeros((o.kmax + 1, n), int)
         best[0, 0] = 0.0
-        for K in range(1, o.kmax + 1):
-            for j in range(1, n):
-                i = np.arange(0, max(0, j - least) + 1)
-                i = i[j - i >= min(least, n - 1)]
-                if len(i):
-                    total = best[K - 1, i] + costs(j, i)
-                    at = int(np.argmin(total))
-                    best[K, j], back[K, j] = total[at], i[at]
+        for at in range(0, n, 256):  # a block of ends at a time bounds memory for long series
+            j = np.arange(at, min(n, at + 256))
+            error = costs(j)
+            for K in range(1, o.kmax + 1):
+                # Starts of a K-th chord lie before its end, so within this block they are settled one after another.
+                outside = best[K - 1][:at, None] + error[:at] if at else np.full((1, len(j)), np.inf)
+                back[K, j], best[K, j] = outside.argmin(axis=0), outside.min(axis=0)
+                total = best[K - 1][at : at + len(j), None] + error[at : at + len(j)]
+                inner, where = total.min(axis=0), total.argmin(axis=0) + at
+                better = inner < best[K, j]
+                best[K, j], back[K, j] = np.where(better, inner, best[K, j]), np.where(better, where, back[K, j])
         score = [n * np.log(max(best[K, n - 1] / n, 1e-12)) + 2 * K * np.log(n) if np.isfinite(best[K, n - 1]) else np.inf for K in range(1, o.kmax + 1)]
         K, j, ends = int(np.argmin(score)) + 1, n - 1, []
         while K:

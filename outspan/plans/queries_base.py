@@ -285,7 +285,7 @@ def _(t):
     return collect.hist2d(t.draws, "R0", "k", 10, (0.25, 15.0), (0.2, 10.0))
 
 
-@query("e3_hist_density", with_("draws", "SELECT b.bin, round((b.bin+0.5)*0.3, 6) AS centre, round(coalesce(n,0)/(sum(n) OVER ()*0.3), 6) AS density FROM (SELECT unnest(range(20)) AS bin) b LEFT JOIN (SELECT CAST(least(floor((R0*r)/6e0*20), 19) AS BIGINT) AS bin, count(*) AS n FROM draws WHERE R0*r BETWEEN 0 AND 6 GROUP BY 1) h ON b.bin = h.bin"))
+@query("e3_hist_density", with_("draws", "SELECT b.bin, round((b.bin+0.5e0)*0.3e0, 6) AS centre, round(coalesce(n,0)/(sum(n) OVER ()*0.3e0), 6) AS density FROM (SELECT unnest(range(20)) AS bin) b LEFT JOIN (SELECT CAST(least(floor((R0*r)/6e0*20), 19) AS BIGINT) AS bin, count(*) AS n FROM draws WHERE R0*r BETWEEN 0 AND 6 GROUP BY 1) h ON b.bin = h.bin"))
 def _(t):
     return rounded(collect.hist_density(collect.hist1d(t.draws, "R0 * r", 20, 0.0, 6.0), 20, 0.0, 6.0))
 
@@ -349,7 +349,7 @@ def _(t):
     return rounded(curves.tail_mean_band(curves.cumulative_matrix(t.entities, t.ev.filter(SIGNUP), 0.0, 1.0, 31), 0.8))
 
 
-@query("f6_cond_cumulative", with_("entities ev", f"SELECT T, g, round(count(v.t) / max(N)::DOUBLE, 6) AS mean, max(N) AS n FROM (SELECT s.*, count(*) OVER (PARTITION BY T) AS N FROM surv s) s CROSS JOIN (SELECT i * 1e0 AS g FROM range(11) r(i)) gg LEFT JOIN sg v ON v.traj_id = s.traj_id AND v.t > {T_STAR} AND v.t - {T_STAR} <= g GROUP BY T, g", _SG, ("surv", f"SELECT f.traj_id, T FROM (SELECT e.traj_id, min(t) - {T_STAR} AS fp FROM entities e LEFT JOIN sg v ON e.traj_id = v.traj_id AND t > {T_STAR} GROUP BY e.traj_id) f, (SELECT unnest([0e0, 1e0, 3e0]) AS T) WHERE fp IS NULL OR fp > T")))
+@query("f6_cond_cumulative", with_("entities ev", f"SELECT s.T AS T, g, round(count(v.t) / max(N)::DOUBLE, 6) AS mean, max(N) AS n FROM (SELECT s.*, count(*) OVER (PARTITION BY s.T) AS N FROM surv s) s CROSS JOIN (SELECT i * 1e0 AS g FROM range(11) r(i)) gg LEFT JOIN sg v ON v.traj_id = s.traj_id AND v.t > {T_STAR} AND v.t - {T_STAR} <= g GROUP BY s.T, g", _SG, ("surv", f"SELECT f.traj_id, T FROM (SELECT e.traj_id, min(t) - {T_STAR} AS fp FROM entities e LEFT JOIN sg v ON e.traj_id = v.traj_id AND t > {T_STAR} GROUP BY e.traj_id) f, (SELECT unnest([0e0, 1e0, 3e0]) AS T) WHERE fp IS NULL OR fp > T")))
 def _(t):
     first = criteria.first_post(t.entities, t.ev.filter(SIGNUP), T_STAR)
     Ts = t.spark.sql("SELECT explode(array(0e0, 1e0, 3e0)) AS T")

@@ -1,2 +1,237 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries: probabilities that it is over."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.expr import wilson_interval, z_value
+from ..operators import collect, criteria, quiet
+from ..sources import ingest
+from .bindings import EDGE_STAR, T_STAR, erlang, grid_sql, with_
+from .register import registry, rounded
+
+QUERIES, ORACLE, query = registry()
+SIGNUP = "event_type = 'signup'"
+_SG = ("sg", "SELECT * FROM ev WHERE event_type = 'signup'")
+_FP = ("fp", f"SELECT e.traj_id, min(v.t) FILTER (v.t > {T_STAR}) - {T_STAR} AS first_post, max(v.t) AS last_t FROM entities e LEFT JOIN sg v ON e.traj_id = v.traj_id GROUP BY e.traj_id")
+_G = ("g", grid_sql(0, 10, 1))
+Z = z_value(0.1)
+
+
+def _signups(t):
+    return t.ev.filter(SIGNUP).select("traj_id", "t")
+
+
+@query("p1_empirical_uncond", with_("entities ev", f"SELECT T, round(p, 6) AS p, round(sqrt(p*(1-p)/n), 6) AS se FROM (SELECT T, avg(CASE WHEN last_t IS NULL OR last_t <= {T_STAR}+T THEN 1e0 ELSE 0e0 END) AS p, count(*) AS n FROM fp, g GROUP BY T)", _SG, _FP, _G))
+def _(t):
+    return rounded(quiet.empirical_uncond(t.entities, _signups(t), t.grid(0, 10, 1), T_STAR))
+
+
+_WP = f"(p + {Z}*{Z}/(2*n))/(1+{Z}*{Z}/n)"
+_WH = f"{Z}*sqrt(p*(1-p)/n+{Z}*{Z}/(4*n*n))/(1+{Z}*{Z}/n)"
+
+
+@query("p2_empirical_cond", with_("entities ev", f"SELECT T, n, round(p, 6) AS p, round(greatest(0, {_WP} - {_WH}), 6) AS lo, round(least(1, {_WP} + {_WH}), 6) AS hi FROM (SELECT T, count(*) FILTER (first_post IS NULL OR first_post > T) AS n, count(*) FILTER (first_post IS NULL) / nullif(count(*) FILTER (first_post IS NULL OR first_post > T), 0)::DOUBLE AS p FROM fp, g GROUP BY T)", _SG, _FP, _G))
+def _(t):
+    out = quiet.empirical_cond(t.entities, _signups(t), t.grid(0, 10, 1), T_STAR)
+    lo, hi = wilson_interval("p", "n", Z)
+    return rounded(out.select("T", "n", "p", lo.alias("lo"), hi.alias("hi")))
+
+
+@query("p3_cond_denominator", with_("entities ev", "SELECT T, count(*) FILTER (first_post IS NULL OR first_post > T) AS n FROM fp, g GROUP BY T", _SG, _FP, _G))
+def _(t):
+    return quiet.empirical_cond(t.entities, _signups(t), t.grid(0, 10, 1), T_STAR).select("T", "n")
+
+
+@query("p4_progressive_cond", with_("entities ev", "SELECT snap_id, T, count(*) FILTER (first_post IS NULL OR first_post > T) AS n, round(count(*) FILTER (first_post IS NULL) / nullif(count(*) FILTER (first_post IS NULL OR first_post > T), 0)::DOUBLE, 6) AS p FROM (SELECT s.snap_id, e.traj_id, min(v.t) FILTER (v.t > s.ts) - s.ts AS first_post FROM snaps s CROSS JOIN entities e LEFT JOIN sg v ON e.traj_id = v.traj_id GROUP BY s.snap_id, s.ts, e.traj_id), g GROUP BY snap_id, T", _SG, ("snaps", "SELECT CAST(i AS BIGINT) AS snap_id, 10e0 + 5 * i AS ts FROM range(4) r(i)"), _G))
+def _(t):
+    snaps = t.spark.sql("SELECT id AS snap_id, 10e0 + 5 * id AS ts FROM range(4)")
+    v = _signups(t).crossJoin(F.broadcast(snaps)).filter(F.col("t") > F.col("ts")).groupBy("snap_id", "traj_id").agg(F.min(F.col("t") - F.col("ts")).alias("first_post"))
+    first = t.entities.crossJoin(F.broadcast(snaps.select("snap_id"))).join(v, ["snap_id", "traj_id"], "left")
+    return rounded(quiet.cond_from_first(first, t.grid(0, 10, 1), ("snap_id",)).select("snap_id", "T", "n", "p"))
+
+
+_SEED = ("fp", f"SELECT c.traj_id, min(child_t) - {EDGE_STAR} AS first_post FROM customers c LEFT JOIN (SELECT * FROM edges WHERE parent_t <= {EDGE_STAR} AND child_t > {EDGE_STAR}) e ON c.traj_id = e.traj_id GROUP BY c.traj_id")
+
+
+@query("p5_seed_cond", with_("customers edges", "SELECT T, count(*) FILTER (first_post IS NULL) AS over, count(*) FILTER (first_post IS NULL OR first_post > T) AS n, round(count(*) FILTER (first_post IS NULL) / nullif(count(*) FILTER (first_post IS NULL OR first_post > T), 0)::DOUBLE, 6) AS p FROM fp, g GROUP BY T", _SEED, _G))
+def _(t):
+    return rounded(quiet.seed_cond(t.customers, t.edges, t.grid(0, 10, 1), EDGE_STAR).select("T", "over", "n", "p"))
+
+
+@query("p6_survival_table")
+def _(t):
+    keys = t.draws.select(F.round(F.col("r") * F.col("R0"), 6).alias("R"), F.round("k", 6).alias("k"), F.col("alpha").cast("double").alias("alpha"), "theta").distinct()
+    s = quiet.survival_table(keys, 30.0, 0.2)
+    return rounded(s.select("R", "k", "alpha", "theta", F.get("H", F.lit(0)).alias("h0"), F.element_at("H", -1).alias("h30")))
+
+
+@query("p7_seed_uncond")
+def _(t):
+    return rounded(quiet.seed_uncond(t.draws, t.edges, t.grid(0, 20, 1), EDGE_STAR))
+
+
+def _parents(t):
+    return quiet.pre_children(criteria.mark_roots(t.parents, "parent_id"), t.edges, EDGE_STAR)
+
+
+_PAR = (
+    ("roots", "SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY t, parent_id) = 1 AS is_root FROM parents"),
+    ("pre", f"SELECT parent_id, count(*) AS n FROM edges WHERE parent_t <= {EDGE_STAR} AND child_t <= {EDGE_STAR} AND child_t > parent_t GROUP BY parent_id"),
+    ("pp", f"SELECT p.traj_id, CASE WHEN is_root THEN R0 ELSE r * R0 END AS Reff, {EDGE_STAR} - t AS age, k, alpha, theta, R0, coalesce(n, 0) AS n_pre FROM roots p JOIN draws d ON p.traj_id = d.traj_id LEFT JOIN pre ON pre.parent_id = p.parent_id WHERE t <= {EDGE_STAR}"),
+    ("g", grid_sql(0, 20, 4)),
+)
+
+
+def _rb_sql(post: bool) -> str:
+    kk, b = ("(k + n_pre)", "(k/Reff + F0)") if post else ("k", "(k/Reff)")
+    return with_(
+        "parents edges draws",
+        "SELECT T, round(avg(gi)/avg(gq), 6) AS p, count(*) AS n FROM q JOIN i USING (traj_id) GROUP BY T",
+        *_PAR,
+        ("pf", f"SELECT *, {erlang('age')} AS F0 FROM pp"),
+        ("i", f"SELECT traj_id, exp(sum({kk} * ln({b}/({b} + 1 - F0)))) AS gi FROM pf GROUP BY traj_id"),
+        ("q", f"SELECT traj_id, T, exp(sum({kk} * ln({b}/({b} + mu)))) AS gq FROM (SELECT *, {erlang('(age + T)')} - F0 AS mu FROM pf, g) GROUP BY traj_id, T"),
+    )
+
+
+@query("p8_rb_cond_prior", _rb_sql(False))
+def _(t):
+    return rounded(quiet.rb_cond_curve(quiet.rao_blackwell(_parents(t), t.draws, t.grid(0, 20, 4), EDGE_STAR, False)))
+
+
+@query("p9_rb_cond_post", _rb_sql(True))
+def _(t):
+    return rounded(quiet.rb_cond_curve(quiet.rao_blackwell(_parents(t), t.draws, t.grid(0, 20, 4), EDGE_STAR, True)))
+
+
+@query("p10_rb_cond_draws", _rb_sql(True).replace("SELECT T, round(avg(gi)/avg(gq), 6) AS p, count(*) AS n FROM q JOIN i USING (traj_id) GROUP BY T", "SELECT traj_id, T, round(gi/gq, 6) AS p FROM q JOIN i USING (traj_id)"))
+def _(t):
+    rb = quiet.rao_blackwell(_parents(t), t.draws, t.grid(0, 20, 4), EDGE_STAR, True)
+    return rounded(rb.select("traj_id", "T", (F.col("g_inf") / F.col("g_quiet")).alias("p")))
+
+
+@query("p11_rb_uncond")
+def _(t):
+    g = quiet.rb_uncond(_parents(t), t.draws, [float(x) for x in range(0, 21, 4)], EDGE_STAR)
+    return rounded(g.groupBy("T").agg(F.avg("g").alias("p"), F.count("*").alias("n")))
+
+
+@query("p13_subset_curves")
+def _(t):
+    ids = ingest.choose(t.customers, 200, 5)
+    keep = lambda df: df.join(F.broadcast(ids), "traj_id", "left_semi")
+    return rounded(quiet.rb_cond_curve(quiet.rao_blackwell(keep(_parents(t)), t.draws, t.grid(0, 20, 4), EDGE_STAR, True)))
+
+
+@query("p14_snapshot_curves")
+def _(t):
+    out = None
+    for i, star in enumerate((40.0, 50.0, 60.0)):
+        p = quiet.pre_children(criteria.mark_roots(t.parents, "parent_id"), t.edges, star)
+        c = quiet.rb_cond_curve(quiet.rao_blackwell(p, t.draws, t.grid(0, 20, 4), star, True)).select(F.lit(i).alias("snap_id"), F.lit(star).alias("t_star"), "T", "p", "n")
+        out = c if out is None else out.unionByName(c)
+    return rounded(out)
+
+
+_STATE = ("state", "SELECT traj_id, coalesce(min(day) FILTER (day > 20 AND day <= 28), 29) AS fa FROM (SELECT traj_id, CAST(greatest(0, least(floor(t), 29)) AS BIGINT) AS day FROM ev WHERE event_type = 'signup') GROUP BY traj_id")
+
+
+@query("p15_matrix_extinction", with_("ev", "SELECT d, round(CASE WHEN count(fa) FILTER (fa > d) = 0 THEN 1e0 ELSE count(fa) FILTER (fa = 29) / (count(fa) FILTER (fa > d))::DOUBLE END, 6) AS p FROM (SELECT CAST(i AS BIGINT) AS d FROM range(29) r(i)), state GROUP BY d", _STATE))
+def _(t):
+    return rounded(collect.matrix_extinction(collect.time_matrix(t.ev.filter(SIGNUP), 28, 20), 28))
+
+
+def _act(t):
+    return t.edges.filter(F.col("parent_t") <= EDGE_STAR).select("traj_id", "parent_t")
+
+
+_AC = ("act", f"SELECT DISTINCT traj_id, parent_t FROM edges WHERE parent_t <= {EDGE_STAR}")
+_G5 = ("g", grid_sql(0, 20, 5))
+
+
+def _bands(df):
+    return rounded(df.groupBy("T").agg(F.percentile("g", F.lit(0.5)).alias("p"), F.percentile("g", F.lit(0.05)).alias("lo"), F.percentile("g", F.lit(0.95)).alias("hi")))
+
+
+_BAND = "SELECT T, round(quantile_cont(gg, 0.5), 6) AS p, round(quantile_cont(gg, 0.05), 6) AS lo, round(quantile_cont(gg, 0.95), 6) AS hi FROM (SELECT T, coalesce(gq, 1e0) AS gg FROM (SELECT traj_id, T FROM draws, g) LEFT JOIN q USING (traj_id, T)) GROUP BY T"
+
+
+def _ev_sql(theta: str = "theta") -> str:
+    return with_("draws edges", _BAND, _AC, _G5, ("pf", f"SELECT *, {erlang('age', 'alpha', theta)} AS F0 FROM (SELECT a.traj_id, R0, k, alpha, theta, greatest(0e0, {EDGE_STAR} - parent_t - alpha*theta) AS age FROM act a JOIN draws d ON a.traj_id = d.traj_id)"), ("q", f"SELECT traj_id, T, exp(sum(-k * ln((1+R0/k*(1-F0))/(1+R0/k*({erlang('(age + T)', 'alpha', theta)}-F0))))) AS gq FROM pf, g GROUP BY traj_id, T"))
+
+
+@query("p16_lineage_quiet_ev", _ev_sql())
+def _(t):
+    return _bands(quiet.lineage_quiet(t.draws, _act(t), t.grid(0, 20, 5), EDGE_STAR, "ev"))
+
+
+@query("p16_lineage_quiet_size", with_("draws edges", _BAND, _AC, _G5, ("q", f"SELECT d.traj_id, T, exp(-k*n*ln((1+R0/k)/(1+R0*{erlang('T')}/k))) AS gq FROM draws d JOIN (SELECT traj_id, count(*) AS n FROM act GROUP BY traj_id) c ON d.traj_id = c.traj_id, g")))
+def _(t):
+    return _bands(quiet.lineage_quiet(t.draws, _act(t), t.grid(0, 20, 5), EDGE_STAR, "size_only"))
+
+
+@query("p17_lineage_quiet_removal", _ev_sql("(theta/(1+0.05*theta))"))
+def _(t):
+    return _bands(quiet.lineage_quiet_removal(t.draws, _act(t), t.grid(0, 20, 5), EDGE_STAR, "exponential", 0.05))
+
+
+@query("p17_lineage_quiet_weibull")
+def _(t):
+    return _bands(quiet.lineage_quiet_removal(t.draws, _act(t), t.grid(0, 20, 5), EDGE_STAR, "weibull", 0.05, 1.5))
+
+
+def _ls_sql(body: str, horizon: float | None) -> str:
+    fh = "1e0" if horizon is None else erlang(f"(age + {horizon})")
+    return with_("draws edges", body, _AC, _G5, ("pf", f"SELECT *, {erlang('age')} AS F0, {fh} AS Fh FROM (SELECT a.traj_id, R0, k, alpha, theta, {EDGE_STAR} - parent_t AS age FROM act a JOIN draws d ON a.traj_id = d.traj_id)"), ("q", f"SELECT traj_id, T, sum(-k*ln(1+R0/k*({erlang('(age + T)')}-F0))) AS ls, sum(-k*ln(1+R0/k*(Fh-F0))) AS lh FROM pf, g GROUP BY traj_id, T"), ("lg", "SELECT T, coalesce(ls, 0) AS ls, coalesce(lh, 0) AS lh FROM (SELECT traj_id, T FROM draws, g) LEFT JOIN q USING (traj_id, T)"))
+
+
+def _logs(t, horizon=None):
+    return quiet.log_survival(t.draws, _act(t), t.grid(0, 20, 5), EDGE_STAR, horizon)
+
+
+@query("p18_first_after", _ls_sql("SELECT T, round(quantile_cont(exp(lh-ls), 0.5), 6) AS p, round(quantile_cont(exp(lh-ls), 0.05), 6) AS lo, round(quantile_cont(exp(lh-ls), 0.95), 6) AS hi FROM lg GROUP BY T", 30.0))
+def _(t):
+    return rounded(quiet.first_after(_logs(t, 30.0)))
+
+
+@query("p19_first_after_mixture", _ls_sql("SELECT T, round(sum(exp(lh))/sum(exp(ls)), 6) AS p FROM lg GROUP BY T", None))
+def _(t):
+    return rounded(quiet.first_after_mixture(_logs(t)))
+
+
+@query("p20_bootstrap_bands")
+def _(t):
+    return rounded(quiet.bootstrap_bands(_logs(t), 50, 11))
+
+
+for _m in ("exact", "gompertz", "two_exp", "gamma_moment"):
+
+    @query(f"p21_surrogate_{_m}", _ls_sql("SELECT T, round(sum(exp(lh))/sum(exp(ls)), 6) AS p FROM lg GROUP BY T", None) if _m == "exact" else None)
+    def _(t, m=_m):
+        return rounded(quiet.first_after_surrogate(t.draws, _act(t), t.grid(0, 20, 5), EDGE_STAR, m))
+
+
+@query("p22_parametric_quiet", with_("parents edges draws", "SELECT T, round(quantile_cont(gq, 0.5), 6) AS p, count(*) AS n FROM (SELECT traj_id, T, exp(sum((k+n_pre)*ln((k/Reff+" + erlang("(age + T)") + ")/(k/Reff+1)))) AS gq FROM pp, g GROUP BY traj_id, T) GROUP BY T", *_PAR))
+def _(t):
+    return rounded(quiet.parametric_quiet(_parents(t), t.draws, t.grid(0, 20, 4), EDGE_STAR))
+
+
+@query("p23_compare_estimators")
+def _(t):
+    g = t.grid(0, 20, 4)
+    ev = t.edges.select("traj_id", F.col("child_t").alias("t"))
+    p11 = quiet.rb_uncond(_parents(t), t.draws, [float(x) for x in range(0, 21, 4)], EDGE_STAR).groupBy("T").agg(F.avg("g").alias("p"))
+    tables = {
+        ("unconditional", "empirical"): quiet.empirical_uncond(t.customers, ev, g, EDGE_STAR),
+        ("conditional", "empirical"): quiet.empirical_cond(t.customers, ev, g, EDGE_STAR),
+        ("unconditional", "seeds"): quiet.seed_uncond(t.draws, t.edges, g, EDGE_STAR),
+        ("conditional", "seeds"): quiet.seed_cond(t.customers, t.edges, g, EDGE_STAR),
+        ("unconditional", "rao_blackwell"): p11,
+        ("conditional", "rao_blackwell"): quiet.rb_cond_curve(quiet.rao_blackwell(_parents(t), t.draws, g, EDGE_STAR, True)),
+    }
+    return rounded(quiet.compare_estimators(tables))
+
+
+_ = Window

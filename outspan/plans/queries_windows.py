@@ -1,2 +1,275 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries: acceptance windows, the risk map, streams and extension points."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.expr import z_value
+from ..model import WindowOptions
+from ..operators import collect, criteria, spatial, windows
+from ..session import shared_folder
+from ..streaming import monitor
+from .bindings import with_
+from .register import registry, rounded
+
+QUERIES, ORACLE, query = registry()
+O = WindowOptions()  # noqa: E741
+ZB, ZA = z_value(1 - O.beta), z_value(O.alpha)
+
+
+def _obs(t):
+    return t.observations.select("series_id", "d", "n")
+
+
+@query("h2_neighbour_gaps", with_("observations", "SELECT series_id, round(d, 6) AS d, round(d - lag(d) OVER w, 6) AS gap_prev, round(lead(d) OVER w - d, 6) AS gap_next FROM observations WINDOW w AS (PARTITION BY series_id ORDER BY d)"))
+def _(t):
+    return rounded(windows.neighbour_gaps(_obs(t)).select("series_id", "d", "gap_prev", "gap_next"))
+
+
+_IV = ("iv", "SELECT series_id, d AS a, d + 1 + (series_id % 7) * 2 AS b FROM observations")
+
+
+def _merge_sql(src: str, slack: float) -> str:
+    return f"SELECT series_id, min(a) AS a, max(b) AS b FROM (SELECT *, sum(nw) OVER (PARTITION BY series_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS isl FROM (SELECT *, CASE WHEN mx IS NULL OR a > mx + {slack} THEN 1 ELSE 0 END AS nw FROM (SELECT *, max(b) OVER (PARTITION BY series_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mx FROM {src}))) GROUP BY series_id, isl"
+
+
+def _iv(t):
+    return t.observations.select("series_id", F.col("d").alias("a"), (F.col("d") + 1 + (F.col("series_id") % 7) * 2).alias("b"))
+
+
+@query("h3_merge_intervals", with_("observations", f"SELECT series_id, round(a, 6) AS a, round(b, 6) AS b FROM ({_merge_sql('iv', 0)})", _IV))
+def _(t):
+    return rounded(windows.merge_intervals(_iv(t)))
+
+
+@query("h4_close_gaps", with_("observations", f"SELECT series_id, round(a, 6) AS a, round(b, 6) AS b FROM ({_merge_sql('iv', 5)})", _IV))
+def _(t):
+    return rounded(windows.close_gaps(_iv(t), 5.0))
+
+
+@query("h11_max_gap", with_("observations", "SELECT series_id, CAST(ceil(coalesce(max(g), 0)) AS BIGINT) AS max_gap FROM (SELECT series_id, lead(d) OVER (PARTITION BY series_id ORDER BY d) - d AS g FROM observations) GROUP BY series_id"))
+def _(t):
+    return windows.max_gap(_obs(t))
+
+
+@query("i2_top_unions", with_("observations", "SELECT series_id, round(a, 6) AS a, round(gain, 6) AS gain FROM (SELECT *, (d * 7) % 11 AS gain, d AS a FROM observations) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY gain DESC, a) <= 3"))
+def _(t):
+    c = t.observations.select("series_id", F.col("d").alias("a"), F.col("d").alias("b"), ((F.col("d") * 7) % 11).alias("gain"))
+    return rounded(windows.top_unions(c, 3).select("series_id", "a", "gain"))
+
+
+@query("j1_union_windows", with_("observations", "SELECT series_id, round(a, 6) AS a, round(b, 6) AS b FROM (SELECT series_id, a, b FROM iv UNION SELECT series_id, a, b FROM iv WHERE a > 20)", _IV))
+def _(t):
+    return rounded(windows.union_windows(_iv(t), _iv(t).filter("a > 20")))
+
+
+@query("j2_fold_bounds", with_("observations", "SELECT series_id, CASE WHEN greatest(l1, l2) <= least(u1, u2) THEN greatest(l1, l2) ELSE least(l1, l2) END AS L, CASE WHEN greatest(l1, l2) <= least(u1, u2) THEN least(u1, u2) ELSE greatest(u1, u2) END AS U FROM (SELECT series_id, count(*) AS l1, count(*) + 5 AS u1, (series_id % 23) AS l2, (series_id % 23) + 3 AS u2 FROM observations GROUP BY series_id)"))
+def _(t):
+    n = t.observations.groupBy("series_id").agg(F.count("*").alias("c"))
+    a = n.select("series_id", F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), F.col("c").alias("L"), (F.col("c") + 5).alias("U"), F.lit(0).alias("ord"))
+    b = n.select("series_id", F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), (F.col("series_id") % 23).alias("L"), (F.col("series_id") % 23 + 3).alias("U"), F.lit(1).alias("ord"))
+    return windows.fold_bounds(a.unionByName(b)).select("series_id", "L", "U")
+
+
+_DAYS = ("days", "SELECT series_id, CAST(floor(d) AS BIGINT) AS day, sum(n) AS c FROM observations GROUP BY ALL")
+
+
+def _mass_sql(win: str) -> str:
+    return f"SELECT w.series_id, w.a, w.b, coalesce(sum(c * greatest(0, least(w.b, day + 1) - greatest(w.a, day))), 0) AS M FROM (SELECT DISTINCT series_id, a, b FROM {win}) w LEFT JOIN days o ON o.series_id = w.series_id AND day < w.b AND day + 1 > w.a GROUP BY w.series_id, w.a, w.b"
+
+
+@query("k1_observed_mass", with_("observations", f"SELECT series_id, round(a, 6) AS a, round(b, 6) AS b, round(M, 6) AS M FROM ({_mass_sql('iv')})", _DAYS, _IV))
+def _(t):
+    return rounded(windows.observed_mass(_obs(t), _iv(t)))
+
+
+_TOT = ("tot", "SELECT series_id, sum(n)::DOUBLE AS N FROM observations GROUP BY series_id")
+
+
+def _band_sql(mass: str) -> str:
+    p = f"({O.baseline_p} + least({O.h_max}, ({ZA}*sqrt(pi*(1-pi)/N+{ZA}*{ZA}/(4*N*N))/(1+{ZA}*{ZA}/N))/greatest(pi, {O.eps_share})))"
+    return f"SELECT series_id, a, b, CAST(greatest(0, floor((1-{p})*M)) AS BIGINT) AS L, CAST(ceil((1+{p})*M) AS BIGINT) AS U FROM (SELECT m.*, N, M / N AS pi FROM ({mass}) m JOIN tot USING (series_id))"
+
+
+@query("k2_band", with_("observations", f"SELECT series_id, round(a, 6) AS a, round(b, 6) AS b, L, U FROM ({_band_sql(_mass_sql('iv'))})", _DAYS, _IV, _TOT))
+def _(t):
+    return rounded(windows.band(windows.observed_mass(_obs(t), _iv(t)), windows.totals(_obs(t))).select("series_id", "a", "b", "L", "U"))
+
+
+_CL = (
+    ("half", f"SELECT series_id, d, greatest({ZB * O.sigma_days}, CASE WHEN gp IS NOT NULL AND gn IS NOT NULL THEN {O.neighbor_weight}*(gp+gn)/4 ELSE coalesce({O.neighbor_weight}*coalesce(gp, gn)/2, 0) END) AS h FROM (SELECT series_id, d, d - lag(d) OVER w AS gp, lead(d) OVER w - d AS gn FROM observations WINDOW w AS (PARTITION BY series_id ORDER BY d))"),
+    ("raw", "SELECT series_id, d - h AS a, d + h AS b FROM half"),
+    ("cl", _merge_sql("raw", 0)),
+)
+
+
+@query("k3_cluster_windows", with_("observations", "SELECT series_id, round(a, 5) AS a, round(b, 5) AS b FROM cl", *_CL))
+def _(t):
+    return rounded(windows.cluster_windows(_obs(t)), 5)
+
+
+@query("k4_monotone_interpolant")
+def _(t):
+    g = windows.monotone_interpolant(_obs(t), 1.0)
+    return rounded(g.groupBy("series_id").agg(F.count("*").alias("points"), F.min("v").alias("lo"), F.max("v").alias("hi")), 4)
+
+
+@query("k5_segment_windows")
+def _(t):
+    return rounded(windows.segment_windows(_obs(t), windows.with_option(O, grid_step_days=1.0)), 4)
+
+
+@query("k6_gap_windows", with_("observations", f"SELECT series_id, round(mid - h, 5) AS a, round(mid + h, 5) AS b FROM (SELECT series_id, (b+nx)/2 AS mid, least({O.gap_scale}*(nx-b), med/2) AS h FROM (SELECT *, lead(a) OVER (PARTITION BY series_id ORDER BY a) AS nx FROM cl) JOIN (SELECT series_id, quantile_cont(b-a, 0.5) AS med FROM cl GROUP BY series_id) USING (series_id) WHERE nx IS NOT NULL) WHERE h > 1e-3", *_CL))
+def _(t):
+    return rounded(windows.gap_windows(windows.cluster_windows(_obs(t)), O.gap_scale), 5)
+
+
+@query("k7_union_candidates")
+def _(t):
+    c = windows.cluster_windows(_obs(t))
+    b = windows.band(windows.observed_mass(_obs(t), c), windows.totals(_obs(t)))
+    return rounded(windows.union_candidates(b, _obs(t)), 4)
+
+
+@query("k8_acceptance_windows")
+def _(t):
+    return rounded(windows.acceptance_windows(_obs(t), windows.with_option(O, grid_step_days=1.0)), 4)
+
+
+@query("k9_segment_bands")
+def _(t):
+    o = windows.with_option(O, grid_step_days=1.0)
+    return rounded(windows.segment_bands(_obs(t), windows.cluster_windows(_obs(t)).withColumn("a", F.floor("a").cast("double")), o).select("series_id", "a", "b", "E", "L", "U"), 4)
+
+
+@query("k10_score_options")
+def _(t):
+    obs = t.spark.sql("SELECT CAST(n_regionkey AS BIGINT) AS series_id, n_nationkey * 1.1e0 AS d, 1L + n_nationkey % 3 AS n FROM {nation}", nation=t.raw("nation"))
+    ev = t.ev.filter("event_type = 'signup'").select((F.col("traj_id") % 5).alias("series_id"), "traj_id", "t")
+    o = windows.with_option(O, strategy="cluster", include_union_windows=False)
+    s = windows.score_options(obs, ev, {0: o, 1: windows.with_option(o, baseline_p=0.6, h_max=0.8)})
+    return rounded(windows.best_options(s))
+
+
+@query("k11_spec_sweep", with_("draws", "SELECT 'all' AS spec, count(*) AS n FROM draws UNION ALL SELECT 'low', count(*) FILTER (R0 < 6) FROM draws UNION ALL SELECT 'short', count(*) FILTER (alpha * theta < 12 AND k > 1) FROM draws"))
+def _(t):
+    return windows.spec_sweep(t.draws, {"all": [], "low": ["R0 < 6"], "short": ["alpha * theta < 12", "k > 1"]}).groupBy("spec").agg(F.count("*").alias("n"))
+
+
+BOX, N = (16.0, 45.5, 23.0, 48.7), 16
+
+
+def _points(t):
+    return t.herds.select("herd_id", "herd_type", "herd_size", F.col("lon").alias("x"), F.col("lat").alias("y"))
+
+
+def _params(t):
+    return t.raw("nation").select(F.col("n_nationkey").alias("herd_type"), (1 + F.col("n_nationkey") % 4).cast("double").alias("weight"), (0.5 + F.col("n_nationkey") % 3 * 0.25).alias("power"))
+
+
+_PW = ("pw", "SELECT herd_id, lon, lat, (1 + herd_type % 4) * pow(herd_size::DOUBLE, 0.5e0 + herd_type % 3 * 0.25e0) AS raw FROM herds WHERE herd_type < 12")
+TYPES = list(range(12))
+
+
+@query("l1_grid_cells", "SELECT count(*) AS cells, round(min(cx), 6) AS x0, round(max(cy), 6) AS y1 FROM (SELECT 11e0 + (ix + 0.5e0) * 17e0 / 16 AS cx, 40.5e0 + (iy + 0.5e0) * 13.2e0 / 16 AS cy FROM range(16) a(ix), range(16) b(iy))")
+def _(t):
+    return rounded(spatial.grid_cells(t.spark, BOX, N, 5.0).agg(F.count("*").alias("cells"), F.min("cx").alias("x0"), F.max("cy").alias("y1")))
+
+
+@query("l2_population_weights", with_("herds", "SELECT herd_id, round(raw / avg(raw) OVER (), 6) AS w FROM pw", _PW))
+def _(t):
+    return rounded(spatial.population_weights(_points(t), _params(t), TYPES).select("herd_id", "w"))
+
+
+_CELLS = ("cells", "SELECT CAST(least(floor((lon-16)/7e0*16), 15) AS BIGINT) AS ix, CAST(least(floor((lat-45.5e0)/3.2e0*16), 15) AS BIGINT) AS iy, sum(raw) AS w FROM pw WHERE lon BETWEEN 16 AND 23 AND lat BETWEEN 45.5e0 AND 48.7e0 GROUP BY 1, 2")
+_KER = ("ker", "SELECT dx, dy, k / sum(k) OVER () AS kw FROM (SELECT dx, dy, exp(-(dx*dx+dy*dy)/2e0) AS k FROM (SELECT unnest(range(-4, 5)) AS dx), (SELECT unnest(range(-4, 5)) AS dy))")
+_FOLD = "CASE WHEN (({0}) % 32 + 32) % 32 < 16 THEN (({0}) % 32 + 32) % 32 ELSE 31 - (({0}) % 32 + 32) % 32 END"
+_SMO = ("smo", f"SELECT {_FOLD.format('ix+dx')} AS ix, {_FOLD.format('iy+dy')} AS iy, sum(w*kw) AS w FROM cells, ker GROUP BY 1, 2")
+
+
+def _cells(t):
+    return spatial.weighted_cells(spatial.population_weights(_points(t), _params(t), TYPES, normalise=False), BOX, N)
+
+
+@query("l3_kernel_smooth", with_("herds", "SELECT ix, iy, round(w, 6) AS w FROM smo", _PW, _CELLS, _KER, _SMO))
+def _(t):
+    return rounded(spatial.kernel_smooth(_cells(t), spatial.kernel_offsets(t.spark, "gaussian", sigma=1.0), N))
+
+
+@query("l3_power_law")
+def _(t):
+    return rounded(spatial.kernel_smooth(_cells(t), spatial.kernel_offsets(t.spark, "power", a=1.0, gamma=2.5, radius=6), N, "lose"))
+
+
+@query("l4_risk_surface", with_("herds", "SELECT s.ix, s.iy, round(risk, 6) AS risk, round(1-exp(-2*risk), 6) AS p FROM (SELECT s.ix, s.iy, s.w / max(s.w) OVER () * coalesce(c.w / (SELECT max(w) FROM cells), 0) AS risk FROM smo s LEFT JOIN cells c USING (ix, iy)) s", _PW, _CELLS, _KER, _SMO))
+def _(t):
+    c = _cells(t)
+    return rounded(spatial.risk_surface(spatial.kernel_smooth(c, spatial.kernel_offsets(t.spark, "gaussian", sigma=1.0), N), c, 2.0))
+
+
+@query("l5_type_defaults", with_("herds", "SELECT herd_type, herd_id, herd_size FROM herds QUALIFY row_number() OVER (PARTITION BY herd_type ORDER BY herd_id) = 1"))
+def _(t):
+    return spatial.type_defaults(t.herds.select("herd_type", "herd_id", "herd_size"), "herd_id")
+
+
+def _stream(t):
+    """The events table as a file stream with the bound columns."""
+    batch = t.raw("events")
+    # A glob finds the table whether it is one file or a folder of parts.
+    s = t.spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 86400e6
+    return s.select(F.col("user_id").alias("traj_id"), at.alias("t"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+def _drain(t, df, schema: T.StructType, mode: str = "complete"):
+    """Runs the stream over what there is and reads the last complete result."""
+    path = f"{shared_folder(t.spark)}/outspan-stream-{uuid.uuid4().hex}"
+
+    def write(batch, _):
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    return t.spark.read.schema(schema).parquet(f"{path}/out")
+
+
+@query("m1_stream_hist1d", with_("ev", "SELECT CAST(least(floor(t/30e0*15), 14) AS BIGINT) AS bin, count(*) AS n FROM ev WHERE t BETWEEN 0 AND 30 GROUP BY 1"))
+def _(t):
+    s = monitor.stream_hist1d(_stream(t), "t", 15, 0.0, 30.0)
+    return _drain(t, s, s.schema)
+
+
+@query("m2_stream_time_matrix", with_("ev", "SELECT last_day, first_after, count(*) AS n FROM (SELECT traj_id, max(day) AS last_day, coalesce(min(day) FILTER (day > 20 AND day <= 28), 29) AS first_after FROM (SELECT traj_id, CAST(greatest(0, least(floor(t), 29)) AS BIGINT) AS day FROM ev) GROUP BY traj_id) GROUP BY ALL"))
+def _(t):
+    s = monitor.stream_day_state(_stream(t), 28, 20)
+    return _drain(t, s, s.schema).groupBy("last_day", "first_after").agg(F.count("*").alias("n"))
+
+
+@query("m3_stream_quiet_monitor", with_("ev", "SELECT traj_id, round((epoch_us(max(m)) - epoch_us(max(l))) / 86400e6, 6) AS quiet_days FROM (SELECT traj_id, max(ts) AS l FROM ev GROUP BY traj_id), (SELECT max(ts) AS m FROM ev) GROUP BY traj_id"))
+def _(t):
+    s = monitor.stream_quiet_monitor(_stream(t)).select("traj_id", "last_ts", "n")
+    return rounded(monitor.quiet_times(_drain(t, s, s.schema)))
+
+
+@query("n6_collector_group", with_("entities ev", "SELECT e.traj_id, n, round(first_t, 6) AS first_t, signups FROM entities e LEFT JOIN (SELECT traj_id, count(*) AS n, min(t) AS first_t, count(*) FILTER (event_type = 'signup') AS signups FROM ev GROUP BY traj_id) x ON e.traj_id = x.traj_id"))
+def _(t):
+    group = [collect.Collector("n", F.count("*")), collect.Collector("first_t", F.min("t")), collect.Collector("signups", F.count_if(F.col("event_type") == "signup"))]
+    return rounded(collect.collect_group(t.entities, t.ev, group))
+
+
+@query("n5_callable_summary", with_("draws", "SELECT alpha, round(max(R0) - min(R0), 6) AS spread FROM draws GROUP BY alpha"))
+def _(t):
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def spread(x: pd.Series) -> float:
+        return float(x.max() - x.min())
+
+    spread.__annotations__ = {"x": pd.Series, "return": float}
+    return rounded(t.draws.groupBy("alpha").agg(pandas_udf(T.DoubleType())(spread)("R0").alias("spread")))
+
+
+_ = criteria
