@@ -3,8 +3,8 @@
 A run gives each token of a set a shared random number; the set follows the tokens whose number is below 1 / (LAMBDA * its size),
 and on each path the rest of the set chooses again. Two sets of similarity LAMBDA or more share, on average, at least one path a
 level, so a run finds them with a constant chance and RUNS independent runs with all but MISS. Buckets (sets with one path) of up to
-BUCKET sets are compared at once, larger ones are split by the next level; what is still large after LEVELS levels is compared in
-pairs of blocks, so no case is dropped.
+BUCKET sets are compared, in pairs of blocks of COMPARE sets; larger ones are split by the next level first. What is still large after
+LEVELS levels is compared in pairs of blocks too, so no case is dropped.
 
 A bucket compares sketches of the sets and joins those that may be similar into candidate groups. Inside a group all sets are
 compared exactly, once, in blocks: links are counted for each set, and classes are the components of the links. Equal sets are one
@@ -15,13 +15,11 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,13 +30,13 @@ from .components import connected_components
 WORDS_IN_GRAM = 5
 LAMBDA = (4, 5)  # similarity, as a fraction
 LEVELS = 3
-RUNS = 16  # see expected_miss
-BUCKET = 512
+RUNS = 12  # see expected_miss
+BUCKET = 4096  # larger buckets are split by the next level
+COMPARE = 1024  # sets of one block when a bucket's sketches are compared
 BLOCK = 256  # sets of one block of an exact comparison
 SKETCH = 128  # minimum hashes of a sketch, a byte each
 CANDIDATE = 0.66  # share of equal sketch bytes: four deviations below the threshold
 
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -57,57 +55,80 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BYTE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0xD1342543DE82EF95
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n, np.uint64(base))
+    p[0] = 1
+    return np.multiply.accumulate(p)
+
+
+_UP, _DOWN = _powers(_BASE, 1 << 18), _powers(pow(_BASE, -1, 1 << 64), 1 << 18)
+
+
 def gram_set(text: str, n: int = WORDS_IN_GRAM) -> np.ndarray:
     """Sorted hashes of the distinct n-grams of words; a text with fewer words is one gram, one without words has none."""
-    words = [w for w in _SPACE.split(text) if w]
-    if not words:
+    x = np.frombuffer(text.encode(), np.uint8)
+    word = np.zeros(len(x) + 2, bool)
+    word[1:-1] = ~_IS_SPACE[x]
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
         return np.zeros(0, np.uint64)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-    if len(h) < n:
-        n = len(h)
+    up, down = (_UP, _DOWN) if len(x) <= len(_UP) else (_powers(_BASE, len(x)), _powers(pow(_BASE, -1, 1 << 64), len(x)))
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(_BYTE[x] * up[: len(x)], out=sums[1:])
+    h = _mix((sums[end] - sums[start]) * down[start])
+    n = min(n, len(h))
     acc = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
-        acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
-    return np.unique(acc)
+        acc = (acc ^ h[i : len(h) - n + 1 + i]) * _M2 + np.uint64(i)
+        acc ^= acc >> np.uint64(29)
+    return np.unique(_mix(acc))
 
 
 def set_key(grams: np.ndarray) -> bytes | None:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
 
 
-_SEEDS = _mix(np.arange(1, 1 + 4096, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_ROWS = _SEEDS[1024 : 1024 + SKETCH]
+_SEEDS = _mix(np.arange(1, 1 + 4096, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_ROWS = (_SEEDS[1024 : 1024 + SKETCH] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def sketch(grams: np.ndarray) -> bytes:
-    out = np.empty(SKETCH, np.uint8)
-    for i in range(0, SKETCH, 16):
-        m = _mix(grams[None, :] ^ _ROWS[i : i + 16, None]).min(axis=1)
-        out[i : i + 16] = m & np.uint64(255)
-    return out.tobytes()
+    """A byte of the least number among the grams for each of SKETCH multipliers; grams are hashes already."""
+    low = (grams >> np.uint64(16)).astype(np.uint32)
+    out = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(low), 1024):
+        out = np.minimum(out, (low[None, i : i + 1024] * _ROWS[:, None]).min(axis=1))
+    return ((out ^ (out >> np.uint32(9))) & np.uint32(255)).astype(np.uint8).tobytes()
 
 
 def paths(grams: np.ndarray) -> list[list[int]]:
-    """Chosen paths as lists of a key for each level; a path that ends early has the keys that it got to."""
-    size = len(grams)
-    limit = np.uint64(min((1 << 64) - 1, int((1 << 64) * LAMBDA[1] / (LAMBDA[0] * size))))
+    """Chosen paths as lists of a key for each level; a path that ends early has the keys that it got to. A node's random numbers are
+    the grams times an odd number of the node's own."""
+    limit = np.uint64(min((1 << 64) - 1, int((1 << 64) * LAMBDA[1] / (LAMBDA[0] * len(grams)))))
+    seeds, above = _SEEDS[:RUNS], [[] for _ in range(RUNS)]
     out: list[list[int]] = []
-
-    def follow(keys: list[int], seed: np.uint64) -> None:
-        numbers = _mix(grams ^ seed)
-        chosen = numbers[numbers <= limit]
-        if not len(chosen) and keys:
-            out.append(keys)
-        for x in _mix(chosen * _M2 + seed):
-            if len(keys) + 1 == LEVELS:
-                out.append([*keys, int(x)])
-            else:
-                follow([*keys, int(x)], x)
-
-    with np.errstate(over="ignore"):
-        for run in range(RUNS):
-            follow([], _SEEDS[run])
-    return out
+    for level in range(LEVELS):
+        rows, keys = [], []
+        step = max(1, 2_000_000 // len(grams))
+        for i in range(0, len(seeds), step):
+            numbers = grams[None, :] * seeds[i : i + step, None]
+            r, c = np.nonzero(numbers <= limit)
+            rows.append(r + i)
+            keys.append(_mix(numbers[r, c] ^ (seeds[r + i] * _M1)))
+        r, k = np.concatenate(rows), np.concatenate(keys)
+        ended = np.bincount(r, minlength=len(seeds)) == 0
+        out += [above[i] for i in np.flatnonzero(ended) if above[i]]
+        above = [[*above[i], x] for i, x in zip(r.tolist(), k.tolist(), strict=True)]
+        seeds = k | np.uint64(1)
+        if not len(seeds):
+            return out
+    return out + above
 
 
 def _signed(x: int) -> int:
@@ -219,7 +240,7 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
     members = levels[0]
     for more in levels[1:]:
         members = members.unionByName(more)
-    dealt = _split_blocks(members, "p", "n", BUCKET).join(lean.select("set", "size", "sketch"), "set")
+    dealt = _split_blocks(members, "p", "n", COMPARE).join(lean.select("set", "size", "sketch"), "set")
     dealt = dealt.select("p", "i", "j", "set", "size", "sketch").repartition(part_count(sets), "p", "i", "j").sortWithinPartitions("p", "i", "j")
     edges = dealt.mapInArrow(_bucket_edges, "a binary, b binary").distinct()
     labels = connected_components(edges, "candidates")
