@@ -3,30 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 #: Rows that a broadcast side may have; beyond it the join is a shuffle.
 BROADCAST_ROWS = 50_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = got.get() if got.isDefined() else None
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-outspan-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage ends there, and lost executors cost nothing
     that came before. The table is deleted when the application ends."""

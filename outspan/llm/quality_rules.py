@@ -195,18 +195,19 @@ def verdicts(stats: DataFrame) -> DataFrame:
     for view in [*views, f"{tag}stats"]:
         spark.catalog.dropTempView(view)
     known = grouped.join(estimate, "g")
+    known = known.select(*[F.col(c).alias(f"__mcd_{c}") for c in known.columns])  # no name of the documents' own columns
     known = F.broadcast(known) if sizes <= BROADCAST_ROWS else known
     stats = stats.drop("distance", "kept")
-    out = stats.join(known, (F.coalesce(stats["lang"] if "lang" in stats.columns else F.lit(""), F.lit("")) == known["lang_"]) & (F.coalesce(stats["source"] if "source" in stats.columns else F.lit(""), F.lit("")) == known["source_"]) & ~stats["base_failed"], "left")
+    out = stats.join(known, (F.coalesce(stats["lang"] if "lang" in stats.columns else F.lit(""), F.lit("")) == known["__mcd_lang_"]) & (F.coalesce(stats["source"] if "source" in stats.columns else F.lit(""), F.lit("")) == known["__mcd_source_"]) & ~stats["base_failed"], "left")
     for i, x in enumerate(VECTOR, 1):
         out = out.withColumn(f"__x{i}", F.when(~F.col("base_failed"), F.expr(f"CASE WHEN n_words > 0 THEN {x} END")))
     y = []
     for i in range(1, P + 1):
-        e = F.col(f"__x{i}") - F.col(f"m{i}")
+        e = F.col(f"__x{i}") - F.col(f"__mcd_m{i}")
         for k in range(1, i):
-            e = e - F.col(f"l{i}{k}") * F.col(f"__y{k}")
-        out = out.withColumn(f"__y{i}", e / F.col(f"l{i}{i}"))
+            e = e - F.col(f"__mcd_l{i}{k}") * F.col(f"__y{k}")
+        out = out.withColumn(f"__y{i}", e / F.col(f"__mcd_l{i}{i}"))
         y.append(f"__y{i} * __y{i}")
-    out = out.withColumn("distance", F.expr(f"({' + '.join(y)}) / scale"))
+    out = out.withColumn("distance", F.expr(f"({' + '.join(y)}) / __mcd_scale"))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF))
     return out.select(*[c for c in stats.columns], "distance", "kept")

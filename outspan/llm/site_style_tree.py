@@ -193,7 +193,7 @@ def style_tree(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
                 nodes: dict[tuple[str, ...], set[int]] = {}
                 judged: dict[tuple[str, ...], bool] = {}
                 for text, _, main, path in blocks:
-                    for i in range(2, len(path) + 1):
+                    for i in range(1 + (path[:1] == ("body",)), len(path) + 1):
                         nodes.setdefault(path[:i], set()).add(_key(text))
                         judged[path[:i]] = judged.get(path[:i], True) and not main
                 for path, features in nodes.items():

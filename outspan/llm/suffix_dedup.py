@@ -286,8 +286,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", *, digest: bool = False)
     under LENGTH bytes keep all. Rows with equal texts are removed whole from LENGTH bytes on. Other columns stay, columns of those
     names are replaced."""
     extra = ("n_bytes", "n_removed", "n_spans", "kept_sha256") if digest else ("removed",)
-    docs = docs.drop(*extra, "__key")
-    runs = removed_runs(docs, text)
+    docs = docs.drop(*extra, "__key", "__runs")
+    runs = removed_runs(docs, text).select(F.col("key").alias("__found"), F.col("runs").alias("__runs"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     rest = [f for f in docs.schema.fields if f.name != text]
     keyed_schema = T.StructType([*docs.schema.fields, T.StructField("__key", T.BinaryType())])
@@ -305,7 +305,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", *, digest: bool = False)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, found = b.column(text).to_pylist(), b.column("runs").to_pylist()
+            texts, found = b.column(text).to_pylist(), b.column("__runs").to_pylist()
             kept, cut = [], []
             for t, r in zip(texts, found, strict=True):
                 data, r = (t or "").encode(), r or []
@@ -324,7 +324,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", *, digest: bool = False)
             yield pa.RecordBatch.from_arrays([cols[f.name] for f in schema.fields], names=schema.fieldNames())
 
     if runs.limit(BROADCAST_KEYS // 4 + 1).count() <= BROADCAST_KEYS // 4:
-        joined = keyed.join(F.broadcast(runs), keyed["__key"] == runs["key"], "left")
+        joined = keyed.join(F.broadcast(runs), keyed["__key"] == runs["__found"], "left")
     else:
-        joined = keyed.join(runs, keyed["__key"] == runs["key"], "left")
-    return joined.select(*docs.columns, "runs").mapInArrow(apply, schema)
+        joined = keyed.join(runs, keyed["__key"] == runs["__found"], "left")
+    return joined.select(*docs.columns, "__runs").mapInArrow(apply, schema)
