@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 #: Fixed value: the word pattern of byte-level BPE files that name ByteLevel with use_regex.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PIECES = 600_000  # remembered pieces of a worker; beyond it the memory starts afresh
+PIECES = 400_000  # remembered pieces of a worker; beyond it the memory starts afresh
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -152,7 +152,7 @@ class TrieCoder:
             self.pieces.clear()
         if len(self.words) > PIECES:
             self.words.clear()
-        if len(self.fits) > 4 * PIECES:
+        if len(self.fits) > 3 * PIECES:
             self.fits.clear()
         self._learn(first - self.first.keys(), self.first, "")
         rest -= self.pieces.keys()
@@ -195,36 +195,39 @@ def coder(path: str) -> TrieCoder:
     return _CODERS[path]
 
 
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
-def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with ``out``, the array of token ids of the text; a null or empty text has none. Other columns stay, one of that
-    name is replaced. Rows are coded one by one, so repeated rows and ids change nothing; memory is bounded by a batch and by
-    PIECES remembered pieces."""
-    kept = [f for f in df.schema.fields if f.name != out]
-    schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType()))])
+def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", decoded: str | None = None, drop_text: bool = False) -> DataFrame:
+    """``df`` with ``out``, the array of token ids of the text; a null or empty text has none. With ``decoded`` there is a column of
+    that name too, the text that these ids stand for; one worker then does both. Other columns stay, those of the new names are
+    replaced. Rows are coded one by one, so repeated rows and ids change nothing; memory is bounded by a batch and by PIECES
+    remembered pieces."""
+    kept = [f for f in df.schema.fields if f.name not in (out, decoded) and not (drop_text and f.name == text)]
+    new = [T.StructField(decoded, T.StringType())] if decoded else []
+    schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType())), *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            start = 0
-            while start < len(texts):  # a few MB at a time
-                stop, chars = start, 0
-                while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= BATCH_CHARS):
-                    chars += len(texts[stop])
-                    stop += 1
-                coded = c.encode(texts[start:stop])
+            column, start = batch.column(text), 0
+            while start < batch.num_rows:  # about a MB at a time
+                texts, chars = [], 0
+                while start + len(texts) < batch.num_rows and chars <= BATCH_CHARS:
+                    texts.append(column[start + len(texts)].as_py() or "")
+                    chars += len(texts[-1])
+                stop = start + len(texts)
+                coded = c.encode(texts)
                 offsets = np.zeros(len(coded) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in coded], out=offsets[1:])
                 values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(coded))])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), values)
                 part = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), ids], names=schema.fieldNames())
+                back = [pa.array([c.decode(np.frombuffer(x, "<u4").tolist()) for x in coded], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), ids, *back], names=schema.fieldNames())
                 start = stop
 
-    return df.select(*[df[f.name] for f in kept]).mapInArrow(run, schema)
+    return df.select(*[df[c] for c in dict.fromkeys([*(f.name for f in kept), text])]).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

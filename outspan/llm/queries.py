@@ -53,9 +53,8 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, tokenizer_path()).drop("text")
-    back = bpe.decode(coded, tokenizer_path())
-    return back.select(
+    coded = bpe.encode(docs, tokenizer_path(), decoded="decoded", drop_text=True)
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
