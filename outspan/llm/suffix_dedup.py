@@ -323,8 +323,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", *, digest: bool = False)
                 cols["removed"] = pa.array(cut, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([cols[f.name] for f in schema.fields], names=schema.fieldNames())
 
-    if runs.limit(BROADCAST_KEYS // 4 + 1).count() <= BROADCAST_KEYS // 4:
-        joined = keyed.join(F.broadcast(runs), keyed["__key"] == runs["__found"], "left")
-    else:
-        joined = keyed.join(runs, keyed["__key"] == runs["__found"], "left")
+    # Whole texts move only if what is to be removed is too much for a broadcast: a count proves keys and runs small.
+    size = runs.agg(F.count("*").alias("keys"), F.coalesce(F.sum(F.size("__runs")), F.lit(0)).alias("spans")).first()
+    if size["keys"] <= BROADCAST_KEYS and size["spans"] <= 4 * BROADCAST_KEYS:
+        runs = F.broadcast(runs)
+    joined = keyed.join(runs, keyed["__key"] == runs["__found"], "left")
     return joined.select(*docs.columns, "__runs").mapInArrow(apply, schema)
