@@ -35,7 +35,8 @@ WORD = r"[^\x20\x09-\x0D]"
 def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the counts of punctuation, capitals and lines.
 
-    A null or empty text has no word and all counts 0. Texts of any length are read whole."""
+    A null or empty text has no word and all counts 0. Texts of any length are read whole. A row number, __row, comes along: a
+    condition above that names it isn't moved below the counts, where Spark would count again for each mention."""
     t = text_of(df, text)
     words = F.array_remove(F.split(t, WORD_GAP, -1), "")
     n = F.size("__w")
@@ -63,6 +64,7 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count("__t", F.lit(r"[!-/:-@\[-`{-~]")).cast("long").alias("n_punct"),
         F.regexp_count("__t", F.lit(r"[A-Z]")).cast("long").alias("n_upper"),
         F.size(F.split("__t", "\n", -1)).cast("long").alias("n_lines"),
+        F.monotonically_increasing_id().alias("__row"),
     )
 
 
@@ -209,5 +211,5 @@ def verdicts(stats: DataFrame) -> DataFrame:
         out = out.withColumn(f"__y{i}", e / F.col(f"__mcd_l{i}{i}"))
         y.append(f"__y{i} * __y{i}")
     out = out.withColumn("distance", F.expr(f"({' + '.join(y)}) / __mcd_scale"))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF))
-    return out.select(*[c for c in stats.columns], "distance", "kept")
+    out = out.withColumn("kept", (F.col("__row") >= 0) & ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF))
+    return out.select(*[c for c in stats.columns if c != "__row"], "distance", "kept")
