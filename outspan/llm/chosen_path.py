@@ -1,8 +1,9 @@
 """Jaccard join of word n-grams by chosen paths.
 
 A run gives each token of a set a shared random number; the set follows the tokens whose number is below 1 / (LAMBDA * its size),
-and on each path the rest of the set chooses again. Two sets of similarity LAMBDA or more share, on average, at least one path a
-level, so a run finds them with a constant chance and RUNS independent runs with all but MISS. Buckets (sets with one path) of up to
+and on each path the set chooses again; one that chooses nothing there goes on by a key for that, so no path ends early. Two sets of
+similarity LAMBDA or more share, on average, at least one path a level, so a run finds them with a constant chance and RUNS
+independent runs with all but MISS, which counts the losses of the sketches too. Buckets (sets with one path) of up to
 BUCKET sets are compared, in pairs of blocks of COMPARE sets; larger ones are split by the next level first. What is still large after
 LEVELS levels is compared in pairs of blocks too, so no case is dropped.
 
@@ -30,23 +31,45 @@ from .components import connected_components
 WORDS_IN_GRAM = 5
 LAMBDA = (4, 5)  # similarity, as a fraction
 LEVELS = 3
-RUNS = 12  # see expected_miss
+MISS = 5e-5  # chance at most that a pair of similarity LAMBDA or more is not compared exactly; RUNS follows
 BUCKET = 4096  # larger buckets are split by the next level
 COMPARE = 1024  # sets of one block when a bucket's sketches are compared
 BLOCK = 256  # sets of one block of an exact comparison
 SKETCH = 128  # minimum hashes of a sketch, a byte each
-CANDIDATE = 0.66  # share of equal sketch bytes: four deviations below the threshold
+CANDIDATE = 0.65  # share of equal sketch bytes: four deviations below the threshold
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def expected_miss(runs: int = RUNS, levels: int = LEVELS) -> float:
-    """Chance at most that no run keeps two sets of equal size and similarity exactly LAMBDA together down to the last level."""
-    j = LAMBDA[0] / LAMBDA[1]
-    mean, alive = 2 * j / (1 + j) / j, 1.0
-    for _ in range(levels):
-        alive = 1 - math.exp(-mean * alive)
-    return (1 - alive) ** runs
+def sketch_loss() -> float:
+    """Chance that the sketches of two sets of similarity LAMBDA have too few equal bytes. All runs share it."""
+    same = LAMBDA[0] / LAMBDA[1]
+    same += (1 - same) / 256
+    return sum(math.comb(SKETCH, k) * same**k * (1 - same) ** (SKETCH - k) for k in range(math.ceil(CANDIDATE * SKETCH)))
+
+
+def run_miss(levels: int = LEVELS) -> float:
+    """Chance at most that a run doesn't keep two sets of similarity LAMBDA together down to the last level.
+
+    The worst case is a set inside the other: what both choose is limited by the larger one, 1 token on average instead of 1.11 for
+    equal sizes. Below the first level they also stay together where both choose nothing."""
+    j, worst = LAMBDA[0] / LAMBDA[1], 0.0
+    for b in (LAMBDA[1], 10 * LAMBDA[1], 1_000_000):
+        a = b * LAMBDA[0] // LAMBDA[1]
+        of_a, of_b, alive = min(1.0, 1 / (j * a)), min(1.0, 1 / (j * b)), 1.0
+        nothing = (1 - of_a) ** a * (1 - of_b) ** (b - a)
+        for left in range(levels - 1, -1, -1):
+            alive = 1 - (1 - of_b * alive) ** a + (nothing * alive if left else 0.0)
+        worst = max(worst, 1 - alive)
+    return worst
+
+
+def expected_miss(runs: int | None = None, levels: int = LEVELS) -> float:
+    """Chance at most that a pair of similarity LAMBDA is missed: no run keeps it together, or its sketches differ too much."""
+    return run_miss(levels) ** (RUNS if runs is None else runs) + sketch_loss()
+
+
+RUNS = math.ceil(math.log(MISS - sketch_loss()) / math.log(run_miss()))  # 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -108,11 +131,10 @@ def sketch(grams: np.ndarray) -> bytes:
 
 
 def paths(grams: np.ndarray) -> list[list[int]]:
-    """Chosen paths as lists of a key for each level; a path that ends early has the keys that it got to. A node's random numbers are
-    the grams times an odd number of the node's own."""
+    """Chosen paths as lists of a key for each level. A node's random numbers are the grams times an odd number of the node's own. Below
+    the first level a set that chooses nothing has a key for that; a run in which it chooses nothing at first has no path."""
     limit = np.uint64(min((1 << 64) - 1, int((1 << 64) * LAMBDA[1] / (LAMBDA[0] * len(grams)))))
     seeds, above = _SEEDS[:RUNS], [[] for _ in range(RUNS)]
-    out: list[list[int]] = []
     for level in range(LEVELS):
         rows, keys = [], []
         step = max(1, 2_000_000 // len(grams))
@@ -122,13 +144,14 @@ def paths(grams: np.ndarray) -> list[list[int]]:
             rows.append(r + i)
             keys.append(_mix(numbers[r, c] ^ (seeds[r + i] * _M1)))
         r, k = np.concatenate(rows), np.concatenate(keys)
-        ended = np.bincount(r, minlength=len(seeds)) == 0
-        out += [above[i] for i in np.flatnonzero(ended) if above[i]]
+        if level:
+            nothing = np.flatnonzero(np.bincount(r, minlength=len(seeds)) == 0)
+            r, k = np.concatenate([r, nothing]), np.concatenate([k, _mix(~seeds[nothing])])
         above = [[*above[i], x] for i, x in zip(r.tolist(), k.tolist(), strict=True)]
         seeds = k | np.uint64(1)
         if not len(seeds):
-            return out
-    return out + above
+            return []
+    return above
 
 
 def _signed(x: int) -> int:
@@ -230,7 +253,7 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
         else:
             # Only sets of buckets that are still large go on, by what they chose next.
             deeper = big.withColumnRenamed("p", "q").join(lean.select("set", F.explode("paths").alias("path")), "set").filter(F.element_at("path", level) == F.col("q"))
-            at = deeper.filter(F.size("path") > level).select("set", F.element_at("path", level + 1).alias("p")).distinct()
+            at = deeper.select("set", F.element_at("path", level + 1).alias("p")).distinct()
         counts = at.groupBy("p").agg(F.count("*").alias("n")).filter("n > 1")
         shared = materialize(at.join(counts, "p"), f"level{level}")
         levels.append(shared.filter(F.col("n") <= BUCKET) if level + 1 < LEVELS else shared)
