@@ -3,10 +3,12 @@
 The pages of a host are merged into one tree: a node for each path of containers (tag, class), with counts of the presentations seen
 below it (sequences of child containers) and of the contents seen in it (hashes of text blocks). A node whose presentation hardly
 varies and whose contents recur on many pages of the host is furniture. Importance combines both entropies, as in the literature on
-noise in web sites; branches below the threshold are removed from each page.
+noise in web sites; branches below the threshold are removed from each page, inside the article too. Branches beside the article stay
+where the tree finds them important.
 
 What the markup itself calls a menu, header, footer, sidebar, notice, advert, form or comment has importance 0 on any host, and what it
-calls the article has importance 1: these are the tree's priors, and all there is for hosts with few pages.
+calls the article is kept but for branches that the tree rejects. Importance is drawn towards a prior that counts as some pages, so a
+host with few pages goes by its markup.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from pyspark.sql import types as T
 
 from .common import materialize, small
 
-LEAST_PAGES = 8  # of a host with a node, before its entropies count
-THRESHOLD = 0.25  # of importance
-DECAY = 0.9  # weight of contents against presentation, a level
+PRIOR_PAGES = 4  # weight of the prior, in pages
+THRESHOLD = 0.25  # of importance, drawn to 0.5: branches below go
+BESIDE = 0.5  # of importance, drawn to 0: branches beside an article stay from here on
+DECAY, LEAST_WEIGHT = 0.9, 0.5  # weight of contents against presentation, a level, and at least: deep nodes may have no child containers
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"(class|id|role|style|aria-hidden|hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -160,20 +163,30 @@ def _key(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
 
 
-def main_text(page: str, low: frozenset[int] | set[int]) -> str:
-    """The page's text without noise; ``low`` are keys of this host's paths that are not important."""
+def _main_depth(path: tuple[str, ...]) -> int:
+    """Nodes of the path down to the article."""
+    return next((i for i, x in enumerate(path, 1) if x.split(".")[0] in MAIN), len(path))
+
+
+def main_text(page: str, low: frozenset[int] | set[int], high: frozenset[int] | set[int] = frozenset()) -> str:
+    """The page's text without noise; ``low`` are keys of this host's paths that are not important, ``high`` of those that are.
+
+    An article that would lose all its text keeps it: its copies on other pages don't make it furniture."""
     blocks, _ = blocks_of(page)
     article = any(main and not noise for _, noise, main, _ in blocks)
     dropped: dict[tuple[str, ...], bool] = {}
-    kept = []
+    kept, whole = [], []  # text, whether in the article
     for text, noise, main, path in blocks:
-        if noise or article and not main:
+        if noise or article and not main and not (high and _key(*path) in high):
             continue
         if low and path not in dropped:
             dropped[path] = any(_key(*path[:i]) in low for i in range(1, len(path) + 1))
+        whole.append((text, main))
         if not (low and dropped[path]):
-            kept.append(text)
-    return " ".join(kept)
+            kept.append((text, main))
+    if article and not any(main for _, main in kept):
+        kept = [x for x in whole if x[1]]
+    return " ".join(text for text, _ in kept)
 
 
 def style_tree(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
@@ -181,7 +194,7 @@ def style_tree(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
 
     A node's contents are the blocks in and below it. With m pages, presentation is the entropy of its child sequences to base m; a
     block on c of them carries the information of log c to base m, and contents are 1 minus its mean. Nodes that hold the article, or
-    that only the body's own paragraphs make up, are never judged."""
+    that only the body's own paragraphs make up, are never judged; those inside the article are."""
     schema = "host long, path long, depth int, kind int, feature long, n long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +206,10 @@ def style_tree(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
                 nodes: dict[tuple[str, ...], set[int]] = {}
                 judged: dict[tuple[str, ...], bool] = {}
                 for text, _, main, path in blocks:
+                    holds = _main_depth(path) if main else 0
                     for i in range(1 + (path[:1] == ("body",)), len(path) + 1):
                         nodes.setdefault(path[:i], set()).add(_key(text))
-                        judged[path[:i]] = judged.get(path[:i], True) and not main
+                        judged[path[:i]] = judged.get(path[:i], True) and i > holds
                 for path, features in nodes.items():
                     if judged[path]:
                         p = _key(*path)
@@ -218,7 +232,7 @@ def style_tree(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
     m = F.greatest(F.log(F.col("pages")), F.lit(1e-9))
     node = node.withColumn("presentation", F.when(F.col("pages") > 1, (F.log("pages") - F.col("a") / F.col("pages")) / m).otherwise(1.0))
     node = node.withColumn("contents", F.when(F.col("pages") > 1, 1 - F.col("b") / F.col("blocks") / m).otherwise(1.0))
-    weight = F.pow(F.lit(DECAY), F.col("depth"))
+    weight = F.greatest(F.pow(F.lit(DECAY), F.col("depth")), F.lit(LEAST_WEIGHT))
     return node.withColumn("importance", (1 - weight) * F.col("presentation") + weight * F.col("contents")).drop("a", "b")
 
 
@@ -227,8 +241,11 @@ def extract_main_text(pages: DataFrame, url: str = "url", page: str = "html", ou
 
     Null urls make one host of their own. Each row is a page, repeated ones too. A column named as ``out`` is replaced, others stay."""
     tree = style_tree(pages, url, page)
-    low = tree.filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < THRESHOLD)).groupBy("host").agg(F.collect_set("path").alias("low"))
-    low = materialize(low.withColumnRenamed("host", "__host").withColumnRenamed("low", "__low"), "low")
+    part = F.col("pages") / (F.col("pages") + PRIOR_PAGES)
+    is_low = part * F.col("importance") + (1 - part) * 0.5 < THRESHOLD
+    is_high = part * F.col("importance") >= BESIDE
+    low = tree.filter(is_low | is_high).groupBy("host").agg(F.collect_set(F.when(is_low, F.col("path"))).alias("__low"), F.collect_set(F.when(is_high, F.col("path"))).alias("__high"))
+    low = materialize(low.withColumnRenamed("host", "__host"), "low")
     kept = [f for f in pages.schema.fields if f.name != out]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField(out, T.StringType())])
@@ -240,8 +257,9 @@ def extract_main_text(pages: DataFrame, url: str = "url", page: str = "html", ou
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h or "", set(x or ())) for h, x in zip(b.column(page).cast(pa.string()).to_pylist(), b.column("__low").to_pylist(), strict=True)]
+            rows = zip(b.column(page).cast(pa.string()).to_pylist(), b.column("__low").to_pylist(), b.column("__high").to_pylist(), strict=True)
+            texts = [main_text(h or "", set(x or ()), set(y or ())) for h, x, y in rows]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string())], names=schema.fieldNames())
 
     keyed = pages.select(*[pages[c] for c in names]).mapInArrow(hosts, host_schema)
-    return keyed.join(small(low), "__host", "left").select(*names, "__low").mapInArrow(extract, schema)
+    return keyed.join(small(low), "__host", "left").select(*names, "__low", "__high").mapInArrow(extract, schema)

@@ -311,6 +311,18 @@ def test_main_text(spark, tables):
     assert extract_main_text(spark.createDataFrame([], "url string, html string")).count() == 0
 
 
+def test_main_text_judges_article(spark):
+    """A recurring unmarked box inside the article goes, text of its own beside the article stays, and so does a repeated article."""
+    page = "<body><div class='intro'>intro {i}</div><div class='strip'>Our shop</div><main><div class='body'><p>text {i} alone</p></div><div class='box'>Get our app</div></main></body>"
+    deep = "<div>" * 20 + "<main><section><p>deep {i} alone</p></section></main>" + "</div>" * 20
+    rows = [(f"http://h.org/{i}", page.replace("{i}", str(i))) for i in range(12)]
+    rows += [(f"http://deep.org/{i}", deep.replace("{i}", str(i))) for i in range(12)]
+    rows += [(f"http://copy.org/{i}", "<article><div>one text</div></article>") for i in range(12)]
+    out = extract_main_text(spark.createDataFrame(rows, "url string, html string")).collect()
+    want = [x for i in range(12) for x in (f"intro {i} text {i} alone", f"deep {i} alone", "one text")]
+    assert sorted(r["text"] for r in out) == sorted(want)
+
+
 def test_classifiers(spark, docs, tables):
     assert pool_adjacent_violators(np.arange(4), np.array([0.2, 0.1, 0.5, 0.4]), np.ones(4)).tolist() == pytest.approx([0.15, 0.15, 0.45, 0.45])
     known = tables["labels"].set_index("doc_id")
