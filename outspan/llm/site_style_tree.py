@@ -39,6 +39,10 @@ _CUE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|adslot|adbox|sponsor(?:ed)?|promos?|promotion|banners?|sidebars?|side|comments?|commentlist|disqus|respond|repl(?:y|ies)|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|nav|navbar|navigation|menus?|breadcrumbs?|footer|header|masthead|popup|modal|overlay|search|forms?|widgets?|pagination|pager|toolbar|skip)(?=$|[\s_\d-])",
     re.I,
 )
+#: Class names that only tell how a page is laid out: no-sidebar, has-comments, search-result-page; and a heading's box in an article.
+_LAYOUT = re.compile(r"(?:(?:no|not|has|have|with|without|hide)[_-].*|.*[_-](?:page|layout|template))", re.I)
+_HEADING = re.compile(r"(?:[\w-]*[_-])?(?:header|masthead)", re.I)
+CUE, INNER, SURE = 1, 2, 3  # noise by a class outside the article, by one inside it, by tag, role or style
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "xmp", "noembed", "noframes"}
 NOISE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "object", "canvas", "head", "audio", "video", "label", "fieldset"}
@@ -53,15 +57,15 @@ def _closing(text: str, tag: str, at: int) -> int:
     return m.end() if m else len(text)
 
 
-def _describe(tag: str, attrs: str) -> tuple[bool, str]:
-    """Whether the attributes mark noise, and the node's name: tag and first class or id, without digits."""
+def _describe(tag: str, attrs: str, main: bool = False) -> tuple[int, str]:
+    """How the attributes mark noise, 0 if they don't, and the node's name: tag and first class or id, without digits."""
     if not attrs.strip():
-        return False, tag
-    noise, name = False, tag
+        return 0, tag
+    cue, noise, name = False, False, tag
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key in ("class", "id"):
-            noise = noise or bool(_CUE.search(value))
+            cue = cue or any(_CUE.search(x) and not _LAYOUT.fullmatch(x) and not (main and _HEADING.fullmatch(x)) for x in value.split())
             if name == tag and value.split():
                 name = f"{tag}.{re.sub(r'[0-9]+', '', value.split()[0])}"
         elif key == "role":
@@ -72,15 +76,15 @@ def _describe(tag: str, attrs: str) -> tuple[bool, str]:
             noise = noise or value.lower() == "true"
         else:
             noise = noise or m[2] is None and not re.search(r"[\w-]hidden", attrs)
-    return noise, name
+    return SURE if noise else (INNER if main else CUE) if cue else 0, name
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, bool, bool, tuple[str, ...]]], dict[tuple[str, ...], list[str]]]:
-    """Text blocks in page order, each with its text, whether markup calls it noise, whether it is in the article, and its path of
+def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, tuple[str, ...]]], dict[tuple[str, ...], list[str]]]:
+    """Text blocks in page order, each with its text, how markup calls it noise, whether it is in the article, and its path of
     containers; and of each path the names of the containers below it."""
-    out: list[tuple[str, bool, bool, tuple[str, ...]]] = []
+    out: list[tuple[str, int, bool, tuple[str, ...]]] = []
     below: dict[tuple[str, ...], list[str]] = {}
-    stack: list[tuple[str, bool, bool, tuple[str, ...]]] = [("", False, False, ())]  # tag, noise, in the article, path
+    stack: list[tuple[str, int, bool, tuple[str, ...]]] = [("", 0, False, ())]  # tag, noise, in the article, path
     parts: list[str] = []
     at = 0
 
@@ -131,7 +135,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, bool, bool, tuple[str, ...]]],
             if tag == "hr":
                 flush()
             continue
-        noisy, name = _describe(tag, attrs)
+        noisy, name = _describe(tag, attrs, stack[-1][2])
         if tag in BLOCKS:
             flush()
             if stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
@@ -139,17 +143,18 @@ def blocks_of(page: str) -> tuple[list[tuple[str, bool, bool, tuple[str, ...]]],
             if tag in ("li", "dd", "dt", "option", "tr", "td", "th"):
                 close(tag, {"ul", "ol", "dl", "table", "select"} | ({"tr"} if tag in ("td", "th") else set()))
             if tag in ("body", "html"):
-                noisy = False
+                noisy = 0
             _, noise, main, path = stack[-1]
             if tag in CONTAINERS:
                 below.setdefault(path, []).append(name)
                 path = (*path, name)
             inside = main or tag in MAIN
-            stack.append((tag, noise or noisy or tag in NOISE or tag == "header" and not main, inside, path))
+            sure = SURE if tag in NOISE or tag == "header" and not main else 0
+            stack.append((tag, max(noise, noisy, sure), inside, path))
         elif noisy or tag in NOISE:  # inline furniture
             flush()
             _, noise, main, path = stack[-1]
-            stack.append((tag, True, main, path))
+            stack.append((tag, max(noise, noisy, SURE if tag in NOISE else 0), main, path))
     flush()
     return out, below
 
@@ -171,9 +176,12 @@ def _main_depth(path: tuple[str, ...]) -> int:
 def main_text(page: str, low: frozenset[int] | set[int], high: frozenset[int] | set[int] = frozenset()) -> str:
     """The page's text without noise; ``low`` are keys of this host's paths that are not important, ``high`` of those that are.
 
-    An article that would lose all its text keeps it: its copies on other pages don't make it furniture."""
+    A class on the article or around it is noise only where the page has another article without one, as teasers and comments do. An
+    article that would lose all its text keeps it: its copies on other pages don't make it furniture."""
     blocks, _ = blocks_of(page)
     article = any(main and not noise for _, noise, main, _ in blocks)
+    if not article and any(main and noise == CUE for _, noise, main, _ in blocks):
+        article, blocks = True, [(text, 0 if main and noise == CUE else noise, main, path) for text, noise, main, path in blocks]
     dropped: dict[tuple[str, ...], bool] = {}
     kept, whole = [], []  # text, whether in the article
     for text, noise, main, path in blocks:

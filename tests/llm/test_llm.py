@@ -323,6 +323,16 @@ def test_main_text_judges_article(spark):
     assert sorted(r["text"] for r in out) == sorted(want)
 
 
+def test_main_text_layout_classes():
+    """Layout classes on the article or around it don't remove it; adverts, comments and teasers still go."""
+    for around, article in (("layout no-sidebar", ""), ("sidebar", ""), ("x", "with-sidebar"), ("x", "post has-comments"), ("search", "widget"), ("search-result-page", "")):
+        page = f'<div class="{around}"><article class="{article}"><div class="entry-header"><h1>Title</h1></div><p>text</p><div class="share">no</div></article><div class="ad">no</div></div>'
+        assert main_text(page, frozenset()) == "Title text"
+    assert main_text('<div class="search-result-page"><p>found</p></div><div class="search-box">no</div>', frozenset()) == "found"
+    assert main_text('<main>story</main><div class="related"><article>no</article></div><div id="comments"><article class="comment">no</article></div>', frozenset()) == "story"
+    assert main_text('<div class="site-header">no</div><nav><article>no</article></nav><div class="ad">no</div>', frozenset()) == ""
+
+
 def test_classifiers(spark, docs, tables):
     assert pool_adjacent_violators(np.arange(4), np.array([0.2, 0.1, 0.5, 0.4]), np.ones(4)).tolist() == pytest.approx([0.15, 0.15, 0.45, 0.45])
     known = tables["labels"].set_index("doc_id")
