@@ -1,14 +1,15 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Each source is a queue of its documents' tokens, cut into slots of SLOT tokens. Every window of WINDOW tokens grants each source its
-share of the window; a source serves a slot once its deficit, carried from window to window, has grown to it. With shares in
-proportion to the queues this service order is a sort by (slot + 1/2) / (slots of the source), so that windows need no sequential
-pass: slots get their place from counts of time buckets and ranks within a bucket. A window never strays from the target by more
-than a slot a source, and what is owed carries over windows and over Spark partitions.
+share of the window; a source serves a slot once its deficit, carried from window to window, has grown to it. A slot's time is
+(slot + 1/2) / (target share of the source), when its cumulative deficit has grown to half of it, so that windows need no sequential pass:
+slots get their place from counts of time buckets and ranks within a bucket. A source whose queue is empty leaves its turn to the
+others. What is owed carries over windows and over Spark partitions.
 
 A partition's part of a queue starts a new slot, so where a document is cut is known as soon as it is coded: ids are neither
-stored nor shuffled. The last, partial slot of each source and partition is kept with its ids; these rests follow one another at
-the end, cut again at window borders, and only the last window has padding.
+stored nor shuffled. The last, partial slot of each source and partition is kept with its ids; these rests of a source are joined
+over the partitions, cut to slots again and stand at the end of its queue. What is left of each source, less than a slot, follows at the
+end, cut again at window borders, and only the last window has padding.
 """
 
 from __future__ import annotations
@@ -67,9 +68,11 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
-def pack(df: DataFrame, path: str, text: str = "text", source: str = "source", carry: tuple[str, ...] = ("doc_id",), window: int = WINDOW, slot: int = SLOT, end: int = END) -> DataFrame:
+def pack(df: DataFrame, path: str, text: str = "text", source: str = "source", carry: tuple[str, ...] = ("doc_id",), window: int = WINDOW, slot: int = SLOT, end: int = END, shares: dict[str, float] | None = None) -> DataFrame:
     """One row a piece: the ``carry`` columns, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
+    ``shares`` are target shares by source, above 0; a source without one has its share of the corpus.
+
     A null or empty text is the end id alone; a null source is a queue of its own, named ''. Each row of ``df`` is a document, repeated
     ones and ties of ids too. An empty table gives no piece. Names of other columns can't clash: only ``carry`` is kept."""
     fields = [df.schema[c] for c in carry]
@@ -122,12 +125,38 @@ def pack(df: DataFrame, path: str, text: str = "text", source: str = "source", c
     lean = df.select(*[df[f.name].alias(f"__{n}") for n, f in zip(lists, fields, strict=True)], F.coalesce(df[source].cast("string"), F.lit("")).alias("__source"), df[text].cast("string").alias("__text"))
     pieces = materialize(lean.mapInArrow(cut, schema), "pieces")
 
-    queues = pieces.groupBy("source", "pid").agg(F.coalesce(F.max(F.when(F.col("full"), F.col("slot") + 1)), F.lit(0)).alias("slots"))
+    def cut_at(df: DataFrame, unit: int) -> DataFrame:
+        """Pieces cut where their place, p, crosses a multiple of ``unit``; none is longer than it."""
+        fit = unit - F.col("p") % unit
+        part = lambda a, b: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+        parts = F.when(F.col("length") > fit, F.array(part(F.lit(0), fit), part(fit, F.col("length")))).otherwise(F.array(part(F.lit(0), F.col("length"))))
+        df = df.withColumn("part", F.explode(parts))
+        df = df.withColumn("ids", F.substring("ids", (F.col("part.a") * 4 + 1).cast("int"), ((F.col("part.b") - F.col("part.a")) * 4).cast("int")))
+        df = df.withColumn("start", F.col("start") + F.col("part.a")).withColumn("p", F.col("p") + F.col("part.a")).withColumn("length", F.col("part.b") - F.col("part.a"))
+        return df.withColumn("ids_crc32", F.crc32("ids")).drop("part")
+
+    full, left = F.coalesce(F.max(F.when(F.col("full"), F.col("slot") + 1)), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("full"), F.col("length"))), F.lit(0))
+    queues = pieces.groupBy("source", "pid").agg(full.alias("slots"), left.alias("left"))
     w = Window.partitionBy("source")
-    queues = queues.withColumn("before", F.sum("slots").over(w.orderBy("pid")) - F.col("slots")).withColumn("all", F.sum("slots").over(w)).drop("slots")
-    n_slots = pieces.filter("full AND at = 0").count()
-    buckets = max(1, n_slots // BUCKET_SLOTS)
-    timed = pieces.filter("full").drop("ids").join(small(queues), ["source", "pid"]).withColumn("v", (F.col("before") + F.col("slot") + 0.5) / F.col("all"))
+    queues = queues.withColumn("before", F.sum("slots").over(w.orderBy("pid")) - F.col("slots")).withColumn("left_before", F.sum("left").over(w.orderBy("pid")) - F.col("left"))
+    queues = queues.withColumn("own", F.sum("slots").over(w)).withColumn("all", F.col("own") + F.floor(F.sum("left").over(w) / slot)).drop("slots", "left")
+    queues = materialize(queues, "queues")
+    sources = queues.groupBy("source").agg(F.max("all").alias("all"))
+    n_slots = sources.agg(F.sum("all")).first()[0] or 0
+    target = F.col("all") / F.lit(max(1, n_slots))
+    if shares:
+        named = F.create_map(*[F.lit(x) for kv in shares.items() for x in (kv[0], float(kv[1]))])
+        target = F.coalesce(F.get(F.map_values(F.map_filter(named, lambda k, _: k == F.col("source"))), F.lit(0)), target)
+    queues, sources = queues.withColumn("target", target), sources.withColumn("target", target)
+    span = sources.filter("all > 0").agg(F.max(F.col("all") / F.col("target")).alias("v"), F.sum("target").alias("t")).first()
+    until = float(span["v"] or 1.0)
+    buckets = max(1, int(until * float(span["t"] or 1.0)) // BUCKET_SLOTS)
+    placed = pieces.join(small(queues), ["source", "pid"])
+    rests = cut_at(placed.filter("NOT full").withColumn("p", F.col("left_before") + F.col("at")), slot)
+    rests = rests.withColumn("slot", F.col("own") + F.floor(F.col("p") / slot)).withColumn("at", F.col("p") % slot).drop("p")
+    rests = materialize(rests, "rests")
+    timed = placed.filter("full").withColumn("slot", F.col("before") + F.col("slot")).unionByName(rests.filter("slot < all")).drop("ids")
+    timed = timed.withColumn("v", (F.col("slot") + 0.5) / F.col("target") / until)
     timed = timed.withColumn("bucket", F.floor(F.col("v") * buckets))
     ranked = materialize(timed.withColumn("rank", F.dense_rank().over(Window.partitionBy("bucket").orderBy("v", "source")).cast("long")), "ranked")
     per = ranked.groupBy("bucket").agg(F.max("rank").alias("n"))
@@ -138,18 +167,14 @@ def pack(df: DataFrame, path: str, text: str = "text", source: str = "source", c
     last = [F.floor(F.col("p") / window).cast("long").alias("sequence_id"), (F.col("p") % window).cast("long").alias("offset"), "source"]
     main = place.select(*rename, "start", "length", "ids_crc32", "doc_tokens", *last)
 
-    rests = pieces.filter("NOT full")
-    sizes = rests.groupBy("source", "pid").agg(F.sum("length").alias("n"))
+    rests = rests.filter("slot >= all")
+    sizes = rests.groupBy("source").agg(F.sum("length").alias("n"))
     many = max(1, rests.count() // BUCKET_SLOTS)
-    sizes = sizes.withColumn("h", F.pmod(F.xxhash64("source", "pid"), F.lit(many)))
+    sizes = sizes.withColumn("h", F.pmod(F.xxhash64("source"), F.lit(many)))
     sums = sizes.groupBy("h").agg(F.sum("n").alias("t"))
     sums = sums.withColumn("first", F.sum("t").over(Window.orderBy("h")) - F.col("t")).drop("t")  # one row a bucket
-    sizes = sizes.withColumn("run", F.sum("n").over(Window.partitionBy("h").orderBy("source", "pid")) - F.col("n")).join(small(sums), "h")
-    sizes = sizes.select("source", "pid", (F.col("first") + F.col("run") + F.lit(n_slots * slot)).alias("q"))
-    ends = rests.join(small(sizes), ["source", "pid"]).withColumn("p", F.col("q") + F.col("at"))
-    fit = window - F.col("p") % window
-    parts = F.when(F.col("length") > fit, F.array(F.struct(F.lit(0).cast("long").alias("a"), fit.cast("long").alias("b")), F.struct(fit.cast("long").alias("a"), F.col("length").alias("b")))).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("length").alias("b"))))
-    ends = ends.withColumn("part", F.explode(parts)).withColumn("bytes", F.substring("ids", (F.col("part.a") * 4 + 1).cast("int"), ((F.col("part.b") - F.col("part.a")) * 4).cast("int")))
-    ends = ends.withColumn("p", F.col("p") + F.col("part.a"))
-    tail = ends.select(*rename, (F.col("start") + F.col("part.a")).alias("start"), (F.col("part.b") - F.col("part.a")).alias("length"), F.crc32("bytes").alias("ids_crc32"), "doc_tokens", *last)
+    sizes = sizes.withColumn("run", F.sum("n").over(Window.partitionBy("h").orderBy("source")) - F.col("n")).join(small(sums), "h")
+    sizes = sizes.select("source", (F.col("first") + F.col("run") + F.lit(n_slots * slot)).alias("q"))
+    ends = cut_at(rests.join(small(sizes), "source").withColumn("p", F.col("q") + F.col("at")), window)
+    tail = ends.select(*rename, "start", "length", "ids_crc32", "doc_tokens", *last)
     return main.unionByName(tail)

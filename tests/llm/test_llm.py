@@ -166,6 +166,32 @@ def test_packing(spark, docs, tables):
     assert pack(docs.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_packing_mixture(spark):
+    """Proportions over all windows with rests in many partitions, and target shares other than the corpus'."""
+    path = queries.tokenizer_path()
+    rows = [(i, " ".join(WORDS[(i * 7 + k) % 400] for k in range(20)), f"s{i % 12}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(24)
+    ids = {i: np.append(token_ids(path, t), 1).astype("<u4") for i, t, _ in rows}
+
+    def shares_of(out):
+        check_pieces(out, ids, "doc_id")
+        by = collections.defaultdict(collections.Counter)
+        for r in out:
+            by[r["sequence_id"]][r["source"]] += r["length"]
+        return by
+
+    total = collections.Counter()
+    for i, _, s in rows:
+        total[s] += len(ids[i])
+    by, so_far = shares_of(pack(df, path).collect()), collections.Counter()
+    for w in sorted(by):
+        so_far += by[w]
+        done = sum(so_far.values()) / sum(total.values())
+        assert all(abs(so_far[s] - total[s] * done) <= 512 for s in total)
+    by = shares_of(pack(df, path, shares={"s0": 0.5}).collect())
+    assert sum(by[w]["s0"] for w in (0, 1)) >= 0.3 * 4096
+
+
 def brute_repeats(texts, length=400):
     seen = collections.Counter()
     data = [(t or "").encode() for t in texts]
