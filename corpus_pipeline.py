@@ -19,6 +19,10 @@ from outspan.llm.suffix_dedup import remove_repeats
 from outspan.session import ship
 
 
+#: Bytes of a passage that is removed where it repeats. Fifty words of prose are longer in all languages of the documents.
+PASSAGE = 200
+
+
 def _columns(docs: DataFrame, out: DataFrame) -> DataFrame:
     """``out`` with the columns of ``docs``; n_chars follows the text."""
     if "n_chars" in docs.columns:
@@ -42,9 +46,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of passages that occur elsewhere."""
+    """All documents, without the bytes of passages of PASSAGE bytes or more that occur elsewhere."""
     ship(spark)
-    return _columns(docs, remove_repeats(docs))
+    return _columns(docs, remove_repeats(docs, length=PASSAGE))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

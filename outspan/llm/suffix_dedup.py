@@ -1,21 +1,23 @@
 """Removal of long repeated byte strings, by suffix buckets and a difference cover.
 
-Which LENGTH-byte strings of a corpus start more than once? Sorting all suffixes answers it; done in blocks, one suffix bucket at a
-time is sorted, and long ties are resolved by ranks of a difference-cover sample that are computed beforehand, so memory is that of
-a block.
+Which strings of ``length`` bytes of a corpus start more than once? Sorting all suffixes answers it; done in blocks, one suffix bucket
+at a time is sorted, and long ties are resolved by ranks of a difference-cover sample that are computed beforehand, so memory is that
+of a block.
 
-Buckets follow content. Each window of LENGTH bytes has an anchor, its leftmost least gram of GRAM bytes, so equal windows have equal
-anchors at equal places and meet in one bucket; the windows around one occurrence of an anchor are its context. Contexts that are
-whole equal to another need no sorting: all their windows repeat. An anchor that occurs once has no repeated window. The rest,
+Buckets follow content. Each window of ``length`` bytes has an anchor, its leftmost least gram of half that many bytes, so equal windows
+have equal anchors at equal places and meet in one bucket; the windows around one occurrence of an anchor are its context. Contexts
+that are whole equal to another need no sorting: all their windows repeat. An anchor that occurs once has no repeated window. The rest,
 mostly edges of copied passages, is sorted: bytes first, and beyond the first COVER bytes by the ranks of sample positions, which any
-two suffixes have in common within COVER bytes. A bucket with more than BUCKET contexts is not sorted in one task; its windows are
-counted by fingerprint, with partial counts before the shuffle.
+two suffixes have in common within COVER bytes. A bucket of more than BUCKET different contexts is split first, by place and by the bytes
+that all its windows at those places share; the parts go the same way as the whole. So no task holds more than a bucket and a block.
+
+Equal contexts and texts are told by hashes: a gram's and a context's 64 bits each, and 128 bits of a text.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,12 @@ from .chosen_path import _in_groups
 from .common import materialize, part_count
 
 LENGTH = 400
-GRAM = 200
 COVER = 64
-TAIL = 80  # at least LENGTH - 5 * COVER
-BUCKET = 2000  # contexts of an anchor that are sorted together
-CHUNK = 1 << 19  # window starts of a very long text that are looked at together
-BLOCK_BYTES = 3_000_000  # of contexts, sorted at once
-BROADCAST_KEYS = 200_000  # 16-byte keys that a broadcast may hold
+BUCKET = 2000  # different contexts of an anchor that are sorted together; more are split
+WIDTHS = (16, 1)  # places of one part of a split bucket, and of a part's part
+CHUNK = 1 << 18  # window starts of a very long text that are looked at together
+BLOCK_BYTES = 400_000  # of contexts, sorted at once
+BROADCAST_KEYS = 200_000  # keys that a broadcast may hold
 
 
 def difference_cover(v: int) -> list[int]:
@@ -48,15 +49,14 @@ def difference_cover(v: int) -> list[int]:
 
 
 _COVER = np.array(difference_cover(COVER))
-#: By residue: distance to the next sample position, below COVER, and the largest one to a sample position up to 4 * COVER. The first
-#: COVER bytes, 4 * COVER bytes from the one, 2 * COVER from the other and the last TAIL bytes make up a window without a gap.
+#: By residue: distance to the next sample position, below COVER.
 _NEXT = np.array([min((c - r) % COVER for c in _COVER) for r in range(COVER)])
-_FAR = np.array([max(d for d in range(3 * COVER, 4 * COVER + 1) if (r + d) % COVER in set(_COVER.tolist())) for r in range(COVER)])
 
 _U = np.uint64
 _TABLE = np.random.default_rng(400).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = 0x9E3779B97F4A7C15
-_SIZE = CHUNK + LENGTH + 8
+_PLACE = 19  # bits for a place in a chunk
+_SIZE = (1 << _PLACE) - 1
 
 
 def _powers(base: int) -> np.ndarray:
@@ -91,20 +91,24 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def contexts(data: bytes) -> list[tuple[int, int, int, int, int]]:
-    """Of each anchor in a text: hash of its gram, hash of its context, first and last window start, place of the gram."""
-    out = []
-    x = np.frombuffer(data, np.uint8)
-    for c in range(0, max(0, len(x) - LENGTH + 1), CHUNK):
-        part = x[c : c + CHUNK + LENGTH - 1]
-        grams = rolling(part, GRAM)
-        keys = (grams & ~_U((1 << 20) - 1)) | np.arange(len(grams), dtype=np.uint64)
-        at = (_sliding_min(keys, LENGTH - GRAM + 1) & _U((1 << 20) - 1)).astype(np.int64)
+def _signed_hash(data: bytes, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(data, seed) - (1 << 63)
+
+
+def contexts(data: bytes, length: int = LENGTH) -> list[np.ndarray]:
+    """Of each anchor in a text: hash of its gram, hash of its context, first and last window start, place of the gram. Five arrays."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+    x, gram = np.frombuffer(data, np.uint8), length // 2
+    for c in range(0, max(0, len(x) - length + 1), CHUNK):
+        grams = rolling(x[c : c + CHUNK + length - 1], gram)
+        keys = (grams & ~_U(_SIZE)) | np.arange(len(grams), dtype=np.uint64)
+        at = (_sliding_min(keys, length - gram + 1) & _U(_SIZE)).astype(np.int64)
         first = np.flatnonzero(np.diff(at, prepend=-1))
         last = np.append(first[1:], len(at)) - 1
-        for lo, hi, a in zip((first + c).tolist(), (last + c).tolist(), at[first].tolist(), strict=True):
-            out.append((int(grams[a].view(np.int64)), xxhash.xxh3_64_intdigest(data[lo : hi + LENGTH]) - (1 << 63), lo, hi, a + c))
-    return out
+        whole = np.array([_signed_hash(data[lo : hi + length]) for lo, hi in zip((first + c).tolist(), (last + c).tolist(), strict=True)], np.int64)
+        for cols, new in zip(out, (grams[at[first]].view(np.int64), whole, first + c, last + c, at[first] + c), strict=True):
+            cols.append(new)
+    return [np.concatenate(cols) for cols in out]
 
 
 def text_key(data: bytes) -> bytes:
@@ -117,177 +121,243 @@ def _ranks(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     for k in keys:
         s = k[order]
         new[1:] |= s[1:] != s[:-1]
-    out = np.empty(len(order), np.int64)
+    out = np.empty(len(order), np.int32)
     out[order] = np.cumsum(new)
     return out
 
 
-def repeated_in_block(bucket: np.ndarray, parts: list[bytes], anchors: np.ndarray, copies: np.ndarray) -> list[np.ndarray]:
+def window_parts(length: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """What makes up a window of ``length`` bytes beside its first COVER ones: (distance from the next sample position, size) of sample
+    ranks, sizes being COVER times a power of two, and places of its last 8-byte words. There is no gap, and nothing lies beyond the window."""
+    if length < 2 * COVER:
+        raise ValueError(f"length is {2 * COVER} bytes at least")
+    blocks, ranks, at = (length - COVER + 1) // COVER, [], 0
+    for k in range(blocks.bit_length() - 1, -1, -1):
+        if blocks >> k & 1:
+            ranks.append((at, COVER << k))
+            at += COVER << k
+    return ranks, list(range(length - 8, at - 8, -8))[::-1]
+
+
+def repeated_in_block(bucket: np.ndarray, parts: list[bytes], anchors: np.ndarray, copies: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """Sorts the windows of contexts by bucket and content; of each context says which windows occur again in the block.
 
     ``anchors`` is the place of the gram in each context. Contexts lie in one buffer with their grams at multiples of COVER, so that
-    windows that may be equal have equal residues and share their sample positions."""
+    windows that may be equal have equal residues and share their sample positions. Windows are told apart a key at a time, and those
+    that have no equal left are done with."""
+    ranks, tail = window_parts(length)
     starts, end = [], COVER
     for p, a in zip(parts, anchors.tolist(), strict=True):
         end += -(end + a) % COVER
         starts.append(end)
         end += len(p)
-    buffer = np.zeros(end + 9 * COVER, np.uint8)
+    top = max((size for _, size in ranks), default=COVER)
+    buffer = np.zeros(end + top + 3 * COVER, np.uint8)
     for s, p in zip(starts, parts, strict=True):
         buffer[s : s + len(p)] = np.frombuffer(p, np.uint8)
-    n = len(buffer) - 8
-    word = np.zeros(n, np.uint64)  # of 8 bytes, in the order of bytes
-    for i in range(8):
-        word = (word << _U(8)) | buffer[i : i + n]
-    # Ranks of the sample's first 64, 128 and 256 bytes; a position of the sample plus COVER is one too.
-    sample = np.flatnonzero(np.isin(np.arange(n - COVER) % COVER, _COVER))
-    keys = [word[sample + 8 * i] for i in range(COVER // 8)]
-    rank = np.zeros(n + 4 * COVER, np.int64)
-    rank[sample] = _ranks(np.lexsort(keys[::-1]), *keys)
-    by = {COVER: rank}
-    for size in (COVER, 2 * COVER):
+
+    def word(at: np.ndarray) -> np.ndarray:  # of 8 bytes, in the order of bytes
+        out = np.zeros(len(at), np.uint64)
+        for i in range(8):
+            out = (out << _U(8)) | buffer[at + i]
+        return out
+
+    # Ranks of the sample's first 64, 128, ... bytes; a position of the sample plus COVER is one too.
+    sample = np.flatnonzero(np.isin(np.arange(end + COVER) % COVER, _COVER))
+    keys = [word(sample + 8 * i) for i in range(COVER // 8)]
+    by, size = {COVER: np.zeros(end + top + 2 * COVER, np.int32)}, COVER
+    by[COVER][sample] = _ranks(np.lexsort(keys[::-1]), *keys)
+    del keys
+    while size < top:
         one, two = by[size][sample], by[size][sample + size]
-        rank = np.zeros(n + 4 * COVER, np.int64)
-        rank[sample] = _ranks(np.lexsort((two, one)), one, two)
-        by[2 * size] = rank
-    sizes = np.array([len(p) - LENGTH + 1 for p in parts])
+        by[2 * size] = np.zeros(len(by[size]), np.int32)
+        by[2 * size][sample] = _ranks(np.lexsort((two, one)), one, two)
+        size *= 2
+    sizes = np.array([len(p) - length + 1 for p in parts])
     which = np.repeat(np.arange(len(parts)), sizes)
     offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     p = np.array(starts)[which] + offset
-    r = p % COVER
-    keys = [bucket[which], anchors[which] - offset]
-    keys += [word[p + 8 * i] for i in range(COVER // 8)]
-    keys += [by[4 * COVER][p + _NEXT[r]], by[2 * COVER][p + _FAR[r]]]
-    keys += [word[p + LENGTH - TAIL + 8 * i] for i in range(TAIL // 8)]
-    order = np.lexsort(keys[::-1])
-    same = _ranks(order, *keys)
-    often = np.bincount(same, copies[which])[same] > 1
+    often = copies[which] > 1
+    _, dense = np.unique(bucket, return_inverse=True)
+    group, left = dense[which] * (1 << 24) + (anchors[which] - offset), np.arange(len(p))
+    keys = [lambda q, i=i: word(q + 8 * i) for i in range(COVER // 8)]
+    keys += [lambda q, d=d, s=s: by[s][q + _NEXT[q % COVER] + d] for d, s in ranks]
+    keys += [lambda q, t=t: word(q + t) for t in tail]
+    for key in keys:
+        k = key(p[left])
+        order = np.lexsort((k, group))
+        group = _ranks(order, group, k)
+        more = np.bincount(group)[group] > 1
+        group, left = group[more], left[more]
+    often[left] = True
     return np.split(often, np.cumsum(sizes)[:-1])
 
 
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
+def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-    return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
+    return edge[::2], edge[1::2] - 1
+
+
+_PLACES = ("gram", "context", "n", "key", "lo", "hi", "anchor", "bytes")
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+_PLACE_SCHEMA = "gram long, context long, n long, key binary, lo long, hi long, anchor long, bytes binary"
+
+
+def _batch(cols: list, names: tuple[str, ...] = _PLACES, kinds: tuple = _KINDS) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=list(names))
+
+
+def _describe(length: int) -> Callable:
+    """Places of texts t: an anchor's gram and context, one occurrence a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [n for n in _PLACES if n not in ("n", "bytes")]
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                found, keys = [[np.zeros(0, np.int64)] * 5], []
+                for t in b.column("t").slice(at, 200):
+                    data = (t.as_py() or "").encode()
+                    if len(data) >= length:
+                        found.append(contexts(data, length))
+                        keys += [text_key(data)] * len(found[-1][0])
+                gram, context, lo, hi, anchor = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(context), pa.array(keys, pa.binary()), pa.array(lo), pa.array(hi), pa.array(anchor - lo)], names=names)
+
+    return run
 
 
-def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sorted_buckets(length: int) -> Callable:
     """Window ranges (text key, first, last) that repeat, of contexts that occur once; input is sorted by gram."""
-    names = ["key", "lo", "hi"]
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        gram, part, anchor, n, key, lo = zip(*rows, strict=True)
-        flags = repeated_in_block(np.array(gram, np.int64), list(part), np.array(anchor, np.int64), np.array(n, np.float64))
-        out = [(k, a + i, a + j) for f, k, a, c in zip(flags, key, lo, n, strict=True) if c == 1 for i, j in _runs(f)]
-        cols = list(zip(*out, strict=True)) if out else [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=names)
-
-    for t in _in_groups(batches, ["gram"]):
-        rows, size, last = [], 0, None
-        for row in zip(*(t.column(c).to_pylist() for c in ("gram", "bytes", "anchor", "n", "key", "lo")), strict=True):
-            if size > BLOCK_BYTES and row[0] != last:
-                yield solve(rows)
-                rows, size = [], 0
-            rows.append(row)
-            size, last = size + len(row[1]), row[0]
-        if rows:
-            yield solve(rows)
-
-
-def _counted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, place, window hash, key, start, n) of the windows of contexts in very large buckets."""
-    names = ["gram", "place", "window", "key", "start", "n"]
-    for b in batches:
-        for gram, part, anchor, n, key, lo in zip(*(b.column(c).to_pylist() for c in ("gram", "bytes", "anchor", "n", "key", "lo")), strict=True):
-            h = rolling(np.frombuffer(part, np.uint8), LENGTH).view(np.int64)
-            m = len(h)
-            at = np.arange(m, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, gram)), pa.array(anchor - at), pa.array(h), pa.array([key] * m, pa.binary()), pa.array(at + lo), pa.array(np.full(m, n))], names=names)
-
-
-def _few(keys: DataFrame) -> DataFrame:
-    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
-
-
-def removed_runs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (key, runs, copies) of texts with bytes to remove: the text's key, the maximal runs (start, end) in bytes, end exclusive, and the number of rows with that text. A text that two rows have is one run if it has LENGTH bytes."""
-    base = docs.select(docs[text].cast("string").alias("t"))
-    schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("context", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("anchor", T.LongType())])
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 3]
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        copies, parts, lo = t.column("n").to_numpy(), t.column("bytes").to_pylist(), t.column("lo").to_numpy()
+        flags = repeated_in_block(t.column("gram").to_numpy(), parts, t.column("anchor").to_numpy(), copies, length)
+        row, first, last = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for r in np.flatnonzero(copies == 1).tolist():
+            a, z = _runs(flags[r])
+            row.append(np.full(len(a), r))
+            first.append(a + lo[r])
+            last.append(z + lo[r])
+        keys = t.column("key").combine_chunks().take(pa.array(np.concatenate(row)))
+        keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+        return pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(first)), pa.array(np.concatenate(last))], names=["key", "lo", "hi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500))
+        held: list[pa.Table] = []
+        for t in _in_groups(small, ["gram"]):  # whole buckets
+            held.append(t)
+            if sum(x.nbytes for x in held) > BLOCK_BYTES:
+                yield solve(pa.concat_tables(held))
+                held = []
+        if held:
+            yield solve(pa.concat_tables(held))
+
+    return run
+
+
+def _split(length: int, width: int) -> Callable:
+    """Parts of contexts of large buckets: the windows at ``width`` neighbouring places. A part's bucket is the hash of the bytes that any
+    window at these places covers, so equal windows stay together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):
+            for at in range(0, b.num_rows, 200):
+                s = b.slice(at, 200)
                 rows = []
-                for t in b.column("t").slice(at, 500):
-                    data = (t.as_py() or "").encode()
-                    if len(data) >= LENGTH:
-                        key = text_key(data)
-                        rows += [(g, c, key, lo, hi, a - lo) for g, c, lo, hi, a in contexts(data)]
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=schema.fieldNames())
-
-    places = materialize(base.mapInArrow(describe, schema), "contexts")
-    kinds = places.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi", "anchor")).alias("at"))
-    kinds = materialize(kinds, "kinds")
-    grams = kinds.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
-    open_ = materialize(kinds.join(grams, "gram").select("gram", "context", "n", "kinds", "at.*"), "repeated")
-
-    # Bytes of one occurrence of each kind of context whose anchor has several.
-    wanted = open_.filter("kinds > 1").groupBy("key").agg(F.collect_list(F.struct("gram", "n", "kinds", "lo", "hi", "anchor")).alias("want"))
-    wanted = materialize(wanted, "wanted")
+                for gram, n, key, lo, anchor, data in zip(*(s.column(c).to_pylist() for c in ("gram", "n", "key", "lo", "anchor", "bytes")), strict=True):
+                    last = len(data) - length  # places run from anchor down to anchor - last
+                    for block in range((anchor - last) // width, anchor // width + 1):
+                        a, z = max(0, anchor - (block + 1) * width + 1), min(last, anchor - block * width)
+                        core = data[anchor - block * width : anchor - (block + 1) * width + 1 + length]
+                        part = data[a : z + length]
+                        where = (gram ^ block * _BASE) & ((1 << 64) - 1)
+                        rows.append((_signed_hash(core, where), _signed_hash(part, where ^ 1), n, key, lo + a, lo + z, anchor - a, part))
+                yield _batch(list(zip(*rows, strict=True)) if rows else [()] * len(_PLACES))
+
+    return run
+
+
+def _whole(places: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
+    """Ranges of the places whose (gram, context) is in ``repeated`` (gram, context, n). Kinds with more than total / BROADCAST_KEYS
+    places number fewer than BROADCAST_KEYS and are broadcast, so a frequent one isn't gathered in a task."""
+    hot = F.col("n") * BROADCAST_KEYS > F.lit(max(total, BROADCAST_KEYS * 100))
+    rows = places.select("gram", "context", "key", "lo", "hi")
+    found = [rows.join(mark(repeated.filter(which).select("gram", "context")), ["gram", "context"]).select("key", "lo", "hi") for which, mark in ((hot, F.broadcast), (~hot, lambda x: x))]
+    return found[0].union(found[1])
+
+
+def removed_runs(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+    """Rows (key, runs) of texts with bytes to remove: the text's key and the maximal runs (start, end) in bytes, end exclusive. A text that two rows have is one run if it has ``length`` bytes."""
+    base = docs.select(docs[text].cast("string").alias("t"))
+    places = materialize(base.mapInArrow(_describe(length), "gram long, context long, key binary, lo long, hi long, anchor long"), "contexts")
+    places = places.withColumn("n", F.lit(1).cast("long"))
+    first, ranges = ["key", "lo", "hi", "anchor"], []
+    for depth, width in enumerate((*WIDTHS, None)):
+        kinds = places.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min(F.struct(*first)).alias("at"))
+        kinds = materialize(kinds, "kinds")
+        grams = kinds.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
+        open_ = materialize(kinds.join(grams, "gram").select("gram", "context", "n", "kinds", "at.*"), "repeated")
+        total = kinds.agg(F.sum("n")).first()[0] or 0
+        ranges.append(_whole(places, open_.filter("n > 1"), total))
+        cuts = open_.filter("kinds > 1")
+        if depth == 0:
+            cuts = materialize(_cut(base, cuts, length), "cuts")
+        few = cuts if width is None else cuts.filter(F.col("kinds") <= BUCKET)
+        few = few.select("gram", "bytes", "anchor", "n", "key", "lo").repartition(part_count(docs), "gram").sortWithinPartitions("gram")
+        ranges.append(few.mapInArrow(_sorted_buckets(length), "key binary, lo long, hi long"))
+        many = cuts.filter(F.col("kinds") > BUCKET)
+        if width is None or many.limit(1).count() == 0:
+            break
+        many = many.select("gram", "n", "key", "lo", "anchor", "bytes")
+        places, first = materialize(many.mapInArrow(_split(length, width), _PLACE_SCHEMA), "parts"), ["key", "lo", "hi", "anchor", "bytes"]
+    found = ranges[0]
+    for more in ranges[1:]:
+        found = found.union(more)
+    # Maximal runs: a new one starts where a range begins beyond the end of all ranges before it.
+    by = Window.partitionBy("key").orderBy("lo", "hi")
+    far = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    island = found.distinct().withColumn("new", F.coalesce(F.col("lo") > far + length, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(by))
+    run = island.groupBy("key", "island").agg(F.min("lo").alias("start"), (F.max("hi") + length).alias("end"))
+    return materialize(run.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs")), "runs")
+
+
+def _cut(base: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """``wanted`` with the bytes of each context; texts are cut where they lie unless their keys are too many for a broadcast."""
+    wanted = materialize(wanted.groupBy("key").agg(F.collect_list(F.struct("gram", "n", "kinds", "lo", "hi", "anchor")).alias("want")), "wanted")
 
     def add_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = b.column("t").cast(pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([text_key(x.as_py() or b"") for x in t], pa.binary()), t], names=["key", "t"])
 
-    texts = base.mapInArrow(add_key, "key binary, t binary")
-    part = texts.join(_few(wanted.select("key")), "key", "left_semi")
+    few = wanted.select("key")
+    few = F.broadcast(few) if few.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else few
+    part = base.mapInArrow(add_key, "key binary, t binary").join(few, "key", "left_semi")
     part = part.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("key"))).filter("rn = 1").drop("rn")  # one row a text, limited before the shuffle too
-    cut_schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("bytes", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("anchor", "n", "kinds")), T.StructField("key", T.BinaryType()), T.StructField("lo", T.LongType())])
+    names, kinds = ("gram", "bytes", "anchor", "n", "kinds", "key", "lo", "hi"), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 3, pa.binary(), pa.int64()]
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                s = b.slice(at, 200)
-                rows = [(w["gram"], t[w["lo"] : w["hi"] + LENGTH], w["anchor"], w["n"], w["kinds"], k, w["lo"]) for k, t, want in zip(*(s.column(c).to_pylist() for c in ("key", "t", "want")), strict=True) for w in want]
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=cut_schema.fieldNames())
-
-    cuts = materialize(part.join(wanted, "key").select("key", "t", "want").mapInArrow(cut, cut_schema), "cuts")
-    few = cuts.filter(F.col("kinds") <= BUCKET).select("gram", "bytes", "anchor", "n", "key", "lo")
-    ranges = few.repartition(part_count(docs), "gram").sortWithinPartitions("gram").mapInArrow(_sorted_buckets, "key binary, lo long, hi long")
-    many = cuts.filter(F.col("kinds") > BUCKET)
-    if many.limit(1).count():
-        windows = many.mapInArrow(_counted_windows, "gram long, place long, window long, key binary, start long, n long")
-        hits = windows.groupBy("gram", "place", "window").agg(F.sum("n").alias("total")).filter("total > 1")
-        found = windows.filter("n = 1").join(hits, ["gram", "place", "window"])
-        ranges = ranges.union(found.select("key", F.col("start").alias("lo"), F.col("start").alias("hi")))
-    whole = places.join(open_.filter("n > 1").select("gram", "context"), ["gram", "context"]).select("key", "lo", "hi")
-    runs = ranges.union(whole).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    ordered = F.sort_array("ranges")
-    empty = F.expr("CAST(array() AS array<struct<start: bigint, end: bigint>>)")
-
-    def merge(acc, x):
-        last = F.element_at(acc, -1)
-        a, b = x["lo"], x["hi"] + LENGTH
-        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], b).alias("end"))))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= a), longer).otherwise(F.concat(acc, F.array(F.struct(a.alias("start"), b.alias("end")))))
-
-    return materialize(runs.select("key", F.aggregate(ordered, empty, lambda acc, x: F.when(F.size(acc) == 0, F.array(F.struct(x["lo"].alias("start"), (x["hi"] + LENGTH).alias("end")))).otherwise(merge(acc, x))).alias("runs")), "runs")
-
-
-def remove_repeats(docs: DataFrame, text: str = "text", *, digest: bool = False) -> DataFrame:
-    """``docs`` with ``removed``, an array of maximal removed runs (start, end) in bytes, and the text without them.
+            for at in range(0, b.num_rows, 100):
+                s = b.slice(at, 100)
+                rows = [(w["gram"], t[w["lo"] : w["hi"] + length], w["anchor"], w["n"], w["kinds"], k, w["lo"], w["hi"]) for k, t, want in zip(*(s.column(c).to_pylist() for c in ("key", "t", "want")), strict=True) for w in want]
+                yield _batch(list(zip(*rows, strict=True)) if rows else [()] * len(names), names, kinds)
+
+    return part.join(wanted, "key").select("key", "t", "want").mapInArrow(cut, "gram long, bytes binary, anchor long, n long, kinds long, key binary, lo long, hi long")
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", *, length: int = LENGTH, digest: bool = False) -> DataFrame:
+    """``docs`` with ``removed``, an array of maximal removed runs (start, end) in bytes, and the text without them: each byte that a
+    string of ``length`` bytes covers which starts anywhere else too.
 
     The text column holds the remaining bytes; where a run cuts a character, what is left of it is dropped from the text. With ``digest``
     there are n_bytes, n_removed, n_spans and kept_sha256 (of the exact remaining bytes) instead. A null text counts as empty; texts
-    under LENGTH bytes keep all. Rows with equal texts are removed whole from LENGTH bytes on. Other columns stay, columns of those
+    under ``length`` bytes keep all. Rows with equal texts are removed whole from ``length`` bytes on. Other columns stay, columns of those
     names are replaced."""
     extra = ("n_bytes", "n_removed", "n_spans", "kept_sha256") if digest else ("removed",)
     docs = docs.drop(*extra, "__key", "__runs")
-    runs = removed_runs(docs, text).select(F.col("key").alias("__found"), F.col("runs").alias("__runs"))
+    runs = removed_runs(docs, text, length).select(F.col("key").alias("__found"), F.col("runs").alias("__runs"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     rest = [f for f in docs.schema.fields if f.name != text]
     keyed_schema = T.StructType([*docs.schema.fields, T.StructField("__key", T.BinaryType())])

@@ -13,7 +13,7 @@ from conftest import SF, same_rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from outspan.llm import bpe, chosen_path, queries
+from outspan.llm import bpe, chosen_path, queries, suffix_dedup
 from outspan.llm.chosen_path import expected_miss, gram_set, jaccard_classes
 from outspan.llm.components import connected_components
 from outspan.llm.multi_index import nearest, search_block, sign_codes
@@ -22,7 +22,7 @@ from outspan.llm.pii import _automaton, find_pii, find_spans, luhn
 from outspan.llm.quality_classifier import pool_adjacent_violators, quality_scores
 from outspan.llm.quality_rules import quality_rules
 from outspan.llm.site_style_tree import extract_main_text, main_text
-from outspan.llm.suffix_dedup import difference_cover, remove_repeats, repeated_in_block
+from outspan.llm.suffix_dedup import difference_cover, remove_repeats, repeated_in_block, window_parts
 from outspan.llm.toxicity import toxicity_scores
 
 random.seed(5)
@@ -218,11 +218,37 @@ def test_suffix_dedup(spark, docs, tables):
     small = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(small, digest=True).collect()}
     assert got == dict(zip([r[0] for r in rows], brute_repeats([r[1] for r in rows]), strict=True))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(small, length=200, digest=True).collect()}
+    assert got == dict(zip([r[0] for r in rows], brute_repeats([r[1] for r in rows], 200), strict=True))
     out = remove_repeats(docs)
     assert out.count() == len(ROWS) and out.filter("size(removed) > 0").count() == 2 and out.filter("doc_id = 2").first()["text"] is None
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length,bucket", [(400, 5), (200, 5), (200, 0), (129, 2000)])
+def test_suffix_dedup_splits_large_buckets(spark, monkeypatch, length, bucket):
+    """A passage in 60 texts, with few kinds of surroundings at some places and their own at others: buckets over the limit are split twice."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+    rng = random.Random(length)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(900))
+    rows = [(i, "".join(rng.choice("ABCD") for _ in range(i % 7)) + "".join(rng.choice("xy") for _ in range(i % 3)) + passage[(i % 5) * 40 : 900 - (i % 4) * 90] + "".join(rng.choice("pq") for _ in range(2 + i % 30))) for i in range(60)]
+    rows += [(60, passage[:length]), (61, passage[300 : 299 + length] + "!"), (62, None), (63, rows[7][1]), (64, "é" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(df, length=length, digest=True).collect()}
+    assert got == dict(zip([r[0] for r in rows], brute_repeats([r[1] for r in rows], length), strict=True))
+
+
+def test_window_parts():
+    for length in range(128, 700):
+        ranks, tail = window_parts(length)
+        for residue in range(64):
+            near = int(suffix_dedup._NEXT[residue])
+            spans = [(0, 64), *((near + d, near + d + s) for d, s in ranks), *((t, t + 8) for t in tail)]
+            assert set().union(*(range(*x) for x in spans)) == set(range(length))
+    with pytest.raises(ValueError):
+        window_parts(127)
+
+
 def test_difference_cover_and_block():
     for v in (16, 64):
         d = difference_cover(v)
