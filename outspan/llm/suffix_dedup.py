@@ -280,11 +280,11 @@ def _split(length: int, width: int) -> Callable:
 
 def _whole(places: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
     """Ranges of the places whose (gram, context) is in ``repeated`` (gram, context, n). Kinds with more than total / BROADCAST_KEYS
-    places number fewer than BROADCAST_KEYS and are broadcast, so a frequent one isn't gathered in a task."""
-    hot = F.col("n") * BROADCAST_KEYS > F.lit(max(total, BROADCAST_KEYS * 100))
-    rows = places.select("gram", "context", "key", "lo", "hi")
-    found = [rows.join(mark(repeated.filter(which).select("gram", "context")), ["gram", "context"]).select("key", "lo", "hi") for which, mark in ((hot, F.broadcast), (~hot, lambda x: x))]
-    return found[0].union(found[1])
+    places number fewer than BROADCAST_KEYS and are broadcast; their places don't move, so a frequent kind isn't gathered in a task."""
+    by, hot = ["gram", "context"], F.col("n") * BROADCAST_KEYS > F.lit(max(total, BROADCAST_KEYS * 100))
+    rows, frequent = places.select(*by, "key", "lo", "hi"), F.broadcast(repeated.filter(hot).select(*by))
+    rare = rows.join(frequent, by, "left_anti").join(repeated.filter(~hot).select(*by), by)
+    return rows.join(frequent, by).select("key", "lo", "hi").union(rare.select("key", "lo", "hi"))
 
 
 def removed_runs(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
