@@ -1,31 +1,35 @@
 """Quality rules: word statistics of a text, and robust multivariate outliers among them.
 
-All of it is DataFrame functions and SQL. ``text_statistics`` adds the counts to each row; ``mcd_verdicts`` estimates centre and
-scatter of transformed statistics for each language and source by the minimum covariance determinant, and rejects rows whose
-Mahalanobis distance is too large.
-
-The estimate starts from medians and median deviations (read from histograms) and takes concentration steps: the share
-``SUPPORT`` of rows with the least distances gives the next centre and scatter. Each step sums moments by group and distance bin,
-so it is one scan with partial sums; no row is moved to its group. Bins are a sixteenth of a natural logarithm wide, and a step
-keeps whole bins, so ties and repeated rows stay together.
+All of it is DataFrame functions. ``text_statistics`` adds the counts to each row; ``quality_rules`` estimates centre and scatter of
+transformed statistics for each language and source by the minimum covariance determinant, and rejects rows whose Mahalanobis distance
+is too large.
+
+An estimate has two starts, medians with median deviations (read from histograms) and the plain mean and covariance. Concentration
+steps follow from each: the share SUPPORT of rows with the least distances gives the next centre and scatter, until the same rows are
+kept again, or MAX_STEPS; the start that ends with the smaller determinant is taken. Each step sums moments by group and distance bin, so
+it is one scan of narrow rows with partial sums; no row is moved to its group. Bins are a sixteenth of a natural logarithm wide, and a
+step keeps whole bins, so ties and repeated rows stay together.
+
+Languages as a whole are estimated likewise. A group of n rows counts with n / (n + PRIOR_ROWS), its language with the rest, at any
+size: few rows don't fix five centres and fifteen covariances.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, let, materialize, text_of
 
 SUPPORT = 0.75  # share of rows that a concentration step keeps
-STEPS = 4
-MIN_GROUP = 500  # smaller groups of language and source are estimated together, by language
-CUTOFF = 30.86  # on the squared distance, scaled so that its median is that of chi-squared: the 0.99999 quantile
-MEDIAN = 4.351  # of chi-squared with five degrees of freedom
-#: Least deviation of each transformed statistic: the scatter of shares that are mostly zero stays regular.
-FLOOR = (0.06, 0.03, 0.03, 0.2, 0.2)
+MAX_STEPS = 10
+CONSISTENCY = 1.412  # of the scatter of the nearest three quarters, for normal data in five dimensions: 0.75 / F7(F5^-1(0.75))
+PRIOR_ROWS = 50  # ten rows a statistic
+CUTOFF = 30.86  # on the squared distance: the 0.99999 quantile of chi-squared with five degrees of freedom
+MEDIAN = 4.351  # of it
+#: Least deviation of each transformed statistic, so that a scatter of shares that are mostly zero stays regular. That of the repeated
+#: shares lets about 0.28, after smoothing, pass where nothing repeats elsewhere.
+FLOOR = (0.06, 0.03, 0.03, 0.095, 0.095)
 P = 5
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -35,8 +39,7 @@ WORD = r"[^\x20\x09-\x0D]"
 def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the counts of punctuation, capitals and lines.
 
-    A null or empty text has no word and all counts 0. Texts of any length are read whole. A row number, __row, comes along: a
-    condition above that names it isn't moved below the counts, where Spark would count again for each mention."""
+    A null or empty text has no word and all counts 0. Texts of any length are read whole."""
     t = text_of(df, text)
     words = F.array_remove(F.split(t, WORD_GAP, -1), "")
     n = F.size("__w")
@@ -64,152 +67,140 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count("__t", F.lit(r"[!-/:-@\[-`{-~]")).cast("long").alias("n_punct"),
         F.regexp_count("__t", F.lit(r"[A-Z]")).cast("long").alias("n_upper"),
         F.size(F.split("__t", "\n", -1)).cast("long").alias("n_lines"),
-        F.monotonically_increasing_id().alias("__row"),
     )
 
 
 BASE_FAILED = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
 
-#: Transformed statistics: of word length, and of the shares of punctuation, capitals, repeated words and repeated lines.
+#: Transformed statistics: of word length, and of the shares of punctuation, capitals, repeated words and repeated lines. The repeated
+#: ones are smoothed by 50 words and 5 lines: two repeated words of a short text say little.
 VECTOR = (
     "ln(1e0 + word_chars / (n_words * 1e0))",
     "sqrt(n_punct / (word_chars * 1e0))",
     "sqrt(n_upper / (word_chars * 1e0))",
-    "sqrt(n_repeat_words / (n_words * 1e0))",
-    "sqrt(n_dup_lines / (n_lines * 1e0))",
+    "sqrt(n_repeat_words / (n_words + 50e0))",
+    "sqrt(n_dup_lines / (n_lines + 5e0))",
 )
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_punct", "n_upper", "n_lines")
+ONES = range(1, P + 1)
+PAIRS = [(i, j) for i in ONES for j in range(1, i + 1)]
 
 
-def _pairs() -> list[tuple[int, int]]:
-    return [(i, j) for i in range(1, P + 1) for j in range(1, i + 1)]
+def _small(groups: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(groups) if few else groups
 
 
-def _cholesky(source: str) -> str:
-    """Lower factor of the scatter, with the floors on its diagonal, as SQL over columns cij."""
+def _precision(state: DataFrame) -> DataFrame:
+    """Adds the factor wij with distance |w (x - m)|^2, the inverse of the Cholesky factor of scatter and floors, and its determinant, det."""
     cols = []
-    for i, j in _pairs():
+    for i, j in PAIRS:
         less = "".join(f" - l{i}{k} * l{j}{k}" for k in range(1, j))
-        if i == j:
-            cols.append(f"sqrt(c{i}{i} + {FLOOR[i - 1] ** 2!r}{less}) AS l{i}{i}")
-        else:
-            cols.append(f"(c{i}{j}{less}) / l{j}{j} AS l{i}{j}")
-    return f"SELECT g, {', '.join(f'm{i}' for i in range(1, P + 1))}, {', '.join(cols)} FROM {source}"
-
-
-def _distances(vectors: str, params: str, hint: str, keep: str = "") -> str:
-    ys = []
-    for i in range(1, P + 1):
-        less = "".join(f" - l{i}{k} * y{k}" for k in range(1, i))
-        ys.append(f"(x{i} - m{i}{less}) / l{i}{i} AS y{i}")
-    xs = ", ".join(f"x{i}" for i in range(1, P + 1))
-    return f"SELECT {hint} v.g AS g, {xs}{keep}, {', '.join(ys)}, {' + '.join(f'y{i} * y{i}' for i in range(1, P + 1))} AS d2 FROM {vectors} v JOIN {params} p ON v.g = p.g"
-
-
-BIN = "CAST(floor(16e0 * ln(d2 + 1e-6)) AS BIGINT)"
-
-
-def mcd_sql(vectors: str, unpivot, hint: str = "") -> tuple[list[tuple[str, str]], str]:
-    """Common table expressions that end in the relation ``estimate``, one row a group: centre, factor and scale. ``unpivot``
-    gives SQL for rows (g, c, x) of a relation with columns g, x1..x5."""
-    ones = range(1, P + 1)
-    ctes: list[tuple[str, str]] = []
-
-    def median(name: str, rows: str) -> None:
-        ctes.append((f"{name}_h", f"SELECT g, c, CAST(floor(x * 256e0) AS BIGINT) AS b, count(*) AS n FROM ({rows}) u GROUP BY g, c, CAST(floor(x * 256e0) AS BIGINT)"))
-        ctes.append((f"{name}_c", f"SELECT g, c, b, n, sum(n) OVER (PARTITION BY g, c ORDER BY b) AS cn, sum(n) OVER (PARTITION BY g, c) AS tot FROM {name}_h"))
-        ctes.append((name, f"SELECT g, {', '.join(f'max(CASE WHEN c = {i} THEN (b + 5e-1) / 256e0 END) AS x{i}' for i in ones)} FROM {name}_c WHERE 2 * cn >= tot AND 2 * (cn - n) < tot GROUP BY g"))
-
-    median("med", unpivot(vectors))
-    ctes.append(("dev", f"SELECT {hint} v.g AS g, {', '.join(f'abs(v.x{i} - p.x{i}) AS x{i}' for i in ones)} FROM {vectors} v JOIN med p ON v.g = p.g"))
-    median("mad", unpivot("dev"))
-    diag = [f"{f'14826e-4 * 14826e-4 * d.x{i} * d.x{i}' if i == j else '0e0'} AS c{i}{j}" for i, j in _pairs()]
-    ctes.append(("s0", f"SELECT m.g AS g, {', '.join(f'm.x{i} AS m{i}' for i in ones)}, {', '.join(diag)} FROM med m JOIN mad d ON m.g = d.g"))
-    for k in range(STEPS):
-        ctes.append((f"p{k}", _cholesky(f"s{k}")))
-        ctes.append((f"d{k}", _distances(vectors, f"p{k}", hint)))
-        sums = [f"sum(x{i}) AS t{i}" for i in ones] + [f"sum(x{i} * x{j}) AS t{i}{j}" for i, j in _pairs()]
-        names = [f"t{i}" for i in ones] + [f"t{i}{j}" for i, j in _pairs()]
-        ctes.append((f"b{k}", f"SELECT g, {BIN} AS b, count(*) AS n, {', '.join(sums)} FROM d{k} GROUP BY g, {BIN}"))
-        over = ", ".join(f"sum({x}) OVER (PARTITION BY g ORDER BY b) AS {x}" for x in names)
-        ctes.append((f"a{k}", f"SELECT g, n, sum(n) OVER (PARTITION BY g ORDER BY b) AS cn, sum(n) OVER (PARTITION BY g) AS tot, {over} FROM b{k}"))
-        cov = [f"t{i}{j} / cn - (t{i} / cn) * (t{j} / cn) AS c{i}{j}" for i, j in _pairs()]
-        ctes.append((f"s{k + 1}", f"SELECT g, {', '.join(f't{i} / cn AS m{i}' for i in ones)}, {', '.join(cov)} FROM a{k} WHERE cn >= {SUPPORT} * tot AND cn - n < {SUPPORT} * tot"))
-    ctes.append(("pf", _cholesky(f"s{STEPS}")))
-    ctes.append(("df", _distances(vectors, "pf", hint)))
-    ctes.append(("bf", f"SELECT g, {BIN} AS b, count(*) AS n FROM df GROUP BY g, {BIN}"))
-    ctes.append(("af", "SELECT g, b, n, sum(n) OVER (PARTITION BY g ORDER BY b) AS cn, sum(n) OVER (PARTITION BY g) AS tot FROM bf"))
-    ctes.append(("scale", f"SELECT g, exp((b + 1) / 16e0) / {MEDIAN}e0 AS scale FROM af WHERE 2 * cn >= tot AND 2 * (cn - n) < tot"))
-    params = ", ".join([f"m{i}" for i in ones] + [f"l{i}{j}" for i, j in _pairs()])
-    ctes.append(("estimate", f"SELECT p.g AS g, {params}, CASE WHEN scale > 1e0 THEN scale ELSE 1e0 END AS scale FROM pf p JOIN scale s ON p.g = s.g"))
-    return ctes, params
-
-
-def groups_sql(stats: str) -> list[tuple[str, str]]:
-    """Relations ``sizes`` and ``vectors``: each group of language and source with MIN_GROUP rows stands alone; the others of a language are one."""
-    lang, source = "coalesce(lang, '')", "coalesce(source, '')"
-    xs = ", ".join(f"{x} AS x{i}" for i, x in enumerate(VECTOR, 1))
-    return [
-        ("sizes", f"SELECT {lang} AS lang_, {source} AS source_, count(*) AS n FROM {stats} WHERE NOT {BASE_FAILED} GROUP BY {lang}, {source}"),
-        ("grouped", f"SELECT lang_, source_, CASE WHEN n >= {MIN_GROUP} THEN lang_ || chr(1) || source_ ELSE lang_ END AS g FROM sizes"),
-        ("vectors", "SELECT {hint} s.*, g, " + xs + f" FROM {stats} s JOIN grouped ON lang_ = {lang} AND source_ = {source} WHERE NOT {BASE_FAILED}"),
-    ]
-
-
-def _with(ctes: list[tuple[str, str]], last: str) -> str:
-    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in ctes) + "\n" + last
-
-
-def quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the statistics, base_failed, distance and kept.
-
-    A row that fails the base rules is not kept and has no distance; any other is kept unless its scaled squared distance is above
-    CUTOFF. Null languages and sources count as empty ones. Rows are never compared by key: repeated rows, null ids and ties all
-    get their own verdict. Columns of the same names in ``df`` are replaced, others stay. Empty tables give empty results."""
-    spark = df.sparkSession
-    stats = text_statistics(df, text)
-    stats = stats.withColumn("base_failed", F.expr(BASE_FAILED))
-    return verdicts(stats)
-
-
-def verdicts(stats: DataFrame) -> DataFrame:
-    spark = stats.sparkSession
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_punct", "n_upper", "n_lines"]
-    lean = materialize(stats.select(*[F.col(c) if c in stats.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")], *counts), "stats")
-    tag = f"mcd_{uuid.uuid4().hex}_"
-    lean.createOrReplaceTempView(f"{tag}stats")
-    head = groups_sql(f"{tag}stats")
-    sizes = spark.sql(_with(head[:1], "SELECT count(*) AS n FROM sizes")).first()["n"]
-    hint = "/*+ BROADCAST(p), BROADCAST(grouped) */" if sizes <= BROADCAST_ROWS else ""
-    head = [(n, q.replace("{hint}", hint)) for n, q in head]
-    named = ", ".join(f"{i}, x{i}" for i in range(1, P + 1))
-    body, params = mcd_sql("vectors", lambda r: f"SELECT g, stack({P}, {named}) AS (c, x) FROM {r}", hint)
-    # Each cut of the chain is a small table, one row a group: a lost executor repeats one step, not all.
-    cuts, known_ctes, views = {"med", *(f"s{k}" for k in range(STEPS + 1)), "estimate"}, list(head), []
-    estimate = None
-    for name, query in body:
-        known_ctes.append((name, query))
-        if name in cuts:
-            estimate = materialize(spark.sql(_with(known_ctes, f"SELECT * FROM {name}")), name)
-            estimate.createOrReplaceTempView(f"{tag}{name}")
-            views.append(f"{tag}{name}")
-            known_ctes = head + [(n, f"SELECT * FROM {tag}{n}") for n in ([name, "med"] if name == "s0" else [name])]
-    grouped = materialize(spark.sql(_with(head[:2], "SELECT lang_, source_, g FROM grouped")), "groups")
-    for view in [*views, f"{tag}stats"]:
-        spark.catalog.dropTempView(view)
-    known = grouped.join(estimate, "g")
-    known = known.select(*[F.col(c).alias(f"__mcd_{c}") for c in known.columns])  # no name of the documents' own columns
-    known = F.broadcast(known) if sizes <= BROADCAST_ROWS else known
-    stats = stats.drop("distance", "kept")
-    out = stats.join(known, (F.coalesce(stats["lang"] if "lang" in stats.columns else F.lit(""), F.lit("")) == known["__mcd_lang_"]) & (F.coalesce(stats["source"] if "source" in stats.columns else F.lit(""), F.lit("")) == known["__mcd_source_"]) & ~stats["base_failed"], "left")
+        cols.append(f"sqrt(c{i}{i} + {FLOOR[i - 1] ** 2!r}D{less}) AS l{i}{i}" if i == j else f"(c{i}{j}{less}) / l{j}{j} AS l{i}{j}")
+    for i, j in PAIRS:
+        less = "".join(f" - l{i}{k} * w{k}{j}" for k in range(j, i))
+        cols.append(f"({'1D' if i == j else '0D'}{less}) / l{i}{i} AS w{i}{j}")
+    cols.append("pow(" + " * ".join(f"l{i}{i}" for i in ONES) + ", 2) AS det")
+    return state.selectExpr("*", *cols).drop(*[f"l{i}{j}" for i, j in PAIRS])
+
+
+def _distance(prefix: str = "") -> Column:
+    y = [" + ".join(f"{prefix}w{i}{k} * (x{k} - {prefix}m{k})" for k in range(1, i + 1)) for i in ONES]
+    return F.expr(" + ".join(f"pow({x}, 2)" for x in y))
+
+
+def _bin() -> Column:
+    return F.floor(16.0 * F.log(F.col("d2") + 1e-6)).alias("b")
+
+
+def _medians(rows: DataFrame) -> DataFrame:
+    """Medians of x1..x5 of each group, to half a 256th."""
+    long = rows.select("g", F.posexplode(F.array(*[f"x{i}" for i in ONES])).alias("c", "x"))
+    cells = long.groupBy("g", "c", F.floor(F.col("x") * 256.0).alias("b")).agg(F.count("*").alias("n"))
+    over = Window.partitionBy("g", "c")
+    cells = cells.withColumn("upto", F.sum("n").over(over.orderBy("b"))).withColumn("all", F.sum("n").over(over))
+    middle = cells.filter((2 * F.col("upto") >= F.col("all")) & (2 * (F.col("upto") - F.col("n")) < F.col("all")))
+    return middle.groupBy("g").agg(*[F.max(F.when(F.col("c") == i - 1, (F.col("b") + 0.5) / 256.0)).alias(f"m{i}") for i in ONES])
+
+
+def _moments() -> list[Column]:
+    return [F.count("*").alias("n"), *[F.expr(f"sum(x{i}) AS t{i}") for i in ONES], *[F.expr(f"sum(x{i} * x{j}) AS t{i}{j}") for i, j in PAIRS]]
+
+
+def _state() -> list[Column]:
+    """Centre and scatter of summed moments."""
+    return [*[F.expr(f"t{i} / n AS m{i}") for i in ONES], *[F.expr(f"t{i}{j} / n - (t{i} / n) * (t{j} / n) AS c{i}{j}") for i, j in PAIRS]]
+
+
+def mcd_estimates(rows: DataFrame, few: bool) -> DataFrame:
+    """One row for each group g of ``rows`` (g, x1..x5): its rows, centre m1.., scatter cij with the factor for consistency, and the scale
+    that brings the median of its distances down to that of chi-squared, 1 at least. ``few`` says that groups are few enough to broadcast.
+
+    Tables between steps have a row for each group and start, so a lost executor repeats one step."""
+    middle = materialize(_medians(rows), "medians")
+    apart = rows.join(_small(middle, few), "g").select("g", *[F.abs(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"x{i}") for i in ONES])
+    spread = _medians(apart).select("g", *[F.col(f"m{i}").alias(f"s{i}") for i in ONES])
+    robust = middle.join(spread, "g").select("g", F.lit(0).alias("start"), *[f"m{i}" for i in ONES], *[(F.pow(F.col(f"s{i}") * 1.4826, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
+    plain = rows.groupBy("g").agg(*_moments()).select("g", F.lit(1).alias("start"), *_state())
+    state = materialize(_precision(robust.unionByName(plain)).withColumn("kept", F.lit(-1).cast("long")), "step")
+    keys = ["g", "start"]
+    for _ in range(MAX_STEPS):
+        bins = rows.join(_small(state.select(*keys, *[f"m{i}" for i in ONES], *[f"w{i}{j}" for i, j in PAIRS]), few), "g").withColumn("d2", _distance())
+        bins = bins.groupBy(*keys, _bin()).agg(*_moments())
+        over = Window.partitionBy(*keys)
+        sums = ["n", *[f"t{i}" for i in ONES], *[f"t{i}{j}" for i, j in PAIRS]]
+        upto = bins.select(*keys, F.col("n").alias("own"), F.sum("n").over(over).alias("all"), *[F.expr(f"sum({c}) OVER (PARTITION BY g, start ORDER BY b) AS {c}") for c in sums])
+        inner = upto.filter((F.col("n") >= SUPPORT * F.col("all")) & (F.col("n") - F.col("own") < SUPPORT * F.col("all")))
+        new = materialize(_precision(inner.select(*keys, F.col("n").alias("kept"), *_state())), "step")
+        old = state.select(*keys, F.col("kept").alias("kept_"), F.col("det").alias("det_"))
+        state = new
+        if new.join(old, keys).filter((F.col("kept") != F.col("kept_")) | (F.abs(F.col("det") - F.col("det_")) > 1e-9 * F.col("det"))).limit(1).count() == 0:
+            break
+    best = state.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("det", "start"))).filter("rank = 1")
+    best = best.select("g", *[f"m{i}" for i in ONES], *[(F.col(f"c{i}{j}") * CONSISTENCY).alias(f"c{i}{j}") for i, j in PAIRS])
+    best = materialize(_precision(best), "best")
+    bins = rows.join(_small(best, few), "g").withColumn("d2", _distance()).groupBy("g", _bin()).agg(F.count("*").alias("n"))
+    over = Window.partitionBy("g")
+    bins = bins.withColumn("upto", F.sum("n").over(over.orderBy("b"))).withColumn("n_rows", F.sum("n").over(over))
+    scale = bins.filter((2 * F.col("upto") >= F.col("n_rows")) & (2 * (F.col("upto") - F.col("n")) < F.col("n_rows"))).select("g", "n_rows", F.greatest(F.lit(1.0), F.exp((F.col("b") + 1) / 16.0) / MEDIAN).alias("scale"))
+    return best.drop("det", *[f"w{i}{j}" for i, j in PAIRS]).join(scale, "g")
+
+
+def _estimates(stats: DataFrame) -> tuple[DataFrame, bool]:
+    """Rows (lang_, source_, m1.., w11.., scale): each group's estimate, drawn to that of its language; and whether they are few."""
+    vectors = stats.filter("NOT base_failed").select("lang_", "source_", *[F.expr(x).alias(f"x{i}") for i, x in enumerate(VECTOR, 1)])
+    groups = materialize(vectors.select("lang_", "source_").distinct(), "groups")
+    few = groups.count() <= BROADCAST_ROWS // 2
+    language = F.concat(F.lit("L:"), "lang_")
+    own = F.concat(F.char_length("lang_").cast("string"), F.lit(":"), "lang_", "source_")  # no two groups have one name
+    rows = vectors.select(F.explode(F.array(language, own)).alias("g"), *[f"x{i}" for i in ONES])
+    found = materialize(mcd_estimates(rows, few), "estimates")
+    wide = found.select(F.col("g").alias("g_"), *[F.col(c).alias(f"{c}_") for c in found.columns if c not in ("g", "n_rows")])
+    both = groups.select("lang_", "source_", own.alias("g"), language.alias("g_")).join(found, "g").join(wide, "g_")
+    w = F.col("n_rows") / (F.col("n_rows") + F.lit(float(PRIOR_ROWS)))
+    blend = lambda c: w * F.col(c) + (1 - w) * F.col(f"{c}_")
+    apart = [F.col(f"m{i}") - F.col(f"m{i}_") for i in ONES]
+    scale = F.exp(w * F.log("scale") + (1 - w) * F.log("scale_")).alias("scale")
+    drawn = both.select("lang_", "source_", *[blend(f"m{i}").alias(f"m{i}") for i in ONES], *[(blend(f"c{i}{j}") + w * (1 - w) * apart[i - 1] * apart[j - 1]).alias(f"c{i}{j}") for i, j in PAIRS], scale)
+    return materialize(_precision(drawn).drop("det"), "drawn"), few
+
+
+def quality_rules(df: DataFrame, text: str = "text", *, drop_text: bool = False) -> DataFrame:
+    """``df`` with the statistics, base_failed, distance and kept; without the text if ``drop_text``.
+
+    A row that fails the base rules is not kept and has no distance; any other is kept unless its squared distance is above CUTOFF. Null
+    languages and sources count as empty ones, and so do missing columns. Rows are never compared by key: repeated rows, null ids and
+    ties all get their own verdict. Columns of the same names in ``df`` are replaced, others stay. Empty tables give empty results.
+    Statistics are counted once and written, with the columns of the result, to the shared folder."""
+    stats = text_statistics(df.drop("base_failed", "distance", "kept"), text)
+    stats = stats.drop(text) if drop_text else stats
+    shown = stats.columns
+    name = lambda c: F.coalesce(df[c].cast("string"), F.lit("")) if c in df.columns else F.lit("")
+    stats = materialize(stats.select(*[F.col(c).alias(f"v_{c}") for c in shown], name("lang").alias("lang_"), name("source").alias("source_"), *[F.col(c) for c in COUNTS], F.expr(BASE_FAILED).alias("base_failed")), "stats")
+    known, few = _estimates(stats)
+    known = known.select(F.col("lang_"), F.col("source_"), *[F.col(c).alias(f"k_{c}") for c in known.columns if c not in ("lang_", "source_")])
     for i, x in enumerate(VECTOR, 1):
-        out = out.withColumn(f"__x{i}", F.when(~F.col("base_failed"), F.expr(f"CASE WHEN n_words > 0 THEN {x} END")))
-    y = []
-    for i in range(1, P + 1):
-        e = F.col(f"__x{i}") - F.col(f"__mcd_m{i}")
-        for k in range(1, i):
-            e = e - F.col(f"__mcd_l{i}{k}") * F.col(f"__y{k}")
-        out = out.withColumn(f"__y{i}", e / F.col(f"__mcd_l{i}{i}"))
-        y.append(f"__y{i} * __y{i}")
-    out = out.withColumn("distance", F.expr(f"({' + '.join(y)}) / __mcd_scale"))
-    out = out.withColumn("kept", (F.col("__row") >= 0) & ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF))
-    return out.select(*[c for c in stats.columns if c != "__row"], "distance", "kept")
+        stats = stats.withColumn(f"x{i}", F.when(~F.col("base_failed"), F.expr(x)))
+    out = stats.join(_small(known, few), ["lang_", "source_"], "left")
+    distance = F.when(~F.col("base_failed"), _distance("k_") / F.col("k_scale"))
+    out = out.withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF))
+    return out.select(*[F.col(f"v_{c}").alias(c) for c in shown], "base_failed", "distance", "kept")

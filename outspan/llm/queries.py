@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from . import quality_rules as qr
 from .chosen_path import jaccard_classes
 from .common import table
-
 from .multi_index import nearest, sign_codes
 from .packing import pack
 from .pii import find_pii
 from .quality_classifier import quality_scores
+from .quality_rules import quality_rules
+from .quality_sql import op1_sql
 from .site_style_tree import extract_main_text
 from .suffix_dedup import remove_repeats
 from .toxicity import toxicity_scores
@@ -29,7 +29,7 @@ def tokenizer_path() -> str:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return qr.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules(docs, drop_text=True).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op5_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,23 +107,6 @@ QUERIES = {
 }
 
 
-def _op1_sql() -> str:
-    xs = ", ".join(f"SELECT g, {i} AS c, x{i} AS x FROM {{r}}" if i == 1 else f" UNION ALL SELECT g, {i}, x{i} FROM {{r}}" for i in range(1, qr.P + 1)).replace(",  UNION", " UNION")
-    base = [
-        ("dd", "SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents"),
-        ("dw", r"SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, string_split(t, chr(10)) AS ls FROM dd"),
-        ("tri", "SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM dw)"),
-        ("twice", "SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM tri"),
-        ("rep", "SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM twice WHERE n > 1) GROUP BY rid"),
-        ("stats", r"SELECT dw.rid AS rid, doc_id, lang, source, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(regexp_extract_all(t, '[!-/:-@\[-`{-~]')) AS n_punct, len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(ls) AS n_lines FROM dw LEFT JOIN rep ON dw.rid = rep.rid"),
-    ]
-    head = [(n, q.replace("{hint}", "")) for n, q in qr.groups_sql("stats")]
-    body, params = qr.mcd_sql("vectors", lambda r: xs.replace("{r}", r))
-    last = [("final", qr._distances("vectors", "estimate", "", ", rid, scale"))]
-    return qr._with(base + head + body + last, f"""SELECT s.doc_id, s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words, {qr.BASE_FAILED.replace('n_', 's.n_')} AS base_failed,
-        NOT {qr.BASE_FAILED.replace('n_', 's.n_')} AND coalesce(f.d2 / f.scale, 0e0) <= {qr.CUTOFF} AS kept FROM stats s LEFT JOIN final f ON s.rid = f.rid""")
-
-
 def _op3_sql() -> str:
     half = lambda a: " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN {1 << (i - a)} ELSE 0 END" for i in range(a, a + 32))
     return f"""WITH c AS (SELECT vec_id AS id, CAST({half(0)} AS BIGINT) AS lo, CAST({half(32)} AS BIGINT) AS hi FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
@@ -131,4 +114,4 @@ def _op3_sql() -> str:
         SELECT query_id, neighbor_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM d QUALIFY rank <= 10"""
 
 
-ORACLE = {"op1_quality_rules": _op1_sql(), "op3_multi_index_topk": _op3_sql()}
+ORACLE = {"op1_quality_rules": op1_sql(), "op3_multi_index_topk": _op3_sql()}

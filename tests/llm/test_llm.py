@@ -63,6 +63,7 @@ def labels(spark, rows=()):
 
 def test_quality_rules_rows(docs):
     out = quality_rules(docs)
+    assert out.columns[:4] == docs.columns[:4] and quality_rules(docs.select("text"), drop_text=True).filter("n_words >= 50").count() >= 3
     assert out.count() == len(ROWS) and out.filter("base_failed").count() == len(ROWS) - 3
     assert {r["doc_id"] for r in out.filter("kept").collect()} <= {5, 6, 7}
     assert quality_rules(docs.limit(0)).count() == 0
@@ -73,6 +74,62 @@ def test_quality_rules_sql(spark, duck):
     assert same_rows(queries.QUERIES["op1_quality_rules"](spark, SF), duck, queries.ORACLE["op1_quality_rules"])
 
 
+def _mcd(x, floor):
+    """Starts, steps and choice over the rows of one group, with dense matrices."""
+
+    def middle(v):
+        b, n = np.unique(np.floor(v * 256), return_counts=True)
+        return (b[np.argmax(2 * np.cumsum(n) >= n.sum())] + 0.5) / 256
+
+    def nearest(m, c, share):
+        e = x - m
+        b = np.floor(16 * np.log(np.einsum("ij,jk,ik->i", e, np.linalg.inv(c + floor), e) + 1e-6))
+        u, n = np.unique(b, return_counts=True)
+        return b, u[np.argmax(np.cumsum(n) >= share * len(x))]
+
+    m = np.array([middle(v) for v in x.T])
+    starts = [(m, np.diag([(1.4826 * middle(np.abs(v - k))) ** 2 for v, k in zip(x.T, m, strict=True)])), (x.mean(0), np.cov(x.T, bias=True))]
+    ends = []
+    for m, c in starts:
+        for _ in range(10):
+            b, last = nearest(m, c, 0.75)
+            m, c = x[b <= last].mean(0), np.cov(x[b <= last].T, bias=True)
+        ends.append((np.linalg.det(c + floor), m, c))
+    _, m, c = min(ends, key=lambda e: e[0])
+    c = c * 1.412
+    return m, c, max(1, np.exp((nearest(m, c, 0.5)[1] + 1) / 16) / 4.351)
+
+
+def test_quality_rules_against_dense_matrices(spark, tables):
+    """All verdicts of whole groups against NumPy; a source whose own shape differs, outliers in it, and repetition in a clean group."""
+    rng = random.Random(3)
+    words = ["lorem", "ipsum", "dolor", "sit", "amet", "consectetur", "adipiscing", "elit", "sed", "eiusmod"]
+    said = lambda n: " ".join(rng.choice(words) + str(rng.randrange(900)) for _ in range(n)).capitalize() + "."
+    docs = [(1000 + i, "xx", "big", "\n".join(said(30) for _ in range(4))) for i in range(120)]
+    docs += [(2000 + i, "xx", "tags", "\n".join(said(20).replace(" ", ", ") for _ in range(4))) for i in range(30)]
+    odd = [(1, "xx", "big", "#$%! " * 300), (2, "xx", "tags", "\n".join(said(40).upper() for _ in range(3)))]
+    lines = [said(12) for _ in range(10)]
+    odd += [(3, "xx", "big", "\n".join(lines + [x for x in lines[:8] for _ in range(1)] + [said(60)]))]
+    docs += odd
+    df = spark.createDataFrame(docs, "doc_id long, lang string, source string, text string")
+    got = quality_rules(df).collect()
+    good = [r for r in got if not r["base_failed"]]
+    x = np.array([[np.log(1 + r["word_chars"] / r["n_words"]), np.sqrt(r["n_punct"] / r["word_chars"]), np.sqrt(r["n_upper"] / r["word_chars"]), np.sqrt(r["n_repeat_words"] / (r["n_words"] + 50)), np.sqrt(r["n_dup_lines"] / (r["n_lines"] + 5))] for r in good])
+    floor, source = np.diag(np.array((0.06, 0.03, 0.03, 0.095, 0.095)) ** 2), np.array([r["source"] for r in good])
+    ml, cl, sl = _mcd(x, floor)
+    for s in ("big", "tags"):
+        at = np.flatnonzero(source == s)
+        m, c, k = _mcd(x[at], floor)
+        w, d = len(at) / (len(at) + 50), m - ml
+        inverse = np.linalg.inv(w * c + (1 - w) * cl + w * (1 - w) * np.outer(d, d) + floor)
+        for i in at:
+            e = x[i] - (w * m + (1 - w) * ml)
+            want = e @ inverse @ e / np.exp(w * np.log(k) + (1 - w) * np.log(sl))
+            assert abs(good[i]["distance"] - want) < 1e-6 * max(1, want) and good[i]["kept"] == (want <= 30.86)
+    kept = {r["doc_id"] for r in got if r["kept"]}
+    assert not kept & {1, 2, 3} and len(kept) >= 148
+
+
 def brute_pii(t):
     out = []
     for k, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
