@@ -36,9 +36,15 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]
 _ATTR = re.compile(r"(class|id|role|style|aria-hidden|hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _UNFINISHED = re.compile(r"<[A-Za-z/!][^>]*\Z")
 _CUE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|adslot|adbox|sponsor(?:ed)?|promos?|promotion|banners?|sidebars?|side|comments?|commentlist|disqus|respond|repl(?:y|ies)|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|nav|navbar|navigation|menus?|breadcrumbs?|footer|header|masthead|popup|modal|overlay|search|forms?|widgets?|pagination|pager|toolbar|skip)(?=$|[\s_\d-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|adslot|adbox|sponsor(?:ed)?|teasers?|promos?|promotion|banners?|sidebars?|side|comments?|commentlist|disqus|respond|repl(?:y|ies)|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|nav|navbar|navigation|menus?|breadcrumbs?|footer|header|masthead|popup|modal|overlay|search|forms?|widgets?|pagination|pager|toolbar|skip)(?=$|[\s_\d-])",
     re.I,
 )
+#: Of these, what a class inside the article must say to be noise there; a side note or a search result is left to the tree.
+_CUE_INSIDE = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|adslot|adbox|sponsor(?:ed)?|teasers?|promos?|promotion|sidebars?|comments?|commentlist|disqus|cookies?|consent|gdpr|notices?|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|recommendations|nav|navbar|navigation|menus?|breadcrumbs?|footer|popup|pagination|pager)(?=$|[\s_\d-])",
+    re.I,
+)
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 #: Class names that only tell how a page is laid out: no-sidebar, has-comments, search-result-page; and a heading's box in an article.
 _LAYOUT = re.compile(r"(?:(?:no|not|has|have|with|without|hide)[_-].*|.*[_-](?:page|layout|template))", re.I)
 _HEADING = re.compile(r"(?:[\w-]*[_-])?(?:header|masthead)", re.I)
@@ -65,7 +71,7 @@ def _describe(tag: str, attrs: str, main: bool = False) -> tuple[int, str]:
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key in ("class", "id"):
-            cue = cue or any(_CUE.search(x) and not _LAYOUT.fullmatch(x) and not (main and _HEADING.fullmatch(x)) for x in value.split())
+            cue = cue or any((_CUE_INSIDE if main else _CUE).search(x) and not _LAYOUT.fullmatch(x) and not (main and _HEADING.fullmatch(x)) for x in value.split())
             if name == tag and value.split():
                 name = f"{tag}.{re.sub(r'[0-9]+', '', value.split()[0])}"
         elif key == "role":
@@ -79,22 +85,30 @@ def _describe(tag: str, attrs: str, main: bool = False) -> tuple[int, str]:
     return SURE if noise else (INNER if main else CUE) if cue else 0, name
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, tuple[str, ...]]], dict[tuple[str, ...], list[str]]]:
-    """Text blocks in page order, each with its text, how markup calls it noise, whether it is in the article, and its path of
-    containers; and of each path the names of the containers below it."""
-    out: list[tuple[str, int, bool, tuple[str, ...]]] = []
+def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, tuple[str, ...], bool]], dict[tuple[str, ...], list[str]]]:
+    """Text blocks in page order, each with its text, how markup calls it noise, whether it is in the article, its path of containers and
+    whether all of it lies in links; and of each path the names of the containers below it."""
+    out: list[tuple[str, int, bool, tuple[str, ...], bool]] = []
     below: dict[tuple[str, ...], list[str]] = {}
     stack: list[tuple[str, int, bool, tuple[str, ...]]] = [("", 0, False, ())]  # tag, noise, in the article, path
     parts: list[str] = []
+    link, plain = False, False  # inside a link; whether the block has text outside of links
     at = 0
 
+    def add(raw: str) -> None:
+        nonlocal plain
+        parts.append(html.unescape(raw))
+        plain = plain or not link and not raw.isspace()
+
     def flush() -> None:
+        nonlocal plain
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
                 _, noise, main, path = stack[-1]
-                out.append((text, noise, main, path))
+                out.append((text, noise, main, path, not plain))
+        plain = False
 
     def close(tag: str, stop: set[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -108,14 +122,15 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, tuple[str, ...]]],
     while at < n:
         m = _TAG.search(page, at)
         if not m:
-            parts.append(html.unescape(_UNFINISHED.sub("", page[at:])))
+            add(_UNFINISHED.sub("", page[at:]))
             break
         if m.start() > at:
-            parts.append(html.unescape(page[at : m.start()]))
+            add(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
+        link = (not (m[1] or m[4])) if tag == "a" else link
         if m[1] or m[4]:
             if tag in BLOCKS:
                 flush()
@@ -177,24 +192,25 @@ def main_text(page: str, low: frozenset[int] | set[int], high: frozenset[int] |
     """The page's text without noise; ``low`` are keys of this host's paths that are not important, ``high`` of those that are.
 
     A class on the article or around it is noise only where the page has another article without one, as teasers and comments do. An
-    article that would lose all its text keeps it: its copies on other pages don't make it furniture."""
+    article that would lose all its text keeps it: its copies on other pages don't make it furniture. A page without an article loses
+    list items that are nothing but links, and a last block that claims rights, unless nothing else is there."""
     blocks, _ = blocks_of(page)
-    article = any(main and not noise for _, noise, main, _ in blocks)
-    if not article and any(main and noise == CUE for _, noise, main, _ in blocks):
-        article, blocks = True, [(text, 0 if main and noise == CUE else noise, main, path) for text, noise, main, path in blocks]
-    dropped: dict[tuple[str, ...], bool] = {}
-    kept, whole = [], []  # text, whether in the article
-    for text, noise, main, path in blocks:
-        if noise or article and not main and not (high and _key(*path) in high):
-            continue
-        if low and path not in dropped:
-            dropped[path] = any(_key(*path[:i]) in low for i in range(1, len(path) + 1))
-        whole.append((text, main))
-        if not (low and dropped[path]):
-            kept.append((text, main))
-    if article and not any(main for _, main in kept):
-        kept = [x for x in whole if x[1]]
-    return " ".join(text for text, _ in kept)
+    article = any(main and not noise for _, noise, main, *_ in blocks)
+    if not article and any(main and noise == CUE for _, noise, main, *_ in blocks):
+        article, blocks = True, [(text, 0 if main and noise == CUE else noise, main, *rest) for text, noise, main, *rest in blocks]
+    shown = [(text, main, path, linked) for text, noise, main, path, linked in blocks if not noise and (not article or main or high and _key(*path) in high)]
+    if not article:
+        body = [x for x in shown if not (x[3] and x[2] and x[2][-1].split(".")[0] in ("ul", "ol"))]
+        if len(body) > 1 and _RIGHTS.match(body[-1][0]):
+            del body[-1]
+        shown = body or shown
+    if not low:
+        return " ".join(x[0] for x in shown)
+    dropped = {path: any(_key(*path[:i]) in low for i in range(1, len(path) + 1)) for _, _, path, _ in shown}
+    kept = [x for x in shown if not dropped[x[2]]]
+    if article and not any(x[1] for x in kept):
+        kept = [x for x in shown if x[1]]
+    return " ".join(x[0] for x in kept)
 
 
 def style_tree(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
@@ -213,7 +229,7 @@ def style_tree(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
                 blocks, below = blocks_of(h or "")
                 nodes: dict[tuple[str, ...], set[int]] = {}
                 judged: dict[tuple[str, ...], bool] = {}
-                for text, _, main, path in blocks:
+                for text, _, main, path, _ in blocks:
                     holds = _main_depth(path) if main else 0
                     for i in range(1 + (path[:1] == ("body",)), len(path) + 1):
                         nodes.setdefault(path[:i], set()).add(_key(text))
@@ -252,22 +268,22 @@ def extract_main_text(pages: DataFrame, url: str = "url", page: str = "html", ou
     part = F.col("pages") / (F.col("pages") + PRIOR_PAGES)
     is_low = part * F.col("importance") + (1 - part) * 0.5 < THRESHOLD
     is_high = part * F.col("importance") >= BESIDE
-    low = tree.filter(is_low | is_high).groupBy("host").agg(F.collect_set(F.when(is_low, F.col("path"))).alias("__low"), F.collect_set(F.when(is_high, F.col("path"))).alias("__high"))
-    low = materialize(low.withColumnRenamed("host", "__host"), "low")
+    low = tree.filter(is_low | is_high).groupBy("host").agg(F.collect_set(F.when(is_low, F.col("path"))).alias("__site_low"), F.collect_set(F.when(is_high, F.col("path"))).alias("__site_high"))
+    low = materialize(low.withColumnRenamed("host", "__site_key"), "low")
     kept = [f for f in pages.schema.fields if f.name != out]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField(out, T.StringType())])
-    host_schema = T.StructType([*kept, T.StructField("__host", T.LongType())])
+    host_schema = T.StructType([*kept, T.StructField("__site_key", T.LongType())])
 
     def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.append_column("__host", pa.array([_key(host_of(u)) for u in b.column(url).cast(pa.string()).to_pylist()], pa.int64()))
+            yield b.append_column("__site_key", pa.array([_key(host_of(u)) for u in b.column(url).cast(pa.string()).to_pylist()], pa.int64()))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(b.column(page).cast(pa.string()).to_pylist(), b.column("__low").to_pylist(), b.column("__high").to_pylist(), strict=True)
+            rows = zip(b.column(page).cast(pa.string()).to_pylist(), b.column("__site_low").to_pylist(), b.column("__site_high").to_pylist(), strict=True)
             texts = [main_text(h or "", set(x or ()), set(y or ())) for h, x, y in rows]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string())], names=schema.fieldNames())
 
     keyed = pages.select(*[pages[c] for c in names]).mapInArrow(hosts, host_schema)
-    return keyed.join(small(low), "__host", "left").select(*names, "__low", "__high").mapInArrow(extract, schema)
+    return keyed.join(small(low), "__site_key", "left").select(*names, "__site_low", "__site_high").mapInArrow(extract, schema)

@@ -442,6 +442,31 @@ def test_main_text_layout_classes():
     assert main_text('<div class="site-header">no</div><nav><article>no</article></nav><div class="ad">no</div>', frozenset()) == ""
 
 
+def test_main_text_probes():
+    """Words of a class inside the article, teasers beside it, menus and rights of pages without one."""
+    pages = {
+        '<article><div class="header"><h1>Title</h1></div><p>Body.</p></article>': "Title Body.",
+        '<article><p>Body.</p><p class="side-note">Note</p><div class="search-results">Found <a href=q>it</a></div></article>': "Body. Note Found it",
+        '<article><p>Body.</p></article><article class="teaser"><p>Read this</p></article>': "Body.",
+        "<ul><li><a href=x>Home</a></li><li><a href=y>About</a></li></ul><p>The text.</p><ul><li>see <a href=z>this</a></li></ul><div>Copyright 2020</div>": "The text. see this",
+        "<ul><li><a href=x>Home</a></li></ul>": "Home",
+        '<article><p>a</p><div class="comments">c</div><div class="notice">n</div><aside>x</aside><form>f</form></article>': "a",
+    }
+    for page, want in pages.items():
+        assert main_text(page, frozenset()) == want
+
+
+def test_main_text_rows(spark):
+    """Repeated rows, null ids, clashing and extra columns, and a very long page."""
+    long = "<article>" + "".join(f"<p>line {i}</p>" for i in range(60_000)) + "</article><footer>f</footer>"
+    rows = [(1, "http://a/1", "<p>x</p>", "old", 7), (1, "http://a/1", "<p>x</p>", "old", 7), (None, None, long, None, None), (2, "//b", None, "old", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, __host long")
+    out = extract_main_text(df)
+    assert sorted(out.columns) == sorted(df.columns)
+    got = sorted((r["text"] for r in out.collect()), key=len)
+    assert got[:3] == ["", "x", "x"] and got[3] == " ".join(f"line {i}" for i in range(60_000))
+
+
 def test_classifiers(spark, docs, tables):
     assert pool_adjacent_violators(np.arange(4), np.array([0.2, 0.1, 0.5, 0.4]), np.ones(4)).tolist() == pytest.approx([0.15, 0.15, 0.45, 0.45])
     known = tables["labels"].set_index("doc_id")
