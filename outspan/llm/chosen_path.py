@@ -243,17 +243,18 @@ def _split_blocks(df: DataFrame, by: str, n: str, block: int) -> DataFrame:
     return df.withColumn("i", F.least("__b", "__o")).withColumn("j", F.greatest("__b", "__o")).drop("__n", "__o")
 
 
-def candidate_groups(sets: DataFrame) -> DataFrame:
-    """Rows (set, comp, n): sets that chosen paths and sketches join, their group and its size."""
-    lean = sets.select("set", "size", "sketch", "paths")
+def candidate_groups(rows: DataFrame) -> DataFrame:
+    """Rows (set, comp, n): sets that chosen paths and sketches join, their group and its size. ``rows`` may repeat sets: what moves is
+    (set, path) and, for sets that meet another, one sketch."""
     levels, big = [], None
     for level in range(LEVELS):
         if level == 0:
-            at = lean.select("set", F.explode(F.array_distinct(F.transform("paths", lambda p: p[0]))).alias("p"))
+            at = rows.select("set", F.explode(F.array_distinct(F.transform("paths", lambda p: p[0]))).alias("p")).distinct()
         else:
             # Only sets of buckets that are still large go on, by what they chose next.
-            deeper = big.withColumnRenamed("p", "q").join(lean.select("set", F.explode("paths").alias("path")), "set").filter(F.element_at("path", level) == F.col("q"))
-            at = deeper.select("set", F.element_at("path", level + 1).alias("p")).distinct()
+            chosen = rows.join(small(big.select("set").distinct()), "set", "left_semi").select("set", F.explode("paths").alias("path"))
+            chosen = chosen.select("set", F.element_at("path", level).alias("q"), F.element_at("path", level + 1).alias("next")).distinct()
+            at = big.withColumnRenamed("p", "q").join(chosen, ["set", "q"]).select("set", F.col("next").alias("p")).distinct()
         counts = at.groupBy("p").agg(F.count("*").alias("n")).filter("n > 1")
         shared = materialize(at.join(counts, "p"), f"level{level}")
         levels.append(shared.filter(F.col("n") <= BUCKET) if level + 1 < LEVELS else shared)
@@ -263,8 +264,9 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
     members = levels[0]
     for more in levels[1:]:
         members = members.unionByName(more)
-    dealt = _split_blocks(members, "p", "n", COMPARE).join(lean.select("set", "size", "sketch"), "set")
-    dealt = dealt.select("p", "i", "j", "set", "size", "sketch").repartition(part_count(sets), "p", "i", "j").sortWithinPartitions("p", "i", "j")
+    sketches = rows.select("set", "size", "sketch").dropDuplicates(["set"])
+    dealt = _split_blocks(members.join(sketches, "set"), "p", "n", COMPARE)
+    dealt = dealt.select("p", "i", "j", "set", "size", "sketch").repartition(part_count(rows), "p", "i", "j").sortWithinPartitions("p", "i", "j")
     edges = dealt.mapInArrow(_bucket_edges, "a binary, b binary").distinct()
     labels = connected_components(edges, "candidates")
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
@@ -330,9 +332,9 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], names=["key", "set", "size", "sketch", "paths"])
 
     rows = materialize(base.mapInArrow(describe, schema), "described")
-    same = rows.filter("set IS NOT NULL").groupBy("set").agg(F.min("key").alias("least"), F.count("*").alias("n_same"))
-    sets = materialize(rows.filter("set IS NOT NULL").dropDuplicates(["set"]).drop("key"), "sets")
-    groups = candidate_groups(sets)
+    rows = rows.filter("set IS NOT NULL")
+    same = rows.groupBy("set").agg(F.min("key").alias("least"), F.count("*").alias("n_same"))
+    groups = candidate_groups(rows)
 
     def with_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
