@@ -506,6 +506,11 @@ def test_pipeline_stages(spark, docs):
         assert stage(spark, src.limit(0), SF).count() == 0
         if name in ("suffix_array_dedup", "pii"):
             assert out.count() == len(ROWS)
+    packed = corpus_pipeline.packing(spark, src, SF)
+    assert packed.filter("start = 0").count() == len(ROWS) and corpus_pipeline.packing(spark, src.limit(0), SF).count() == 0
+    passage = " ".join(random.choice(["lorem", "ipsum", "dolor", "sit", "amet"]) + random.choice("abc") for _ in range(51))[:340]
+    long = spark.createDataFrame([(i, f"{i} begins. {passage} Ends {i}.", "en", "a", None) for i in range(3)], src.schema)
+    assert all(len(r["text"]) < 25 and r["n_chars"] == len(r["text"]) for r in corpus_pipeline.repeated_passages(spark, long, SF).collect())
     near = corpus_pipeline.near_duplicates(spark, src, SF)
     # Rows 6 and 7 share almost all of their words; 8 is there twice.
     assert {r["doc_id"] for r in near.collect()} == {1, 2, 3, 4, None, 5, 6, 8, 9, 10} and near.count() == len(ROWS) - 2
@@ -518,18 +523,18 @@ def test_pipeline_against_brute_force(spark, tables):
     rows = [(i, t) for i, t in zip(tables["documents"].doc_id, tables["documents"].text, strict=True) if i in keep]
     classes = brute_classes(rows)
     rows = [(i, t) for i, t in rows if i not in classes or classes[i][0] == i]
-    a, cut = _automaton(), []
+    a, cut, unit = _automaton(), [], 250
     data, seen = [t.encode() for _, t in rows], collections.Counter()
     for x in data:
-        seen.update(x[k : k + 400] for k in range(len(x) - 399))
+        seen.update(x[k : k + unit] for k in range(len(x) - unit + 1))
     tk, ids = Tokenizer.from_file(queries.tokenizer_path()), {}
     from outspan.llm.pii import masked
 
     for (i, _), x in zip(rows, data, strict=True):
         cover = bytearray(len(x))
-        for k in range(len(x) - 399):
-            if seen[x[k : k + 400]] > 1:
-                cover[k : k + 400] = b"\x01" * 400
+        for k in range(len(x) - unit + 1):
+            if seen[x[k : k + unit]] > 1:
+                cover[k : k + unit] = b"\x01" * unit
         t = bytes(b for b, c in zip(x, cover, strict=True) if not c).decode("utf-8", "ignore")
         t = masked(t, find_spans(t, a))
         cut.append(t)
