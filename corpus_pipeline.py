@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from outspan.llm.chosen_path import jaccard_classes
-from outspan.llm.common import materialize
+from outspan.llm.common import materialize, scratch
 from outspan.llm.packing import pack
 from outspan.llm.pii import find_pii
 from outspan.llm.quality_rules import quality_rules
@@ -77,7 +77,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch():
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return docs
 
 

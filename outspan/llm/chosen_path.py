@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, part_count, small
+from .common import materialize, part_count, scratch, small
 from .components import connected_components
 
 WORDS_IN_GRAM = 5
@@ -310,14 +310,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with __set, class_id, n_links and n_same.
-
-    n_links counts the different gram sets that are at least LAMBDA similar to the row's; n_same counts the rows with its very set;
-    class_id is the least key among rows that a chain of links joins. Texts without a word have no set: no links, a class of their
-    own with their own key, n_same 1. Texts of one to four words have one gram, all their words. Null keys sort last and may be a
-    class's only key. Repeated rows share a class. Columns of those names are replaced; empty tables give empty results."""
-    docs = docs.drop("class_id", "n_links", "n_same", "__set")
+def _known_sets(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """Rows (set, least, n_same, n_links, label): each gram set with its least key, its rows, its links and its component."""
     base = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("t"))
     schema = T.StructType([T.StructField("key", base.schema["key"].dataType), T.StructField("set", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("paths", T.ArrayType(T.ArrayType(T.LongType())))])
 
@@ -353,7 +347,19 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     links = checked.groupBy("set").agg(F.sum("links").alias("n_links"))
     classes = connected_components(checked.filter("set <> label").select(F.col("set").alias("a"), F.col("label").alias("b")), "classes")
     known = same.join(links, "set", "left").join(classes.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-    known = materialize(known, "known")
+    return materialize(known, "known", keep=True)
+
+
+def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with __set, class_id, n_links and n_same.
+
+    n_links counts the different gram sets that are at least LAMBDA similar to the row's; n_same counts the rows with its very set;
+    class_id is the least key among rows that a chain of links joins. Texts without a word have no set: no links, a class of their
+    own with their own key, n_same 1. Texts of one to four words have one gram, all their words. Null keys sort last and may be a
+    class's only key. Repeated rows share a class. Columns of those names are replaced; empty tables give empty results."""
+    docs = docs.drop("class_id", "n_links", "n_same", "__set")
+    with scratch():
+        known = _known_sets(docs, text, key)
     least = known.groupBy("label").agg(F.min("least").alias("class_id"))
     known = known.join(least, "label").select(F.col("set").alias("__set"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_same")
     out = keyed(docs, text).join(known, "__set", "left")

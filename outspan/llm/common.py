@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,21 +16,41 @@ from ..session import shared_folder, ship
 BROADCAST_ROWS = 50_000
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+_SCOPES: list[list[tuple]] = []
+
+
+def materialize(df: DataFrame, tag: str, *, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage ends there, and lost executors cost nothing
-    that came before. The table is deleted when the application ends."""
+    that came before. The table is deleted when the scratch() around it ends, with ``keep`` the next one around
+    that, and without any when the program ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/outspan-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    made = (spark._jvm, spark._jsc.hadoopConfiguration(), path)  # of the session's JVM, which outlives the session
+    scopes = _SCOPES[:-1] if keep else _SCOPES
+    if scopes:
+        scopes[-1].append(made)
+    else:
+        atexit.register(_delete, *made)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are materialized inside are gone after it, but those to keep: what follows may read only these."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for made in _SCOPES.pop():
+            _delete(*made)
+
+
+def _delete(jvm, conf, path: str) -> None:
     try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the session is gone already
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    except Exception:  # noqa: BLE001  the JVM is gone already
         return
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, let, materialize, text_of
+from .common import BROADCAST_ROWS, let, materialize, scratch, text_of
 
 SUPPORT = 0.75  # share of rows that a concentration step keeps
 MAX_STEPS = 10
@@ -181,7 +181,7 @@ def _estimates(stats: DataFrame) -> tuple[DataFrame, bool]:
     apart = [F.col(f"m{i}") - F.col(f"m{i}_") for i in ONES]
     scale = F.exp(w * F.log("scale") + (1 - w) * F.log("scale_")).alias("scale")
     drawn = both.select("lang_", "source_", *[blend(f"m{i}").alias(f"m{i}") for i in ONES], *[(blend(f"c{i}{j}") + w * (1 - w) * apart[i - 1] * apart[j - 1]).alias(f"c{i}{j}") for i, j in PAIRS], scale)
-    return materialize(_precision(drawn).drop("det"), "drawn"), few
+    return materialize(_precision(drawn).drop("det"), "drawn", keep=True), few
 
 
 def quality_rules(df: DataFrame, text: str = "text", *, drop_text: bool = False) -> DataFrame:
@@ -195,8 +195,9 @@ def quality_rules(df: DataFrame, text: str = "text", *, drop_text: bool = False)
     stats = stats.drop(text) if drop_text else stats
     shown = stats.columns
     name = lambda c: F.coalesce(df[c].cast("string"), F.lit("")) if c in df.columns else F.lit("")
-    stats = materialize(stats.select(*[F.col(c).alias(f"v_{c}") for c in shown], name("lang").alias("lang_"), name("source").alias("source_"), *[F.col(c) for c in COUNTS], F.expr(BASE_FAILED).alias("base_failed")), "stats")
-    known, few = _estimates(stats)
+    stats = materialize(stats.select(*[F.col(c).alias(f"v_{c}") for c in shown], name("lang").alias("lang_"), name("source").alias("source_"), *[F.col(c) for c in COUNTS], F.expr(BASE_FAILED).alias("base_failed")), "stats", keep=True)
+    with scratch():
+        known, few = _estimates(stats)
     known = known.select(F.col("lang_"), F.col("source_"), *[F.col(c).alias(f"k_{c}") for c in known.columns if c not in ("lang_", "source_")])
     for i, x in enumerate(VECTOR, 1):
         stats = stats.withColumn(f"x{i}", F.when(~F.col("base_failed"), F.expr(x)))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chosen_path import _in_groups
-from .common import materialize, part_count
+from .common import materialize, part_count, scratch
 
 LENGTH = 400
 COVER = 64
@@ -289,6 +289,11 @@ def _whole(places: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
 
 def removed_runs(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """Rows (key, runs) of texts with bytes to remove: the text's key and the maximal runs (start, end) in bytes, end exclusive. A text that two rows have is one run if it has ``length`` bytes."""
+    with scratch():
+        return _removed_runs(docs, text, length)
+
+
+def _removed_runs(docs: DataFrame, text: str, length: int) -> DataFrame:
     base = docs.select(docs[text].cast("string").alias("t"))
     places = materialize(base.mapInArrow(_describe(length), "gram long, context long, key binary, lo long, hi long, anchor long"), "contexts")
     places = places.withColumn("n", F.lit(1).cast("long"))
@@ -319,7 +324,7 @@ def removed_runs(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
     far = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
     island = found.distinct().withColumn("new", F.coalesce(F.col("lo") > far + length, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(by))
     run = island.groupBy("key", "island").agg(F.min("lo").alias("start"), (F.max("hi") + length).alias("end"))
-    return materialize(run.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs")), "runs")
+    return materialize(run.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs")), "runs", keep=True)
 
 
 def _cut(base: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
