@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Windows up to this many become columns of one pass; more are joined.
-FUSED_WINDOWS = 64
 #: Rows that a broadcast table may have.
 BROADCAST_ROWS = 50_000
 
@@ -57,13 +56,23 @@ def criteria_counts(entities: DataFrame, events: DataFrame, criteria: list[Inter
     return out.withColumn("ok", ok)
 
 
+def _bucketed(windows: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (level, bucket) to join on: a window lies in one or two buckets as long as itself, a power of two in days, and a
+    point in one bucket of each length that occurs. Longer windows than 2^20 days and open ones have one bucket."""
+    days = F.col("t_max") - F.col("t_min")
+    level = F.when(days <= 1, 0).when(days <= 2.0**20, F.ceil(F.log2(days))).otherwise(99).cast("int")
+    at = lambda t: F.when(F.col("level") == 99, F.lit(0.0)).otherwise(F.floor(F.col(t) / F.pow(F.lit(2.0), F.col("level")))).cast("long")
+    w = windows.filter("t_max >= t_min").withColumn("level", level).withColumn("bucket", F.explode(F.sequence(at("t_min"), at("t_max"))))
+    levels = [r["level"] for r in w.select("level").distinct().collect()]  # 22 at most
+    p = points.filter("t IS NOT NULL").withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("bucket", at("t"))
+    return w, p
+
+
 def window_counts(events: DataFrame, windows: DataFrame, key: str | None = None) -> DataFrame:
-    """Events in each closed window by trajectory: a join on whole days, so that work follows the matches and not the product.
-    With ``key`` windows belong to a series."""
-    days = F.sequence(F.floor("t_min").cast("long"), F.floor("t_max").cast("long"))
-    w = windows.filter("t_max >= t_min").withColumn("day", F.explode(days))
-    e = events.withColumn("day", F.floor("t").cast("long"))
-    on = ["day"] + ([key] if key else [])
+    """Events in each closed window by trajectory: a join on buckets of time, so that work follows the matches and not the product.
+    Ends may be infinite; with ``key`` windows belong to a series."""
+    w, e = _bucketed(windows, events)
+    on = ["level", "bucket"] + ([key] if key else [])
     hit = e.join(small(w), on).filter(F.col("t").between(F.col("t_min"), F.col("t_max")))
     return hit.groupBy("traj_id", "win_id").agg(F.count("*").alias("n"))
 
@@ -134,7 +143,7 @@ def apply_scenario(draws: DataFrame, changes: list[tuple[float, str, str | None]
             shadow = df.select("*", *[F.col(current[p]).alias(f"__v_{p}") for p in names])
             text = expr
             for p in names:
-                text = __import__("re").sub(rf"\b{p}\b", f"__v_{p}", text)
+                text = re.sub(rf"\b{p}\b", f"__v_{p}", text)
             df = shadow.withColumn(col, F.expr(text)).drop(*[f"__v_{p}" for p in names])
         current = current | {param: col}
         stages.append((t, dict(current)))
@@ -153,8 +162,6 @@ def params_at(events: DataFrame, pieces: DataFrame) -> DataFrame:
 
 def cluster_of(points: DataFrame, windows: DataFrame) -> DataFrame:
     """Adds cluster: the least win_id with t_min <= t <= t_max, or -1; points have an id."""
-    days = F.sequence(F.floor("t_min").cast("long"), F.floor("t_max").cast("long"))
-    w = windows.withColumn("day", F.explode(days)).select("day", "win_id", "t_min", "t_max")
-    p = points.withColumn("day", F.floor("t").cast("long"))
-    hit = p.join(small(w), "day").filter(F.col("t").between(F.col("t_min"), F.col("t_max"))).groupBy("id").agg(F.min("win_id").alias("cluster"))
+    w, p = _bucketed(windows.select("win_id", "t_min", "t_max"), points)
+    hit = p.join(small(w), ["level", "bucket"]).filter(F.col("t").between(F.col("t_min"), F.col("t_max"))).groupBy("id").agg(F.min("win_id").alias("cluster"))
     return points.join(hit, "id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))

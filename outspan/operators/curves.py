@@ -77,9 +77,14 @@ def first_crossing(curve: DataFrame, level: float, keys: list[str], x: str = "x"
 
 
 def acceptance_ratio_path(first: DataFrame, grid: DataFrame, processed: Column | int) -> DataFrame:
-    """Survivors of each T over the processed total. Survivors are counted by cutting the sorted first events, without a product."""
-    alive = F.col("first_post").isNull() | (F.col("first_post") > F.col("T"))
-    return first.crossJoin(F.broadcast(grid)).groupBy("T").agg((F.count_if(alive) / processed).alias("ratio"))
+    """Survivors of each T over the processed total. Each first event is counted at the first T that it doesn't survive, so a row for
+    each trajectory and T is never made; the grid is one array."""
+    grid_row = F.broadcast(grid.agg(F.array_sort(F.collect_set("T")).alias("__ts")))
+    at = F.when(F.col("first_post").isNull(), F.size("__ts")).otherwise(F.size(F.filter("__ts", lambda x: x < F.col("first_post"))))
+    ended = first.crossJoin(grid_row).groupBy(at.alias("__i")).agg(F.count("*").alias("__n"))
+    slots = grid_row.select(F.posexplode(F.concat("__ts", F.array(F.lit(None).cast("double")))).alias("__i", "T"))  # the last slot: those who survive all
+    left = slots.join(ended, "__i", "left").withColumn("__later", F.coalesce(F.sum("__n").over(Window.orderBy(F.col("__i").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a T
+    return left.filter("T IS NOT NULL").select("T", (F.col("__later") / processed).alias("ratio"))
 
 
 def horizon_days(obs: DataFrame, windows: DataFrame, safety: float = 1.0) -> DataFrame:

@@ -174,10 +174,13 @@ def rb_uncond(parents: DataFrame, draws: DataFrame, grid: list[float], t_star: f
     the product of (b / (b + psi))^k over parents, after the children before the cutoff are taken into account. H is tabulated once a
     distinct key; a batch of parents is one convolution."""
     n = int(round((max(grid) + pad) / h))
+    near = [min(int(x / h + 1e-9), n - 1) for x in grid]  # psi is needed at the points of the table on both sides of each T only
+    points = sorted({i for x in near for i in (x, x + 1)})
+    left = np.array([points.index(i) for i in near])
+    share = np.asarray(grid, float) / h - np.array(near)
     keys = survival_table(draws.select(*_key_columns(F.col("r") * F.col("R0"))).distinct(), max(grid) + pad, h)
     p = with_reff(parents, draws, t_star)
     own = p.select("traj_id", "age", "Reff", "n_pre", *_key_columns(F.col("r") * F.col("R0"))).join(keys, ["R", "k", "alpha", "theta"])
-    u = np.asarray(grid, float)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -185,16 +188,14 @@ def rb_uncond(parents: DataFrame, draws: DataFrame, grid: list[float], t_star: f
                 continue
             age, a, th, k, R, m = (b[c].to_numpy(float)[:, None] for c in ("age", "alpha", "theta", "k", "Reff", "n_pre"))
             H = np.stack(b["H"].to_numpy())
-            f = gamma_pdf_np(age + h * np.arange(1, n + 1)[None, :], a, th) * h
-            psi = np.empty((len(b), n + 1))
-            tail = 1 - gamma_cdf_np(age + h * np.arange(n + 1)[None, :], a, th)
-            for i in range(n + 1):
-                psi[:, i] = (f[:, :i] * (1 - H[:, i - 1 :: -1][:, :i])).sum(axis=1) if i > 1 else (f[:, 0] * (1 - H[:, 0]) if i else 0.0)
-            psi += tail
+            f = gamma_pdf_np(age + h * np.arange(1, points[-1] + 1)[None, :], a, th) * h
+            psi = 1 - gamma_cdf_np(age + h * np.array(points)[None, :], a, th)
+            for at, i in enumerate(points):
+                if i:
+                    psi[:, at] += np.einsum("ij,ij->i", f[:, :i], 1 - H[:, i - 1 :: -1] if i == H.shape[1] else 1 - H[:, :i][:, ::-1])
             beta = k / R + gamma_cdf_np(age, a, th)
             logs = (k + m) * np.log(beta / (beta + psi))
-            at = np.stack([np.interp(u, h * np.arange(n + 1), row) for row in logs])
-            yield pd.DataFrame({"traj_id": b["traj_id"], "logs": list(at)})
+            yield pd.DataFrame({"traj_id": b["traj_id"], "logs": list(logs[:, left] * (1 - share) + logs[:, left + 1] * share)})
 
     logs = own.mapInPandas(run, "traj_id long, logs array<double>")
     flat = logs.select("traj_id", F.posexplode("logs").alias("i", "x")).groupBy("traj_id", "i").agg(F.exp(F.sum("x")).alias("g"))
@@ -247,14 +248,20 @@ def first_after_mixture(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
     return r.select(*keys, "T", F.exp(F.col("mh") + F.log("a") - F.col("ms") - F.log("b")).alias("p"))
 
 
+POISSON_CUTS = np.cumsum([np.exp(-1) / np.prod(np.arange(1, i + 1)) for i in range(8)])  # chances of up to i at mean 1
+
+
 def bootstrap_bands(logs: DataFrame, B: int, seed: int, probs: tuple[float, float] = (0.05, 0.95)) -> DataFrame:
     """Percentile bands of the mixture over B resamples of the draws. A draw's count in a resample is Poisson(1) by a hash, the limit of
     multinomial counts, so that no index over all draws is needed."""
     u = unit_hash(seed, F.col("traj_id"), F.col("b"))
-    cuts = np.cumsum([np.exp(-1) / np.prod(np.arange(1, i + 1)) for i in range(8)])
-    count = sum((F.when(u >= float(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    count = sum((F.when(u >= float(c), 1).otherwise(0) for c in POISSON_CUTS), F.lit(0))
     rows = logs.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1)))).withColumn("c", count).filter("c > 0")
-    per = rows.groupBy("b", "T").agg((F.sum(F.col("c") * F.exp("lh")) / F.sum(F.col("c") * F.exp("ls"))).alias("p"))
+    # Shifted by the largest values of each T, as sums of very small chances would be 0.
+    top = logs.groupBy("T").agg(F.max("lh").alias("mh"), F.max("ls").alias("ms"))
+    rows = rows.join(small(top), "T")
+    per = rows.groupBy("b", "T").agg((F.sum(F.col("c") * F.exp(F.col("lh") - F.col("mh"))) / F.sum(F.col("c") * F.exp(F.col("ls") - F.col("ms")))).alias("q"), F.exp(F.first("mh") - F.first("ms")).alias("f"))
+    per = per.select("T", (F.col("q") * F.col("f")).alias("p"))
     return per.groupBy("T").agg(F.percentile("p", F.lit(probs[0])).alias("lo"), F.percentile("p", F.lit(probs[1])).alias("hi"))
 
 

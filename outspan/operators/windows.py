@@ -141,16 +141,16 @@ def monotone_interpolant(obs: DataFrame, step: float) -> DataFrame:
 
 
 def segment_windows(obs: DataFrame, o: WindowOptions = WindowOptions()) -> DataFrame:
-    """Ends of the best fit of the interpolant by 1 to kmax chords, each at least min_seg_days long; the number by
+    """Ends of the best fit of the interpolant by 1 to kmax chords, each at least min_seg_days and two steps long, none for a shorter series; the number by
     n log(mse) + 2 K log n. One small dynamic programme a series, over its grid."""
     curve = monotone_interpolant(obs, o.grid_step_days)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         x, v = pdf["x"].to_numpy(), pdf["v"].to_numpy()
-        n, least = len(x), max(1, int(round(o.min_seg_days / o.grid_step_days)))
+        n, least = len(x), max(2, int(round(o.min_seg_days / o.grid_step_days)))
         key = pdf[KEY].iloc[0]
-        if n < 2:
+        if n - 1 < least:
             return pd.DataFrame({KEY: pd.Series([], dtype="int64"), "a": pd.Series([], dtype=float), "b": pd.Series([], dtype=float)})
         cum = lambda z: np.concatenate([[0.0], np.cumsum(z)])
         s1, sx, sxx, sv, svv, sxv = cum(np.ones(n)), cum(x), cum(x * x), cum(v), cum(v * v), cum(x * v)
@@ -162,7 +162,7 @@ def segment_windows(obs: DataFrame, o: WindowOptions = WindowOptions()) -> DataF
             a = v[:, None] - b * x[:, None]
             d = lambda s: s[j + 1] - s[:-1, None]
             error = np.maximum(0.0, d(svv) + a * a * d(s1) + b * b * d(sxx) - 2 * a * d(sv) - 2 * b * d(sxv) + 2 * a * b * d(sx))
-            return np.where(j - i >= min(least, n - 1), error, np.inf)
+            return np.where(j - i >= least, error, np.inf)
 
         best = np.full((o.kmax + 1, n), np.inf)
         back = np.zeros((o.kmax + 1, n), int)
@@ -226,15 +226,14 @@ def acceptance_windows(obs: DataFrame, o: WindowOptions = WindowOptions()) -> Da
         base = seg if base is None else union_windows(base, seg)
     if o.include_gap_windows and o.strategy != "segment":
         base = union_windows(base, gap_windows(clusters, o.gap_scale))
-    first = band(observed_mass(obs, base), t, o).select(KEY, "a", "b", "L", "U", F.lit(0).alias("ord"))
-    out = first
-    if o.include_union_windows:
-        out = out.unionByName(union_candidates(first, obs, o).select(KEY, "a", "b", "L", "U", F.lit(1).alias("ord")))
-    out = out.join(t, KEY)
-    out = out.withColumn("a", F.greatest("a", F.least("first", F.lit(0.0)))).withColumn("b", F.least("b", F.col("last")))
+    bands = band(observed_mass(obs, base), t, o).select(KEY, "a", "b", "L", "U").join(t, KEY)
+    bands = bands.withColumn("a", F.greatest("a", F.least("first", F.lit(0.0)))).withColumn("b", F.least("b", F.col("last")))
     if o.day_snap:
-        out = out.withColumn("a", F.floor("a").cast("double")).withColumn("b", F.ceil("b").cast("double"))
-    out = out.filter("b >= a").select(KEY, "a", "b", "L", "U", "ord")
+        bands = bands.withColumn("a", F.floor("a").cast("double")).withColumn("b", F.ceil("b").cast("double"))
+    # Unions are made of the clamped windows and their folded bounds; a window without length is none.
+    out = fold_bounds(bands.filter("b > a").select(KEY, "a", "b", "L", "U", F.lit(0).alias("ord"))).withColumn("ord", F.lit(0))
+    if o.include_union_windows:
+        out = out.unionByName(union_candidates(out, obs, o).select(KEY, "a", "b", "L", "U", F.lit(1).alias("ord")))
     if o.include_global_total:
         all_ = t.select(KEY, F.least("first", F.lit(0.0)).alias("a"), F.col("last").alias("b"), F.col("N").alias("M"))
         total = band(all_, t, o).select(KEY, "a", "b", "L", "U", F.lit(2).alias("ord"))

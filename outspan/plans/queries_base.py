@@ -404,6 +404,44 @@ def _(t):
     return rounded(curves.next_gap(s, 30.0).select("series_id", "snap_id", "next_t", "offset", "segment_end"))
 
 
+_SNAPS = ("snaps", "SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY d) AS snap_id, d AS t_star FROM observations")
+
+
+def _snaps(t):
+    return t.observations.select("series_id", F.col("d").alias("t_star"), F.row_number().over(Window.partitionBy("series_id").orderBy("d")).cast("long").alias("snap_id"))
+
+
+@query("c9_since_axis_start", with_("observations", "SELECT series_id, snap_id, round(t_star, 6) AS t_star FROM snaps WHERE t_star >= 120", _SNAPS))
+def _(t):
+    return rounded(criteria.since_axis_start(_snaps(t), 120.0).select("series_id", "snap_id", "t_star"))
+
+
+@query("i1_chronological", with_("observations", "SELECT series_id, snap_id, round(t_star, 6) AS t_star, row_number() OVER (PARTITION BY series_id ORDER BY t_star, snap_id) AS place FROM snaps", _SNAPS))
+def _(t):
+    ordered = curves.chronological(_snaps(t)).withColumn("at", F.monotonically_increasing_id())
+    return rounded(ordered.select("series_id", "snap_id", "t_star", F.row_number().over(Window.partitionBy("series_id").orderBy("at")).cast("long").alias("place")))
+
+
+@query("j3_pool", with_("parents edges", "SELECT round(t, 6) AS t, count(*) AS n FROM (SELECT t FROM parents UNION ALL SELECT child_t FROM edges) GROUP BY 1"))
+def _(t):
+    return curves.pool(t.parents.select("t"), t.edges.select(F.col("child_t").alias("t"))).groupBy(F.round("t", 6).alias("t")).agg(F.count("*").alias("n"))
+
+
+#: Each snapshot's curve at T = 0, 5, .. 30: exp(-T / (5 + snap_id)).
+_ONLINE = (
+    ("gaps", "SELECT series_id, snap_id, coalesce(lead(t_star) OVER w - t_star, 30e0) AS next_t, t_star - first_value(t_star) OVER w AS off FROM snaps WINDOW w AS (PARTITION BY series_id ORDER BY t_star, snap_id)"),
+    ("pts", "SELECT series_id, snap_id, next_t, off, i * 5e0 AS T, exp(-i * 5e0 / (5 + snap_id)) AS p FROM gaps, range(7) r(i)"),
+    ("ends", "SELECT a.series_id, a.snap_id, a.p + (b.p - a.p) * (a.next_t - a.T) / 5e0 AS p_end FROM pts a JOIN pts b ON a.series_id = b.series_id AND a.snap_id = b.snap_id AND b.T = a.T + 5 WHERE a.T < a.next_t AND b.T >= a.next_t"),
+)
+
+
+@query("f20_online_curve", with_("observations", 'SELECT p.series_id, p.snap_id, round(off + T, 6) AS x, round(p, 6) AS p, round(p_end, 6) AS p_end FROM pts p LEFT JOIN ends e ON p.series_id = e.series_id AND p.snap_id = e.snap_id WHERE T <= next_t', _SNAPS, *_ONLINE))
+def _(t):
+    s = curves.next_gap(_snaps(t), 30.0)
+    c = s.select("series_id", "snap_id", F.explode(F.array(*[F.lit(5.0 * i) for i in range(7)])).alias("T")).withColumn("p", F.exp(-F.col("T") / (5 + F.col("snap_id"))))
+    return rounded(curves.online_curve(c, s))
+
+
 @query("h8_infer_pairs", with_("ev", f"SELECT traj_id, round(prev, 6) AS prev, round(t, 6) AS cur FROM (SELECT traj_id, t, lag(t) OVER (PARTITION BY traj_id ORDER BY t, event_id) AS prev FROM ev) WHERE prev <= {T_STAR} AND t > {T_STAR}"))
 def _(t):
     return rounded(curves.infer_pairs(t.ev, T_STAR))
@@ -420,9 +458,9 @@ def _(t):
     return e.groupBy("traj_id").agg(F.count("*").alias("n"))
 
 
-@query("i5_choose", "SELECT CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS different FROM (SELECT count(*) FROM customer)")
+@query("i5_choose", with_("customers", "SELECT traj_id FROM customers ORDER BY md5('3:' || traj_id), traj_id LIMIT 100"))
 def _(t):
-    return ingest.choose(t.customers, 100, 3).agg(F.count("*").alias("n"), F.countDistinct("traj_id").alias("different"))
+    return ingest.choose(t.customers, 100, 3)
 
 
 @query("j4_distinct_times", with_("edges", f"SELECT traj_id, count(DISTINCT parent_t) AS n FROM edges WHERE parent_t <= {EDGE_STAR} GROUP BY traj_id"))

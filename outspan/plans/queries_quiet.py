@@ -118,14 +118,14 @@ def _(t):
     return rounded(g.groupBy("T").agg(F.avg("g").alias("p"), F.count("*").alias("n")))
 
 
-@query("p13_subset_curves")
+@query("p13_subset_curves", _rb_sql(True).replace("is_root FROM parents)", "is_root FROM parents WHERE traj_id IN (SELECT c_custkey FROM customer ORDER BY md5('5:' || c_custkey), c_custkey LIMIT 200))"))
 def _(t):
     ids = ingest.choose(t.customers, 200, 5)
     keep = lambda df: df.join(F.broadcast(ids), "traj_id", "left_semi")
     return rounded(quiet.rb_cond_curve(quiet.rao_blackwell(keep(_parents(t)), t.draws, t.grid(0, 20, 4), EDGE_STAR, True)))
 
 
-@query("p14_snapshot_curves")
+@query("p14_snapshot_curves", " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS snap_id, {star}e0 AS t_star, T, p, n FROM ({_rb_sql(True).replace(str(EDGE_STAR), str(star))})" for i, star in enumerate((40.0, 50.0, 60.0))))
 def _(t):
     out = None
     for i, star in enumerate((40.0, 50.0, 60.0)):
@@ -201,14 +201,35 @@ def _(t):
     return rounded(quiet.first_after_mixture(_logs(t)))
 
 
-@query("p20_bootstrap_bands")
+@query("p20_bootstrap_bands", _ls_sql(
+    "SELECT T, round(quantile_cont(p, 0.05), 6) AS lo, round(quantile_cont(p, 0.95), 6) AS hi FROM (SELECT b, T, sum(c * exp(lh)) / sum(c * exp(ls)) AS p FROM (SELECT b, T, ls, lh, "
+    + " + ".join(f"(CASE WHEN u >= {float(c)!r} THEN 1 ELSE 0 END)" for c in quiet.POISSON_CUTS)
+    + " AS c FROM (SELECT *, CAST(('0x' || substr(md5('11:' || traj_id || ':' || b), 1, 10))::BIGINT AS DOUBLE) / 1099511627776e0 AS u FROM lg, range(50) r(b))) WHERE c > 0 GROUP BY b, T) GROUP BY T", None).replace('lg AS (SELECT T,', 'lg AS (SELECT traj_id, T,'))
 def _(t):
     return rounded(quiet.bootstrap_bands(_logs(t), 50, 11))
 
 
+def _surrogate_sql(method: str) -> str:
+    """The surrogate's log survival from the value and two small steps of the draw's own."""
+    ls = {
+        "gompertz": "gom",
+        "gamma_moment": f"-A * {erlang('T')}",
+        "two_exp": "CASE WHEN A > 0 AND q2 - m * m >= 0 AND sqrt(greatest(q2 - m * m, 0e0)) < m THEN -A * (1 - (exp(-(m + sqrt(greatest(q2 - m * m, 0e0))) * T) + exp(-(m - sqrt(greatest(q2 - m * m, 0e0))) * T)) / 2) ELSE gom END",
+    }[method]
+    near = erlang("(age + s)")
+    return with_(
+        "draws edges", f"SELECT T, round(sum(exp(lh)) / sum(exp({ls})), 6) AS p FROM sur GROUP BY T", _AC, _G5,
+        ("pf", f"SELECT *, {erlang('age')} AS F0 FROM (SELECT a.traj_id, R0, k, alpha, theta, {EDGE_STAR} - parent_t AS age FROM act a JOIN draws d ON a.traj_id = d.traj_id)"),
+        ("steps", f"SELECT traj_id, sum(-k*ln(1+R0/k*(1-F0))) AS lh, sum(-k*ln(1+R0/k*(F1-F0))) AS l1, sum(-k*ln(1+R0/k*(F2-F0))) AS l2 FROM (SELECT *, {near.replace(' + s)', ' + 1e-3)')} AS F1, {near.replace(' + s)', ' + 2e-3)')} AS F2 FROM pf) GROUP BY traj_id"),
+        ("own", "SELECT d.traj_id, d.alpha, d.theta, coalesce(lh, 0e0) AS lh, coalesce(l1, 0e0) AS l1, coalesce(l2, 0e0) AS l2 FROM draws d LEFT JOIN steps s ON d.traj_id = s.traj_id"),
+        ("par", "SELECT *, -lh AS A, -l1 / 1e-3 AS h0, -(l2 - 2 * l1) / 1e-6 AS c FROM own"),
+        ("sur", "SELECT *, CASE WHEN A > 0 THEN -A * (1 - exp(-h0 * T / A)) ELSE 0e0 END AS gom, CASE WHEN A > 0 THEN h0 / A END AS m, CASE WHEN A > 0 THEN -c / A END AS q2 FROM par, g"),
+    )
+
+
 for _m in ("exact", "gompertz", "two_exp", "gamma_moment"):
 
-    @query(f"p21_surrogate_{_m}", _ls_sql("SELECT T, round(sum(exp(lh))/sum(exp(ls)), 6) AS p FROM lg GROUP BY T", None) if _m == "exact" else None)
+    @query(f"p21_surrogate_{_m}", _ls_sql("SELECT T, round(sum(exp(lh))/sum(exp(ls)), 6) AS p FROM lg GROUP BY T", None) if _m == "exact" else _surrogate_sql(_m))
     def _(t, m=_m):
         return rounded(quiet.first_after_surrogate(t.draws, _act(t), t.grid(0, 20, 5), EDGE_STAR, m))
 

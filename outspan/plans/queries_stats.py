@@ -226,10 +226,14 @@ def _(t):
     return rounded(stats.moments(t.ev, ["event_type"], "t"))
 
 
-@query("i6_latin_hypercube", "SELECT CAST(count(*) AS BIGINT) AS draws, CAST(count(*) AS BIGINT) AS strata FROM customer")
+def _stratum(i: int, name: str, lo: float, hi: float) -> str:
+    u = f"CAST(('0x' || substr(md5('2:{i}:' || traj_id), 1, 10))::BIGINT AS DOUBLE) / 1099511627776e0"
+    return f"round({lo} + (row_number() OVER (ORDER BY md5('1:{i}:' || traj_id), traj_id) - 1 + {u}) / count(*) OVER () * ({hi} - {lo}), 6) AS {name}"
+
+
+@query("i6_latin_hypercube", with_("customers", "SELECT traj_id, " + ", ".join(_stratum(i, *p) for i, p in enumerate([("R0", "0.25e0", "15e0"), ("k", "0.2e0", "10e0"), ("r", "0.01e0", "0.99e0"), ("alpha", "1e0", "4e0"), ("theta", "1e0", "11e0")])) + " FROM customers"))
 def _(t):
     from ..model import Parameter
 
-    n = t.customers.count()
-    d = ingest.latin_hypercube(t.spark, n, [Parameter("R0", 0.25, 15), Parameter("k", 0.2, 10), Parameter("r", 0.01, 0.99), Parameter("alpha", 1, 4), Parameter("theta", 1, 11)])
-    return d.agg(F.count("*").alias("draws"), F.countDistinct(F.floor((F.col("R0") - 0.25) / 14.75 * n)).alias("strata"))
+    d = ingest.latin_hypercube_of(t.customers, [Parameter("R0", 0.25, 15), Parameter("k", 0.2, 10), Parameter("r", 0.01, 0.99), Parameter("alpha", 1, 4), Parameter("theta", 1, 11)])
+    return rounded(d.drop("chunk"))

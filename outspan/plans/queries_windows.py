@@ -147,10 +147,9 @@ def _(t):
 
 @query("k10_score_options")
 def _(t):
-    obs = t.spark.sql("SELECT CAST(n_regionkey AS BIGINT) AS series_id, n_nationkey * 1.1e0 AS d, 1L + n_nationkey % 3 AS n FROM {nation}", nation=t.raw("nation"))
-    ev = t.ev.filter("event_type = 'signup'").select((F.col("traj_id") % 5).alias("series_id"), "traj_id", "t")
-    o = windows.with_option(O, strategy="cluster", include_union_windows=False)
-    s = windows.score_options(obs, ev, {0: o, 1: windows.with_option(o, baseline_p=0.6, h_max=0.8)})
+    ev = t.parents.select(F.col("traj_id").alias("series_id"), (F.col("parent_id") % 7).alias("traj_id"), (F.col("t") * 3 + 109.6).alias("t"))
+    o = windows.with_option(O, grid_step_days=1.0)
+    s = windows.score_options(_obs(t), ev, {0: o, 1: windows.with_option(o, strategy="cluster", baseline_p=0.6, h_max=0.8)})
     return rounded(windows.best_options(s))
 
 
@@ -174,9 +173,11 @@ _PW = ("pw", "SELECT herd_id, lon, lat, (1 + herd_type % 4) * pow(herd_size::DOU
 TYPES = list(range(12))
 
 
-@query("l1_grid_cells", "SELECT count(*) AS cells, round(min(cx), 6) AS x0, round(max(cy), 6) AS y1 FROM (SELECT 11e0 + (ix + 0.5e0) * 17e0 / 16 AS cx, 40.5e0 + (iy + 0.5e0) * 13.2e0 / 16 AS cy FROM range(16) a(ix), range(16) b(iy))")
+@query("l1_grid_cells", with_("herds", "SELECT ix, iy, round(15.5e0 + (ix + 0.5e0) * 8e0 / 16, 6) AS cx, round(45e0 + (iy + 0.5e0) * 4.2e0 / 16, 6) AS cy, count(*) AS herds FROM (SELECT CAST(least(floor((lon - 15.5e0) / 8e0 * 16), 15) AS BIGINT) AS ix, CAST(least(floor((lat - 45e0) / 4.2e0 * 16), 15) AS BIGINT) AS iy FROM herds WHERE lon BETWEEN 15.5e0 AND 23.5e0 AND lat BETWEEN 45e0 AND 49.2e0) GROUP BY ix, iy"))
 def _(t):
-    return rounded(spatial.grid_cells(t.spark, BOX, N, 5.0).agg(F.count("*").alias("cells"), F.min("cx").alias("x0"), F.max("cy").alias("y1")))
+    cell = lambda c, lo, hi: spatial.cell_of(F.col(c), lo - 0.5, hi + 0.5, N)
+    held = _points(t).groupBy(cell("x", BOX[0], BOX[2]).alias("ix"), cell("y", BOX[1], BOX[3]).alias("iy")).agg(F.count("*").alias("herds"))
+    return rounded(spatial.grid_cells(t.spark, BOX, N, 0.5).join(held, ["ix", "iy"]))
 
 
 @query("l2_population_weights", with_("herds", "SELECT herd_id, round(raw / avg(raw) OVER (), 6) AS w FROM pw", _PW))
@@ -225,15 +226,16 @@ def _stream(t):
 
 
 def _drain(t, df, schema: T.StructType, mode: str = "complete"):
-    """Runs the stream over what there is and reads the last complete result."""
+    """Runs the stream over what there is and reads the last complete result, or, in update mode, the rows of all batches; a batch that
+    runs again writes over its own rows."""
     path = f"{shared_folder(t.spark)}/outspan-stream-{uuid.uuid4().hex}"
 
-    def write(batch, _):
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={number}")
 
     q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return t.spark.read.schema(schema).parquet(f"{path}/out")
+    return t.spark.read.schema(schema).parquet(f"{path}/out").select(*schema.fieldNames())
 
 
 @query("m1_stream_hist1d", with_("ev", "SELECT CAST(least(floor(t/30e0*15), 14) AS BIGINT) AS bin, count(*) AS n FROM ev WHERE t BETWEEN 0 AND 30 GROUP BY 1"))
@@ -251,7 +253,7 @@ def _(t):
 @query("m3_stream_quiet_monitor", with_("ev", "SELECT traj_id, round((epoch_us(max(m)) - epoch_us(max(l))) / 86400e6, 6) AS quiet_days FROM (SELECT traj_id, max(ts) AS l FROM ev GROUP BY traj_id), (SELECT max(ts) AS m FROM ev) GROUP BY traj_id"))
 def _(t):
     s = monitor.stream_quiet_monitor(_stream(t)).select("traj_id", "last_ts", "n")
-    return rounded(monitor.quiet_times(_drain(t, s, s.schema)))
+    return rounded(monitor.quiet_times(_drain(t, s, s.schema, "update")))
 
 
 @query("n6_collector_group", with_("entities ev", "SELECT e.traj_id, n, round(first_t, 6) AS first_t, signups FROM entities e LEFT JOIN (SELECT traj_id, count(*) AS n, min(t) AS first_t, count(*) FILTER (event_type = 'signup') AS signups FROM ev GROUP BY traj_id) x ON e.traj_id = x.traj_id"))
@@ -270,6 +272,3 @@ def _(t):
 
     spread.__annotations__ = {"x": pd.Series, "return": float}
     return rounded(t.draws.groupBy("alpha").agg(pandas_udf(T.DoubleType())(spread)("R0").alias("spread")))
-
-
-_ = criteria

@@ -36,12 +36,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset a folder of our own is made, but only on
+    a local master: other executors would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = got.get() if got.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-outspan-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -53,9 +53,14 @@ def decode_optimizer_rows(rows: DataFrame, col: str = "fields") -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != col], *out)
 
 
+def digest(seed: int, *cols) -> Column:
+    """MD5 of seed and columns, joined by colons: the same for any partitioning and engine."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]))
+
+
 def unit_hash(seed: int, *cols) -> Column:
-    """A number in [0, 1) from the columns, the same for any partitioning."""
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """A number in [0, 1): the first 40 bits of the digest."""
+    return F.conv(F.substring(digest(seed, *cols), 1, 10), 16, 10).cast("double") / F.lit(float(1 << 40))
 
 
 def first_n(ids: DataFrame, n: int, *tables: DataFrame) -> list[DataFrame]:
@@ -70,7 +75,7 @@ def min_required(df: DataFrame, n: int) -> DataFrame:
 
 def choose(ids: DataFrame, n: int, seed: int) -> DataFrame:
     """n ids without replacement, all if there are fewer."""
-    return ids.orderBy(F.xxhash64(F.lit(seed), "traj_id"), "traj_id").limit(n)
+    return ids.orderBy(digest(seed, "traj_id"), "traj_id").limit(n)
 
 
 def latin_hypercube(spark: SparkSession, n: int, priors: list[Parameter], chunks: int = 1, seed: int = 1, scramble: bool = True) -> DataFrame:
@@ -78,11 +83,20 @@ def latin_hypercube(spark: SparkSession, n: int, priors: list[Parameter], chunks
     if {p.name for p in priors} != set(PARAMETERS):
         raise ValueError(f"needs {PARAMETERS}")
     df = spark.range(n * chunks).withColumn("chunk", F.floor(F.col("id") / n)).withColumn("row", F.col("id") % n)
+    return _stratified(df, n, priors, seed, scramble)
+
+
+def latin_hypercube_of(ids: DataFrame, priors: list[Parameter], seed: int = 1) -> DataFrame:
+    """A draw for each trajectory of ``ids``, all of them one chunk."""
+    return _stratified(ids.select(F.col("traj_id").alias("id"), F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("row")), max(1, ids.count()), priors, seed, True)
+
+
+def _stratified(df: DataFrame, n: int, priors: list[Parameter], seed: int, scramble: bool) -> DataFrame:
     for i, p in enumerate(priors):
         if p.fixed:
             df = df.withColumn(p.name, F.lit(float(p.lo)))
             continue
-        order = F.xxhash64(F.lit(seed), F.lit(i), "id")
+        order = digest(seed, F.lit(i), "id")
         stratum = F.row_number().over(Window.partitionBy("chunk").orderBy(order, "id")) - 1 if scramble else F.col("row")
         df = df.withColumn(p.name, F.lit(p.lo) + (stratum + unit_hash(seed + 1, F.lit(i), "id")) / n * (p.hi - p.lo))
     return df.select(F.col("id").alias("traj_id"), "chunk", *PARAMETERS)

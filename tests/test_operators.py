@@ -133,3 +133,43 @@ def test_criterion_group_counts_empty_windows(spark):
     ev = spark.createDataFrame([(1, 0.0, True), (1, 2.0, False)], "traj_id long, t double, is_root boolean")
     win = spark.createDataFrame([(0, 0.0, 2.0, 1, 1), (1, 3.0, 4.0, 0, 0)], "win_id int, t_min double, t_max double, lo long, hi long")
     assert [r["traj_id"] for r in criteria.criterion_group(ids, ev, win).collect()] == [1]
+
+
+def test_open_and_long_windows(spark):
+    inf = float("inf")
+    ev = spark.createDataFrame([(1, 7, 0.0), (1, 8, 500.5), (2, 9, -3.2), (2, 10, 2.0**21), (3, 11, None)], "traj_id long, id long, t double")
+    win = spark.createDataFrame([(0, -inf, 0.0), (1, 0.0, inf), (2, -10.0, 3e9), (3, 500.5, 500.5), (4, 400.0, 600.0), (5, 9.0, 8.0)], "win_id int, t_min double, t_max double")
+    got = {(r["traj_id"], r["win_id"]): r["n"] for r in criteria.window_counts(ev, win).collect()}
+    assert got == {(1, 0): 1, (1, 1): 2, (1, 2): 2, (1, 3): 1, (1, 4): 1, (2, 0): 1, (2, 1): 1, (2, 2): 2}
+    assert {r["id"]: r["cluster"] for r in criteria.cluster_of(ev.select("id", "t"), win).collect()} == {7: 0, 8: 1, 9: 0, 10: 1, 11: -1}
+
+
+def test_bootstrap_of_tiny_chances(spark):
+    logs = spark.createDataFrame([(i, 0.0, -800.0 - i, -805.0 - i) for i in range(40)], "traj_id long, T double, ls double, lh double")
+    r = quiet.bootstrap_bands(logs, 20, 3).first()
+    assert abs(r["lo"] - 0.006737946999) < 1e-9 and abs(r["hi"] - r["lo"]) < 1e-9
+
+
+def test_segments_need_two_steps(spark):
+    from outspan.model import WindowOptions
+
+    obs = spark.createDataFrame([(1, 0.0, 1), (1, 1.0, 2), (2, 0.0, 1), (2, 3.0, 1), (2, 4.0, 5)], "series_id long, d double, n long")
+    got = windows.segment_windows(obs, WindowOptions(grid_step_days=1.0, min_seg_days=1.0)).collect()
+    assert {r["series_id"] for r in got} == {2} and all(r["b"] - r["a"] >= 2 for r in got)
+
+
+def test_stream_of_batches(spark, tmp_path):
+    """Rows of a batch update the windows that are open; rows later than the watermark of the batches before the last are left out."""
+    import time
+
+    from outspan.streaming import monitor
+
+    day = "timestamp'2024-01-{:02d} 12:00:00'"
+    for rows in ([(1, 1), (2, 1), (1, 9)], [(1, 10)], [(1, 10), (2, 2), (2, 9)]):
+        spark.sql(" UNION ALL ".join(f"SELECT {t}L AS traj_id, {day.format(d)} AS ts" for t, d in rows)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in the order of their times
+    s = spark.readStream.schema("traj_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen = []
+    q = monitor.stream_quiet_monitor(s).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda b, n: seen.append({(r["traj_id"], r["last_ts"].day, r["n"]) for r in b.collect()})).start()
+    q.awaitTermination()
+    assert [x for x in seen if x] == [{(1, 1, 1), (2, 1, 1), (1, 9, 1)}, {(1, 10, 1)}, {(1, 10, 2), (2, 9, 1)}]
