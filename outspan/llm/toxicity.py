@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, part_count
 
 VOCABULARY = 1024  # words and beginnings of words that the model weighs: those whose frequencies tell the labels apart best
 TRAIN_ROWS = 30_000  # labelled documents that the fit uses at most, chosen by a hash of the text
@@ -93,6 +93,7 @@ def fit(train: DataFrame) -> dict:
     n = train.count()
     if n > TRAIN_ROWS:
         train = materialize(train.filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(1_000_000 * TRAIN_ROWS / n)), "sample")
+    train = materialize(train.select("t", "y").repartition(part_count(train)), "even")  # few files may hold the sample
     words = choose_words(train)
     if not words:
         return {"words": [], "weights": np.zeros(0), "bias": START}

@@ -480,6 +480,58 @@ def test_classifiers(spark, docs, tables):
         assert f(docs.limit(0), labels(spark, [(1, 1, 0), (None, None, None)])).count() == 0
 
 
+def test_ridge_is_the_dense_solution(spark):
+    """Partition sums give the least squares of all rows at once, and features the Gaussian kernel they stand for."""
+    from outspan.llm import quality_classifier as qc
+
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(300, len(qc.STATS)))
+    y = (v[:, 0] + 0.3 * rng.normal(size=300) > 0).astype(float)
+    rows = [(x.tolist(), float(t), int(i % 4)) for i, (x, t) in enumerate(zip(v, y, strict=True))]
+    model = qc.fit(spark.createDataFrame(rows, "v array<double>, y double, fold int").repartition(5))
+    fitted = np.array([r[2] < 3 for r in rows])
+    assert np.allclose(model["centre"], v.mean(0)) and np.allclose(model["spread"], np.maximum(v.std(0), 0.02))
+    z = qc._kernel_features(v, v.mean(0), np.maximum(v.std(0), 0.02))
+    d = z.shape[1]
+    ridge = qc.RIDGE * max(1.0, (z[fitted].T @ z[fitted])[0, 0])
+    want = np.linalg.lstsq(np.vstack([z[fitted], np.sqrt(ridge) * np.eye(d)]), np.concatenate([y[fitted], np.zeros(d)]), rcond=None)[0]
+    assert np.allclose(z @ model["beta"], z @ want, atol=1e-6)
+
+
+def test_toxicity_is_the_noisy_or_likelihood(spark):
+    """Weights against the same steps with slopes of the likelihood taken by finite differences."""
+    from outspan.llm import toxicity as tx
+
+    rng = random.Random(4)
+    calm, bad = ["green", "river", "table", "window", "paper"], ["zorgish", "blarg"]
+    docs = []
+    for i in range(40):
+        sentences = [" ".join(rng.choice(calm) for _ in range(4)) for _ in range(rng.randint(1, 4))]
+        if i % 3 == 0:
+            sentences.insert(rng.randrange(len(sentences) + 1), "you " + rng.choice(bad) + " " + rng.choice(calm))
+        docs.append((". ".join(sentences) + ".", float(i % 3 == 0)))
+    model = tx.fit(spark.createDataFrame(docs, "t string, y double").repartition(3))
+    index = {w: i for i, w in enumerate(model["words"])}
+    k, found = len(index), tx._word_sets([t for t, _ in docs], index)
+
+    def likelihood(theta):
+        total = 0.0
+        for (n, f), (_, y) in zip(found, docs, strict=True):
+            logits = [theta[k] + sum(theta[i] for i in w) for *_, w in f] + [theta[k]] * (n - len(f))
+            clean = -sum(np.log1p(np.exp(a)) for a in logits)
+            total += np.log(-np.expm1(clean)) if y else clean
+        return total / len(docs)
+
+    theta, first, second = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
+    theta[k] = tx.START
+    for step in range(1, tx.STEPS + 1):
+        g = np.array([(likelihood(theta + e) - likelihood(theta - e)) / 2e-5 for e in 1e-5 * np.eye(k + 1)])
+        g[:k] -= tx.SHRINK * theta[:k]
+        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+        theta = theta + tx.RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8) * (1 - step / (tx.STEPS + 10))
+    assert k and np.allclose(model["weights"], theta[:k], atol=2e-2) and abs(model["bias"] - theta[k]) < 2e-2
+
+
 def test_toxicity_locates(spark):
     neutral = ["the cat sat here", "we saw a film", "rain fell on town", "they ate the bread"]
     rows, marks = [], []
