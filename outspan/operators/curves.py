@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .criteria import small
+from .ranks import percentiles
 
 
 def cumulative_matrix(entities: DataFrame, events: DataFrame, start: float, step: float, n: int) -> DataFrame:
@@ -31,7 +32,7 @@ def mean_cumulative(entities: DataFrame, events: DataFrame, evals: DataFrame) ->
 
 
 def median_cumulative(matrix: DataFrame) -> DataFrame:
-    return matrix.groupBy("g").agg(F.percentile("y", F.lit(0.5)).alias("median"))
+    return percentiles(matrix, ["g"], "y", {"median": 0.5})
 
 
 def l2_distance(a: DataFrame, b: DataFrame, on: str, accepted: int | None = None, least: int = 80) -> DataFrame:
@@ -99,7 +100,7 @@ def timepath(first: DataFrame, metrics: list[str], grid: DataFrame, probs: tuple
     """Of each T and metric percentiles over the draws that are still quiet; ``first`` has draws joined with first_post."""
     rows = first.crossJoin(F.broadcast(grid)).filter(F.col("first_post").isNull() | (F.col("first_post") > F.col("T")))
     long = rows.unpivot([*keys, "traj_id", "T"], metrics, "metric", "value")
-    return long.groupBy(*keys, "T", "metric").agg(F.count("*").alias("n"), *[F.percentile("value", F.lit(p)).alias(f"q{round(p * 1000):03d}") for p in probs])
+    return percentiles(long, [*keys, "T", "metric"], "value", {f"q{round(p * 1000):03d}": p for p in probs}, n="n")
 
 
 def timepath_weighted(first: DataFrame, metric: str, grid: DataFrame, sigma: float) -> DataFrame:

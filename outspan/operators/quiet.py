@@ -13,6 +13,7 @@ from ..functions.expr import interp_array, ultimate_extinction
 from ..functions.special import gamma_cdf, gamma_pdf_np, gamma_cdf_np, thinned_gamma_cdf
 from ..sources.ingest import unit_hash
 from .criteria import first_post, small
+from .ranks import attach, percentiles
 
 
 def grid_cross(df: DataFrame, grid: DataFrame) -> DataFrame:
@@ -63,7 +64,8 @@ def attach_donors(children: DataFrame, pool: DataFrame, seed: int) -> DataFrame:
 
 def representatives(draws: DataFrame, x: str, y: str, probs: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
     """Draws nearest to each pair of quantiles of two columns, distinct."""
-    q = draws.agg(*[F.percentile(c, F.lit(p)).alias(f"{c}_{i}") for c in (x, y) for i, p in enumerate(probs)])
+    q, qy = (percentiles(draws, [], c, {f"{c}_{i}": p for i, p in enumerate(probs)}) for c in (x, y))
+    q = q.crossJoin(F.broadcast(qy))
     targets = q.select(F.explode(F.array(*[F.struct(F.col(f"{x}_{i}").alias("qx"), F.col(f"{y}_{j}").alias("qy")) for i in range(len(probs)) for j in range(len(probs))])).alias("q")).select("q.*")
     d = F.pow(F.col(x) - F.col("qx"), F.lit(2)) + F.pow(F.col(y) - F.col("qy"), F.lit(2))
     return draws.crossJoin(F.broadcast(targets)).groupBy("qx", "qy").agg(F.min_by("traj_id", F.struct(d, F.col("traj_id"))).alias("traj_id")).select("traj_id").distinct()
@@ -237,8 +239,9 @@ def log_survival(draws: DataFrame, actives: DataFrame, grid: DataFrame, t_star:
 def first_after(logs: DataFrame, agg: str = "median", probs: tuple[float, ...] = (0.05, 0.95)) -> DataFrame:
     """P(T) = S(horizon) / S(T) over draws: median or mean, with percentile bands."""
     p = logs.withColumn("p", F.exp(F.col("lh") - F.col("ls")))
-    centre = F.percentile("p", F.lit(0.5)) if agg == "median" else F.avg("p")
-    return p.groupBy("T").agg(centre.alias("p"), F.percentile("p", F.lit(probs[0])).alias("lo"), F.percentile("p", F.lit(probs[1])).alias("hi"))
+    if agg == "median":
+        return percentiles(p, ["T"], "p", {"p": 0.5, "lo": probs[0], "hi": probs[1]})
+    return attach(p.groupBy("T").agg(F.avg("p").alias("p")), percentiles(p, ["T"], "p", {"lo": probs[0], "hi": probs[1]}), ["T"])
 
 
 def first_after_mixture(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -299,7 +302,7 @@ def parametric_quiet(parents: DataFrame, draws: DataFrame, grid: DataFrame, t_st
     p = p.withColumn("b", F.col("k") / R).select("traj_id", "b", "age", "alpha", "theta", (F.col("k") + F.col("n_pre")).alias("kk"))
     rows = grid_cross(p, grid).withColumn("F1", gamma_cdf(F.col("age") + F.col("T"), F.col("alpha"), F.col("theta")))
     per = rows.groupBy("traj_id", "T").agg(F.exp(F.sum(F.col("kk") * F.log((F.col("b") + F.col("F1")) / (F.col("b") + 1)))).alias("g"))
-    return per.groupBy("T").agg(F.percentile("g", F.lit(0.5)).alias("p"), F.count("*").alias("n"))
+    return percentiles(per, ["T"], "g", {"p": 0.5}, n="n").select("T", "p", "n")
 
 
 def ultimate(draws: DataFrame) -> DataFrame:

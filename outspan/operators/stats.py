@@ -10,33 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.expr import derived_metrics, is_finite, nb_between, nb_tail_ge
 from ..functions.special import normal_cdf
 from .criteria import small
+from .ranks import attach, cumulated, percentiles, shortest_window, value_runs
 
 
 def to_long(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
     return df.select(*ids, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(ids, metrics, "metric", "value")
 
 
-def value_runs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Different finite values with their count c, the count upto them and the total N: what rank-based statistics need, with equal
-    values aggregated before anything is sorted."""
-    runs = df.filter(is_finite(value)).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys)
-    return runs.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("N", F.sum("c").over(w))
-
-
-def shortest_window(df: DataFrame, keys: list[str], value: str, offset: Column) -> DataFrame:
-    """Least interval from the j-th to the (j + offset)-th sorted value, the first of equals; offset is a column of N."""
-    r = value_runs(df, keys, value).withColumn("m", offset.cast("long"))
-    # Of starts with equal values the first has the nearest right end, so each run has one start.
-    starts = r.select(*keys, (F.col("upto") - F.col("c") + 1 + F.col("m")).alias("rank"), F.col(value).alias("a"), "N").filter(F.col("rank") <= F.col("N")).drop("N")
-    ends = r.select(*keys, F.col("upto").alias("rank"), F.col(value).alias("b"))
-    both = starts.select(*keys, "rank", "a", F.lit(None).cast("double").alias("b")).unionByName(ends.select(*keys, "rank", F.lit(None).cast("double").alias("a"), "b"))
-    # The right end of a start is the first run whose last rank is at or after it: a running minimum from the largest rank down.
-    w = Window.partitionBy(*keys).orderBy(F.col("rank").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("end", F.min("b").over(w)).filter(F.col("a").isNotNull())
-    return found.groupBy(*keys).agg(F.min(F.struct((F.col("end") - F.col("a")).alias("width"), F.col("a").alias("a"), F.col("end").alias("end"))).alias("s")).select(*keys, F.col("s.a").alias("lo"), F.col("s.end").alias("hi"))
-
-
 def hdi(df: DataFrame, keys: list[str], value: str, mass: float) -> DataFrame:
     """Shortest interval over m = clamp(floor(mass * n), 1, n - 1) steps of the sorted sample; one value is a point."""
     m = F.when(F.col("N") == 1, 0).otherwise(F.least(F.greatest(F.floor(F.col("N") * F.lit(mass)), F.lit(1)), F.col("N") - 1))
@@ -51,13 +31,13 @@ def pointwise_hpd(df: DataFrame, keys: list[str], value: str, level: float) -> D
 
 
 def equal_tailed(df: DataFrame, keys: list[str], value: str, probs: tuple[float, ...]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(f"q{round(p * 1000):03d}") for p in probs])
+    return percentiles(df, keys, value, {f"q{round(p * 1000):03d}": p for p in probs})
 
 
 def summary_row(df: DataFrame, keys: list[str], value: str, masses: tuple[float, ...]) -> DataFrame:
     """Median, and for each mass the equal-tailed and the shortest interval."""
     probs = [(f"et_lo_{round(m * 100)}", (1 - m) / 2) for m in masses] + [(f"et_hi_{round(m * 100)}", (1 + m) / 2) for m in masses]
-    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(value, F.lit(0.5)).alias("median"), *[F.percentile(value, F.lit(p)).alias(a) for a, p in probs])
+    out = percentiles(df, keys, value, {"median": 0.5} | dict(probs), n="n")
     for m in masses:
         h = hdi(df, keys, value, m).withColumnsRenamed({"lo": f"hdi_lo_{round(m * 100)}", "hi": f"hdi_hi_{round(m * 100)}"})
         out = out.join(h, keys)
@@ -78,7 +58,7 @@ def posterior_table(draws: DataFrame, masses: tuple[float, ...] = (0.5, 0.95)) -
 def spec_summary(df: DataFrame, metrics: list[str]) -> DataFrame:
     """Median and 95 % interval by spec and quantity."""
     long = to_long(df, ["spec", "traj_id"], metrics)
-    return long.groupBy("spec", "metric").agg(F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("median"), F.percentile("value", F.lit(0.025)).alias("q025"), F.percentile("value", F.lit(0.975)).alias("q975"))
+    return percentiles(long, ["spec", "metric"], "value", {"median": 0.5, "q025": 0.025, "q975": 0.975}, n="n")
 
 
 def spec_wide(summary: DataFrame, metrics: list[str]) -> DataFrame:
@@ -101,7 +81,7 @@ def interval_report(draws: DataFrame, metrics: list[str], mass: float = 0.8, fac
 
 def metric_bounds(df: DataFrame, keys: list[str], value: str, pad: float = 0.08, share: str | None = None) -> DataFrame:
     """Pooled 0.5 % and 99.5 % quantiles, padded; those of the metric ``share`` are cut to [0, 1]."""
-    q = df.filter(is_finite(value)).groupBy(*keys).agg(F.percentile(value, F.lit(0.005)).alias("a"), F.percentile(value, F.lit(0.995)).alias("b"))
+    q = percentiles(df.filter(is_finite(value)), keys, value, {"a": 0.005, "b": 0.995})
     lo, hi = F.col("a") - pad * (F.col("b") - F.col("a")), F.col("b") + pad * (F.col("b") - F.col("a"))
     if share:
         cut = F.col(keys[0]) == share
@@ -115,8 +95,7 @@ def prob_true(df: DataFrame, expr: str) -> DataFrame:
 
 def _weighted(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     clean = df.filter(is_finite(value) & is_finite(weight) & (F.col(weight) > 0)).groupBy(*keys, value).agg(F.sum(weight).alias("w"))
-    over = Window.partitionBy(*keys)
-    return clean.withColumn("cum", F.sum("w").over(over.orderBy(value))).withColumn("total", F.sum("w").over(over))
+    return cumulated(clean, keys, value, "w", "cum", "total")
 
 
 def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q: float) -> DataFrame:
@@ -133,10 +112,8 @@ def weighted_tail_mean_band(df: DataFrame, keys: list[str], value: str, weight:
     """Weighted mean, and means of the rows within the tail mass (1 - p) / 2 at either end, at least one value, drawn in by p^0.7."""
     r = _weighted(df, keys, value, weight)
     tail = F.col("total") * F.lit((1 - p) / 2)
-    first = Window.partitionBy(*keys)
-    r = r.withColumn("least", F.min(value).over(first)).withColumn("most", F.max(value).over(first))
-    low = (F.col("cum") <= tail) | (F.col(value) == F.col("least"))
-    high = (F.col("cum") >= F.col("total") - tail) & ((F.col("cum") - F.col("w") >= F.col("total") - tail) | (F.col(value) == F.col("most"))) | (F.col(value) == F.col("most"))
+    low = (F.col("cum") <= tail) | (F.col(value) == F.col("__least"))
+    high = (F.col("cum") >= F.col("total") - tail) & ((F.col("cum") - F.col("w") >= F.col("total") - tail) | (F.col(value) == F.col("__most"))) | (F.col(value) == F.col("__most"))
     mean = lambda c: F.sum(F.when(c, F.col(value) * F.col("w"))) / F.sum(F.when(c, F.col("w")))
     out = r.groupBy(*keys).agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("mean"), mean(low).alias("lo"), mean(high).alias("hi"))
     s = 0.0 if p >= 0.999 else p**0.7
@@ -171,7 +148,7 @@ def simultaneous_band(curves: DataFrame, draw: str, x: str, y: str, level: float
     """Mean curve with a band of c standard deviations, c so that the share ``level`` of draws stays inside everywhere."""
     m = curves.groupBy(x).agg(F.avg(y).alias("mean"), F.greatest(F.coalesce(F.stddev_samp(y), F.lit(0.0)), F.lit(eps)).alias("sd"))
     z = curves.join(small(m), x).groupBy(draw).agg(F.max(F.abs(F.col(y) - F.col("mean")) / F.col("sd")).alias("worst"))
-    c = z.agg(F.percentile("worst", F.lit(level)).alias("c"))
+    c = percentiles(z, [], "worst", {"c": level})
     cover = z.crossJoin(F.broadcast(c)).agg(F.avg((F.col("worst") <= F.col("c")).cast("double")).alias("coverage"), F.first("c").alias("c"))
     lo, hi = F.col("mean") - F.col("c") * F.col("sd"), F.col("mean") + F.col("c") * F.col("sd")
     return m.crossJoin(F.broadcast(cover)).select(x, "mean", F.greatest(lo, F.lit(0.0)).alias("lo"), F.least(hi, F.lit(1.0)).alias("hi"), "coverage")
@@ -179,13 +156,12 @@ def simultaneous_band(curves: DataFrame, draw: str, x: str, y: str, level: float
 
 def bandwidth(df: DataFrame, keys: list[str], value: str, rule: str = "scott") -> DataFrame:
     sd = F.stddev_samp(value)
-    n = F.pow(F.count("*").cast("double"), F.lit(-0.2))
+    base = df.groupBy(*keys).agg(sd.alias("sd"), F.count("*").alias("n"))
+    shrink = F.pow(F.col("n").cast("double"), F.lit(-0.2))
     if rule == "scott":
-        bw = sd * n
-    else:
-        iqr = (F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25))) / 1.34
-        bw = 0.9 * F.least(sd, iqr) * n
-    return df.groupBy(*keys).agg(bw.alias("bw"), F.count("*").alias("n"))
+        return base.select(*keys, (F.col("sd") * shrink).alias("bw"), "n")
+    both = attach(base, percentiles(df, keys, value, {"q1": 0.25, "q3": 0.75}), keys)
+    return both.select(*keys, (0.9 * F.least("sd", (F.col("q3") - F.col("q1")) / 1.34) * shrink).alias("bw"), "n")
 
 
 def kernel(u: Column, kind: str) -> Column:
@@ -225,9 +201,10 @@ def kde(df: DataFrame, keys: list[str], value: str, grid: DataFrame, rule: str =
 
 def fd_bins(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Freedman-Diaconis number of bins, between 30 and 120."""
-    width = 2 * (F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25))) * F.pow(F.count("*").cast("double"), F.lit(-1 / 3))
-    span = F.max(value) - F.min(value)
-    return df.groupBy(*keys).agg(F.when(width > 0, F.least(F.greatest(F.ceil(span / width), F.lit(30)), F.lit(120))).otherwise(30).cast("long").alias("bins"))
+    width = 2 * (F.col("q3") - F.col("q1")) * F.pow(F.col("n").cast("double"), F.lit(-1 / 3))
+    spans = df.groupBy(*keys).agg((F.max(value) - F.min(value)).alias("span"))
+    both = attach(spans, percentiles(df, keys, value, {"q1": 0.25, "q3": 0.75}, n="n"), keys)
+    return both.select(*keys, F.when(width > 0, F.least(F.greatest(F.ceil(F.col("span") / width), F.lit(30)), F.lit(120))).otherwise(30).cast("long").alias("bins"))
 
 
 def fit_r1(df: DataFrame, value: str, dist: str, bins: int, lo: float, hi: float) -> DataFrame:

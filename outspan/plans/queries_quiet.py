@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import wilson_interval, z_value
 from ..operators import collect, criteria, quiet
+from ..operators.ranks import percentiles
 from ..sources import ingest
 from .bindings import EDGE_STAR, T_STAR, erlang, grid_sql, with_
 from .register import registry, rounded
@@ -152,7 +153,7 @@ _G5 = ("g", grid_sql(0, 20, 5))
 
 
 def _bands(df):
-    return rounded(df.groupBy("T").agg(F.percentile("g", F.lit(0.5)).alias("p"), F.percentile("g", F.lit(0.05)).alias("lo"), F.percentile("g", F.lit(0.95)).alias("hi")))
+    return rounded(percentiles(df, ["T"], "g", {"p": 0.5, "lo": 0.05, "hi": 0.95}))
 
 
 _BAND = "SELECT T, round(quantile_cont(gg, 0.5), 6) AS p, round(quantile_cont(gg, 0.05), 6) AS lo, round(quantile_cont(gg, 0.95), 6) AS hi FROM (SELECT T, coalesce(gq, 1e0) AS gg FROM (SELECT traj_id, T FROM draws, g) LEFT JOIN q USING (traj_id, T)) GROUP BY T"
