@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import wilson_interval, z_value
@@ -61,14 +60,37 @@ def _(t):
     return rounded(quiet.seed_cond(t.customers, t.edges, t.grid(0, 10, 1), EDGE_STAR).select("T", "over", "n", "p"))
 
 
-@query("p6_survival_table")
+def _pdf(x: str) -> str:
+    """Gamma density for shapes 1 to 4."""
+    return f"(pow({x}, alpha - 1) * exp(-({x}) / theta) / (pow(theta, alpha) * CASE WHEN alpha < 3 THEN 1 WHEN alpha < 4 THEN 2 ELSE 6 END))"
+
+
+def _survival(n: int, h: float) -> tuple[str, str]:
+    """Extinction by age for each distinct key: the list grows by one element a step, from a product of densities and the list reversed."""
+    step = "pow(b / greatest(b + 1 - list_inner_product(f[1:len(acc)], list_reverse(acc)), 1e-12), k)"
+    return ("tab", f"SELECT R, k, alpha, theta, list_reduce(list_prepend([pow(b / (b + 1), k)], list_transform(range({n}), lambda i: [0e0])), lambda acc, x: list_append(acc, {step})) AS H FROM (SELECT *, k / R AS b, list_transform(range(1, {n + 1}), lambda j: {h} * {_pdf(f'({h} * j)')}) AS f FROM (SELECT DISTINCT round(r * R0, 6) AS R, round(k, 6) AS k, alpha, theta FROM draws))")
+
+
+@query("p6_survival_table", with_("draws", "SELECT R, k, CAST(alpha AS DOUBLE) AS alpha, theta, round(H[1], 6) AS h0, round(H[len(H)], 6) AS h30 FROM tab", _survival(150, 0.2)))
 def _(t):
     keys = t.draws.select(F.round(F.col("r") * F.col("R0"), 6).alias("R"), F.round("k", 6).alias("k"), F.col("alpha").cast("double").alias("alpha"), "theta").distinct()
     s = quiet.survival_table(keys, 30.0, 0.2)
     return rounded(s.select("R", "k", "alpha", "theta", F.get("H", F.lit(0)).alias("h0"), F.element_at("H", -1).alias("h30")))
 
 
-@query("p7_seed_uncond")
+def _seed_sql(step: int) -> str:
+    """Products over crossing seeds; the table is read between its two nearest ages."""
+    return with_(
+        "draws edges", "SELECT T, round(avg(g), 6) AS p FROM per GROUP BY T", _survival(150, 0.2), ("gr", grid_sql(0, 20, step)),
+        ("seed", f"SELECT d.traj_id, child_t AS s, H FROM edges e JOIN draws d ON e.traj_id = d.traj_id JOIN tab ON tab.R = round(d.r * d.R0, 6) AND tab.k = round(d.k, 6) AND tab.alpha = d.alpha AND tab.theta = d.theta WHERE parent_t <= {EDGE_STAR} AND child_t > {EDGE_STAR}"),
+        ("pos", f"SELECT traj_id, T, s, H, greatest({EDGE_STAR} + T - s, 0e0) / 0.2e0 AS y FROM seed, gr"),
+        ("val", "SELECT traj_id, T, s, H[CAST(floor(y) AS INTEGER) + 1] * (1 - (y - floor(y))) + H[CAST(floor(y) AS INTEGER) + 2] * (y - floor(y)) AS v FROM pos"),
+        ("prod", f"SELECT traj_id, T, CASE WHEN {EDGE_STAR} + T < max(s) THEN 0e0 ELSE exp(sum(ln(greatest(v, 1e-300)))) END AS g FROM val GROUP BY traj_id, T"),
+        ("per", "SELECT T, coalesce(g, 1e0) AS g FROM (SELECT traj_id, T FROM draws, gr) LEFT JOIN prod USING (traj_id, T)"),
+    )
+
+
+@query("p7_seed_uncond", _seed_sql(1))
 def _(t):
     return rounded(quiet.seed_uncond(t.draws, t.edges, t.grid(0, 20, 1), EDGE_STAR))
 
@@ -113,7 +135,18 @@ def _(t):
     return rounded(rb.select("traj_id", "T", (F.col("g_inf") / F.col("g_quiet")).alias("p")))
 
 
-@query("p11_rb_uncond")
+def _uncond_sql() -> str:
+    """Chances that all descendants end by T, from the table and each parent's density after the cutoff; T lies on the table's grid."""
+    after = f"list_inner_product(list_transform(range(1, i + 1), lambda j: 0.2 * {_pdf('(age + 0.2 * j)')}), list_reverse(list_transform(H[1:i], lambda x: 1 - x)))"
+    return with_(
+        "parents edges draws", "SELECT T, round(avg(g), 6) AS p, count(*) AS n FROM per GROUP BY T", *_PAR, _survival(150, 0.2),
+        ("own", "SELECT pp.*, H FROM pp JOIN draws d ON pp.traj_id = d.traj_id JOIN tab ON tab.R = round(d.r * d.R0, 6) AND tab.k = round(d.k, 6) AND tab.alpha = d.alpha AND tab.theta = d.theta"),
+        ("psi", f"SELECT traj_id, T, k + n_pre AS kk, k / Reff + {erlang('age')} AS b, 1 - {erlang('(age + T)')} + CASE WHEN i = 0 THEN 0e0 ELSE {after} END AS y FROM (SELECT *, CAST(round(T * 5) AS BIGINT) AS i FROM own, g)"),
+        ("per", "SELECT traj_id, T, exp(sum(kk * ln(b / (b + y)))) AS g FROM psi GROUP BY traj_id, T"),
+    )
+
+
+@query("p11_rb_uncond", _uncond_sql())
 def _(t):
     g = quiet.rb_uncond(_parents(t), t.draws, [float(x) for x in range(0, 21, 4)], EDGE_STAR)
     return rounded(g.groupBy("T").agg(F.avg("g").alias("p"), F.count("*").alias("n")))
@@ -240,7 +273,19 @@ def _(t):
     return rounded(quiet.parametric_quiet(_parents(t), t.draws, t.grid(0, 20, 4), EDGE_STAR))
 
 
-@query("p23_compare_estimators")
+_CHILD = ("fp", f"SELECT c.traj_id, min(child_t) FILTER (child_t > {EDGE_STAR}) - {EDGE_STAR} AS first_post, max(child_t) AS last_t FROM customers c LEFT JOIN edges e ON c.traj_id = e.traj_id GROUP BY c.traj_id")
+_QUIET = "SELECT T, round(count(*) FILTER (first_post IS NULL) / nullif(count(*) FILTER (first_post IS NULL OR first_post > T), 0)::DOUBLE, 6) AS p FROM fp, g GROUP BY T"
+_COMPARED = {
+    ("unconditional", "empirical"): with_("customers edges", f"SELECT T, round(avg(CASE WHEN last_t IS NULL OR last_t <= {EDGE_STAR} + T THEN 1e0 ELSE 0e0 END), 6) AS p FROM fp, g GROUP BY T", _CHILD, ("g", grid_sql(0, 20, 4))),
+    ("conditional", "empirical"): with_("customers edges", _QUIET, _CHILD, ("g", grid_sql(0, 20, 4))),
+    ("unconditional", "seeds"): _seed_sql(4),
+    ("conditional", "seeds"): with_("customers edges", _QUIET, _SEED, ("g", grid_sql(0, 20, 4))),
+    ("unconditional", "rao_blackwell"): _uncond_sql(),
+    ("conditional", "rao_blackwell"): _rb_sql(True),
+}
+
+
+@query("p23_compare_estimators", " UNION ALL ".join(f"SELECT '{target}' AS target, '{name}' AS estimator, T, p FROM ({sql})" for (target, name), sql in _COMPARED.items()))
 def _(t):
     g = t.grid(0, 20, 4)
     ev = t.edges.select("traj_id", F.col("child_t").alias("t"))
@@ -255,5 +300,3 @@ def _(t):
     }
     return rounded(quiet.compare_estimators(tables))
 
-
-_ = Window
