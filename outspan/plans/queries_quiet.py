@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expr import wilson_interval, z_value
-from ..operators import collect, criteria, quiet
+from ..operators import collect, criteria, curves, quiet
 from ..operators.ranks import percentiles
 from ..sources import ingest
 from .bindings import EDGE_STAR, T_STAR, erlang, grid_sql, with_
@@ -44,14 +44,66 @@ def _(t):
     return quiet.empirical_cond(t.entities, _signups(t), t.grid(0, 10, 1), T_STAR).select("T", "n")
 
 
-@query("p4_progressive_cond", with_("entities ev", "SELECT snap_id, T, count(*) FILTER (first_post IS NULL OR first_post > T) AS n, round(count(*) FILTER (first_post IS NULL) / nullif(count(*) FILTER (first_post IS NULL OR first_post > T), 0)::DOUBLE, 6) AS p FROM (SELECT s.snap_id, e.traj_id, min(v.t) FILTER (v.t > s.ts) - s.ts AS first_post FROM snaps s CROSS JOIN entities e LEFT JOIN sg v ON e.traj_id = v.traj_id GROUP BY s.snap_id, s.ts, e.traj_id), g GROUP BY snap_id, T", _SG, ("snaps", "SELECT CAST(i AS BIGINT) AS snap_id, 10e0 + 5 * i AS ts FROM range(4) r(i)"), _G))
-def _(t):
-    snaps = t.spark.sql("SELECT id AS snap_id, 10e0 + 5 * id AS ts FROM range(4)")
+_SNAPS = ("snaps", "SELECT CAST(i AS BIGINT) AS snap_id, 10e0 + 5 * i AS ts FROM range(4) r(i)")
+
+
+def _progressive_sql(snaps: tuple[str, str]) -> str:
+    return with_("entities ev", "SELECT snap_id, T, count(*) FILTER (first_post IS NULL OR first_post > T) AS n, round(count(*) FILTER (first_post IS NULL) / nullif(count(*) FILTER (first_post IS NULL OR first_post > T), 0)::DOUBLE, 6) AS p FROM (SELECT s.snap_id, e.traj_id, min(v.t) FILTER (v.t > s.ts) - s.ts AS first_post FROM snaps s CROSS JOIN entities e LEFT JOIN sg v ON e.traj_id = v.traj_id GROUP BY s.snap_id, s.ts, e.traj_id), g GROUP BY snap_id, T", _SG, snaps, _G)
+
+
+def _progressive(t, snaps):
+    """Conditional curves of each snapshot (snap_id, ts)."""
     v = _signups(t).crossJoin(F.broadcast(snaps)).filter(F.col("t") > F.col("ts")).groupBy("snap_id", "traj_id").agg(F.min(F.col("t") - F.col("ts")).alias("first_post"))
     first = t.entities.crossJoin(F.broadcast(snaps.select("snap_id"))).join(v, ["snap_id", "traj_id"], "left")
     return rounded(quiet.cond_from_first(first, t.grid(0, 10, 1), ("snap_id",)).select("snap_id", "T", "n", "p"))
 
 
+@query("p4_progressive_cond", _progressive_sql(_SNAPS))
+def _(t):
+    return _progressive(t, t.spark.sql("SELECT id AS snap_id, 10e0 + 5 * id AS ts FROM range(4)"))
+
+
+# Snapshots at uneven distances, so that a curve ends between two points of its grid.
+_UNEVEN = "10e0 + 4.5e0 * {0} + 0.25e0 * {0} * {0}"
+_ONLINE = (
+    f"SELECT s.snap_id, round(s.ts - 10e0 + c.T, 6) AS x, c.p, round(CASE WHEN gap = floor(gap) THEN lo.p ELSE lo.p + (hi.p - lo.p) * (gap - floor(gap)) END, 6) AS p_end "
+    "FROM (SELECT *, coalesce(lead(ts) OVER (ORDER BY ts) - ts, 6.5e0) AS gap FROM (SELECT CAST(i AS BIGINT) AS snap_id, " + _UNEVEN.format("i") + " AS ts FROM range(4) r(i))) s "
+    "JOIN curve c ON c.snap_id = s.snap_id AND c.T <= gap LEFT JOIN curve lo ON lo.snap_id = s.snap_id AND lo.T = floor(gap) LEFT JOIN curve hi ON hi.snap_id = s.snap_id AND hi.T = floor(gap) + 1"
+)
+
+
+@query("f20_online_curve", f"WITH curve AS ({_progressive_sql(('snaps', 'SELECT CAST(i AS BIGINT) AS snap_id, ' + _UNEVEN.format('i') + ' AS ts FROM range(4) r(i)'))}) {_ONLINE}")
+def _(t):
+    snaps = t.spark.sql(f"SELECT id AS snap_id, {_UNEVEN.format('id')} AS ts FROM range(4)")
+    curve = _progressive(t, snaps).withColumn("series_id", F.lit(1))
+    gaps = curves.next_gap(snaps.select(F.lit(1).alias("series_id"), "snap_id", F.col("ts").alias("t_star")), 6.5)
+    return rounded(curves.online_curve(curve, gaps).select("snap_id", "x", "p", "p_end"))
+
+
+def _visits(t):
+    """Observation times as snapshots of their series."""
+    return t.observations.select("series_id", F.col("d").alias("t_star"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("snap_id"))
+
+
+_VISITS = ("visits", "SELECT series_id, d AS t_star, CAST(epoch(ts::TIMESTAMP) AS BIGINT) AS snap_id FROM observations")
+
+
+@query("c9_since_axis_start", with_("observations", "SELECT series_id, round(t_star, 6) AS t_star, snap_id FROM visits WHERE t_star >= 100", _VISITS))
+def _(t):
+    return rounded(criteria.since_axis_start(_visits(t), 100.0))
+
+
+@query("i1_chronological", with_("observations", "SELECT series_id, round(t_star, 6) AS t_star, snap_id FROM visits ORDER BY t_star, snap_id", _VISITS))
+def _(t):
+    return rounded(curves.chronological(_visits(t)))
+
+
+@query("j3_pool", with_("draws", "SELECT 'Re' AS metric, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median FROM (SELECT R0 AS value FROM draws UNION ALL SELECT r * R0 FROM draws)"))
+def _(t):
+    before, after = (t.draws.select(F.lit("Re").alias("metric"), c.alias("value")) for c in (F.col("R0"), F.col("r") * F.col("R0")))
+    return rounded(percentiles(curves.pool(before, after), ["metric"], "value", {"median": 0.5}, n="n"))
+
+
 _SEED = ("fp", f"SELECT c.traj_id, min(child_t) - {EDGE_STAR} AS first_post FROM customers c LEFT JOIN (SELECT * FROM edges WHERE parent_t <= {EDGE_STAR} AND child_t > {EDGE_STAR}) e ON c.traj_id = e.traj_id GROUP BY c.traj_id")
 
 

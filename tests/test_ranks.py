@@ -64,3 +64,10 @@ def test_no_task_holds_a_key(spark):
     ends = one.selectExpr("min(v) AS __least", "max(v) AS __most")
     sizes = ranks.attach(one, ends, []).withColumn("b", ranks._bucket(one["v"])).groupBy("b").count()
     assert sizes.agg({"count": "max"}).first()[0] < 1000
+
+
+def test_chronological_order(spark):
+    from outspan.operators import curves
+
+    snaps = spark.createDataFrame([(1, 3.0, 2), (2, 1.0, 9), (1, 3.0, 1), (2, 2.0, 0)], "series_id int, t_star double, snap_id int")
+    assert [(r["t_star"], r["snap_id"]) for r in curves.chronological(snaps).collect()] == [(1.0, 9), (2.0, 0), (3.0, 1), (3.0, 2)]
