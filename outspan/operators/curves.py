@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import gaussian_distance_weight
 from .criteria import small
-from .ranks import percentiles
+from .ranks import attach, percentiles
+from .stats import weighted_tail_mean_band
 
 
 def cumulative_matrix(entities: DataFrame, events: DataFrame, start: float, step: float, n: int) -> DataFrame:
@@ -103,14 +105,16 @@ def timepath(first: DataFrame, metrics: list[str], grid: DataFrame, probs: tuple
     return percentiles(long, [*keys, "T", "metric"], "value", {f"q{round(p * 1000):03d}": p for p in probs}, n="n")
 
 
-def timepath_weighted(first: DataFrame, metric: str, grid: DataFrame, sigma: float) -> DataFrame:
-    """Weighted mean of a metric over survivors by how near their first event is to T; uniform weights if all are censored."""
-    from ..functions.expr import gaussian_distance_weight
-
+def timepath_weighted(first: DataFrame, metric: str, grid: DataFrame, sigma: float, level: float = 0.9) -> DataFrame:
+    """Of each T the weighted mean and tail-mean band of a metric over survivors with an event still to come, by how near it is to T. Equal
+    weights where all of these are 0, and over all survivors where none has an event. n counts survivors."""
     rows = first.crossJoin(F.broadcast(grid)).filter(F.col("first_post").isNull() | (F.col("first_post") > F.col("T")))
-    rows = rows.withColumn("w", gaussian_distance_weight(F.col("first_post") - F.col("T"), sigma))
-    sums = rows.groupBy("T").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col(metric)).alias("sv"), F.avg(metric).alias("plain"), F.count("*").alias("n"))
-    return sums.select("T", "n", F.when(F.col("sw") > 0, F.col("sv") / F.col("sw")).otherwise(F.col("plain")).alias("mean"))
+    ends = F.col("first_post").isNotNull()
+    rows = rows.select("T", metric, ends.alias("__ends"), gaussian_distance_weight(F.col("first_post") - F.col("T"), sigma).alias("__w"))
+    sums = rows.groupBy("T").agg(F.count("*").alias("n"), F.max("__ends").alias("__any"), F.sum("__w").alias("__sum"))
+    one = F.when(F.col("__sum") > 0, F.col("__w")).otherwise(1.0)
+    weighted = attach(rows, sums, ["T"]).withColumn("__w", F.when(F.col("__ends"), one).when(~F.col("__any"), 1.0).otherwise(0.0))
+    return attach(sums.select("T", "n"), weighted_tail_mean_band(weighted, ["T"], metric, "__w", level), ["T"]).select("T", "n", "mean", "lo", "hi")
 
 
 def chronological(snaps: DataFrame) -> DataFrame:

@@ -382,7 +382,21 @@ def _(t):
     return rounded(curves.timepath(first, ["R0", "k"], t.spark.sql("SELECT explode(array(0e0, 1e0, 2e0, 4e0)) AS T")))
 
 
-@query("f19_timepath_weighted", with_("entities ev draws", "SELECT T, count(*) AS n, round(CASE WHEN sum(w) > 0 THEN sum(w*R0)/sum(w) ELSE avg(R0) END, 6) AS mean FROM (SELECT T, R0, CASE WHEN first_post IS NULL THEN 0e0 ELSE exp(-0.5*pow((first_post-T)/2,2)) END AS w FROM fp JOIN draws USING (traj_id), (SELECT unnest([0e0, 1e0, 2e0, 4e0]) AS T) WHERE first_post IS NULL OR first_post > T) GROUP BY T", _SG, _FP))
+_BAND = 0.9**0.7
+
+
+@query(
+    "f19_timepath_weighted",
+    with_(
+        "entities ev draws",
+        f"SELECT T, max(n) AS n, round(max(m), 6) AS mean, round(max(m) + (sum(R0*w) FILTER (low) / sum(w) FILTER (low) - max(m)) * {_BAND}, 6) AS lo, round(max(m) + (sum(R0*w) FILTER (high) / sum(w) FILTER (high) - max(m)) * {_BAND}, 6) AS hi FROM (SELECT *, cum <= total*0.05 OR R0 = min(R0) OVER k AS low, cum - w >= total*0.95 OR R0 = max(R0) OVER k AS high, sum(R0*w) OVER k / total AS m FROM cw WINDOW k AS (PARTITION BY T)) GROUP BY T",
+        _SG, _FP,
+        ("alive", "SELECT T, R0, first_post, CASE WHEN first_post IS NULL THEN 0e0 ELSE exp(-0.5*pow((first_post-T)/2,2)) END AS w FROM fp JOIN draws USING (traj_id), (SELECT unnest([0e0, 1e0, 2e0, 4e0]) AS T) WHERE first_post IS NULL OR first_post > T"),
+        ("own", "SELECT T, R0, count(*) OVER k AS n, CASE WHEN max(first_post) OVER k IS NULL THEN 1e0 WHEN first_post IS NULL THEN 0e0 WHEN sum(w) OVER k > 0 THEN w ELSE 1e0 END AS w FROM alive WINDOW k AS (PARTITION BY T)"),
+        ("runs", "SELECT T, R0, max(n) AS n, sum(w) AS w FROM own WHERE w > 0 GROUP BY T, R0"),
+        ("cw", "SELECT *, sum(w) OVER (PARTITION BY T ORDER BY R0) AS cum, sum(w) OVER (PARTITION BY T) AS total FROM runs"),
+    ),
+)
 def _(t):
     first = criteria.first_post(t.entities, t.ev.filter(SIGNUP), T_STAR).join(t.draws, "traj_id")
     return rounded(curves.timepath_weighted(first, "R0", t.spark.sql("SELECT explode(array(0e0, 1e0, 2e0, 4e0)) AS T"), 2.0))

@@ -71,3 +71,13 @@ def test_chronological_order(spark):
 
     snaps = spark.createDataFrame([(1, 3.0, 2), (2, 1.0, 9), (1, 3.0, 1), (2, 2.0, 0)], "series_id int, t_star double, snap_id int")
     assert [(r["t_star"], r["snap_id"]) for r in curves.chronological(snaps).collect()] == [(1.0, 9), (2.0, 0), (3.0, 1), (3.0, 2)]
+
+
+def test_weighted_path_without_weights(spark):
+    """Far events have no weight left: then those with an event count alike; where all are censored, everybody."""
+    from outspan.operators import curves
+
+    grid = spark.createDataFrame([(0.0,), (900.0,), (2000.0,)], "T double")
+    first = spark.createDataFrame([(1000.0, 2.0), (1000.0, 4.0), (None, 9.0)], "first_post double, x double")
+    got = {r["T"]: (r["n"], r["mean"]) for r in curves.timepath_weighted(first, "x", grid, 0.5).collect()}
+    assert got == {0.0: (3, 3.0), 900.0: (3, 3.0), 2000.0: (1, 9.0)}
