@@ -39,7 +39,26 @@ def _(t):
     return rounded(stats.summary_row(_long(t), ["metric"], "value", (0.5,)))
 
 
-@query("f8_posterior_table")
+_NB = lambda n: "pow(k/(k+R0),k)" + "".join(f"*(k+{i - 1}e0)/{i}e0*(R0/(k+R0))" for i in range(1, n + 1))
+_METRIC_SQL = {
+    "R0": "R0", "k": "k", "r": "r", "alpha": "alpha::DOUBLE", "theta": "theta", "Re": "r*R0", "reduction": "1-r", "gt_mean": "alpha*theta",
+    "gt_sd": "sqrt(alpha)*theta", "gt_cv": "1/sqrt(alpha)", "gt_mode": "(alpha-1)*theta", "R0_k": "R0/k", "Re_k": "r*R0/k", "p0": "pow(k/(k+r*R0+1e-12),k)",
+    "growth": "(pow(R0,1e0/alpha)-1)/theta", "elasticity": "alpha*(pow(R0,1e0/alpha)-1)", "p_ge_5": "1-(" + "+".join(_NB(i) for i in range(5)) + ")",
+    "p_ge_10": "1-(" + "+".join(_NB(i) for i in range(10)) + ")", "p_1_4": "+".join(_NB(i) for i in range(1, 5)),
+}
+
+
+def _posterior_sql(masses: tuple[float, ...]) -> str:
+    """Quantiles and shortest intervals of all metrics in one row each."""
+    et = ", ".join(f"round(quantile_cont(value, {(1 - m) / 2}), 6) AS et_lo_{round(m * 100)}, round(quantile_cont(value, {(1 + m) / 2}), 6) AS et_hi_{round(m * 100)}" for m in masses)
+    short = ", ".join(f"round(q{i}.lo, 6) AS hdi_lo_{round(m * 100)}, round(q{i}.hi, 6) AS hdi_hi_{round(m * 100)}" for i, m in enumerate(masses))
+    joins = " ".join(f"JOIN ({hdi_sql('every', 'metric', 'value', _off(m))}) q{i} ON q{i}.metric = s.metric" for i, m in enumerate(masses))
+    every = " UNION ALL ".join(f"SELECT '{name}' AS metric, CAST({sql} AS DOUBLE) AS value FROM draws" for name, sql in _METRIC_SQL.items())
+    body = f"SELECT s.*, {short}, (SELECT round(avg(CASE WHEN r*R0 < 1 THEN 1e0 ELSE 0e0 END), 6) FROM draws) AS p_re_below_1 FROM (SELECT metric, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, {et} FROM every GROUP BY metric) s {joins}"
+    return with_("draws", body, ("every", every), ranks("every", "metric", "value"))
+
+
+@query("f8_posterior_table", _posterior_sql((0.5, 0.95)))
 def _(t):
     return rounded(stats.posterior_table(t.draws))
 
