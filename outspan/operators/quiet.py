@@ -47,16 +47,16 @@ def pre_children(parents: DataFrame, edges: DataFrame, t_star: float) -> DataFra
 
 def attach_donors(children: DataFrame, pool: DataFrame, seed: int) -> DataFrame:
     """Each child (traj_id, child_id, t) takes the events of one pool trajectory, shifted by its time; children and a root at 0 are
-    events too. Donors are drawn with replacement by a hash: the pool is cut into as many hash cells as it has trajectories, and a child
-    takes the trajectory of its cell or of the next filled one."""
+    events too. Donors are drawn with replacement: the pool's trajectories are numbered in the order of their hash, and a child takes the
+    number that its own hash falls on. Numbers come from sizes of 1024 parts of the hash, so that nothing is sorted in one task."""
     n = pool.select("traj_id").distinct().count()
     if not n:
         return children.select("traj_id", "t")
-    ids = pool.select("traj_id").distinct().withColumn("h", F.xxhash64(F.lit(seed), "traj_id")).withColumn("cell", F.pmod("h", F.lit(1024)))
+    ids = pool.select("traj_id").distinct().withColumn("h", unit_hash(seed, F.col("traj_id"))).withColumn("cell", F.floor(F.col("h") * 1024))
     sizes = ids.groupBy("cell").agg(F.count("*").alias("c"))
     first = sizes.withColumn("first", F.sum("c").over(Window.orderBy("cell")) - F.col("c"))  # 1024 rows at most
     numbered = ids.join(F.broadcast(first), "cell").select(F.col("traj_id").alias("donor"), (F.col("first") + F.row_number().over(Window.partitionBy("cell").orderBy("h", "traj_id")) - 1).alias("idx"))
-    pick = children.withColumn("idx", F.pmod(F.xxhash64(F.lit(seed), "traj_id", "child_id"), F.lit(n)))
+    pick = children.withColumn("idx", F.floor(unit_hash(seed, F.col("traj_id"), F.col("child_id")) * n))
     times = pick.join(numbered, "idx").join(pool.select(F.col("traj_id").alias("donor"), F.col("t").alias("dt")), "donor").select("traj_id", (F.col("t") + F.col("dt")).alias("t"))
     roots = children.select("traj_id").distinct().select("traj_id", F.lit(0.0).alias("t"))
     return times.unionByName(children.select("traj_id", "t")).unionByName(roots)

@@ -242,7 +242,20 @@ def _(t):
     return e.groupBy("traj_id").agg(F.count("*").alias("n"))
 
 
-@query("d8_attach_donors")
+def _unit(*parts: str) -> str:
+    """The hash draw of these parts."""
+    return f"CAST(('0x' || substr(md5({' || chr(58) || '.join(parts)}), 1, 10))::BIGINT AS DOUBLE) / 1099511627776e0"
+
+
+_DONORS = (
+    ("kids", "SELECT traj_id, child_id, child_t AS t FROM edges WHERE child_t > 0 AND child_t > 1e-9"),
+    ("pool", f"SELECT traj_id AS donor, row_number() OVER (ORDER BY {_unit("'7'", 'traj_id')}, traj_id) - 1 AS idx, count(*) OVER () AS size FROM (SELECT DISTINCT traj_id FROM ev)"),
+    ("pick", f"SELECT traj_id, t, CAST(floor({_unit("'7'", 'traj_id', 'child_id')} * (SELECT max(size) FROM pool)) AS BIGINT) AS idx FROM kids"),
+    ("given", "SELECT k.traj_id, k.t + e.t AS t FROM pick k JOIN pool USING (idx) JOIN ev e ON e.traj_id = donor UNION ALL SELECT traj_id, t FROM kids UNION ALL SELECT DISTINCT traj_id, 0e0 FROM kids"),
+)
+
+
+@query("d8_attach_donors", with_("edges ev", "SELECT traj_id, count(*) AS n, round(max(t), 6) AS last FROM given GROUP BY traj_id", *_DONORS))
 def _(t):
     kids = collect.first_generation(t.edges.select("traj_id", "child_id", (F.col("parent_t") * 0).alias("parent_t"), F.col("child_t")).filter("child_t > 0"))
     out = quiet.attach_donors(kids.select("traj_id", "child_id", F.col("child_t").alias("t")), t.ev.select("traj_id", "t"), 7)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.special import gamma_cdf
 from ..operators import criteria, stats
 from ..sources import ingest
-from .bindings import T_STAR, grid_sql, with_
+from .bindings import T_STAR, erlang, grid_sql, with_
 from .register import registry, rounded
 
 QUERIES, ORACLE, query = registry()
@@ -224,7 +224,7 @@ def _(t):
     return rounded(stats.ks_distance(t.ev, ["event_type"], "t", F.least(F.col("t") / 30, F.lit(1.0))))
 
 
-@query("g16_ks_gamma")
+@query("g16_ks_gamma", with_("draws", f"SELECT alpha, round(max(abs(rn/n::DOUBLE - F)), 5) AS ks, round(1.63/sqrt(max(n)), 5) AS critical FROM (SELECT alpha, {erlang('theta', '4', '1.5e0')} AS F, row_number() OVER (PARTITION BY alpha ORDER BY theta) AS rn, count(*) OVER (PARTITION BY alpha) AS n FROM draws) GROUP BY alpha"))
 def _(t):
     return rounded(stats.ks_distance(t.draws.select("alpha", "theta"), ["alpha"], "theta", gamma_cdf("theta", F.lit(4.0), F.lit(1.5))), 5)
 

@@ -200,7 +200,10 @@ def _(t):
     return rounded(spatial.kernel_smooth(_cells(t), spatial.kernel_offsets(t.spark, "gaussian", sigma=1.0), N))
 
 
-@query("l3_power_law")
+_POWER = ("ker", "SELECT dx, dy, k / sum(k) OVER () AS kw FROM (SELECT dx, dy, pow(sqrt(dx*dx+dy*dy) + 1, -2.5e0) AS k FROM (SELECT unnest(range(-6, 7)) AS dx), (SELECT unnest(range(-6, 7)) AS dy) WHERE dx*dx+dy*dy <= 36)")
+
+
+@query("l3_power_law", with_("herds", "SELECT ix + dx AS ix, iy + dy AS iy, round(sum(w*kw), 6) AS w FROM cells, ker WHERE ix + dx BETWEEN 0 AND 15 AND iy + dy BETWEEN 0 AND 15 GROUP BY 1, 2", _PW, _CELLS, _POWER))
 def _(t):
     return rounded(spatial.kernel_smooth(_cells(t), spatial.kernel_offsets(t.spark, "power", a=1.0, gamma=2.5, radius=6), N, "lose"))
 
