@@ -3,7 +3,6 @@ are days (d) since the series' origin."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator  # noqa: F401
 from dataclasses import replace
 
 import numpy as np

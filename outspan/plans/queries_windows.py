@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.expr import z_value
 from ..model import WindowOptions
-from ..operators import collect, criteria, spatial, windows
+from ..operators import collect, spatial, windows
 from ..session import shared_folder
 from ..streaming import monitor
 from .bindings import with_
