@@ -72,7 +72,7 @@ _ONLINE = (
 )
 
 
-@query("f20_online_curve", f"WITH curve AS ({_progressive_sql(('snaps', 'SELECT CAST(i AS BIGINT) AS snap_id, ' + _UNEVEN.format('i') + ' AS ts FROM range(4) r(i)'))}) {_ONLINE}")
+@query("f20_online_progressive", f"WITH curve AS ({_progressive_sql(('snaps', 'SELECT CAST(i AS BIGINT) AS snap_id, ' + _UNEVEN.format('i') + ' AS ts FROM range(4) r(i)'))}) {_ONLINE}")
 def _(t):
     snaps = t.spark.sql(f"SELECT id AS snap_id, {_UNEVEN.format('id')} AS ts FROM range(4)")
     curve = _progressive(t, snaps).withColumn("series_id", F.lit(1))
@@ -80,30 +80,6 @@ def _(t):
     return rounded(curves.online_curve(curve, gaps).select("snap_id", "x", "p", "p_end"))
 
 
-def _visits(t):
-    """Observation times as snapshots of their series."""
-    return t.observations.select("series_id", F.col("d").alias("t_star"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("snap_id"))
-
-
-_VISITS = ("visits", "SELECT series_id, d AS t_star, CAST(epoch(ts::TIMESTAMP) AS BIGINT) AS snap_id FROM observations")
-
-
-@query("c9_since_axis_start", with_("observations", "SELECT series_id, round(t_star, 6) AS t_star, snap_id FROM visits WHERE t_star >= 100", _VISITS))
-def _(t):
-    return rounded(criteria.since_axis_start(_visits(t), 100.0))
-
-
-@query("i1_chronological", with_("observations", "SELECT series_id, round(t_star, 6) AS t_star, snap_id FROM visits ORDER BY t_star, snap_id", _VISITS))
-def _(t):
-    return rounded(curves.chronological(_visits(t)))
-
-
-@query("j3_pool", with_("draws", "SELECT 'Re' AS metric, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median FROM (SELECT R0 AS value FROM draws UNION ALL SELECT r * R0 FROM draws)"))
-def _(t):
-    before, after = (t.draws.select(F.lit("Re").alias("metric"), c.alias("value")) for c in (F.col("R0"), F.col("r") * F.col("R0")))
-    return rounded(percentiles(curves.pool(before, after), ["metric"], "value", {"median": 0.5}, n="n"))
-
-
 _SEED = ("fp", f"SELECT c.traj_id, min(child_t) - {EDGE_STAR} AS first_post FROM customers c LEFT JOIN (SELECT * FROM edges WHERE parent_t <= {EDGE_STAR} AND child_t > {EDGE_STAR}) e ON c.traj_id = e.traj_id GROUP BY c.traj_id")
 
 
