@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,7 +17,13 @@ from ..session import shared_folder, ship
 BROADCAST_ROWS = 50_000
 
 
-_SCOPES: list[list[tuple]] = []
+_LOCAL = threading.local()  # the open scopes: threads that run operators beside each other have their own
+
+
+def _scopes() -> list[list[tuple]]:
+    if not hasattr(_LOCAL, "scopes"):
+        _LOCAL.scopes = []
+    return _LOCAL.scopes
 
 
 def materialize(df: DataFrame, tag: str, *, keep: bool = False) -> DataFrame:
@@ -27,22 +34,29 @@ def materialize(df: DataFrame, tag: str, *, keep: bool = False) -> DataFrame:
     path = f"{shared_folder(spark)}/outspan-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     made = (spark._jvm, spark._jsc.hadoopConfiguration(), path)  # of the session's JVM, which outlives the session
-    scopes = _SCOPES[:-1] if keep else _SCOPES
+    scopes = _scopes()[:-1] if keep else _scopes()
     if scopes:
         scopes[-1].append(made)
     else:
         atexit.register(_delete, *made)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._outspan_table = made
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes what materialize() wrote, before its scope ends: nothing reads it any more."""
+    _delete(*table._outspan_table)
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
     """Tables that are materialized inside are gone after it, but those to keep: what follows may read only these."""
-    _SCOPES.append([])
+    _scopes().append([])
     try:
         yield
     finally:
-        for made in _SCOPES.pop():
+        for made in _scopes().pop():
             _delete(*made)
 
 

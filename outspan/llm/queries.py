@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
+from .bbit_minhash import near_classes
+from .centroid_heaps import heap_clusters
 from .chosen_path import jaccard_classes
 from .common import table
 from .multi_index import nearest, sign_codes
@@ -15,7 +17,9 @@ from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .quality_sql import op1_sql
 from .site_style_tree import extract_main_text
+from .spelling_variants import spelling_variants, word_counts
 from .suffix_dedup import remove_repeats
+from .text_sql import op11_sql, op12_sql, op13_sql
 from .toxicity import toxicity_scores
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -93,6 +97,19 @@ def op6_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.col("fold") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
+def op11_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = word_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_site_style_tree": op2_site_style_tree,
@@ -104,6 +121,9 @@ QUERIES = {
     "op8_bpe_trie": op8_bpe_trie,
     "op9_chosen_path_join": op9_chosen_path_join,
     "op10_mixture_packing": op10_mixture_packing,
+    "op11_permuterm_variants": op11_permuterm_variants,
+    "op12_heap_clusters": op12_heap_clusters,
+    "op13_bbit_minhash": op13_bbit_minhash,
 }
 
 
@@ -114,4 +134,10 @@ def _op3_sql() -> str:
         SELECT query_id, neighbor_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM d QUALIFY rank <= 10"""
 
 
-ORACLE = {"op1_quality_rules": op1_sql(), "op3_multi_index_topk": _op3_sql()}
+ORACLE = {
+    "op1_quality_rules": op1_sql(),
+    "op3_multi_index_topk": _op3_sql(),
+    "op11_permuterm_variants": op11_sql(),
+    "op12_heap_clusters": op12_sql(),
+    "op13_bbit_minhash": op13_sql(),
+}
