@@ -5,8 +5,9 @@ BITS low bits, packed into a signature, and the share of equal cells, corrected
 a candidate pair by counting bits. Pairs whose estimate leaves the threshold possible are compared on their full sets.
 
 Classes are the components of the confirmed links, so inside a class no further link is looked for: first each bucket's sets meet its
-least one only, which joins large groups at a cost of one pair a set; then buckets that still hold sets of different components compare these,
-in pairs of blocks, by signatures, and confirm what is left. Equal sets are one set throughout.
+least one only, which joins large groups at a cost of one pair a set. Then buckets that still hold sets of different components compare
+their signatures, in pairs of blocks, and what may be similar makes candidate groups, whose sets are compared as a whole in pairs of
+blocks. A pair of blocks emits a forest, never its pairs: one row a set. Equal sets are one set throughout.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chosen_path import _mix, gram_set
-from .common import materialize, part_count, scratch, small
-from .components import connected_components
+from .chosen_path import _bounds, _in_groups, _least, _mix, _split_blocks, gram_set, intersections
+from .common import discard, materialize, part_count, scratch, small
+from .components import contracted_components
 
 WORDS_IN_SHINGLE = 3
 LEAST = (85, 100)  # similarity, as a fraction
@@ -30,7 +31,8 @@ BANDS, BAND_ROWS = 40, 6
 MINIMA = BANDS * BAND_ROWS
 BITS = 2  # kept of each minimum
 LOST = 1e-9  # chance at most that a pair at the threshold is left out for its estimate
-BLOCK = 512  # sets of one block when a bucket's signatures are compared
+COMPARE = 512  # sets of one block when a bucket's signatures are compared
+BLOCK = 256  # sets of one block of an exact comparison
 
 _CELLS = 64 // BITS
 LONGS = math.ceil(MINIMA / _CELLS)
@@ -148,20 +150,23 @@ def _described(docs: DataFrame, text: str, key: str) -> DataFrame:
     return base.mapInArrow(run, schema)
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Of ``pairs`` (a, b) of nodes those whose full sets are similar enough. Sets are computed again from one text of each node."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "pick"), "node")
-    needed = materialize(needed.select("node", F.col("pick.key").alias("key"), F.col("pick.place").alias("place")), "needed")
+def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """Rows (node, grams) of the nodes of ``wanted``: their sets, computed again from one text of each."""
+    needed = materialize(wanted.join(nodes.select("node", "pick"), "node").select("node", F.col("pick.key").alias("key"), F.col("pick.place").alias("place")), "needed")
     base = docs.select(docs[key].alias("k"), F.xxhash64(docs[text].cast("string")).alias("p"), docs[text].cast("string").alias("t"))
     chosen = base.join(small(needed), (F.col("p") == needed["place"]) & F.col("k").eqNullSafe(needed["key"])).select("node", "t")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [gram_set(lowered(t.as_py()), WORDS_IN_SHINGLE) for t in b.column("t")]
-            same = pa.array([node_of(s)[0] == n for s, n in zip(sets, b.column("node").to_pylist(), strict=True)])
+            same = pa.array([node_of(s)[0] == n for s, n in zip(sets, b.column("node").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"]).filter(same)
 
-    sets = materialize(chosen.mapInArrow(grams, "node long, grams binary").dropDuplicates(["node"]), "sets")
+    return materialize(chosen.mapInArrow(grams, "node long, grams binary").dropDuplicates(["node"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b) of nodes those whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,65 +181,65 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, k
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes of different components that may be similar, of each (bucket, i, j) in turn; its rows follow each other."""
-    names = ["bucket", "i", "j", "block", "node", "comp", "size", "cells"]
-    rest = None
-    ended = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
-
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        bucket, i, j, block, node, comp, size = (t.column(c).to_numpy() for c in names[:7])
-        cells = t.column("cells").combine_chunks().flatten().to_numpy().reshape(-1, LONGS)
-        cut = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-        a, b = [], []
-        for lo, hi in zip([0, *cut], [*cut, len(node)], strict=True):
-            for at in range(lo, hi):
-                then = slice(at + 1, hi)
-                fits = (comp[then] != comp[at]) & (np.minimum(size[then], size[at]) * LEAST[1] >= np.maximum(size[then], size[at]) * LEAST[0])
-                if i[lo] != j[lo]:
-                    fits &= block[then] != block[at]
-                k = np.flatnonzero(fits) + at + 1
-                if len(k):
-                    k = k[equal_cells(cells[k], cells[at]) >= LEAST_EQUAL]
-                    a += [np.minimum(node[k], node[at])]
-                    b += [np.maximum(node[k], node[at])]
+def _forests(batches: Iterator[pa.RecordBatch], keys: list[str], similar) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of each group of rows in turn: its nodes with the least that a chain of similar ones of other components joins them to."""
+    for t in _in_groups(batches, keys):
+        node, comp, block, i, j = (t.column(c).to_numpy() for c in ("set", "comp", "block", "i", "j"))
+        at, a, b = _bounds(t, keys), [], []
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            if (comp[lo:hi] == comp[lo]).all():
+                continue
+            like = similar(t.slice(lo, hi - lo)) & (comp[lo:hi, None] != comp[None, lo:hi])
+            if i[lo] != j[lo]:
+                like &= block[lo:hi, None] != block[None, lo:hi]
+            label = _least(like)
+            moved = np.flatnonzero(label != np.arange(hi - lo))
+            a.append(node[lo + moved])
+            b.append(node[lo + label[moved]])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([rest, t]) if rest is not None else t
-        if not t.num_rows:
-            continue
-        keys = [t.column(c).to_numpy() for c in names[:3]]
-        last = np.logical_and.reduce([k == k[-1] for k in keys])
-        begun = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0  # the last group may go on in the next batch
-        if begun:
-            yield pairs(t.slice(0, begun))
-        rest = t.slice(begun)
-    yield pairs(rest) if rest is not None else ended
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _by_signature(t: pa.Table) -> np.ndarray:
+    size, cells = t.column("size").to_numpy(), t.column("cells").combine_chunks().flatten().to_numpy().reshape(t.num_rows, LONGS)
+    like = np.minimum(size[:, None], size[None, :]) * LEAST[1] >= np.maximum(size[:, None], size[None, :]) * LEAST[0]
+    for at in range(0, len(size), 64):
+        like[at : at + 64] &= equal_cells(cells[at : at + 64, None, :], cells[None, :, :]) >= LEAST_EQUAL
+    return like
+
+
+def _by_set(t: pa.Table) -> np.ndarray:
+    inter, size = intersections([np.frombuffer(g.as_buffer(), np.uint64) for g in t.column("grams")])
+    return inter * LEAST[1] >= (size[:, None] + size[None, :] - inter) * LEAST[0]
+
+
+def _in_blocks(rows: DataFrame, by: str, block: int, parts: int, similar) -> DataFrame:
+    """Edges (a, b) of the groups of ``rows`` (set, comp, n, ...) by the column ``by``, compared in pairs of blocks."""
+    keys = [by, "i", "j"]
+    dealt = _split_blocks(rows, by, "n", block).withColumnRenamed("__b", "block").repartition(parts, *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(lambda batches: _forests(batches, keys, similar), "a long, b long")
 
 
 def _links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
     """Edges (a, b) whose components are the classes: nodes that similar texts link."""
-    about = nodes.select("node", "size", "cells")
+    about, parts = nodes.select("node", "size", "cells"), part_count(docs)
     to = lambda name, n, c: about.select(F.col("node").alias(name), F.col("size").alias(n), F.col("cells").alias(c))
     stars = buckets.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(to("a", "n", "x"), "a").join(to("b", "m", "y"), "b").filter(_possible(F.col("n"), F.col("m"), F.col("x"), F.col("y"))).select("a", "b")
     stars = materialize(stars, "stars")
-    links = materialize(_confirmed(stars, nodes, docs, text, key), "star-links")
-    comp = connected_components(links, "star-classes").select("node", F.col("label").alias("comp"))
+    sets = _sets(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), nodes, docs, text, key)
+    links = materialize(_confirmed(stars, sets), "star-links")
+    discard(sets)
+    comp = contracted_components(links, "star-classes").select("node", F.col("label").alias("comp"))
     left = buckets.select("bucket", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # A bucket of two has been compared; so has one of a single component no need to be.
-    open_ = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("n > 2 AND lo < hi").select("bucket", "n")
-    left = left.join(open_, "bucket").join(about, "node")
-    left = left.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "size", "cells")
-    left = left.repartition(part_count(docs), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = left.mapInArrow(_across, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    more = _confirmed(materialize(more, "across"), nodes, docs, text, key)
-    return materialize(links.unionByName(more), "all-links")
+    mixed = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("n > 2 AND lo < hi").select("bucket", "n")
+    left = left.join(mixed, "bucket").join(about, "node").select("bucket", "n", F.col("node").alias("set"), "comp", "size", "cells")
+    groups = contracted_components(_in_blocks(left, "bucket", COMPARE, parts, _by_signature).distinct(), "candidates")
+    members = groups.join(groups.groupBy("label").agg(F.count("*").alias("n")), "label").join(comp, "node", "left")
+    members = materialize(members.select("label", "n", "node", F.coalesce("comp", "node").alias("comp")), "members")
+    found = members.join(_sets(members.select("node"), nodes, docs, text, key), "node").withColumnRenamed("node", "set")
+    return materialize(links.unionByName(_in_blocks(found, "label", BLOCK, parts, _by_set)), "all-links")
 
 
 def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -258,7 +263,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
         shared = at.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("bucket", "leader")
         buckets = materialize(at.join(shared, "bucket"), "buckets")
         links = _links(buckets, nodes, docs, text, key)
-        classes = connected_components(links, "near-classes").select("node", "label")
+        classes = contracted_components(links, "near-classes").select("node", "label")
         known = nodes.select("node", "pick.key").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
         least = known.groupBy("label").agg(F.min("key").alias("component_id"))
         # Only classes of several sets differ from what a set's own rows say.

@@ -273,6 +273,27 @@ def candidate_groups(rows: DataFrame) -> DataFrame:
     return materialize(labels.join(sizes, "label").select(F.col("node").alias("set"), F.col("label").alias("comp"), "n"), "groups")
 
 
+def intersections(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the intersections of all pairs of sets, and of the sets: products of 0/1 matrices over the shared tokens."""
+    m = len(arrays)
+    sizes = np.array([len(x) for x in arrays])
+    flat, owner = np.concatenate(arrays), np.repeat(np.arange(m), sizes)
+    token, where, count = np.unique(flat, return_inverse=True, return_counts=True)
+    common = count[where] > 1
+    dense = np.cumsum(count > 1) - 1
+    column, owner = dense[where[common]], owner[common]
+    inter = np.zeros((m, m), np.float32)
+    o = np.argsort(column, kind="stable")
+    column, owner = column[o], owner[o]
+    top = int(column[-1]) + 1 if len(column) else 0
+    for c in range(0, top, 4096):
+        lo, hi = np.searchsorted(column, [c, c + 4096])
+        part = np.zeros((m, min(4096, top - c)), np.float32)
+        part[owner[lo:hi], column[lo:hi] - c] = 1
+        inter += part @ part.T
+    return inter.astype(np.int64), sizes
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = ["comp", "i", "j"]
     schema = pa.schema([("set", pa.binary()), ("links", pa.int64()), ("label", pa.binary())])
@@ -282,23 +303,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = _bounds(t, keys)
         out: list[tuple] = []
         for lo, hi in zip(at[:-1], at[1:], strict=True):
-            arrays = [np.frombuffer(g, np.uint64) for g in grams[lo:hi]]
-            sizes = np.array([len(x) for x in arrays])
-            flat, owner = np.concatenate(arrays), np.repeat(np.arange(hi - lo), sizes)
-            token, where, count = np.unique(flat, return_inverse=True, return_counts=True)
-            common = count[where] > 1
-            dense = np.cumsum(count > 1) - 1
-            column, owner = dense[where[common]], owner[common]
-            inter = np.zeros((hi - lo, hi - lo), np.float32)
-            o = np.argsort(column, kind="stable")
-            column, owner = column[o], owner[o]
-            top = int(column[-1]) + 1 if len(column) else 0
-            for c in range(0, top, 4096):
-                lo_c, hi_c = np.searchsorted(column, [c, c + 4096])
-                m = np.zeros((hi - lo, min(4096, top - c)), np.float32)
-                m[owner[lo_c:hi_c], column[lo_c:hi_c] - c] = 1
-                inter += m @ m.T
-            inter = inter.astype(np.int64)
+            inter, sizes = intersections([np.frombuffer(g, np.uint64) for g in grams[lo:hi]])
             union = sizes[:, None] + sizes[None, :] - inter
             like = inter * LAMBDA[1] >= union * LAMBDA[0]
             np.fill_diagonal(like, False)
