@@ -8,7 +8,6 @@ secrets that a cue names. No pattern is searched over the text; work follows the
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -19,7 +18,6 @@ from pyspark.sql import types as T
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "iban", "account", "Token", "Secret", "Password", "API_KEY", "IBAN", "Account")
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -27,7 +25,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT_RUN = re.compile(r"[0-9]+")
 _USERINFO = re.compile(r"[^\s/@<>\"']+@[^\s/@<>\"']+")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
-_VALUE = re.compile(r"[\x20\t]{0,3}[=:][\x20\t]{0,3}([\"']?)([A-Za-z0-9_/+=-]{12,})\1")
+_GIVES = re.compile(r"[\x20\t]{0,3}[=:][\x20\t]{0,3}([\"']?)")  # a cue's value stands within three blanks of the sign
+_VALUE = re.compile(r"[A-Za-z0-9_/+=-]{12,}")  # and has twelve signs at least, one of them a digit
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -41,6 +40,12 @@ def _automaton():
     return a
 
 
+def octet(part: str) -> bool:
+    """Whether a part of an address is at most 255; it may have any number of digits."""
+    part = part.lstrip("0")
+    return len(part) < 3 or len(part) == 3 and part <= "255"
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -55,6 +60,7 @@ def find_spans(text: str, automaton) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) in code points; of each base kind leftmost and non-overlapping, a failing match dropped whole."""
     out: list[tuple[int, int, str]] = []
     done = dict.fromkeys(KINDS, 0)  # where the last candidate of a kind ended, kept or not
+    barren = 0  # where the last value without a digit ended
     for last, word in automaton.iter(text):
         at = last - len(word) + 1
         if word == "@":
@@ -79,7 +85,7 @@ def find_spans(text: str, automaton) -> list[tuple[int, int, str]]:
             if at >= done["ip"]:
                 if m := _IP.match(text, at):
                     done["ip"] = m.end()
-                    if all(int(x) <= 255 for x in m[0].split(".")):
+                    if all(map(octet, m[0].split("."))):
                         out.append((at, m.end(), "ip"))
                 else:
                     done["ip"] = _DIGIT_RUN.match(text, at).end()  # no address starts inside this run either
@@ -90,18 +96,20 @@ def find_spans(text: str, automaton) -> list[tuple[int, int, str]]:
                     digits = m[0].replace(" ", "").replace("-", "")
                     if 14 <= len(digits) <= 19 and luhn(digits):
                         out.append((at, m.end(), "card"))
-        elif at >= done["account"] and (at == 0 or not text[at - 1].isalnum()) and (m := _VALUE.match(text, last + 1)) and any(c.isdigit() for c in m[2]):
-            done["account"] = m.end()
-            out.append((m.start(2), m.end(2), "account"))
+        elif at >= done["account"] and (at == 0 or not text[at - 1].isalnum()) and (g := _GIVES.match(text, last + 1)):
+            # A cue inside a value without a digit has the rest of it: it is not read again.
+            if not (g[1] or g.end() >= barren) or not (m := _VALUE.match(text, g.end())) or g[1] and text[m.end() : m.end() + 1] != g[1]:
+                continue
+            if any(c.isdigit() for c in m[0]):
+                done["account"] = m.end() + len(g[1])
+                out.append((m.start(), m.end(), "account"))
+            elif not g[1]:
+                barren = m.end()
     order = {k: i for i, k in enumerate(KINDS)}
     out.sort(key=lambda s: (s[0], order[s[2]]))
     return out
 
 
-def joined(spans: list[tuple[int, int, str]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
-
-
 def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
     """The text with each span, or each run of overlapping ones, replaced by the kind that starts first."""
     out, end = [], 0
@@ -117,7 +125,7 @@ def find_pii(df: DataFrame, text: str = "text", *, mask: bool = False) -> DataFr
     carries the masked text.
 
     A null text has no spans and stays null; empty texts have none. Repeated rows each get their own. Columns of ``df`` stay as
-    they are, one named pii_spans is replaced. Batches stream through Arrow; the longest single text bounds memory."""
+    they are, one named pii_spans is replaced. Work is linear in the text, also over long runs of digits, signs or cues. Batches stream through Arrow; the longest single text bounds memory."""
     kept = [f for f in df.schema.fields if f.name != "pii_spans"]
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
     schema = T.StructType([*kept, T.StructField("pii_spans", spans_type)])
@@ -135,7 +143,3 @@ def find_pii(df: DataFrame, text: str = "text", *, mask: bool = False) -> DataFr
             yield pa.RecordBatch.from_arrays([*cols, spans], names=[f.name for f in schema.fields])
 
     return df.select(*[df[f.name] for f in kept]).mapInArrow(run, schema)
-
-
-def digest(spans: list[tuple[int, int, str]]) -> str:
-    return hashlib.sha256(joined(spans).encode()).hexdigest()

@@ -32,7 +32,12 @@ THRESHOLD = 0.25  # of importance, drawn to 0.5: branches below go
 BESIDE = 0.5  # of importance, drawn to 0: branches beside an article stay from here on
 DECAY, LEAST_WEIGHT = 0.9, 0.5  # weight of contents against presentation, a level, and at least: deep nodes may have no child containers
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+DEPTH = 64  # containers within containers; what is nested deeper counts as part of the last, as a browser's own limit does
+
+_PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>\"']*)([^>\"']*)>")  # without quotes
+_WHOLE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>\"']*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")  # with closed ones
+_TAG_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_MARK = re.compile(r"[>\"']")
 _ATTR = re.compile(r"(class|id|role|style|aria-hidden|hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _UNFINISHED = re.compile(r"<[A-Za-z/!][^>]*\Z")
 _CUE = re.compile(
@@ -68,6 +73,7 @@ def _describe(tag: str, attrs: str, main: bool = False) -> tuple[int, str]:
     if not attrs.strip():
         return 0, tag
     cue, noise, name = False, False, tag
+    other = re.search(r"[\w-]hidden", attrs)
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key in ("class", "id"):
@@ -81,16 +87,114 @@ def _describe(tag: str, attrs: str, main: bool = False) -> tuple[int, str]:
         elif key == "aria-hidden":
             noise = noise or value.lower() == "true"
         else:
-            noise = noise or m[2] is None and not re.search(r"[\w-]hidden", attrs)
+            noise = noise or m[2] is None and not other
     return SURE if noise else (INNER if main else CUE) if cue else 0, name
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, tuple[str, ...], bool]], dict[tuple[str, ...], list[str]]]:
+class Node:
+    """A path of containers: its names from the top, as a hash that goes on from the one above."""
+
+    __slots__ = ("parent", "name", "depth", "key", "main", "body", "inner", "below")
+
+    def __init__(self, parent: Node | None, name: str):
+        self.parent, self.name, self.inner, self.below = parent, name, {}, []
+        if parent is None:
+            self.depth, self.key, self.main, self.body = 0, 0, 0, False
+            return
+        self.depth = parent.depth + 1
+        self.key = xxhash.xxh64_intdigest(name.encode(), seed=parent.key + (1 << 63) if parent.depth else 0) - (1 << 63)
+        self.main = parent.main or (self.depth if name.split(".")[0] in MAIN else 0)  # depth of the article
+        self.body = parent.body or self.depth == 1 and name == "body"
+
+    def child(self, name: str) -> Node:
+        """The path one container further down, which may occur often; too deep, this one."""
+        if self.depth >= DEPTH:
+            return self
+        self.below.append(name)
+        if name not in self.inner:
+            self.inner[name] = Node(self, name)
+        return self.inner[name]
+
+
+class _Tags:
+    """The markup of a page from left to right: comments, tags and declarations. Quotes hide what is in them, unless they stay open: then a tag
+    ends at the next sign for it. A place outside of quotes from which no end was found is not tried again, so work is linear."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.hopeless = page, page.rfind(">"), set()
+        self.last_quote = {q: page.rfind(q) for q in "\"'"}
+
+    def _quoted_end(self, at: int) -> int:
+        """Where the tag that is open at ``at`` ends, with quotes taken as such; -1 if it doesn't."""
+        tried = []
+        while at not in self.hopeless:
+            tried.append(at)
+            m = _MARK.search(self.page, at)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.start()
+            if self.last_quote[m[0]] <= m.start():
+                break
+            at = self.page.find(m[0], m.end()) + 1
+        self.hopeless.update(tried)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Start, end, whether it closes, name and attributes of the next tag from ``at`` on; without a name, other markup."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(page), False, "", ""
+            if at > self.last:
+                at += 1
+                continue
+            # Where a quote has stayed open once, this could look through the page for each tag.
+            if m := (_PLAIN_TAG if self.hopeless else _WHOLE_TAG).match(page, at):
+                return at, m.end(), bool(m[1]), m[2].lower(), m[3]
+            if m := _TAG_NAME.match(page, at):
+                end = self._quoted_end(m.end())
+                end = page.find(">", m.end()) if end < 0 else end
+                return at, end + 1, page[at + 1] == "/", m[1].lower(), page[m.end() : end]
+            if page[at + 1] in "!?":
+                return at, page.find(">", at) + 1, False, "", ""
+            at += 1
+        return None
+
+
+class _Open:
+    """Open elements, with the places of each tag, so that the nearest one is found at once."""
+
+    def __init__(self, root: Node):
+        self.stack: list[tuple[str, int, bool, Node]] = [("", 0, False, root)]  # tag, noise, in the article, path
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, noise: int, main: bool, node: Node) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, noise, main, node))
+
+    def pop(self) -> None:
+        self.places[self.stack.pop()[0]].pop()
+
+    def close(self, tag: str, stop: set[str]) -> None:
+        """Closes the nearest element of that tag and all inside it, if none of ``stop`` is nearer."""
+        nearest = self.places.get(tag)
+        if nearest and not any(self.places.get(x) and self.places[x][-1] > nearest[-1] for x in stop):
+            for _ in range(len(self.stack) - nearest[-1]):
+                self.pop()
+
+
+_CELLS, _ROWS = {"td", "table"}, {"ul", "ol", "dl", "table", "select"}
+
+
+def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, Node, bool]], Node]:
     """Text blocks in page order, each with its text, how markup calls it noise, whether it is in the article, its path of containers and
-    whether all of it lies in links; and of each path the names of the containers below it."""
-    out: list[tuple[str, int, bool, tuple[str, ...], bool]] = []
-    below: dict[tuple[str, ...], list[str]] = {}
-    stack: list[tuple[str, int, bool, tuple[str, ...]]] = [("", 0, False, ())]  # tag, noise, in the article, path
+    whether all of it lies in links; and the top of the paths. Open elements and paths are kept by reference, so that work is linear in the
+    page, also where nothing is closed."""
+    out: list[tuple[str, int, bool, Node, bool]] = []
+    root, tags = Node(None, ""), _Tags(page)
+    open_ = _Open(root)
     parts: list[str] = []
     link, plain = False, False  # inside a link; whether the block has text outside of links
     at = 0
@@ -106,38 +210,30 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, tuple[str, ...], bo
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                _, noise, main, path = stack[-1]
-                out.append((text, noise, main, path, not plain))
+                _, noise, main, node = open_.stack[-1]
+                out.append((text, noise, main, node, not plain))
         plain = False
 
-    def close(tag: str, stop: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
-                return
-            if stack[i][0] in stop:
-                return
-
     n = len(page)
     while at < n:
-        m = _TAG.search(page, at)
-        if not m:
+        found = tags.next(at)
+        if not found:
             add(_UNFINISHED.sub("", page[at:]))
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        start, end, closes, tag, attrs = found
+        if start > at:
+            add(page[at:start])
+        at = end
         if not tag:
             continue
-        link = (not (m[1] or m[4])) if tag == "a" else link
-        if m[1] or m[4]:
+        link = not closes if tag == "a" else link
+        if closes:
             if tag in BLOCKS:
                 flush()
-                close(tag, {"td", "table"} if tag not in ("table", "tr", "td", "tbody", "thead", "tfoot", "body", "html") else set())
-            elif stack[-1][0] == tag:
+                open_.close(tag, _CELLS if tag not in ("table", "tr", "td", "tbody", "thead", "tfoot", "body", "html") else set())
+            elif open_.stack[-1][0] == tag:
                 flush()
-                stack.pop()
+                open_.pop()
             continue
         if tag in RAW:
             at = _closing(page, tag, at)
@@ -145,33 +241,31 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, tuple[str, ...], bo
         if tag == "br" or tag == "wbr":
             parts.append(" " if tag == "br" else "")
             continue
-        attrs = m[3] if m[2] else m[6]
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
             if tag == "hr":
                 flush()
             continue
-        noisy, name = _describe(tag, attrs, stack[-1][2])
+        noisy, name = _describe(tag, attrs, open_.stack[-1][2])
         if tag in BLOCKS:
             flush()
-            if stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                stack.pop()
+            if open_.stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+                open_.pop()
             if tag in ("li", "dd", "dt", "option", "tr", "td", "th"):
-                close(tag, {"ul", "ol", "dl", "table", "select"} | ({"tr"} if tag in ("td", "th") else set()))
+                open_.close(tag, _ROWS | ({"tr"} if tag in ("td", "th") else set()))
             if tag in ("body", "html"):
                 noisy = 0
-            _, noise, main, path = stack[-1]
+            _, noise, main, node = open_.stack[-1]
             if tag in CONTAINERS:
-                below.setdefault(path, []).append(name)
-                path = (*path, name)
+                node = node.child(name)
             inside = main or tag in MAIN
             sure = SURE if tag in NOISE or tag == "header" and not main else 0
-            stack.append((tag, max(noise, noisy, sure), inside, path))
+            open_.push(tag, max(noise, noisy, sure), inside, node)
         elif noisy or tag in NOISE:  # inline furniture
             flush()
-            _, noise, main, path = stack[-1]
-            stack.append((tag, max(noise, noisy, SURE if tag in NOISE else 0), main, path))
+            _, noise, main, node = open_.stack[-1]
+            open_.push(tag, max(noise, noisy, SURE if tag in NOISE else 0), main, node)
     flush()
-    return out, below
+    return out, root
 
 
 def host_of(url: str | None) -> str:
@@ -183,11 +277,6 @@ def _key(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
 
 
-def _main_depth(path: tuple[str, ...]) -> int:
-    """Nodes of the path down to the article."""
-    return next((i for i, x in enumerate(path, 1) if x.split(".")[0] in MAIN), len(path))
-
-
 def main_text(page: str, low: frozenset[int] | set[int], high: frozenset[int] | set[int] = frozenset()) -> str:
     """The page's text without noise; ``low`` are keys of this host's paths that are not important, ``high`` of those that are.
 
@@ -198,16 +287,22 @@ def main_text(page: str, low: frozenset[int] | set[int], high: frozenset[int] |
     article = any(main and not noise for _, noise, main, *_ in blocks)
     if not article and any(main and noise == CUE for _, noise, main, *_ in blocks):
         article, blocks = True, [(text, 0 if main and noise == CUE else noise, main, *rest) for text, noise, main, *rest in blocks]
-    shown = [(text, main, path, linked) for text, noise, main, path, linked in blocks if not noise and (not article or main or high and _key(*path) in high)]
+    shown = [(text, main, path, linked) for text, noise, main, path, linked in blocks if not noise and (not article or main or path.key in high)]
     if not article:
-        body = [x for x in shown if not (x[3] and x[2] and x[2][-1].split(".")[0] in ("ul", "ol"))]
+        body = [x for x in shown if not (x[3] and x[2].name.split(".")[0] in ("ul", "ol"))]
         if len(body) > 1 and _RIGHTS.match(body[-1][0]):
             del body[-1]
         shown = body or shown
     if not low:
         return " ".join(x[0] for x in shown)
-    dropped = {path: any(_key(*path[:i]) in low for i in range(1, len(path) + 1)) for _, _, path, _ in shown}
-    kept = [x for x in shown if not dropped[x[2]]]
+    dropped: dict[Node, bool] = {}
+
+    def drops(node: Node) -> bool:
+        if node.depth and node not in dropped:
+            dropped[node] = node.key in low or drops(node.parent)
+        return bool(node.depth) and dropped[node]
+
+    kept = [x for x in shown if not drops(x[2])]
     if article and not any(x[1] for x in kept):
         kept = [x for x in shown if x[1]]
     return " ".join(x[0] for x in kept)
@@ -226,20 +321,22 @@ def style_tree(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
             seen: Counter = Counter()
             for u, h in zip(b.column("__url").to_pylist(), b.column("__html").to_pylist(), strict=True):
                 host = _key(host_of(u))
-                blocks, below = blocks_of(h or "")
-                nodes: dict[tuple[str, ...], set[int]] = {}
-                judged: dict[tuple[str, ...], bool] = {}
-                for text, _, main, path, _ in blocks:
-                    holds = _main_depth(path) if main else 0
-                    for i in range(1 + (path[:1] == ("body",)), len(path) + 1):
-                        nodes.setdefault(path[:i], set()).add(_key(text))
-                        judged[path[:i]] = judged.get(path[:i], True) and i > holds
-                for path, features in nodes.items():
-                    if judged[path]:
-                        p = _key(*path)
-                        seen[host, p, len(path), 0, _key("|", *below.get(path, []))] += 1
+                blocks, _ = blocks_of(h or "")
+                nodes: dict[Node, set[int]] = {}
+                given: set[Node] = set()  # never judged
+                for text, _, main, node, _ in blocks:
+                    holds = (node.main or node.depth) if main else 0
+                    top, feature = 1 + node.body, _key(text)
+                    while node.depth >= top:
+                        nodes.setdefault(node, set()).add(feature)
+                        if node.depth <= holds:
+                            given.add(node)
+                        node = node.parent
+                for node, features in nodes.items():
+                    if node not in given:
+                        seen[host, node.key, node.depth, 0, _key("|", *node.below)] += 1
                         for f in features:
-                            seen[host, p, len(path), 1, f] += 1
+                            seen[host, node.key, node.depth, 1, f] += 1
             cols = list(zip(*seen.keys(), strict=True)) if seen else [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([*(pa.array(np.array(c, "i8"), pa.int64()).cast(k) for c, k in zip(cols, kinds, strict=True)), pa.array(list(seen.values()), pa.int64())], names=["host", "path", "depth", "kind", "feature", "n"])
