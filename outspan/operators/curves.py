@@ -98,23 +98,47 @@ def horizon_days(obs: DataFrame, windows: DataFrame, safety: float = 1.0) -> Dat
     return gaps.join(ends, "series_id", "left").select("series_id", F.ceil(F.greatest("span", F.coalesce("end", F.lit(0.0))) + F.ceil("gap") + safety).cast("long").alias("horizon"))
 
 
+def segment_grid(snaps: DataFrame, step: float) -> DataFrame:
+    """Rows (snap_id, T, x) for snapshots (snap_id, t_star, next_t): quiet times from 0 to the next snapshot in even steps of about ``step``,
+    and the time x on the common axis. Snapshots without a time to come have none."""
+    n = F.greatest(F.lit(1), F.floor(F.col("next_t") / step) + 1)
+    rows = snaps.filter("next_t > 0").withColumn("n", n).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    T = F.when(F.col("n") > 1, F.col("next_t") * F.col("j") / F.greatest(F.col("n") - 1, F.lit(1))).otherwise(0.0)
+    return rows.select("snap_id", T.alias("T"), (F.col("t_star") + T).alias("x"))
+
+
+def snapshot_first_post(entities: DataFrame, events: DataFrame, snaps: DataFrame) -> DataFrame:
+    """Rows (snap_id, traj_id, first_post) of every entity and snapshot (snap_id, t_star): time to the first event after the cutoff. Each event
+    meets the snapshots once, in the task that reads it, and only the least time of each pair is shuffled."""
+    after = events.crossJoin(F.broadcast(snaps.select("snap_id", "t_star"))).filter(F.col("t") > F.col("t_star"))
+    least = after.groupBy("snap_id", "traj_id").agg(F.min(F.col("t") - F.col("t_star")).alias("first_post"))
+    return entities.crossJoin(F.broadcast(snaps.select("snap_id"))).join(least, ["snap_id", "traj_id"], "left")
+
+
+def _survivors(first: DataFrame, grid: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Draws that are still quiet at each T; a grid with the keys has points of its own for each of them."""
+    own = [k for k in keys if k in grid.columns]
+    rows = first.join(grid, own) if own else first.crossJoin(F.broadcast(grid))
+    return rows.filter(F.col("first_post").isNull() | (F.col("first_post") > F.col("T")))
+
+
 def timepath(first: DataFrame, metrics: list[str], grid: DataFrame, probs: tuple[float, ...] = (0.05, 0.5, 0.95), keys: tuple[str, ...] = ()) -> DataFrame:
-    """Of each T and metric percentiles over the draws that are still quiet; ``first`` has draws joined with first_post."""
-    rows = first.crossJoin(F.broadcast(grid)).filter(F.col("first_post").isNull() | (F.col("first_post") > F.col("T")))
-    long = rows.unpivot([*keys, "traj_id", "T"], metrics, "metric", "value")
+    """Of each T and metric percentiles over the draws that are still quiet; ``first`` has draws joined with first_post. With keys, as of
+    snapshots, the grid may have them too."""
+    long = _survivors(first, grid, keys).unpivot([*keys, "traj_id", "T"], metrics, "metric", "value")
     return percentiles(long, [*keys, "T", "metric"], "value", {f"q{round(p * 1000):03d}": p for p in probs}, n="n")
 
 
-def timepath_weighted(first: DataFrame, metric: str, grid: DataFrame, sigma: float, level: float = 0.9) -> DataFrame:
+def timepath_weighted(first: DataFrame, metric: str, grid: DataFrame, sigma: float, level: float = 0.9, keys: tuple[str, ...] = ()) -> DataFrame:
     """Of each T the weighted mean and tail-mean band of a metric over survivors with an event still to come, by how near it is to T. Equal
-    weights where all of these are 0, and over all survivors where none has an event. n counts survivors."""
-    rows = first.crossJoin(F.broadcast(grid)).filter(F.col("first_post").isNull() | (F.col("first_post") > F.col("T")))
+    weights where all of these are 0, and over all survivors where none has an event. n counts survivors. Keys as in timepath()."""
+    at = [*keys, "T"]
     ends = F.col("first_post").isNotNull()
-    rows = rows.select("T", metric, ends.alias("__ends"), gaussian_distance_weight(F.col("first_post") - F.col("T"), sigma).alias("__w"))
-    sums = rows.groupBy("T").agg(F.count("*").alias("n"), F.max("__ends").alias("__any"), F.sum("__w").alias("__sum"))
+    rows = _survivors(first, grid, keys).select(*at, metric, ends.alias("__ends"), gaussian_distance_weight(F.col("first_post") - F.col("T"), sigma).alias("__w"))
+    sums = rows.groupBy(*at).agg(F.count("*").alias("n"), F.max("__ends").alias("__any"), F.sum("__w").alias("__sum"))
     one = F.when(F.col("__sum") > 0, F.col("__w")).otherwise(1.0)
-    weighted = attach(rows, sums, ["T"]).withColumn("__w", F.when(F.col("__ends"), one).when(~F.col("__any"), 1.0).otherwise(0.0))
-    return attach(sums.select("T", "n"), weighted_tail_mean_band(weighted, ["T"], metric, "__w", level), ["T"]).select("T", "n", "mean", "lo", "hi")
+    weighted = attach(rows, sums, at).withColumn("__w", F.when(F.col("__ends"), one).when(~F.col("__any"), 1.0).otherwise(0.0))
+    return attach(sums.select(*at, "n"), weighted_tail_mean_band(weighted, at, metric, "__w", level), at).select(*at, "n", "mean", "lo", "hi")
 
 
 def chronological(snaps: DataFrame) -> DataFrame:

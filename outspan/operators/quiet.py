@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import interp_array, ultimate_extinction
-from ..functions.special import gamma_cdf, gamma_pdf_np, gamma_cdf_np, thinned_gamma_cdf
+from ..functions.special import gamma_cdf, gamma_cdf_np, gamma_pdf, gamma_pdf_np, thinned_gamma_cdf
+from ..session import ship
 from ..sources.ingest import unit_hash
-from .criteria import first_post, small
+from .criteria import first_post
 from .ranks import attach, percentiles
 
 
@@ -111,6 +112,7 @@ def seed_cond(entities: DataFrame, edges: DataFrame, grid: DataFrame, t_star: fl
 def survival_table(keys: DataFrame, u_max: float, h: float) -> DataFrame:
     """Extinction by age for each distinct (R, k, alpha, theta): H(0) = (b / (b + 1))^k and H(u) = (b / (b + 1 - (f * H)(u)))^k with
     b = k / R, on the grid of step h. The recursion runs over all keys of a batch at once."""
+    ship(keys.sparkSession)
     n = int(round(u_max / h))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,6 +155,7 @@ def with_reff(parents: DataFrame, draws: DataFrame, t_star: float) -> DataFrame:
 def rao_blackwell(parents: DataFrame, draws: DataFrame, grid: DataFrame, t_star: float, posterior: bool, cdf=gamma_cdf) -> DataFrame:
     """Rows (traj_id, T, g_inf, g_quiet): chances that no parent has another child ever, and none within T. ``posterior`` takes the
     children before the cutoff (n_pre) into account."""
+    ship(draws.sparkSession)
     p = with_reff(parents, draws, t_star)
     beta, k = F.col("k") / F.col("Reff"), F.col("k")
     p = p.withColumn("F0", cdf("age", "alpha", "theta"))
@@ -204,34 +207,51 @@ def rb_uncond(parents: DataFrame, draws: DataFrame, grid: list[float], t_star: f
     return flat.select("traj_id", F.element_at(F.array(*[F.lit(float(x)) for x in grid]), (F.col("i") + 1).cast("int")).alias("T"), "g")
 
 
-def lineage_quiet(draws: DataFrame, actives: DataFrame, grid: DataFrame, t_star: float, method: str = "ev", cdf=gamma_cdf) -> DataFrame:
+def lineage_draws(draws: DataFrame, effective: bool = True) -> DataFrame:
+    """Draws as the lineage methods take them: R is the effective number r * R0, or R0 itself for an epidemic without control."""
+    R = F.col("r") * F.col("R0") if effective else F.col("R0")
+    return draws.select("traj_id", R.alias("R"), "k", F.col("alpha").cast("double").alias("alpha"), "theta")
+
+
+def lineage_quiet(draws: DataFrame, actives: DataFrame, grid: DataFrame, t_star: float, method: str = "ev", cdf=gamma_cdf, effective: bool = True) -> DataFrame:
     """Per draw and T the chance that quiet lineages are over. ``size_only`` takes the number of active parents, ``ev`` their ages,
     shifted by the mean generation time. 1 without actives."""
-    d = draws.select("traj_id", F.col("R0").alias("R"), "k", F.col("alpha").cast("double").alias("alpha"), "theta")
+    ship(draws.sparkSession)
+    d = lineage_draws(draws, effective)
     a = distinct_times(actives)
+    clipped = lambda g: F.least(F.lit(1.0), g)
     if method == "size_only":
         n = a.groupBy("traj_id").agg(F.count("*").alias("n"))
         rows = grid_cross(d.join(n, "traj_id", "left"), grid).withColumn("F", cdf("T", "alpha", "theta"))
         ratio = (1 + F.col("R") / F.col("k")) / (1 + F.col("R") * F.col("F") / F.col("k"))
-        return rows.select("traj_id", "T", F.when(F.col("n").isNull(), 1.0).otherwise(F.exp(-F.col("k") * F.col("n") * F.log(ratio))).alias("g"))
+        return rows.select("traj_id", "T", F.when(F.col("n").isNull(), 1.0).otherwise(clipped(F.exp(-F.col("k") * F.col("n") * F.log(ratio)))).alias("g"))
     p = a.join(d, "traj_id").withColumn("age", F.greatest(F.lit(0.0), F.lit(t_star) - F.col("parent_t") - F.col("alpha") * F.col("theta"))).withColumn("F0", cdf("age", "alpha", "theta"))
     rows = grid_cross(p, grid).withColumn("F1", cdf(F.col("age") + F.col("T"), F.col("alpha"), F.col("theta")))
     A, B = 1 + F.col("R") / F.col("k") * (1 - F.col("F0")), 1 + F.col("R") / F.col("k") * (F.col("F1") - F.col("F0"))
-    per = rows.groupBy("traj_id", "T").agg(F.exp(F.sum(-F.col("k") * F.log(A / B))).alias("g"))
+    per = rows.groupBy("traj_id", "T").agg(clipped(F.exp(F.sum(-F.col("k") * F.log(A / B)))).alias("g"))
     return grid_cross(d.select("traj_id"), grid).join(per, ["traj_id", "T"], "left").withColumn("g", F.coalesce("g", F.lit(1.0)))
 
 
-def lineage_quiet_removal(draws: DataFrame, actives: DataFrame, grid: DataFrame, t_star: float, kind: str, rate: float, shape: float = 1.0, method: str = "ev") -> DataFrame:
-    return lineage_quiet(draws, actives, grid, t_star, method, thinned_gamma_cdf(kind, rate, shape))
+def lineage_quiet_removal(draws: DataFrame, actives: DataFrame, grid: DataFrame, t_star: float, kind: str, rate: float, shape: float = 1.0, method: str = "ev", effective: bool = True) -> DataFrame:
+    return lineage_quiet(draws, actives, grid, t_star, method, thinned_gamma_cdf(kind, rate, shape), effective)
+
+
+def level_bands(df: DataFrame, value: str, levels: tuple[float, ...], centre: str = "median") -> DataFrame:
+    """By T the median or mean p of ``value`` and for each level a column lo_ and hi_ with the level in percent: the equal-tailed band."""
+    probs = {f"{end}_{round(100 * x)}": 0.5 + side * x / 2 for x in sorted(levels) for end, side in (("lo", -1), ("hi", 1))}
+    if centre == "median":
+        return percentiles(df, ["T"], value, {"p": 0.5} | probs)
+    return attach(df.groupBy("T").agg(F.avg(value).alias("p")), percentiles(df, ["T"], value, probs), ["T"])
 
 
-def log_survival(draws: DataFrame, actives: DataFrame, grid: DataFrame, t_star: float, horizon: float | None) -> DataFrame:
+def log_survival(draws: DataFrame, actives: DataFrame, grid: DataFrame, t_star: float, horizon: float | None, effective: bool = True) -> DataFrame:
     """Per draw and T: ls = log S(T) and lh = log S(horizon) of the first event after the cutoff."""
-    d = draws.select("traj_id", F.col("R0").alias("R"), "k", F.col("alpha").cast("double").alias("alpha"), "theta")
-    p = distinct_times(actives).join(d, "traj_id").withColumn("age", t_star - F.col("parent_t")).withColumn("F0", gamma_cdf("age", "alpha", "theta"))
+    ship(draws.sparkSession)
+    d = lineage_draws(draws, effective)
+    p = distinct_times(actives).join(d, "traj_id").withColumn("age", F.greatest(F.lit(0.0), F.lit(t_star) - F.col("parent_t"))).withColumn("F0", gamma_cdf("age", "alpha", "theta"))
     p = p.withColumn("Fh", F.lit(1.0) if horizon is None else gamma_cdf(F.col("age") + horizon, F.col("alpha"), F.col("theta")))
     rows = grid_cross(p, grid).withColumn("F1", gamma_cdf(F.col("age") + F.col("T"), F.col("alpha"), F.col("theta")))
-    part = lambda f: F.sum(-F.col("k") * F.log(1 + F.col("R") / F.col("k") * (F.col(f) - F.col("F0"))))
+    part = lambda f: F.sum(-F.col("k") * F.log(1 + F.col("R") / F.col("k") * F.greatest(F.col(f) - F.col("F0"), F.lit(0.0))))
     per = rows.groupBy("traj_id", "T").agg(part("F1").alias("ls"), part("Fh").alias("lh"))
     return grid_cross(d.select("traj_id"), grid).join(per, ["traj_id", "T"], "left").select("traj_id", "T", F.coalesce("ls", F.lit(0.0)).alias("ls"), F.coalesce("lh", F.lit(0.0)).alias("lh"))
 
@@ -247,7 +267,7 @@ def first_after(logs: DataFrame, agg: str = "median", probs: tuple[float, ...] =
 def first_after_mixture(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Sum of S(horizon) over sum of S(T), in logarithms."""
     top = logs.groupBy(*keys, "T").agg(F.max("lh").alias("mh"), F.max("ls").alias("ms"))
-    r = logs.join(small(top), [*keys, "T"]).groupBy(*keys, "T").agg(F.first("mh").alias("mh"), F.first("ms").alias("ms"), F.sum(F.exp(F.col("lh") - F.col("mh"))).alias("a"), F.sum(F.exp(F.col("ls") - F.col("ms"))).alias("b"))
+    r = attach(logs, top, [*keys, "T"]).groupBy(*keys, "T").agg(F.first("mh").alias("mh"), F.first("ms").alias("ms"), F.sum(F.exp(F.col("lh") - F.col("mh"))).alias("a"), F.sum(F.exp(F.col("ls") - F.col("ms"))).alias("b"))
     return r.select(*keys, "T", F.exp(F.col("mh") + F.log("a") - F.col("ms") - F.log("b")).alias("p"))
 
 
@@ -262,41 +282,83 @@ def bootstrap_bands(logs: DataFrame, B: int, seed: int, probs: tuple[float, floa
     rows = logs.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1)))).withColumn("c", count).filter("c > 0")
     # Shifted by the largest values of each T, as sums of very small chances would be 0.
     top = logs.groupBy("T").agg(F.max("lh").alias("mh"), F.max("ls").alias("ms"))
-    rows = rows.join(small(top), "T")
+    rows = attach(rows, top, ["T"])
     per = rows.groupBy("b", "T").agg((F.sum(F.col("c") * F.exp(F.col("lh") - F.col("mh"))) / F.sum(F.col("c") * F.exp(F.col("ls") - F.col("ms")))).alias("q"), F.exp(F.first("mh") - F.first("ms")).alias("f"))
     per = per.select("T", (F.col("q") * F.col("f")).alias("p"))
     return per.groupBy("T").agg(F.percentile("p", F.lit(probs[0])).alias("lo"), F.percentile("p", F.lit(probs[1])).alias("hi"))
 
 
-def first_after_surrogate(draws: DataFrame, actives: DataFrame, grid: DataFrame, t_star: float, method: str, eps: float = 1e-3) -> DataFrame:
-    """Mixture curve with the survival of each draw replaced: ``exact``; ``gompertz`` exp(-A (1 - exp(-h0 T / A))); ``gamma_moment``
-    exp(-A G(T)) with G the gamma distribution of the draw; ``two_exp``, a mean of fast and slow decay that matches value, slope and
-    curvature, or gompertz where that has no solution. A is the log chance of no event ever, h0 the hazard at the cutoff."""
+#: Least logarithm of a chance that counts: that of the smallest normal double.
+LEAST_LOG = float(np.log(np.finfo(float).tiny))
+
+
+def hazard_summary(draws: DataFrame, actives: DataFrame, t_star: float, effective: bool = True) -> DataFrame:
+    """One row a draw on the hazard of the first event after the cutoff, from the ages of its active parents: A, the log chance of none
+    ever, with its sign changed; h0 and h1, hazard and slope at the cutoff; m1 and m2, the moments of waiting times beyond the ages, R times the sum of
+    E[(tau - age)+] and of its square. All 0 without actives.
+
+    The upper incomplete gamma function at shapes one and two higher follows from that at the shape and the density, so one
+    distribution function and one density a parent are enough. A parent at the cutoff itself, with a shape below 1, has an unbounded
+    density and counts as one of age 1e-12."""
+    ship(draws.sparkSession)
+    p = distinct_times(actives).join(lineage_draws(draws, effective), "traj_id").withColumn("age", F.greatest(F.lit(0.0), F.lit(t_star) - F.col("parent_t")))
+    p = p.withColumn("age", F.when((F.col("alpha") < 1) & (F.col("age") < 1e-12), 1e-12).otherwise(F.col("age")))
+    a, th, age, R, k = (F.col(c) for c in ("alpha", "theta", "age", "R", "k"))
+    p = p.withColumn("q", 1 - gamma_cdf("age", "alpha", "theta"))
+    p = p.withColumn("f", F.when(age > 0, gamma_pdf("age", "alpha", "theta")).when(a == 1, 1 / th).otherwise(0.0))
+    f, x = F.col("f"), age / th
+    slope = F.when(age > 0, f * ((a - 1) / age - 1 / th)).otherwise(-f / th)
+    q0 = F.col("q")
+    q1 = q0 + f * th * x / a
+    q2 = q1 + f * th * x * x / (a * (a + 1))
+    mean, square = th * a * q1, th * th * a * (a + 1) * q2
+    sums = p.groupBy("traj_id").agg(
+        F.sum(k * F.log(1 + R / k * q0)).alias("A"), F.sum(R * f).alias("h0"), F.sum(R * slope - R * R / k * f * f).alias("h1"),
+        F.sum(R * (mean - age * q0)).alias("m1"), F.sum(R * (square - 2 * age * mean + age * age * q0)).alias("m2"),
+    )
+    out = draws.select("traj_id").join(sums, "traj_id", "left")
+    return out.select("traj_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("A", "h0", "h1", "m1", "m2")])
+
+
+def first_after_surrogate(draws: DataFrame, actives: DataFrame, grid: DataFrame, t_star: float, method: str, horizon: float | None = None, rho: float = 3.0, effective: bool = True) -> DataFrame:
+    """Mixture curve with the survival of each draw replaced: ``exact``; ``gompertz``, a hazard h0 exp(-h0 T / A); ``two_exp``, a hazard of two
+    decays with the ratio ``rho`` of rates that matches value, slope and integral, or gompertz where weights or rates are not
+    positive; ``gamma_moment`` exp(-A G(T)) with G the gamma distribution of the mean and variance of waiting times beyond the
+    parents' ages. ``horizon`` ends the period, None never. Draws without hazard have survival 1."""
+    if rho <= 1:
+        raise ValueError("rho must be above 1")
     if method == "exact":
-        return first_after_mixture(log_survival(draws, actives, grid, t_star, None))
-    small_grid = grid.sparkSession.createDataFrame([(eps,), (2 * eps,)], "T double")
-    at = log_survival(draws, actives, small_grid, t_star, None).groupBy("traj_id").agg(F.max("lh").alias("lh"), F.max(F.when(F.col("T") == eps, F.col("ls"))).alias("l1"), F.max(F.when(F.col("T") == 2 * eps, F.col("ls"))).alias("l2"))
-    a, h0 = -F.col("lh"), -F.col("l1") / eps
-    s = at.withColumn("A", a).withColumn("h0", h0).withColumn("c", -(F.col("l2") - 2 * F.col("l1")) / (eps * eps)).join(draws.select("traj_id", F.col("alpha").cast("double").alias("alpha"), "theta"), "traj_id")
-    rows = grid_cross(s, grid)
-    gompertz = F.when(F.col("A") > 0, -F.col("A") * (1 - F.exp(-F.col("h0") * F.col("T") / F.col("A")))).otherwise(0.0)
-    if method == "gompertz":
-        ls = gompertz
-    elif method == "gamma_moment":
-        ls = -F.col("A") * gamma_cdf("T", "alpha", "theta")
+        return first_after_mixture(log_survival(draws, actives, grid, t_star, horizon, effective))
+    s = hazard_summary(draws, actives, t_star, effective)
+    A, h0, h1 = F.col("A"), F.col("h0"), F.col("h1")
+    some = A > 0
+    gone = lambda b, t: F.lit(1.0) if t is None else 1 - F.exp(-b * t)
+    if method == "gamma_moment":
+        s = s.withColumn("mean", F.when(some, F.col("m1") / A)).withColumn("var", F.greatest(F.when(some, F.col("m2") / A) - F.col("mean") * F.col("mean"), F.lit(1e-12)))
+        s = s.withColumn("ga", F.greatest(F.col("mean") * F.col("mean") / F.col("var"), F.lit(1e-9))).withColumn("gth", F.greatest(F.col("var") / F.greatest("mean", F.lit(1e-12)), F.lit(1e-9)))
+        at = lambda t: F.lit(1.0) if t is None else gamma_cdf(t, F.col("ga"), F.col("gth"))
+        hazard = lambda t: A * at(t)
+    elif method == "gompertz":
+        hazard = lambda t: A * gone(F.when(some, h0 / A), t)
     else:
-        # Cumulative hazard A (1 - (e^-xT + e^-yT) / 2): slope A (x + y) / 2 = h0, curvature -A (x^2 + y^2) / 2 = c.
-        m, q = F.when(F.col("A") > 0, F.col("h0") / F.col("A")), F.when(F.col("A") > 0, -F.col("c") / F.col("A"))
-        var = q - m * m
-        root = F.sqrt(F.greatest(var, F.lit(0.0)))
-        two = -F.col("A") * (1 - (F.exp(-(m + root) * F.col("T")) + F.exp(-(m - root) * F.col("T"))) / 2)
-        ls = F.when((F.col("A") > 0) & (var >= 0) & (root < m), two).otherwise(gompertz)
-    return first_after_mixture(rows.select("traj_id", "T", ls.alias("ls"), "lh"))
+        # Both decays: t1 + t2 = h0, t1 / b1 + t2 / b2 = A and -t1 b1 - t2 b2 = h1 with b2 = rho b1.
+        s = s.withColumn("disc", h0 * h0 * (rho + 1) ** 2 + 4 * rho * A * h1)
+        s = s.withColumn("b1", F.when(some & (F.col("disc") >= 0), (h0 * (rho + 1) + F.sqrt(F.greatest("disc", F.lit(0.0)))) / (2 * rho * A)))
+        s = s.withColumn("t2", F.when(F.col("b1") > 0, -(h0 + h1 / F.col("b1")) / (rho - 1))).withColumn("t1", h0 - F.col("t2"))
+        fits = F.coalesce((F.col("t1") > 0) & (F.col("t2") > 0), F.lit(False))
+        b1, b2 = F.col("b1"), rho * F.col("b1")
+        hazard = lambda t: F.when(fits, F.col("t1") / b1 * gone(b1, t) + F.col("t2") / b2 * gone(b2, t)).otherwise(A * gone(F.when(some, h0 / A), t))
+    end = None if horizon is None else F.lit(float(horizon))
+    logs = lambda t: F.when(some, F.greatest(-hazard(t), F.lit(LEAST_LOG))).otherwise(0.0)
+    s = s.withColumn("lh", logs(end))
+    out = first_after_mixture(grid_cross(s, grid).select("traj_id", "T", logs(F.col("T")).alias("ls"), "lh"))
+    return out.withColumn("p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p"))))
 
 
 def parametric_quiet(parents: DataFrame, draws: DataFrame, grid: DataFrame, t_star: float, control: float | None = None) -> DataFrame:
     """Median over draws of the product of ((b + F(a + T)) / (b + 1))^(k + M) over parents; M are children before the cutoff. R is R0 if
     the cutoff is before the control date, r * R0 for others than the root afterwards."""
+    ship(draws.sparkSession)
     p = with_reff(parents, draws, t_star)
     R = F.col("R0") if control is not None and t_star < control else F.col("Reff")
     p = p.withColumn("b", F.col("k") / R).select("traj_id", "b", "age", "alpha", "theta", (F.col("k") + F.col("n_pre")).alias("kk"))

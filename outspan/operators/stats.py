@@ -109,11 +109,12 @@ def weighted_mean(df: DataFrame, keys: list[str], value: str, weight: str) -> Da
 
 
 def weighted_tail_mean_band(df: DataFrame, keys: list[str], value: str, weight: str, p: float) -> DataFrame:
-    """Weighted mean, and means of the rows within the tail mass (1 - p) / 2 at either end, at least one value, drawn in by p^0.7."""
+    """Weighted mean, and means of the values whose cumulative weight stays within the tail mass (1 - p) / 2 or reaches the total without it, at
+    least one value at either end, drawn in by p^0.7."""
     r = _weighted(df, keys, value, weight)
     tail = F.col("total") * F.lit((1 - p) / 2)
     low = (F.col("cum") <= tail) | (F.col(value) == F.col("__least"))
-    high = (F.col("cum") >= F.col("total") - tail) & ((F.col("cum") - F.col("w") >= F.col("total") - tail) | (F.col(value) == F.col("__most"))) | (F.col(value) == F.col("__most"))
+    high = (F.col("cum") >= F.col("total") - tail) | (F.col(value) == F.col("__most"))
     mean = lambda c: F.sum(F.when(c, F.col(value) * F.col("w"))) / F.sum(F.when(c, F.col("w")))
     out = r.groupBy(*keys).agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("mean"), mean(low).alias("lo"), mean(high).alias("hi"))
     s = 0.0 if p >= 0.999 else p**0.7
@@ -147,7 +148,7 @@ def binned_stats(hist: DataFrame, keys: list[str], level: float, method: str = "
 def simultaneous_band(curves: DataFrame, draw: str, x: str, y: str, level: float, eps: float = 1e-9) -> DataFrame:
     """Mean curve with a band of c standard deviations, c so that the share ``level`` of draws stays inside everywhere."""
     m = curves.groupBy(x).agg(F.avg(y).alias("mean"), F.greatest(F.coalesce(F.stddev_samp(y), F.lit(0.0)), F.lit(eps)).alias("sd"))
-    z = curves.join(small(m), x).groupBy(draw).agg(F.max(F.abs(F.col(y) - F.col("mean")) / F.col("sd")).alias("worst"))
+    z = attach(curves, m, [x]).groupBy(draw).agg(F.max(F.abs(F.col(y) - F.col("mean")) / F.col("sd")).alias("worst"))
     c = percentiles(z, [], "worst", {"c": level})
     cover = z.crossJoin(F.broadcast(c)).agg(F.avg((F.col("worst") <= F.col("c")).cast("double")).alias("coverage"), F.first("c").alias("c"))
     lo, hi = F.col("mean") - F.col("c") * F.col("sd"), F.col("mean") + F.col("c") * F.col("sd")
@@ -155,13 +156,15 @@ def simultaneous_band(curves: DataFrame, draw: str, x: str, y: str, level: float
 
 
 def bandwidth(df: DataFrame, keys: list[str], value: str, rule: str = "scott") -> DataFrame:
-    sd = F.stddev_samp(value)
-    base = df.groupBy(*keys).agg(sd.alias("sd"), F.count("*").alias("n"))
+    """Scott's rule over the sample deviation, or Silverman's over the lesser of the population deviation and the quartile distance / 1.34;
+    without a distance between quartiles the deviation alone, and 1 where that is 0 too."""
+    base = df.groupBy(*keys).agg((F.stddev_samp(value) if rule == "scott" else F.stddev_pop(value)).alias("sd"), F.count("*").alias("n"))
     shrink = F.pow(F.col("n").cast("double"), F.lit(-0.2))
     if rule == "scott":
         return base.select(*keys, (F.col("sd") * shrink).alias("bw"), "n")
     both = attach(base, percentiles(df, keys, value, {"q1": 0.25, "q3": 0.75}), keys)
-    return both.select(*keys, (0.9 * F.least("sd", (F.col("q3") - F.col("q1")) / 1.34) * shrink).alias("bw"), "n")
+    sigma = F.when(F.col("q3") > F.col("q1"), F.least("sd", (F.col("q3") - F.col("q1")) / 1.34)).otherwise(F.col("sd"))
+    return both.select(*keys, (0.9 * F.when(sigma == 0, 1.0).otherwise(sigma) * shrink).alias("bw"), "n")
 
 
 def kernel(u: Column, kind: str) -> Column:
@@ -173,28 +176,29 @@ def kernel(u: Column, kind: str) -> Column:
 def kde(df: DataFrame, keys: list[str], value: str, grid: DataFrame, rule: str = "scott", kind: str = "gaussian", bounds: tuple[float, float] | None = None, method: str = "none") -> DataFrame:
     """Kernel density on the grid (column x, of a checked size). Equal values are weighted, not repeated.
 
-    ``reflect`` adds the sample mirrored at both bounds, as far as 0.4 of the range; ``truncate`` divides each kernel by its mass
-    inside the bounds. With bounds nothing is outside. The result has area 1 by the trapezoid rule."""
-    bw = small(bandwidth(df, keys, value, rule))
-    v = df.groupBy(*keys, value).agg(F.count("*").alias("c"))
+    ``reflect`` adds the sample mirrored at both bounds, as far from them as 0.4 of the sample's range, and takes the bandwidth of both
+    together; ``truncate`` divides each kernel by its mass inside the bounds. With bounds nothing is outside, and the area counts
+    between the grid points inside only. The result has area 1 by the trapezoid rule."""
     if bounds and method == "reflect":
         a, b = bounds
-        near = 0.4 * (b - a)
-        low = v.filter(F.col(value) - a <= near).withColumn(value, 2 * a - F.col(value))
-        high = v.filter(b - F.col(value) <= near).withColumn(value, 2 * b - F.col(value))
-        v = v.unionByName(low).unionByName(high)
-    v = v.join(bw, keys) if keys else v.crossJoin(F.broadcast(bw))
+        ends = df.groupBy(*keys).agg((0.4 * (F.max(value) - F.min(value))).alias("__near"))
+        ranged = attach(df.select(*keys, value), ends, keys)
+        low = ranged.withColumn(value, 2 * a - F.col(value)).filter(F.col(value) > a - F.col("__near"))
+        high = ranged.withColumn(value, 2 * b - F.col(value)).filter(F.col(value) < b + F.col("__near"))
+        df = ranged.unionByName(low).unionByName(high).drop("__near")
+    bw = bandwidth(df, keys, value, rule)
+    v = attach(df.groupBy(*keys, value).agg(F.count("*").alias("c")), bw, keys)
     weight = F.col("c")
     if bounds and method == "truncate":
         a, b = bounds
         v = v.withColumn("mass", normal_cdf((b - F.col(value)) / F.col("bw")) - normal_cdf((a - F.col(value)) / F.col("bw")))
-        weight = F.col("c") / F.greatest("mass", F.lit(1e-12))
+        weight = F.col("c") / F.greatest("mass", F.lit(1e-15))
     rows = v.withColumn("wt", weight).crossJoin(F.broadcast(grid))
     d = rows.groupBy(*keys, "x").agg((F.sum(F.col("wt") * kernel((F.col("x") - F.col(value)) / F.col("bw"), kind)) / F.max(F.col("n") * F.col("bw"))).alias("density"))
-    if bounds:
-        d = d.withColumn("density", F.when(F.col("x").between(*bounds), F.col("density")).otherwise(0.0))
-    w = Window.partitionBy(*keys).orderBy("x")
-    area = d.withColumn("a", (F.col("x") - F.lag("x").over(w)) * (F.col("density") + F.lag("density").over(w)) / 2)
+    inside = F.col("x").between(*bounds) if bounds else F.lit(True)
+    d = d.withColumn("density", F.when(inside, F.col("density")).otherwise(0.0)).withColumn("__in", inside)
+    w = Window.partitionBy(*keys, "__in").orderBy("x")
+    area = d.withColumn("a", F.when(F.col("__in"), (F.col("x") - F.lag("x").over(w)) * (F.col("density") + F.lag("density").over(w)) / 2))
     total = area.withColumn("area", F.sum("a").over(Window.partitionBy(*keys)))
     return total.select(*keys, "x", F.when(F.col("area") > 0, F.col("density") / F.col("area")).otherwise(F.col("density")).alias("density"))
 

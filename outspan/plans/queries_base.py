@@ -12,7 +12,7 @@ from ..functions import special as S
 from ..operators import collect, criteria, curves, quiet, spatial
 from ..operators.criteria import IntervalCriterion
 from ..sources import ingest
-from .bindings import DUCK, EDGE_STAR, T_STAR, erlang, grid_sql, with_
+from .bindings import DUCK, EDGE_STAR, T_STAR, erlang, grid_sql, thinned_sql, with_
 from .register import registry, rounded
 
 QUERIES, ORACLE, query = registry()
@@ -140,7 +140,7 @@ def _(t):
     return rounded(t.draws.select("traj_id", S.thinned_gamma_cdf("exponential", 0.1)("R0", F.col("alpha").cast("double"), "theta").alias("f")))
 
 
-@query("b23_thinned_weibull")
+@query("b23_thinned_weibull", with_("draws", f"SELECT traj_id, round(fx, 4) AS f FROM ({thinned_sql('R0', 0.1, 1.5, 3000, 'draws')})"))
 def _(t):
     return rounded(t.draws.select("traj_id", S.thinned_gamma_cdf("weibull", 0.1, 1.5)("R0", F.col("alpha").cast("double"), "theta").alias("f")), 4)
 
@@ -402,7 +402,7 @@ _BAND = 0.9**0.7
     "f19_timepath_weighted",
     with_(
         "entities ev draws",
-        f"SELECT T, max(n) AS n, round(max(m), 6) AS mean, round(max(m) + (sum(R0*w) FILTER (low) / sum(w) FILTER (low) - max(m)) * {_BAND}, 6) AS lo, round(max(m) + (sum(R0*w) FILTER (high) / sum(w) FILTER (high) - max(m)) * {_BAND}, 6) AS hi FROM (SELECT *, cum <= total*0.05 OR R0 = min(R0) OVER k AS low, cum - w >= total*0.95 OR R0 = max(R0) OVER k AS high, sum(R0*w) OVER k / total AS m FROM cw WINDOW k AS (PARTITION BY T)) GROUP BY T",
+        f"SELECT T, max(n) AS n, round(max(m), 6) AS mean, round(max(m) + (sum(R0*w) FILTER (low) / sum(w) FILTER (low) - max(m)) * {_BAND}, 6) AS lo, round(max(m) + (sum(R0*w) FILTER (high) / sum(w) FILTER (high) - max(m)) * {_BAND}, 6) AS hi FROM (SELECT *, cum <= total*0.05 OR R0 = min(R0) OVER k AS low, cum >= total - total*0.05 OR R0 = max(R0) OVER k AS high, sum(R0*w) OVER k / total AS m FROM cw WINDOW k AS (PARTITION BY T)) GROUP BY T",
         _SG, _FP,
         ("alive", "SELECT T, R0, first_post, CASE WHEN first_post IS NULL THEN 0e0 ELSE exp(-0.5*pow((first_post-T)/2,2)) END AS w FROM fp JOIN draws USING (traj_id), (SELECT unnest([0e0, 1e0, 2e0, 4e0]) AS T) WHERE first_post IS NULL OR first_post > T"),
         ("own", "SELECT T, R0, count(*) OVER k AS n, CASE WHEN max(first_post) OVER k IS NULL THEN 1e0 WHEN first_post IS NULL THEN 0e0 WHEN sum(w) OVER k > 0 THEN w ELSE 1e0 END AS w FROM alive WINDOW k AS (PARTITION BY T)"),
@@ -415,6 +415,46 @@ def _(t):
     return rounded(curves.timepath_weighted(first, "R0", t.spark.sql("SELECT explode(array(0e0, 1e0, 2e0, 4e0)) AS T"), 2.0))
 
 
+#: Four snapshots at uneven distances; the last ends 6.5 days later.
+_SNAPS = ("snaps", "SELECT *, coalesce(lead(t_star) OVER (ORDER BY t_star) - t_star, 6.5e0) AS next_t FROM (SELECT CAST(i AS BIGINT) AS snap_id, 10e0 + 4.5e0 * i + 0.25e0 * i * i AS t_star FROM range(4) r(i))")
+_SEG = ("seg", "SELECT snap_id, t_star, CASE WHEN n > 1 THEN next_t * j / (n - 1) ELSE 0e0 END AS T FROM (SELECT *, unnest(range(CAST(n AS BIGINT))) AS j FROM (SELECT *, greatest(1, floor(next_t / 1.5) + 1) AS n FROM snaps))")
+_SFP = ("sfp", "SELECT s.snap_id, e.traj_id, min(v.t) FILTER (v.t > s.t_star) - s.t_star AS first_post FROM snaps s CROSS JOIN entities e LEFT JOIN sg v ON e.traj_id = v.traj_id GROUP BY s.snap_id, s.t_star, e.traj_id")
+
+
+def _snapshots(t):
+    """First events of all draws after each snapshot, and the snapshots' quiet times."""
+    snaps = t.spark.sql("SELECT 1 AS series_id, id AS snap_id, 10e0 + 4.5e0 * id + 0.25e0 * id * id AS t_star FROM range(4)")
+    snaps = curves.next_gap(snaps, 6.5)
+    first = curves.snapshot_first_post(t.entities, t.ev.filter(SIGNUP), snaps).join(t.draws, "traj_id")
+    return first, curves.segment_grid(snaps, 1.5)
+
+
+@query("f18_timepath_snapshots", with_("entities ev draws", "SELECT snap_id, round(t_star + T, 4) AS x, metric, count(*) AS n, round(quantile_cont(value, 0.05), 4) AS q050, round(quantile_cont(value, 0.5), 4) AS q500, round(quantile_cont(value, 0.95), 4) AS q950 FROM (SELECT snap_id, t_star, T, 'log_R0' AS metric, ln(R0) AS value FROM rows UNION ALL SELECT snap_id, t_star, T, 'log_k', ln(k) FROM rows) GROUP BY snap_id, t_star, T, metric", _SG, _SNAPS, _SEG, _SFP, ("rows", "SELECT snap_id, t_star, T, R0, k FROM sfp JOIN draws USING (traj_id) JOIN seg USING (snap_id) WHERE first_post IS NULL OR first_post > T")))
+def _(t):
+    first, grid = _snapshots(t)
+    first = first.withColumn("log_R0", F.log("R0")).withColumn("log_k", F.log("k"))
+    out = curves.timepath(first, ["log_R0", "log_k"], grid, keys=("snap_id",))
+    return rounded(out.join(F.broadcast(grid), ["snap_id", "T"]).select("snap_id", F.round("x", 4).alias("x"), "metric", "n", "q050", "q500", "q950"), 4)
+
+
+@query(
+    "f19_timepath_snapshots",
+    with_(
+        "entities ev draws",
+        f"SELECT snap_id, round(t_star + T, 6) AS x, max(n) AS n, round(max(m), 6) AS mean, round(max(m) + (sum(R0*w) FILTER (low) / sum(w) FILTER (low) - max(m)) * {_BAND}, 6) AS lo, round(max(m) + (sum(R0*w) FILTER (high) / sum(w) FILTER (high) - max(m)) * {_BAND}, 6) AS hi FROM (SELECT *, cum <= total*0.05 OR R0 = min(R0) OVER k AS low, cum >= total - total*0.05 OR R0 = max(R0) OVER k AS high, sum(R0*w) OVER k / total AS m FROM cw WINDOW k AS (PARTITION BY snap_id, T)) GROUP BY snap_id, t_star, T",
+        _SG, _SNAPS, _SEG, _SFP,
+        ("alive", "SELECT snap_id, t_star, T, R0, first_post, CASE WHEN first_post IS NULL THEN 0e0 ELSE exp(-0.5*pow((first_post-T)/2,2)) END AS w FROM sfp JOIN draws USING (traj_id) JOIN seg USING (snap_id) WHERE first_post IS NULL OR first_post > T"),
+        ("own", "SELECT snap_id, t_star, T, R0, count(*) OVER k AS n, CASE WHEN max(first_post) OVER k IS NULL THEN 1e0 WHEN first_post IS NULL THEN 0e0 WHEN sum(w) OVER k > 0 THEN w ELSE 1e0 END AS w FROM alive WINDOW k AS (PARTITION BY snap_id, T)"),
+        ("runs", "SELECT snap_id, t_star, T, R0, max(n) AS n, sum(w) AS w FROM own WHERE w > 0 GROUP BY snap_id, t_star, T, R0"),
+        ("cw", "SELECT *, sum(w) OVER (PARTITION BY snap_id, T ORDER BY R0) AS cum, sum(w) OVER (PARTITION BY snap_id, T) AS total FROM runs"),
+    ),
+)
+def _(t):
+    first, grid = _snapshots(t)
+    out = curves.timepath_weighted(first, "R0", grid, 2.0, keys=("snap_id",))
+    return rounded(out.join(F.broadcast(grid), ["snap_id", "T"]).select("snap_id", "x", "n", "mean", "lo", "hi"))
+
+
 @query("h1_first_post", with_("entities ev", f"SELECT traj_id, {R('first_post')}, {R('last_t')} FROM fp", _SG, _FP))
 def _(t):
     return rounded(criteria.first_post(t.entities, t.ev.filter(SIGNUP), T_STAR))

@@ -8,7 +8,7 @@ from ..functions.expr import wilson_interval, z_value
 from ..operators import collect, criteria, curves, quiet
 from ..operators.ranks import percentiles
 from ..sources import ingest
-from .bindings import EDGE_STAR, T_STAR, erlang, grid_sql, with_
+from .bindings import EDGE_STAR, T_STAR, erlang, grid_sql, thinned_sql, with_
 from .register import registry, rounded
 
 QUERIES, ORACLE, query = registry()
@@ -221,7 +221,7 @@ _BAND = "SELECT T, round(quantile_cont(gg, 0.5), 6) AS p, round(quantile_cont(gg
 
 
 def _ev_sql(theta: str = "theta") -> str:
-    return with_("draws edges", _BAND, _AC, _G5, ("pf", f"SELECT *, {erlang('age', 'alpha', theta)} AS F0 FROM (SELECT a.traj_id, R0, k, alpha, theta, greatest(0e0, {EDGE_STAR} - parent_t - alpha*theta) AS age FROM act a JOIN draws d ON a.traj_id = d.traj_id)"), ("q", f"SELECT traj_id, T, exp(sum(-k * ln((1+R0/k*(1-F0))/(1+R0/k*({erlang('(age + T)', 'alpha', theta)}-F0))))) AS gq FROM pf, g GROUP BY traj_id, T"))
+    return with_("draws edges", _BAND, _AC, _G5, ("pf", f"SELECT *, {erlang('age', 'alpha', theta)} AS F0 FROM (SELECT a.traj_id, r * R0 AS R, k, alpha, theta, greatest(0e0, {EDGE_STAR} - parent_t - alpha*theta) AS age FROM act a JOIN draws d ON a.traj_id = d.traj_id)"), ("q", f"SELECT traj_id, T, exp(sum(-k * ln((1+R/k*(1-F0))/(1+R/k*({erlang('(age + T)', 'alpha', theta)}-F0))))) AS gq FROM pf, g GROUP BY traj_id, T"))
 
 
 @query("p16_lineage_quiet_ev", _ev_sql())
@@ -229,7 +229,7 @@ def _(t):
     return _bands(quiet.lineage_quiet(t.draws, _act(t), t.grid(0, 20, 5), EDGE_STAR, "ev"))
 
 
-@query("p16_lineage_quiet_size", with_("draws edges", _BAND, _AC, _G5, ("q", f"SELECT d.traj_id, T, exp(-k*n*ln((1+R0/k)/(1+R0*{erlang('T')}/k))) AS gq FROM draws d JOIN (SELECT traj_id, count(*) AS n FROM act GROUP BY traj_id) c ON d.traj_id = c.traj_id, g")))
+@query("p16_lineage_quiet_size", with_("draws edges", _BAND, _AC, _G5, ("q", f"SELECT d.traj_id, T, exp(-k*n*ln((1+r*R0/k)/(1+r*R0*{erlang('T')}/k))) AS gq FROM draws d JOIN (SELECT traj_id, count(*) AS n FROM act GROUP BY traj_id) c ON d.traj_id = c.traj_id, g")))
 def _(t):
     return _bands(quiet.lineage_quiet(t.draws, _act(t), t.grid(0, 20, 5), EDGE_STAR, "size_only"))
 
@@ -239,14 +239,33 @@ def _(t):
     return _bands(quiet.lineage_quiet_removal(t.draws, _act(t), t.grid(0, 20, 5), EDGE_STAR, "exponential", 0.05))
 
 
-@query("p17_lineage_quiet_weibull")
+@query("p17_lineage_quiet_weibull", with_(
+    "draws edges", _BAND, _AC, _G5,
+    ("ages", f"SELECT DISTINCT a.traj_id, r * R0 AS R, k, alpha, theta, greatest(0e0, {EDGE_STAR} - parent_t - alpha*theta) AS age, parent_t FROM act a JOIN draws d ON a.traj_id = d.traj_id"),
+    ("cells", "SELECT *, age + T AS age1 FROM ages, g"),
+    ("f0", thinned_sql("age", 0.05, 1.5, 600, "ages")), ("f1", thinned_sql("age1", 0.05, 1.5, 600, "cells")),
+    ("q", "SELECT f1.traj_id, f1.T, exp(sum(-f1.k * ln((1+f1.R/f1.k*(1-f0.fx))/(1+f1.R/f1.k*(f1.fx-f0.fx))))) AS gq FROM f1 JOIN f0 ON f0.traj_id = f1.traj_id AND f0.parent_t = f1.parent_t GROUP BY f1.traj_id, f1.T"),
+))
 def _(t):
     return _bands(quiet.lineage_quiet_removal(t.draws, _act(t), t.grid(0, 20, 5), EDGE_STAR, "weibull", 0.05, 1.5))
 
 
+_LEVELS = (0.5, 0.8, 0.95)
+
+
+@query("p16_lineage_quiet_levels", _ev_sql().replace("round(quantile_cont(gg, 0.05), 6) AS lo, round(quantile_cont(gg, 0.95), 6) AS hi", ", ".join(f"round(quantile_cont(gg, {0.5 + s * x / 2}), 6) AS {e}_{round(100 * x)}" for x in _LEVELS for e, s in (("lo", -1), ("hi", 1)))))
+def _(t):
+    return rounded(quiet.level_bands(quiet.lineage_quiet(t.draws, _act(t), t.grid(0, 20, 5), EDGE_STAR, "ev"), "g", _LEVELS))
+
+
+@query("p16_lineage_quiet_uncontrolled", _ev_sql().replace("r * R0 AS R", "R0 AS R"))
+def _(t):
+    return _bands(quiet.lineage_quiet(t.draws, _act(t), t.grid(0, 20, 5), EDGE_STAR, "ev", effective=False))
+
+
 def _ls_sql(body: str, horizon: float | None) -> str:
     fh = "1e0" if horizon is None else erlang(f"(age + {horizon})")
-    return with_("draws edges", body, _AC, _G5, ("pf", f"SELECT *, {erlang('age')} AS F0, {fh} AS Fh FROM (SELECT a.traj_id, R0, k, alpha, theta, {EDGE_STAR} - parent_t AS age FROM act a JOIN draws d ON a.traj_id = d.traj_id)"), ("q", f"SELECT traj_id, T, sum(-k*ln(1+R0/k*({erlang('(age + T)')}-F0))) AS ls, sum(-k*ln(1+R0/k*(Fh-F0))) AS lh FROM pf, g GROUP BY traj_id, T"), ("lg", "SELECT T, coalesce(ls, 0) AS ls, coalesce(lh, 0) AS lh FROM (SELECT traj_id, T FROM draws, g) LEFT JOIN q USING (traj_id, T)"))
+    return with_("draws edges", body, _AC, _G5, ("pf", f"SELECT *, {erlang('age')} AS F0, {fh} AS Fh FROM (SELECT a.traj_id, r * R0 AS R, k, alpha, theta, {EDGE_STAR} - parent_t AS age FROM act a JOIN draws d ON a.traj_id = d.traj_id)"), ("q", f"SELECT traj_id, T, sum(-k*ln(1+R/k*({erlang('(age + T)')}-F0))) AS ls, sum(-k*ln(1+R/k*(Fh-F0))) AS lh FROM pf, g GROUP BY traj_id, T"), ("lg", "SELECT T, coalesce(ls, 0) AS ls, coalesce(lh, 0) AS lh FROM (SELECT traj_id, T FROM draws, g) LEFT JOIN q USING (traj_id, T)"))
 
 
 def _logs(t, horizon=None):
@@ -271,29 +290,46 @@ def _(t):
     return rounded(quiet.bootstrap_bands(_logs(t), 50, 11))
 
 
-def _surrogate_sql(method: str) -> str:
-    """The surrogate's log survival from the value and two small steps of the draw's own."""
-    ls = {
-        "gompertz": "gom",
-        "gamma_moment": f"-A * {erlang('T')}",
-        "two_exp": "CASE WHEN A > 0 AND q2 - m * m >= 0 AND sqrt(greatest(q2 - m * m, 0e0)) < m THEN -A * (1 - (exp(-(m + sqrt(greatest(q2 - m * m, 0e0))) * T) + exp(-(m - sqrt(greatest(q2 - m * m, 0e0))) * T)) / 2) ELSE gom END",
+def _general_gamma(x: str, a: str) -> str:
+    """Regularised lower incomplete gamma at any shape, by its series; x / a far beyond the mean is 1."""
+    n = f"CAST(least(4000, ceil({x} + 12 * sqrt({x} + {a}) + 60)) AS BIGINT)"
+    series = f"list_sum(list_transform(range({n}), lambda j: exp({a} * ln({x}) + j * ln({x}) - {x} - lgamma({a} + j + 1))))"
+    return f"(CASE WHEN {x} <= 0 THEN 0e0 WHEN {x} > {a} + 40 * sqrt({a}) + 60 THEN 1e0 ELSE {series} END)"
+
+
+def _surrogate_sql(method: str, horizon: float | None, rho: float = 3.0) -> str:
+    """Hazards from closed forms; moments from incomplete gamma functions at three shapes, as Erlang sums."""
+    upper = lambda j: f"(1 - {erlang('age', f'(alpha + {j})')})" if j == 0 else f"(exp(-age / theta) * list_sum(list_transform(range(CAST(alpha + {j} AS BIGINT)), lambda i: pow(age / theta, i) / gamma(i + 1))))"
+    gone = lambda b, t: "1e0" if t is None else f"(1 - exp(-({b}) * {t}))"
+    gom = lambda t: f"A * {gone('h0 / A', t)}"
+    hazard = {
+        "gompertz": gom,
+        "gamma_moment": lambda t: "A" if t is None else f"A * {_general_gamma(f'({t} / gth)', 'ga')}",
+        "two_exp": lambda t: f"CASE WHEN t1 > 0 AND t2 > 0 THEN t1 / b1 * {gone('b1', t)} + t2 / ({rho} * b1) * {gone(f'{rho} * b1', t)} ELSE {gom(t)} END",
     }[method]
-    near = erlang("(age + s)")
+    logs = lambda t: f"CASE WHEN A > 0 THEN greatest(-({hazard(t)}), {quiet.LEAST_LOG!r}) ELSE 0e0 END"
+    end = None if horizon is None else f"{horizon}e0"
     return with_(
-        "draws edges", f"SELECT T, round(sum(exp(lh)) / sum(exp({ls})), 6) AS p FROM sur GROUP BY T", _AC, _G5,
-        ("pf", f"SELECT *, {erlang('age')} AS F0 FROM (SELECT a.traj_id, R0, k, alpha, theta, {EDGE_STAR} - parent_t AS age FROM act a JOIN draws d ON a.traj_id = d.traj_id)"),
-        ("steps", f"SELECT traj_id, sum(-k*ln(1+R0/k*(1-F0))) AS lh, sum(-k*ln(1+R0/k*(F1-F0))) AS l1, sum(-k*ln(1+R0/k*(F2-F0))) AS l2 FROM (SELECT *, {near.replace(' + s)', ' + 1e-3)')} AS F1, {near.replace(' + s)', ' + 2e-3)')} AS F2 FROM pf) GROUP BY traj_id"),
-        ("own", "SELECT d.traj_id, d.alpha, d.theta, coalesce(lh, 0e0) AS lh, coalesce(l1, 0e0) AS l1, coalesce(l2, 0e0) AS l2 FROM draws d LEFT JOIN steps s ON d.traj_id = s.traj_id"),
-        ("par", "SELECT *, -lh AS A, -l1 / 1e-3 AS h0, -(l2 - 2 * l1) / 1e-6 AS c FROM own"),
-        ("sur", "SELECT *, CASE WHEN A > 0 THEN -A * (1 - exp(-h0 * T / A)) ELSE 0e0 END AS gom, CASE WHEN A > 0 THEN h0 / A END AS m, CASE WHEN A > 0 THEN -c / A END AS q2 FROM par, g"),
+        "draws edges", "SELECT T, round(greatest(0, least(1, sum(exp(lh)) / sum(exp(ls)))), 6) AS p FROM sur GROUP BY T", _AC, _G5,
+        ("ages", f"SELECT a.traj_id, r * R0 AS R, k, CAST(alpha AS DOUBLE) AS alpha, theta, {EDGE_STAR} - parent_t AS age FROM act a JOIN draws d ON a.traj_id = d.traj_id"),
+        ("dens", f"SELECT *, {_pdf('age')} AS f, {upper(0)} AS q0, {upper(1)} AS q1, {upper(2)} AS q2 FROM ages"),
+        ("mom", "SELECT *, f * ((alpha - 1) / greatest(age, 1e-300) - 1 / theta) AS df, theta * alpha * q1 AS e1, theta * theta * alpha * (alpha + 1) * q2 AS e2 FROM dens"),
+        ("sums", "SELECT traj_id, sum(k * ln(1 + R / k * q0)) AS A, sum(R * f) AS h0, sum(R * df - R * R / k * f * f) AS h1, sum(R * (e1 - age * q0)) AS m1, sum(R * (e2 - 2 * age * e1 + age * age * q0)) AS m2 FROM mom GROUP BY traj_id"),
+        ("own", "SELECT d.traj_id, coalesce(A, 0e0) AS A, h0, h1, m1 / A AS mu, greatest(m2 / A - (m1 / A) * (m1 / A), 1e-12) AS va FROM draws d LEFT JOIN sums s ON d.traj_id = s.traj_id"),
+        ("par", f"SELECT *, greatest(mu * mu / va, 1e-9) AS ga, greatest(va / greatest(mu, 1e-12), 1e-9) AS gth, CASE WHEN pow(h0 * {rho + 1}, 2) + 4 * {rho} * A * h1 >= 0 THEN (h0 * {rho + 1} + sqrt(greatest(0e0, pow(h0 * {rho + 1}, 2) + 4 * {rho} * A * h1))) / (2 * {rho} * A) END AS b1 FROM own"),
+        ("two", f"SELECT *, CASE WHEN b1 > 0 THEN -(h0 + h1 / b1) / {rho - 1} END AS t2 FROM par"),
+        ("ends", "SELECT *, h0 - t2 AS t1 FROM two"),
+        ("last", f"SELECT *, {logs(end)} AS lh FROM ends"),
+        ("sur", f"SELECT T, lh, {logs('T')} AS ls FROM last, g"),
     )
 
 
 for _m in ("exact", "gompertz", "two_exp", "gamma_moment"):
+    for _end in (None, 30.0):
 
-    @query(f"p21_surrogate_{_m}", _ls_sql("SELECT T, round(sum(exp(lh))/sum(exp(ls)), 6) AS p FROM lg GROUP BY T", None) if _m == "exact" else _surrogate_sql(_m))
-    def _(t, m=_m):
-        return rounded(quiet.first_after_surrogate(t.draws, _act(t), t.grid(0, 20, 5), EDGE_STAR, m))
+        @query(f"p21_surrogate_{_m}" + ("_finite" if _end else ""), _ls_sql("SELECT T, round(sum(exp(lh))/sum(exp(ls)), 6) AS p FROM lg GROUP BY T", _end) if _m == "exact" else _surrogate_sql(_m, _end))
+        def _(t, m=_m, end=_end):
+            return rounded(quiet.first_after_surrogate(t.draws, _act(t), t.grid(0, 20, 5), EDGE_STAR, m, end))
 
 
 @query("p22_parametric_quiet", with_("parents edges draws", "SELECT T, round(quantile_cont(gq, 0.5), 6) AS p, count(*) AS n FROM (SELECT traj_id, T, exp(sum((k+n_pre)*ln((k/Reff+" + erlang("(age + T)") + ")/(k/Reff+1)))) AS gq FROM pp, g GROUP BY traj_id, T) GROUP BY T", *_PAR))

@@ -133,7 +133,7 @@ def _(t):
 _SH = 0.9**0.7
 
 
-@query("g4_weighted_tail_mean_band", with_("draws", f"SELECT alpha, round(m, 6) AS mean, round(m+(l-m)*{_SH}, 6) AS lo, round(m+(h-m)*{_SH}, 6) AS hi FROM (SELECT alpha, sum(R0*w)/sum(w) AS m, sum(R0*w) FILTER (cum <= total*0.05 OR R0 = a)/sum(w) FILTER (cum <= total*0.05 OR R0 = a) AS l, sum(R0*w) FILTER (cum - w >= total*0.95 OR R0 = z)/sum(w) FILTER (cum - w >= total*0.95 OR R0 = z) AS h FROM (SELECT *, min(R0) OVER (PARTITION BY alpha) AS a, max(R0) OVER (PARTITION BY alpha) AS z FROM cw) GROUP BY alpha)", _CUMW))
+@query("g4_weighted_tail_mean_band", with_("draws", f"SELECT alpha, round(m, 6) AS mean, round(m+(l-m)*{_SH}, 6) AS lo, round(m+(h-m)*{_SH}, 6) AS hi FROM (SELECT alpha, sum(R0*w)/sum(w) AS m, sum(R0*w) FILTER (cum <= total*0.05 OR R0 = a)/sum(w) FILTER (cum <= total*0.05 OR R0 = a) AS l, sum(R0*w) FILTER (cum >= total - total*0.05 OR R0 = z)/sum(w) FILTER (cum >= total - total*0.05 OR R0 = z) AS h FROM (SELECT *, min(R0) OVER (PARTITION BY alpha) AS a, max(R0) OVER (PARTITION BY alpha) AS z FROM cw) GROUP BY alpha)", _CUMW))
 def _(t):
     return rounded(stats.weighted_tail_mean_band(t.draws, ["alpha"], "R0", "k", 0.9))
 
@@ -175,13 +175,13 @@ def _(t):
     return rounded(out)
 
 
-def _kde_sql(bw: str, kern: str, src: str = "SELECT alpha, R0 AS v FROM draws", weight: str = "1", inside: str = "true") -> str:
-    return with_("draws", "SELECT alpha, x, round(CASE WHEN area > 0 THEN d/area ELSE d END, 6) AS density FROM (SELECT *, sum(a) OVER (PARTITION BY alpha) AS area FROM (SELECT alpha, x, d, (x - lag(x) OVER w)*(d + lag(d) OVER w)/2 AS a FROM dens WINDOW w AS (PARTITION BY alpha ORDER BY x)))", ("b", f"SELECT alpha, {bw} AS bw, count(*) AS n FROM draws GROUP BY alpha"), ("sm", src), ("g", grid_sql(-2, 18, 0.5, "x")), ("dens", f"SELECT sm.alpha, x, CASE WHEN {inside} THEN sum({weight} * {kern})/max(n*bw) ELSE 0 END AS d FROM sm JOIN b ON sm.alpha = b.alpha, g GROUP BY sm.alpha, x"))
+def _kde_sql(bw: str, kern: str, src: str = "SELECT alpha, R0 AS v FROM draws", weight: str = "1", inside: str = "true", of: str = "draws") -> str:
+    return with_("draws", "SELECT alpha, x, round(CASE WHEN area > 0 THEN d/area ELSE d END, 6) AS density FROM (SELECT *, sum(a) OVER (PARTITION BY alpha) AS area FROM (SELECT alpha, x, d, (x - lag(x) OVER w)*(d + lag(d) OVER w)/2 AS a FROM dens WHERE i WINDOW w AS (PARTITION BY alpha ORDER BY x))) UNION ALL SELECT alpha, x, 0e0 FROM dens WHERE NOT i", ("sm", src), ("b", f"SELECT alpha, {bw} AS bw, count(*) AS n FROM {of} GROUP BY alpha"), ("g", grid_sql(-2, 18, 0.5, "x")), ("dens", f"SELECT sm.alpha, x, CASE WHEN {inside} THEN sum({weight} * {kern})/max(n*bw) ELSE 0 END AS d, {inside} AS i FROM sm JOIN b ON sm.alpha = b.alpha, g GROUP BY sm.alpha, x"))
 
 
 _GK = f"exp(-0.5*pow((x-v)/bw,2))/{math.sqrt(2 * math.pi)!r}"
 _SCOTT = "stddev_samp(R0)*pow(count(*)::DOUBLE,-0.2)"
-_SILV = "0.9*least(stddev_samp(R0),(quantile_cont(R0,0.75)-quantile_cont(R0,0.25))/1.34)*pow(count(*)::DOUBLE,-0.2)"
+_SILV = "0.9*least(stddev_pop(R0),(quantile_cont(R0,0.75)-quantile_cont(R0,0.25))/1.34)*pow(count(*)::DOUBLE,-0.2)"
 
 
 @query("g9_kde_gaussian", _kde_sql(_SCOTT, _GK))
@@ -194,12 +194,21 @@ def _(t):
     return rounded(stats.kde(t.draws, ["alpha"], "R0", t.grid(-2, 18, 0.5, "x"), "silverman", "epanechnikov"))
 
 
-@query("g11_kde_reflected", _kde_sql(_SCOTT, _GK, "SELECT alpha, R0 AS v FROM draws UNION ALL SELECT alpha, -R0 FROM draws WHERE R0 <= 6 UNION ALL SELECT alpha, 30-R0 FROM draws WHERE 15-R0 <= 6", "1", "x BETWEEN 0 AND 15"))
+_MIRROR = "SELECT alpha, R0 AS v FROM draws UNION ALL SELECT alpha, -R0 FROM draws d JOIN near USING (alpha) WHERE -R0 > -far UNION ALL SELECT alpha, 30-R0 FROM draws d JOIN near USING (alpha) WHERE 30-R0 < 15 + far"
+
+
+@query("g11_kde_reflected", _kde_sql(_SCOTT.replace("R0", "v"), _GK, _MIRROR, "1", "x BETWEEN 0 AND 15", "sm").replace("sm AS (", "near AS (SELECT alpha, 0.4*(max(R0)-min(R0)) AS far FROM draws GROUP BY alpha),\nsm AS (", 1))
 def _(t):
     return rounded(stats.kde(t.draws, ["alpha"], "R0", t.grid(-2, 18, 0.5, "x"), bounds=(0.0, 15.0), method="reflect"))
 
 
-@query("g12_kde_truncated")
+def _normal_sql(z: str) -> str:
+    """The normal distribution by the series of its error function; beyond 7 deviations it is 0 or 1."""
+    terms = f"list_sum(list_transform(range(150), lambda j: exp(j * ln(2e0) + (2 * j + 1) * ln(greatest(abs({z}), 1e-300)) - (lgamma(2 * j + 2) - j * ln(2e0) - lgamma(j + 1)) - j * ln(2e0))))"
+    return f"(CASE WHEN {z} > 7 THEN 1e0 WHEN {z} < -7 THEN 0e0 ELSE 0.5 + sign({z}) * exp(-({z}) * ({z}) / 2) / {math.sqrt(2 * math.pi)!r} * {terms} END)"
+
+
+@query("g12_kde_truncated", _kde_sql(_SCOTT, _GK, "SELECT d.alpha, R0 AS v, " + _normal_sql("((15 - R0) / s)") + " - " + _normal_sql("(-R0 / s)") + f" AS mass FROM draws d JOIN (SELECT alpha, {_SCOTT} AS s FROM draws GROUP BY alpha) w ON d.alpha = w.alpha", "1/greatest(mass, 1e-15)", "x BETWEEN 0 AND 15"))
 def _(t):
     return rounded(stats.kde(t.draws, ["alpha"], "R0", t.grid(-2, 18, 0.5, "x"), bounds=(0.0, 15.0), method="truncate"))
 
