@@ -1,4 +1,6 @@
-"""Gamma-distribution kernels as vectorised pandas functions: Spark has no incomplete gamma function."""
+"""Gamma-distribution kernels. Spark has no incomplete gamma function. Distribution and quantile are vectorised pandas functions; the
+``_native`` versions, built from Spark's own functions, need no Python on the executors and take about 26 microseconds a value
+instead of one or two, as Spark interprets folds. The density is Spark's own throughout."""
 
 from __future__ import annotations
 
@@ -6,6 +8,8 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
@@ -65,9 +69,100 @@ def gamma_cdf_np(x, a, th) -> np.ndarray:
     return lower_gamma(a, np.maximum(np.asarray(x, float), 0) / np.asarray(th, float))
 
 
-@pandas_udf(DoubleType())
-def gamma_pdf(x: pd.Series, a: pd.Series, th: pd.Series) -> pd.Series:
-    return pd.Series(gamma_pdf_np(x.to_numpy(float), a.to_numpy(float), th.to_numpy(float)))
+def _double(x: Column | str) -> Column:
+    return (F.col(x) if isinstance(x, str) else x).cast("double")
+
+
+def _bound(body, *values: Column | str) -> Column:
+    """``body`` of the values, each computed once a row although the body names it often; null where one is null."""
+    names = [f"v{i}" for i in range(len(values))]
+    row = F.struct(*[_double(v).alias(n) for v, n in zip(values, names, strict=True)])
+    known = F.lit(True)
+    for v in values:
+        known = known & _double(v).isNotNull()
+    return F.when(known, F.transform(F.array(row), lambda r: body(*[r[n] for n in names]))[0])
+
+
+def log_gamma(a: Column | str) -> Column:
+    """Logarithm of the gamma function for a > 0: Stirling's series eight further on, less the factors between."""
+    a = _double(a)
+    z = a + 8
+    between = a
+    for i in range(1, 8):
+        between = between * (a + i)
+    w = 1 / (z * z)
+    series = (1 / 12 - w * (1 / 360 - w * (1 / 1260 - w * (1 / 1680 - w * (1 / 1188 - w * 691 / 360360))))) / z
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(between)
+
+
+def _steps(first: Column, last: int, body) -> Column:
+    """Folds ``body`` (value, n) over n from ``first``, a count, down to ``last``."""
+    return F.aggregate(F.sequence(first.cast("int"), F.lit(last), F.lit(-1)), F.lit(1.0), body)
+
+
+#: Enough for shapes up to 10^6; beyond, digits are lost.
+MOST_STEPS = 10_000
+
+
+def regularised_gamma(a: Column, x: Column) -> Column:
+    """Lower incomplete gamma function over the gamma function for a > 0. Below a + 1 its series, from the last term inward; above, the continued
+    fraction from its end. The numbers of terms follow from a and x and give 13 digits."""
+
+    def value(a: Column, x: Column, lg: Column) -> Column:
+        front = F.exp(a * F.log(x) - x - lg)
+        series = front / a * _steps(F.least(F.ceil(F.sqrt(60 * (a + 1))) + 10, F.lit(MOST_STEPS)), 1, lambda v, n: 1 + v * x / (a + n))
+        # The value of a level stands over the next one: b_n - (n + 1)(n + 1 - a) / v, with b_n = x + 2n + 1 - a.
+        depth = F.least(F.ceil(75 / x) + F.ceil(2.5 * F.sqrt(a)) + 10, F.lit(MOST_STEPS))
+        end = F.aggregate(F.sequence(depth.cast("int"), F.lit(1), F.lit(-1)), x + 2 * depth + 1 - a, lambda v, n: x + 2 * n - 1 - a - n * (n - a) / v)
+        return (
+            F.when(F.isnan(a) | F.isnan(x) | ~(a > 0), float("nan"))
+            .when(x <= 0, 0.0)
+            .when(x > a + 40 * F.sqrt(a) + 60, 1.0)
+            .when(x < a + 1, series)
+            .otherwise(1 - front / end)
+        )
+
+    return _bound(value, a, x, F.when(a > 0, log_gamma(a)).otherwise(0.0))
+
+
+def gamma_pdf(x: Column | str, a: Column | str, th: Column | str) -> Column:
+    """Density at x of the gamma distribution of shape a and scale th; 0 for x <= 0."""
+    x, a, th = _double(x), _double(a), _double(th)
+    known = x.isNotNull() & a.isNotNull() & th.isNotNull()
+    value = F.exp((a - 1) * F.log(x) - F.try_divide(x, th) - log_gamma(a) - a * F.log(th))
+    return F.when(known, F.when(F.isnan(x), x).when((x <= 0) | (x == float("inf")), 0.0).otherwise(value))
+
+
+def gamma_cdf_native(x: Column | str, a: Column | str, th: Column | str) -> Column:
+    """Distribution at x; 0 for x <= 0, 1 at infinity, null for a scale of 0."""
+    u = F.try_divide(_double(x), _double(th))
+    return regularised_gamma(_double(a), F.when(u > 0, u).when(u.isNotNull(), 0.0))
+
+
+def _normal_quantile(p: Column) -> Column:
+    """To three digits, as a start."""
+    t = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    z = t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))
+    return F.when(p < 0.5, -z).otherwise(z)
+
+
+def gamma_quantile_native(q: Column | str, a: Column | str, th: Column | str) -> Column:
+    """Quantile; 0 at q <= 0, infinite at q >= 1. Newton's steps in the logarithm, of bounded length, from the cube of a normal quantile or, far below,
+    from the power that the distribution follows at 0."""
+
+    def value(q: Column, a: Column, th: Column, lg: Column) -> Column:
+        root = 1 - 1 / (9 * a) + _normal_quantile(q) / (3 * F.sqrt(a))
+        low = (F.log(q) + F.log(a) + lg) / a  # logarithm of x where q = x^a / (a Gamma(a))
+        start = F.when((root > 0.3) & (a > 0.3), F.log(a) + 3 * F.log(F.greatest(root, F.lit(0.3)))).otherwise(F.greatest(low, F.lit(-700.0)))
+
+        def step(u: Column, n: Column) -> Column:
+            off = (q - regularised_gamma(a, F.exp(u))) * F.exp(F.exp(u) - a * u + lg)
+            return u + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.nanvl(off, F.lit(0.0)), F.lit(0.0))))
+
+        at = F.aggregate(F.sequence(F.lit(1), F.lit(30)), start, step)
+        return F.when(q <= 0, 0.0).when(q >= 1, float("inf")).otherwise(F.exp(at) * th)
+
+    return _bound(value, q, a, th, log_gamma(a))
 
 
 @pandas_udf(DoubleType())
@@ -126,11 +221,12 @@ def thinned_gamma_cdf(kind: str, rate: float, shape: float = 1.0):
     survival exp(-(u * rate)^shape), which ends at the share that is not removed. Returns a function of (x, a, theta); a value
     depends on its own arguments alone."""
 
+    if kind == "exponential":
+        return lambda x, a, th: gamma_cdf(_double(x), _double(a), _double(th) / (1 + rate * _double(th)))
+
     @pandas_udf(DoubleType())
     def cdf(x: pd.Series, a: pd.Series, th: pd.Series) -> pd.Series:
         x, a, th = (s.to_numpy(float) for s in (x, a, th))
-        if kind == "exponential":
-            return pd.Series(gamma_cdf_np(x, a, th / (1 + rate * th)))
         out = np.full(len(x), np.nan)
         known = ~(np.isnan(x) | np.isnan(a) | np.isnan(th))
         keys, place = np.unique(np.stack([a[known], th[known]], 1), axis=0, return_inverse=True)

@@ -135,6 +135,11 @@ def _(t):
     return rounded(quiet.ultimate(t.draws))
 
 
+@query("b8_gamma_cdf_native", with_("draws", f"SELECT traj_id, {R(erlang('R0'), 'f')} FROM draws"))
+def _(t):
+    return rounded(t.draws.select("traj_id", S.gamma_cdf_native("R0", "alpha", "theta").alias("f")))
+
+
 @query("b23_thinned_gamma_cdf", with_("draws", f"SELECT traj_id, {R(erlang('R0', 'alpha', '(theta/(1+0.1*theta))'), 'f')} FROM draws"))
 def _(t):
     return rounded(t.draws.select("traj_id", S.thinned_gamma_cdf("exponential", 0.1)("R0", F.col("alpha").cast("double"), "theta").alias("f")))

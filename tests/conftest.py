@@ -44,8 +44,9 @@ def same_rows(df, con, sql):
     return got == want
 
 
-@pytest.fixture(scope="session")
+@pytest.fixture
 def duck():
+    """A connection of its own for each test, so that an engine's fault in one can't fail others."""
     import duckdb
 
     con = duckdb.connect()
