@@ -36,12 +36,27 @@ def weighted_cells(points: DataFrame, bbox: tuple[float, float, float, float], n
     return cells.filter("ix IS NOT NULL AND iy IS NOT NULL").groupBy("ix", "iy").agg(F.sum("w").alias("w"))
 
 
+#: Bands that the height of all polygons is cut to, at most.
+BANDS = 4096
+
+
 def points_in_polygon(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adds inside: an odd number of polygon edges (x1, y1, x2, y2) crosses the ray to the right of the point. Points have an id; the
-    edges are of a checked size, and partial counts combine before the shuffle."""
-    above = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
-    at = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    hits = points.join(small(edges), above & (F.col("x") < at)).groupBy("id").agg((F.count("*") % 2 == 1).alias("inside"))
+    """Adds inside: an odd number of polygon edges (x1, y1, x2, y2) crosses the ray to the right of the point. Points have an id.
+
+    Edges are dealt to bands of height, about as high as an edge is on average, and meet the points of their bands only; which of them
+    cross is checked exactly. Sizes of either side are free; level edges cross nothing, points without a place are outside."""
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    steep = edges.filter(F.col("y1") != F.col("y2"))
+    about = steep.agg(F.min(low).alias("lo"), F.max(high).alias("hi"), F.avg(high - low).alias("mean")).first()
+    if about["lo"] is None:
+        return points.withColumn("inside", F.lit(False))
+    tall = max(about["mean"], (about["hi"] - about["lo"]) / BANDS)
+    band = lambda y: F.floor((y - about["lo"]) / tall)
+    dealt = steep.withColumn("__band", F.explode(F.sequence(band(low), band(high))))
+    placed = points.filter(F.col("y").between(about["lo"], about["hi"])).select("id", F.col("x").alias("__x"), F.col("y").alias("__y"), band(F.col("y")).alias("__band"))
+    above = (F.col("y1") > F.col("__y")) != (F.col("y2") > F.col("__y"))
+    at = (F.col("x2") - F.col("x1")) * (F.col("__y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    hits = placed.join(dealt, "__band").filter(above & (F.col("__x") < at)).groupBy("id").agg((F.count("*") % 2 == 1).alias("inside"))
     return points.join(hits, "id", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import derived_metrics, is_finite, nb_between, nb_tail_ge
 from ..functions.special import normal_cdf
+from ..session import ship
 from .criteria import small
 from .ranks import attach, cumulated, percentiles, shortest_window, value_runs
 
@@ -243,3 +244,56 @@ def chi2_gof(counts: DataFrame, n: str = "n", e: str = "e") -> DataFrame:
 
 def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.var_pop(value).alias("var"))
+
+
+class Summary:
+    """A summary of the user's own over one column, in parts: ``init`` gives an empty state, ``update`` takes a NumPy array of values into it, ``merge`` joins
+    two states, ``finish`` makes the number. States must be picklable and small."""
+
+    def __init__(self, init, update, merge, finish):
+        self.init, self.update, self.merge, self.finish = init, update, merge, finish
+
+
+def summarise(df: DataFrame, keys: list[str], value: str, summary: Summary, name: str = "summary", held: int = 100_000) -> DataFrame:
+    """By key the summary of the values that are not null; null where finish() gives none. Each task reads its rows once and passes on
+    one state a key, or more where it meets over ``held`` keys; only states are shuffled, so a key with most rows stays spread over tasks."""
+    import pickle
+
+    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    ship(df.sparkSession)
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v"))
+    fields = [f for f in rows.schema.fields if f.name != "__v"]
+    partial = T.StructType([*fields, T.StructField("__state", T.BinaryType())])
+
+    def parts(batches):
+        states: dict = {}
+        schema = None
+        for b in batches:
+            schema = b.select(keys).schema
+            frame = b.to_pandas()
+            for key, own in frame.groupby(keys, dropna=False, sort=False)["__v"] if keys else [((), frame["__v"])]:
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+                state = states[key] if key in states else summary.init()
+                states[key] = summary.update(state, own.dropna().to_numpy())
+            if len(states) > held:
+                yield flush(states, schema)
+        if states:
+            yield flush(states, schema)
+
+    def flush(states, schema):
+        cols = list(zip(*states, strict=True)) if keys else []
+        out = [pa.array(list(c), f.type) for c, f in zip(cols, schema, strict=True)] + [pa.array([pickle.dumps(s) for s in states.values()], pa.binary())]
+        states.clear()
+        return pa.RecordBatch.from_arrays(out, names=[*keys, "__state"])
+
+    def join(frame):
+        state = summary.init()
+        for s in frame["__state"]:
+            state = summary.merge(state, pickle.loads(s))
+        return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in keys}, name: [summary.finish(state)]})
+
+    states = rows.mapInArrow(parts, partial)
+    return states.groupBy(*keys).applyInPandas(join, T.StructType([*fields, T.StructField(name, T.DoubleType())]))

@@ -288,6 +288,18 @@ def _(t):
     return spatial.points_in_polygon(t.herds.select(F.col("herd_id").alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y")), edges).select("id", "inside")
 
 
+#: A lozenge around each place, of a size of its own: as many edges as rows allow.
+_LOZENGES = "SELECT lon - w AS x1, lat AS y1, lon AS x2, lat + w AS y2 FROM sized UNION ALL SELECT lon, lat + w, lon + w, lat FROM sized UNION ALL SELECT lon + w, lat, lon, lat - w FROM sized UNION ALL SELECT lon, lat - w, lon - w, lat FROM sized"
+
+
+@query("d11_points_in_many_polygons", with_("herds", "SELECT herd_id AS id, (SELECT count(*) FROM lozenges WHERE (y1 > lat + 0.0123e0) <> (y2 > lat + 0.0123e0) AND lon + 0.0071e0 < (x2-x1)*(lat+0.0123e0-y1)/(y2-y1)+x1) % 2 = 1 AS inside FROM herds", ("sized", "SELECT lon, lat, 0.05e0 + herd_size / 400e0 AS w FROM herds"), ("lozenges", _LOZENGES)))
+def _(t):
+    sized = t.herds.select("lon", "lat", (0.05 + F.col("herd_size") / 400).alias("w"))
+    edges = t.spark.sql(_LOZENGES.replace("sized", "{sized}"), sized=sized)
+    points = t.herds.select(F.col("herd_id").alias("id"), (F.col("lon") + 0.0071).alias("x"), (F.col("lat") + 0.0123).alias("y"))
+    return spatial.points_in_polygon(points, edges).select("id", "inside")
+
+
 @query("d13_by_distinct_key", with_("draws", "SELECT traj_id, round(pow(round(theta, 6), 2), 6) AS sq FROM draws"))
 def _(t):
     return rounded(quiet.by_distinct_key(t.draws, ["theta"], lambda k: k.withColumn("sq", F.pow("theta", F.lit(2)))).select("traj_id", "sq"))

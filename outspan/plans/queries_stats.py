@@ -254,14 +254,43 @@ def _(t):
     return rounded(stats.moments(t.ev, ["event_type"], "t"))
 
 
-def _stratum(i: int, name: str, lo: float, hi: float) -> str:
+def _permuted(x: str, n: str, i: int, chunk: str, seed: int = 1) -> str:
+    """The permutation by rounds of swaps; n may be an expression."""
+    k = f"(('0x' || substr(md5('{seed}:' || q), 1, 10))::HUGEINT * {n} // 1099511627776)::BIGINT"
+    other = f"(({k} - v + {n}) % {n})"
+    return f"list_reduce(list_prepend({x}, range({ingest.SWAPS})), lambda v, q: CASE WHEN substr(md5('{seed}:{i}:' || {chunk} || ':' || q || ':' || greatest(v, {other})), 1, 1) >= '8' THEN {other} ELSE v END)"
+
+
+def _stratum(i: int, name: str, lo: float, hi: float, row: str = "rank", n: str = "total", chunk: str = "0") -> str:
     u = f"CAST(('0x' || substr(md5('2:{i}:' || traj_id), 1, 10))::BIGINT AS DOUBLE) / 1099511627776e0"
-    return f"round({lo} + (row_number() OVER (ORDER BY md5('1:{i}:' || traj_id), traj_id) - 1 + {u}) / count(*) OVER () * ({hi} - {lo}), 6) AS {name}"
+    return f"{lo} + ({_permuted(row, n, i, chunk)} + {u}) / {n} * ({hi} - {lo}) AS {name}"
 
 
-@query("i6_latin_hypercube", with_("customers", "SELECT traj_id, " + ", ".join(_stratum(i, *p) for i, p in enumerate([("R0", "0.25e0", "15e0"), ("k", "0.2e0", "10e0"), ("r", "0.01e0", "0.99e0"), ("alpha", "1e0", "4e0"), ("theta", "1e0", "11e0")])) + " FROM customers"))
-def _(t):
+_RANGES = [("R0", "0.25e0", "15e0"), ("k", "0.2e0", "10e0"), ("r", "0.01e0", "0.99e0"), ("alpha", "1e0", "4e0"), ("theta", "1e0", "11e0")]
+_FIVE = "traj_id, round(R0, 6) AS R0, round(k, 6) AS k, round(r, 6) AS r, round(alpha, 6) AS alpha, round(theta, 6) AS theta"
+
+
+def _priors():
     from ..model import Parameter
 
-    d = ingest.latin_hypercube_of(t.customers, [Parameter("R0", 0.25, 15), Parameter("k", 0.2, 10), Parameter("r", 0.01, 0.99), Parameter("alpha", 1, 4), Parameter("theta", 1, 11)])
-    return rounded(d.drop("chunk"))
+    return [Parameter(name, float(lo), float(hi)) for name, lo, hi in _RANGES]
+
+
+_RANKED = ("ranked", "SELECT traj_id, row_number() OVER (ORDER BY substr(md5('1:' || traj_id), 1, 10), traj_id) - 1 AS rank, count(*) OVER () AS total FROM customers")
+
+
+@query("i6_latin_hypercube", with_("customers", f"SELECT {_FIVE} FROM (SELECT traj_id, " + ", ".join(_stratum(i, *p) for i, p in enumerate(_RANGES)) + " FROM ranked)", _RANKED))
+def _(t):
+    return rounded(ingest.latin_hypercube_of(t.customers, _priors()).drop("chunk"))
+
+
+@query("n3_rejection_sampler", with_(
+    "customers", f"SELECT {_FIVE} FROM (SELECT *, row_number() OVER (ORDER BY traj_id) AS place FROM drawn WHERE R0 * r < 3 AND alpha * theta < 28) WHERE place <= (SELECT count(*) FROM customers)",
+    ("numbers", "SELECT unnest(range((SELECT count(*) FROM customers) * 8 + 4000)) AS traj_id"),
+    ("drawn", "SELECT traj_id, " + ", ".join(_stratum(i, *p, row="traj_id % 500", n="500", chunk="(traj_id // 500)") for i, p in enumerate(_RANGES)) + " FROM numbers"),
+))
+def _(t):
+    from ..model import Parameters
+
+    wanted = Parameters({p.name: p for p in _priors()}).require("R0 * r < 3").require("alpha * theta < 28")
+    return rounded(ingest.sample_valid(t.spark, wanted, t.customers.count(), chunk=500).drop("chunk"))

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.expr import z_value
 from ..model import WindowOptions
-from ..operators import collect, spatial, windows
+from ..operators import collect, spatial, stats, windows
 from ..session import shared_folder
 from ..streaming import monitor
 from .bindings import with_
@@ -265,13 +265,13 @@ def _(t):
     return rounded(collect.collect_group(t.entities, t.ev, group))
 
 
-@query("n5_callable_summary", with_("draws", "SELECT alpha, round(max(R0) - min(R0), 6) AS spread FROM draws GROUP BY alpha"))
-def _(t):
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+def _span(state, x):
+    if not len(x):
+        return state
+    return (x.min(), x.max()) if state is None else (min(state[0], x.min()), max(state[1], x.max()))
 
-    def spread(x: pd.Series) -> float:
-        return float(x.max() - x.min())
 
-    spread.__annotations__ = {"x": pd.Series, "return": float}
-    return rounded(t.draws.groupBy("alpha").agg(pandas_udf(T.DoubleType())(spread)("R0").alias("spread")))
+@query("n5_callable_summary", with_("draws", "SELECT alpha, round(max(R0) - min(R0), 6) AS spread FROM draws GROUP BY alpha"))
+def _(t):
+    spread = stats.Summary(lambda: None, _span, lambda a, b: a if b is None else b if a is None else (min(a[0], b[0]), max(a[1], b[1])), lambda s: None if s is None else s[1] - s[0])
+    return rounded(stats.summarise(t.draws, ["alpha"], "R0", spread, "spread"))

@@ -173,3 +173,61 @@ def test_stream_of_batches(spark, tmp_path):
     q = monitor.stream_quiet_monitor(s).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda b, n: seen.append({(r["traj_id"], r["last_ts"].day, r["n"]) for r in b.collect()})).start()
     q.awaitTermination()
     assert [x for x in seen if x] == [{(1, 1, 1), (2, 1, 1), (1, 9, 1)}, {(1, 10, 1)}, {(1, 10, 2), (2, 9, 1)}]
+
+
+def test_permuted_numbers(spark):
+    """Each number once for any n, another order for another seed, in all rounds."""
+    for n in (1, 2, 7, 100, 1000):
+        got = [[r[0] for r in spark.range(n).select(ingest.permuted(F.col("id"), n, seed, F.lit(3)).alias("x")).collect()] for seed in (1, 2)]
+        assert sorted(got[0]) == sorted(got[1]) == list(range(n)) and (n < 100 or got[0] != got[1])
+    assert abs(np.corrcoef(got[0], range(1000))[0, 1]) < 0.15
+    ids = spark.createDataFrame([(5,), (5,), (9,), (None,)], "traj_id long")
+    assert sorted(r["row"] for r in ingest.numbered(ids, 1).filter("traj_id IS NOT NULL").collect()) == [0, 1, 2] or ingest.numbered(ids, 1).count() >= 3
+    plan = ingest.latin_hypercube(spark, 1000, [Parameter(x, 0.0, 1.0) for x in ("R0", "k", "r", "alpha", "theta")])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+
+
+def test_sample_valid(spark):
+    """Exactly n, all valid, the same on any number of partitions and as the first rows of a longer sample; impossible rules end."""
+    wanted = Parameters({x: Parameter(x, 0.0, 1.0) for x in ("R0", "k", "r", "alpha", "theta")}).require("R0 * r < 0.1").require("k < 0.5")
+    draws = lambda n: sorted(tuple(r) for r in ingest.sample_valid(spark, wanted, n, chunk=50).collect())
+    few, many = draws(40), draws(90)
+    assert len(few) == 40 and few == many[:40] and len(many) == 90 and all(r[2] * r[4] < 0.1 and r[3] < 0.5 for r in many)
+    shuffle = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    assert draws(40) == few
+    spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+    never = Parameters({x: Parameter(x, 0.0, 1.0) for x in ("R0", "k", "r", "alpha", "theta")}).require("k > 2")
+    with pytest.raises(ValueError, match="valid after"):
+        ingest.sample_valid(spark, never, 5, chunk=50, most_chunks=8)
+
+
+def test_polygon_bands(spark):
+    """Many polygons of different heights that touch in corners, level edges, points on bands, outside of all and without a place."""
+    rng = np.random.default_rng(3)
+    edges = []
+    for _ in range(60):
+        ring = rng.integers(0, 40, (rng.integers(3, 7), 2)) / rng.choice([1.0, 8.0])
+        edges += [(*map(float, ring[i - 1]), *map(float, ring[i])) for i in range(len(ring))]
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-2, 42, (400, 2)))] + [(1000 + i, 0.5, float(i)) for i in range(41)] + [(2000, None, 1.0), (2001, 1.0, None)]
+    got = {r["id"]: r["inside"] for r in spatial.points_in_polygon(spark.createDataFrame(pts, "id long, x double, y double"), spark.createDataFrame(edges, "x1 double, y1 double, x2 double, y2 double")).collect()}
+    for i, x, y in pts:
+        n = 0 if x is None or y is None else sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for x1, y1, x2, y2 in edges)
+        assert got[i] == (n % 2 == 1)
+    none = spark.createDataFrame([], "x1 double, y1 double, x2 double, y2 double")
+    assert not spatial.points_in_polygon(spark.createDataFrame(pts, "id long, x double, y double"), none).filter("inside").count()
+    plan = spatial.points_in_polygon(spark.createDataFrame(pts, "id long, x double, y double"), spark.createDataFrame(edges, "x1 double, y1 double, x2 double, y2 double"))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_summarise(spark):
+    """Any partitioning and few held keys; null keys and values; no keys; no rows."""
+    rows = [(i % 3 if i % 7 else None, float(i) if i % 5 else None) for i in range(200)]
+    total = stats.Summary(lambda: (0, 0.0), lambda s, x: (s[0] + len(x), s[1] + float((x**2).sum())), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: s[1] / s[0] if s[0] else None)
+    want = {k: np.mean([v * v for q, v in rows if q == k and v is not None]) for k in (0, 1, 2, None)}
+    df = spark.createDataFrame(rows, "g long, v double")
+    for parts, held in ((1, 100), (6, 1)):
+        got = {None if r["g"] is None or r["g"] != r["g"] else int(r["g"]): r["summary"] for r in stats.summarise(df.repartition(parts), ["g"], "v", total, held=held).collect()}
+        assert got == pytest.approx(want)
+    assert stats.summarise(df, [], "v", total).first()["summary"] == pytest.approx(np.mean([v * v for _, v in rows if v is not None]))
+    assert stats.summarise(df.limit(0), ["g"], "v", total).count() == 0
