@@ -111,7 +111,22 @@ def _(t):
     return rounded(windows.cluster_windows(_obs(t)), 5)
 
 
-@query("k4_monotone_interpolant")
+def _cubic(step: float) -> tuple:
+    """The monotone cubic through cumulative counts on a grid: slopes of each knot, then the value between two knots."""
+    end = lambda ha, hb, sa, sb: f"CASE WHEN {sb} IS NULL THEN {sa} WHEN sign(((2*{ha}+{hb})*{sa}-{ha}*{sb})/({ha}+{hb})) <> sign({sa}) THEN 0e0 WHEN sign({sa}) <> sign({sb}) AND abs(((2*{ha}+{hb})*{sa}-{ha}*{sb})/({ha}+{hb})) > 3*abs({sa}) THEN 3*{sa} ELSE ((2*{ha}+{hb})*{sa}-{ha}*{sb})/({ha}+{hb}) END"
+    return (
+        ("pts", "SELECT series_id, d, sum(sum(n)) OVER (PARTITION BY series_id ORDER BY d) AS y, count(*) OVER (PARTITION BY series_id) AS c FROM observations GROUP BY series_id, d"),
+        ("sec", "SELECT *, lead(d) OVER w - d AS h, (lead(y) OVER w - y) / (lead(d) OVER w - d) AS s FROM pts WHERE c >= 2 WINDOW w AS (PARTITION BY series_id ORDER BY d)"),
+        ("nei", "SELECT *, lag(h) OVER w AS h0, lag(s) OVER w AS s0, lag(h, 2) OVER w AS hm, lag(s, 2) OVER w AS sm, lead(h) OVER w AS h2, lead(s) OVER w AS s2 FROM sec WINDOW w AS (PARTITION BY series_id ORDER BY d)"),
+        ("slo", f"SELECT series_id, d, y, h, CASE WHEN s0 IS NULL THEN {end('h', 'h2', 's', 's2')} WHEN s IS NULL THEN {end('h0', 'hm', 's0', 'sm')} WHEN s0 * s <= 0 THEN 0e0 ELSE 3 * (h0 + h) / ((2*h + h0) / s0 + (h + 2*h0) / s) END AS m FROM nei"),
+        ("kno", "SELECT *, lead(y) OVER w AS y1, lead(m) OVER w AS m1, min(d) OVER (PARTITION BY series_id) AS first, max(d) OVER (PARTITION BY series_id) AS last FROM slo WINDOW w AS (PARTITION BY series_id ORDER BY d)"),
+        ("pos", f"SELECT series_id, first, last, unnest(range(CAST(floor((last - first) / {step} + 1e-9) AS BIGINT) + 1)) AS i FROM (SELECT DISTINCT series_id, first, last FROM kno)"),
+        ("grd", f"SELECT p.series_id, p.i, p.first + p.i * {step} AS x, k.d, k.y, k.h, k.m, k.y1, k.m1 FROM pos p ASOF JOIN kno k ON p.series_id = k.series_id AND p.first + p.i * {step} >= k.d - 1e-9"),
+        ("cub", "SELECT series_id, i, x, CASE WHEN h IS NULL THEN y ELSE (2*t*t*t-3*t*t+1)*y + (t*t*t-2*t*t+t)*h*m + (3*t*t-2*t*t*t)*y1 + (t*t*t-t*t)*h*m1 END AS v FROM (SELECT *, greatest(0, (x - d) / h) AS t FROM grd)"),
+    )
+
+
+@query("k4_monotone_interpolant", with_("observations", "SELECT series_id, count(*) AS points, round(min(v), 4) AS lo, round(max(v), 4) AS hi FROM cub GROUP BY series_id", *_cubic(1.0)))
 def _(t):
     g = windows.monotone_interpolant(_obs(t), 1.0)
     return rounded(g.groupBy("series_id").agg(F.count("*").alias("points"), F.min("v").alias("lo"), F.max("v").alias("hi")), 4)
@@ -127,7 +142,16 @@ def _(t):
     return rounded(windows.gap_windows(windows.cluster_windows(_obs(t)), O.gap_scale), 5)
 
 
-@query("k7_union_candidates")
+@query("k7_union_candidates", with_(
+    "observations", f"SELECT series_id, round(a, 4) AS a, round(b, 4) AS b, L, U, gain FROM (SELECT *, (sumU - sumL) - (U - L) AS gain FROM found) WHERE gain > 0 AND L <= U QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY gain DESC, a, b) <= {O.max_unions_to_keep}",
+    *_CL, _DAYS, _TOT,
+    ("cb", _band_sql(_mass_sql("cl"))),
+    ("brk", "SELECT *, row_number() OVER w AS rk, CASE WHEN a - lag(b) OVER w > 1 THEN 1 ELSE 0 END AS gap FROM cb WINDOW w AS (PARTITION BY series_id ORDER BY a, b)"),
+    ("isl", "SELECT *, sum(gap) OVER (PARTITION BY series_id ORDER BY rk) AS run FROM brk"),
+    ("runs", "SELECT x.series_id, x.a, max(y.b) AS b, CAST(sum(y.L) AS BIGINT) AS sumL, CAST(sum(y.U) AS BIGINT) AS sumU FROM isl x, LATERAL (SELECT unnest(range(5)) AS more) JOIN isl z ON z.series_id = x.series_id AND z.run = x.run AND z.rk = x.rk + more JOIN isl y ON y.series_id = x.series_id AND y.rk BETWEEN x.rk AND x.rk + more GROUP BY x.series_id, x.a, x.rk, more"),
+    ("own", _band_sql(_mass_sql("runs"))),
+    ("found", "SELECT r.series_id, r.a, r.b, sumL, sumU, greatest(o.L, sumL) AS L, least(o.U, sumU) AS U FROM runs r JOIN own o ON o.series_id = r.series_id AND o.a = r.a AND o.b = r.b"),
+))
 def _(t):
     c = windows.cluster_windows(_obs(t))
     b = windows.band(windows.observed_mass(_obs(t), c), windows.totals(_obs(t)))
@@ -139,7 +163,17 @@ def _(t):
     return rounded(windows.acceptance_windows(_obs(t), windows.with_option(O, grid_step_days=1.0)), 4)
 
 
-@query("k9_segment_bands")
+_SHARE = f"({O.baseline_p} + least({O.h_max}, ({ZA}*sqrt(pi*(1-pi)/N+{ZA}*{ZA}/(4*N*N))/(1+{ZA}*{ZA}/N))/greatest(pi, {O.eps_share})))"
+
+
+@query("k9_segment_bands", with_(
+    "observations", f"SELECT series_id, round(a, 4) AS a, round(b, 4) AS b, round(E, 4) AS E, CAST(greatest(0, floor((1-{_SHARE})*E)) AS BIGINT) AS L, CAST(ceil((1+{_SHARE})*E) AS BIGINT) AS U FROM (SELECT e.*, N, M / N AS pi FROM ex e JOIN mass m ON m.series_id = e.series_id AND m.a = e.a AND m.b = e.b JOIN tot ON tot.series_id = e.series_id)",
+    *_CL, _DAYS, _TOT, *_cubic(1.0),
+    ("win", "SELECT series_id, floor(a) AS a, b FROM cl"),
+    ("ends", "SELECT w.series_id, a, b, greatest(0, least(CAST(round(a - x0) AS BIGINT), last)) AS ia, greatest(0, least(CAST(round(b - x0) AS BIGINT), last)) AS ib FROM win w JOIN (SELECT series_id, min(x) AS x0, max(i) AS last FROM cub GROUP BY series_id) g ON g.series_id = w.series_id"),
+    ("ex", "SELECT n.series_id, n.a, n.b, y.v - x.v AS E FROM ends n JOIN cub x ON x.series_id = n.series_id AND x.i = n.ia JOIN cub y ON y.series_id = n.series_id AND y.i = n.ib WHERE y.v - x.v > 1e-9"),
+    ("mass", _mass_sql("ex")),
+))
 def _(t):
     o = windows.with_option(O, grid_step_days=1.0)
     return rounded(windows.segment_bands(_obs(t), windows.cluster_windows(_obs(t)).withColumn("a", F.floor("a").cast("double")), o).select("series_id", "a", "b", "E", "L", "U"), 4)
