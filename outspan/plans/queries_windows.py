@@ -142,16 +142,19 @@ def _(t):
     return rounded(windows.gap_windows(windows.cluster_windows(_obs(t)), O.gap_scale), 5)
 
 
-@query("k7_union_candidates", with_(
-    "observations", f"SELECT series_id, round(a, 4) AS a, round(b, 4) AS b, L, U, gain FROM (SELECT *, (sumU - sumL) - (U - L) AS gain FROM found) WHERE gain > 0 AND L <= U QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY gain DESC, a, b) <= {O.max_unions_to_keep}",
-    *_CL, _DAYS, _TOT,
-    ("cb", _band_sql(_mass_sql("cl"))),
-    ("brk", "SELECT *, row_number() OVER w AS rk, CASE WHEN a - lag(b) OVER w > 1 THEN 1 ELSE 0 END AS gap FROM cb WINDOW w AS (PARTITION BY series_id ORDER BY a, b)"),
-    ("isl", "SELECT *, sum(gap) OVER (PARTITION BY series_id ORDER BY rk) AS run FROM brk"),
-    ("runs", "SELECT x.series_id, x.a, max(y.b) AS b, CAST(sum(y.L) AS BIGINT) AS sumL, CAST(sum(y.U) AS BIGINT) AS sumU FROM isl x, LATERAL (SELECT unnest(range(5)) AS more) JOIN isl z ON z.series_id = x.series_id AND z.run = x.run AND z.rk = x.rk + more JOIN isl y ON y.series_id = x.series_id AND y.rk BETWEEN x.rk AND x.rk + more GROUP BY x.series_id, x.a, x.rk, more"),
-    ("own", _band_sql(_mass_sql("runs"))),
-    ("found", "SELECT r.series_id, r.a, r.b, sumL, sumU, greatest(o.L, sumL) AS L, least(o.U, sumU) AS U FROM runs r JOIN own o ON o.series_id = r.series_id AND o.a = r.a AND o.b = r.b"),
-))
+def _union_parts(src: str) -> tuple:
+    """Runs of up to five windows of ``src`` without a gap above a day, their bounds and what these gain: the table found."""
+    return (
+        ("brk", f"SELECT *, row_number() OVER w AS rk, CASE WHEN a - lag(b) OVER w > 1 THEN 1 ELSE 0 END AS gap FROM {src} WINDOW w AS (PARTITION BY series_id ORDER BY a, b)"),
+        ("isl", "SELECT *, sum(gap) OVER (PARTITION BY series_id ORDER BY rk) AS run FROM brk"),
+        ("runs", "SELECT x.series_id, x.a, max_by(y.b, y.rk) AS b, CAST(sum(y.L) AS BIGINT) AS sumL, CAST(sum(y.U) AS BIGINT) AS sumU FROM isl x, LATERAL (SELECT unnest(range(5)) AS more) JOIN isl z ON z.series_id = x.series_id AND z.run = x.run AND z.rk = x.rk + more JOIN isl y ON y.series_id = x.series_id AND y.rk BETWEEN x.rk AND x.rk + more GROUP BY x.series_id, x.a, x.rk, more"),
+        ("own", _band_sql(_mass_sql("runs"))),
+        ("bound", "SELECT r.series_id, r.a, r.b, sumL, sumU, greatest(o.L, sumL) AS L, least(o.U, sumU) AS U FROM runs r JOIN own o ON o.series_id = r.series_id AND o.a = r.a AND o.b = r.b"),
+        ("found", f"SELECT series_id, a, b, L, U, (sumU - sumL) - (U - L) AS gain FROM bound WHERE (sumU - sumL) - (U - L) > 0 AND L <= U QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY (sumU - sumL) - (U - L) DESC, a, b) <= {O.max_unions_to_keep}"),
+    )
+
+
+@query("k7_union_candidates", with_("observations", "SELECT series_id, round(a, 4) AS a, round(b, 4) AS b, L, U, gain FROM found", *_CL, _DAYS, _TOT, ("cb", _band_sql(_mass_sql("cl"))), *_union_parts("cb")))
 def _(t):
     c = windows.cluster_windows(_obs(t))
     b = windows.band(windows.observed_mass(_obs(t), c), windows.totals(_obs(t)))
@@ -166,6 +169,30 @@ def _(t):
 _SHARE = f"({O.baseline_p} + least({O.h_max}, ({ZA}*sqrt(pi*(1-pi)/N+{ZA}*{ZA}/(4*N*N))/(1+{ZA}*{ZA}/N))/greatest(pi, {O.eps_share})))"
 
 
+def _fold(src: str) -> str:
+    """Bounds of one interval in their order: the tightest of two that meet, else the loosest."""
+    tight = "struct_pack(o := x.o, l := greatest(x.l, y.l), u := least(x.u, y.u))"
+    loose = "struct_pack(o := x.o, l := least(x.l, y.l), u := greatest(x.u, y.u))"
+    step = f"CASE WHEN greatest(x.l, y.l) <= least(x.u, y.u) THEN {tight} ELSE {loose} END"
+    return f"SELECT series_id, a, b, f.l AS L, f.u AS U FROM (SELECT series_id, a, b, list_reduce(list(struct_pack(o := ord, l := L, u := U) ORDER BY ord, L, U), lambda x, y: {step}) AS f FROM {src} GROUP BY series_id, a, b)"
+
+
+@query("k8_acceptance_clusters", with_(
+    "observations", "SELECT series_id, round(a, 5) AS a, round(b, 5) AS b, L, U FROM (" + _fold("every") + ")",
+    *_CL, _DAYS, _TOT,
+    ("span", "SELECT series_id, min(d) AS first, max(d) AS last, sum(n)::DOUBLE AS M FROM observations GROUP BY series_id"),
+    ("gaps", f"SELECT series_id, mid - h AS a, mid + h AS b FROM (SELECT series_id, (b+nx)/2 AS mid, least({O.gap_scale}*(nx-b), med/2) AS h FROM (SELECT *, lead(a) OVER (PARTITION BY series_id ORDER BY a) AS nx FROM cl) JOIN (SELECT series_id, quantile_cont(b-a, 0.5) AS med FROM cl GROUP BY series_id) USING (series_id) WHERE nx IS NOT NULL) WHERE h > 1e-3"),
+    ("base", "SELECT series_id, a, b FROM cl UNION SELECT series_id, a, b FROM gaps"),
+    ("bb", _band_sql(_mass_sql("base"))),
+    ("held", "SELECT bb.series_id, greatest(a, least(first, 0e0)) AS a, least(b, last) AS b, L, U, 0 AS ord FROM bb JOIN span USING (series_id) WHERE least(b, last) > greatest(a, least(first, 0e0))"),
+    ("cb", _fold("held")), *_union_parts("cb"),
+    ("whole", _band_sql("SELECT series_id, least(first, 0e0) AS a, last AS b, M FROM span")),
+    ("every", "SELECT series_id, a, b, L, U, 0 AS ord FROM cb UNION ALL SELECT series_id, a, b, L, U, 1 FROM found UNION ALL SELECT series_id, a, b, L, U, 2 FROM whole"),
+))
+def _(t):
+    return rounded(windows.acceptance_windows(_obs(t), windows.with_option(O, strategy="cluster")).select("series_id", "a", "b", "L", "U"), 5)
+
+
 @query("k9_segment_bands", with_(
     "observations", f"SELECT series_id, round(a, 4) AS a, round(b, 4) AS b, round(E, 4) AS E, CAST(greatest(0, floor((1-{_SHARE})*E)) AS BIGINT) AS L, CAST(ceil((1+{_SHARE})*E) AS BIGINT) AS U FROM (SELECT e.*, N, M / N AS pi FROM ex e JOIN mass m ON m.series_id = e.series_id AND m.a = e.a AND m.b = e.b JOIN tot ON tot.series_id = e.series_id)",
     *_CL, _DAYS, _TOT, *_cubic(1.0),
