@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.expr import z_value
+
 PARAMETERS = ("R0", "k", "r", "alpha", "theta")
 
 DRAWS = T.StructType([T.StructField("traj_id", T.LongType()), *(T.StructField(p, T.DoubleType()) for p in PARAMETERS)])
@@ -81,3 +83,11 @@ class WindowOptions:
     include_global_total: bool = True
     day_snap: bool = False
     strategy: str = "both"  # or cluster, segment
+
+    @property
+    def z_alpha(self) -> float:
+        return z_value(self.alpha)
+
+    @property
+    def z_beta(self) -> float:
+        return z_value(1 - self.beta)

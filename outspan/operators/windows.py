@@ -7,15 +7,28 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.expr import wilson_halfwidth, z_value
+from ..functions.expr import wilson_halfwidth
 from ..model import WindowOptions
 
 KEY = "series_id"
 
 
+class RowOptions:
+    """Options that each row brings along: the key is then a struct of the series and its option's columns (``operators/options.py``)."""
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(f"{KEY}.{name}")
+
+
+def _where(df: DataFrame, flag: bool | Column) -> DataFrame:
+    """Rows whose option sets the flag; all or none where one option holds for all of them."""
+    return df.filter(flag) if isinstance(flag, Column) else df if flag else df.limit(0)
+
+
 def _w(order: str = "d") -> Window:
     return Window.partitionBy(KEY).orderBy(order)
 
@@ -43,7 +56,7 @@ def max_gap(obs: DataFrame) -> DataFrame:
     return gaps.groupBy(KEY).agg(F.ceil(F.coalesce(F.max("gap"), F.lit(0.0))).cast("long").alias("max_gap"))
 
 
-def top_unions(cand: DataFrame, k: int) -> DataFrame:
+def top_unions(cand: DataFrame, k: int | Column) -> DataFrame:
     """k candidates of most gain by series; ties by start and end."""
     w = Window.partitionBy(KEY).orderBy(F.col("gain").desc(), "a", "b")
     return cand.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k).drop("__rn")
@@ -67,19 +80,18 @@ def fold_bounds(cand: DataFrame) -> DataFrame:
     return rows.withColumn("f", F.aggregate("c", start, step)).select(KEY, "a", "b", F.col("f.L").alias("L"), F.col("f.U").alias("U"))
 
 
-def observed_mass(obs: DataFrame, win: DataFrame) -> DataFrame:
+def observed_mass(obs: DataFrame, win: DataFrame, *also: str) -> DataFrame:
     """Counts by day, each day's split by its overlap with (a, b]; the day of the last observation counts whole. The join is on days
-    that a window touches."""
+    that a window touches. Windows differ by their ends and the columns ``also``, which stay."""
     days = obs.groupBy(KEY, F.floor("d").cast("long").alias("day")).agg(F.sum("n").alias("c"))
-    w = win.select(KEY, "a", "b").distinct().withColumn("day", F.explode(F.sequence(F.floor("a").cast("long"), F.greatest(F.floor("a"), F.ceil("b")).cast("long"))))
+    w = win.select(KEY, "a", "b", *also).distinct().withColumn("day", F.explode(F.sequence(F.floor("a").cast("long"), F.greatest(F.floor("a"), F.ceil("b")).cast("long"))))
     part = F.greatest(F.lit(0.0), F.least(F.col("b"), F.col("day") + 1.0) - F.greatest(F.col("a"), F.col("day").cast("double")))
-    hit = w.join(days, [KEY, "day"], "left").groupBy(KEY, "a", "b").agg(F.sum(F.coalesce("c", F.lit(0)) * part).alias("M"))
-    return hit
+    return w.join(days, [KEY, "day"], "left").groupBy(KEY, "a", "b", *also).agg(F.sum(F.coalesce("c", F.lit(0)) * part).alias("M"))
 
 
-def band(mass: DataFrame, total: DataFrame, o: WindowOptions = WindowOptions(), y: str = "M", m: str = "M") -> DataFrame:
+def band(mass: DataFrame, total: DataFrame, o: WindowOptions | RowOptions = WindowOptions(), y: str = "M", m: str = "M") -> DataFrame:
     """Lower and upper counts: the share's Wilson half-width relative to it widens the baseline tolerance."""
-    z = z_value(o.alpha)
+    z = o.z_alpha
     df = mass.join(total.select(KEY, F.col("N").cast("double").alias("N")), KEY)
     share = F.col(y) / F.col("N")
     h = F.least(F.lit(o.h_max), wilson_halfwidth(share, "N", z) / F.greatest(share, F.lit(o.eps_share)))
@@ -91,9 +103,9 @@ def totals(obs: DataFrame) -> DataFrame:
     return obs.groupBy(KEY).agg(F.sum("n").alias("N"), F.min("d").alias("first"), F.max("d").alias("last"))
 
 
-def cluster_windows(obs: DataFrame, o: WindowOptions = WindowOptions()) -> DataFrame:
+def cluster_windows(obs: DataFrame, o: WindowOptions | RowOptions = WindowOptions()) -> DataFrame:
     """A window about each observation, half the larger of z * sigma and a share of the neighbouring gaps; overlapping ones merge."""
-    z = z_value(1 - o.beta)
+    z = o.z_beta
     g = neighbour_gaps(obs)
     nw = o.neighbor_weight
     side = F.when(F.col("gap_prev").isNotNull() & F.col("gap_next").isNotNull(), nw * (F.col("gap_prev") + F.col("gap_next")) / 4).otherwise(F.coalesce(nw * F.coalesce("gap_prev", "gap_next") / 2, F.lit(0.0)))
@@ -122,7 +134,7 @@ def monotone_slopes(obs: DataFrame) -> DataFrame:
     return y.select(KEY, "d", "y", slope.alias("m"))
 
 
-def monotone_interpolant(obs: DataFrame, step: float) -> DataFrame:
+def monotone_interpolant(obs: DataFrame, step: float | Column) -> DataFrame:
     """The cubic on a grid of ``step`` from the first to the last observation."""
     w = _w()
     k = monotone_slopes(obs).withColumn("d1", F.lead("d").over(w)).withColumn("y1", F.lead("y").over(w)).withColumn("m1", F.lead("m").over(w)).withColumn("first", F.min("d").over(Window.partitionBy(KEY)))
@@ -142,15 +154,24 @@ def monotone_interpolant(obs: DataFrame, step: float) -> DataFrame:
 def segment_windows(obs: DataFrame, o: WindowOptions = WindowOptions()) -> DataFrame:
     """Ends of the best fit of the interpolant by 1 to kmax chords, each at least min_seg_days and two steps long, none for a shorter series; the number by
     n log(mse) + 2 K log n. One small dynamic programme a series, over its grid."""
-    curve = monotone_interpolant(obs, o.grid_step_days)
+    shape = {"grid_step_days": o.grid_step_days, "min_seg_days": o.min_seg_days, "kmax": o.kmax}
+    return segments_by_shape(obs.select("*", *[F.lit(v).alias(k) for k, v in shape.items()])).select(KEY, "a", "b")
+
+
+def segments_by_shape(obs: DataFrame) -> DataFrame:
+    """segment_windows() of each series and shape (columns grid_step_days, min_seg_days, kmax of ``obs``), which stay as columns."""
+    shape = ["grid_step_days", "min_seg_days", "kmax"]
+    keyed = obs.select(F.struct(F.col(KEY).alias("series"), *shape).alias(KEY), "d", "n")
+    curve = monotone_interpolant(keyed, F.col(f"{KEY}.grid_step_days"))
+    flat = curve.select(F.col(f"{KEY}.series").alias(KEY), *[F.col(f"{KEY}.{c}").alias(c) for c in shape], "i", "x", "v")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         x, v = pdf["x"].to_numpy(), pdf["v"].to_numpy()
-        n, least = len(x), max(2, int(round(o.min_seg_days / o.grid_step_days)))
-        key = pdf[KEY].iloc[0]
+        own = {c: pdf[c].iloc[0] for c in (KEY, *shape)}
+        n, least, kmax = len(x), max(2, int(round(own["min_seg_days"] / own["grid_step_days"]))), int(own["kmax"])
         if n - 1 < least:
-            return pd.DataFrame({KEY: pd.Series([], dtype="int64"), "a": pd.Series([], dtype=float), "b": pd.Series([], dtype=float)})
+            return pd.DataFrame({**{c: pdf[c].iloc[:0] for c in own}, "a": pd.Series([], dtype=float), "b": pd.Series([], dtype=float)})
         cum = lambda z: np.concatenate([[0.0], np.cumsum(z)])
         s1, sx, sxx, sv, svv, sxv = cum(np.ones(n)), cum(x), cum(x * x), cum(v), cum(v * v), cum(x * v)
 
@@ -163,13 +184,13 @@ def segment_windows(obs: DataFrame, o: WindowOptions = WindowOptions()) -> DataF
             error = np.maximum(0.0, d(svv) + a * a * d(s1) + b * b * d(sxx) - 2 * a * d(sv) - 2 * b * d(sxv) + 2 * a * b * d(sx))
             return np.where(j - i >= least, error, np.inf)
 
-        best = np.full((o.kmax + 1, n), np.inf)
-        back = np.zeros((o.kmax + 1, n), int)
+        best = np.full((kmax + 1, n), np.inf)
+        back = np.zeros((kmax + 1, n), int)
         best[0, 0] = 0.0
         for at in range(0, n, 256):  # a block of ends at a time bounds memory for long series
             j = np.arange(at, min(n, at + 256))
             error = costs(j)
-            for K in range(1, o.kmax + 1):
+            for K in range(1, kmax + 1):
                 # Starts of a K-th chord lie before its end, so within this block they are settled one after another.
                 outside = best[K - 1][:at, None] + error[:at] if at else np.full((1, len(j)), np.inf)
                 back[K, j], best[K, j] = outside.argmin(axis=0), outside.min(axis=0)
@@ -177,66 +198,72 @@ def segment_windows(obs: DataFrame, o: WindowOptions = WindowOptions()) -> DataF
                 inner, where = total.min(axis=0), total.argmin(axis=0) + at
                 better = inner < best[K, j]
                 best[K, j], back[K, j] = np.where(better, inner, best[K, j]), np.where(better, where, back[K, j])
-        score = [n * np.log(max(best[K, n - 1] / n, 1e-12)) + 2 * K * np.log(n) if np.isfinite(best[K, n - 1]) else np.inf for K in range(1, o.kmax + 1)]
+        score = [n * np.log(max(best[K, n - 1] / n, 1e-12)) + 2 * K * np.log(n) if np.isfinite(best[K, n - 1]) else np.inf for K in range(1, kmax + 1)]
         K, j, ends = int(np.argmin(score)) + 1, n - 1, []
         while K:
             i = back[K, j]
             ends.append((x[i], x[j]))
             K, j = K - 1, i
         ends = ends[::-1]
-        return pd.DataFrame({KEY: [key] * len(ends), "a": [e[0] for e in ends], "b": [e[1] for e in ends]})
+        return pd.DataFrame({**{c: [value] * len(ends) for c, value in own.items()}, "a": [e[0] for e in ends], "b": [e[1] for e in ends]})
+
+    fields = [f for f in flat.schema.fields if f.name in (KEY, *shape)]
+    return flat.groupBy(KEY, *shape).applyInPandas(fit, T.StructType([*fields, T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())]))
+
 
-    return curve.groupBy(KEY).applyInPandas(fit, f"{KEY} long, a double, b double")
+def _with_gaps(clusters: DataFrame, scale: float | Column) -> DataFrame:
+    """Clusters with the window (ga, gb) in the gap after each, null where there is none."""
+    w = Window.partitionBy(KEY)
+    g = clusters.withColumn("next", F.lead("a").over(w.orderBy("a"))).withColumn("med", F.percentile(F.col("b") - F.col("a"), F.lit(0.5)).over(w))
+    half = F.least(scale * (F.col("next") - F.col("b")), F.col("med") / 2)
+    mid = F.when(F.col("next").isNotNull() & (half > 1e-3), (F.col("b") + F.col("next")) / 2)
+    return g.select(KEY, "a", "b", (mid - half).alias("ga"), (mid + half).alias("gb"))
 
 
-def gap_windows(clusters: DataFrame, scale: float) -> DataFrame:
+def gap_windows(clusters: DataFrame, scale: float | Column) -> DataFrame:
     """A window in the middle of each gap between clusters, half at most the scaled gap and half the median cluster; slivers are left out."""
-    w = Window.partitionBy(KEY).orderBy("a")
-    med = clusters.groupBy(KEY).agg(F.percentile(F.col("b") - F.col("a"), F.lit(0.5)).alias("med"))
-    g = clusters.withColumn("next", F.lead("a").over(w)).filter("next IS NOT NULL").join(med, KEY)
-    gap = F.col("next") - F.col("b")
-    half = F.least(scale * gap, F.col("med") / 2)
-    mid = (F.col("b") + F.col("next")) / 2
-    return g.filter(half > 1e-3).select(KEY, (mid - half).alias("a"), (mid + half).alias("b"))
+    return _with_gaps(clusters, scale).filter("ga IS NOT NULL").select(KEY, F.col("ga").alias("a"), F.col("gb").alias("b"))
 
 
-def union_candidates(bands: DataFrame, obs: DataFrame, o: WindowOptions = WindowOptions(), longest: int = 5) -> DataFrame:
+def union_candidates(bands: DataFrame, obs: DataFrame, o: WindowOptions | RowOptions = WindowOptions(), longest: int = 5) -> DataFrame:
     """Runs of up to five consecutive windows without a gap above a day, with the bound of the union and what it gains on the sum."""
     w = Window.partitionBy(KEY).orderBy("a", "b")
-    r = bands.select(KEY, "a", "b", "L", "U").withColumn("rk", F.row_number().over(w)).withColumn("breaks", F.when(F.col("a") - F.lag("b").over(w) > 1, 1).otherwise(0))
-    r = r.withColumn("run", F.sum("breaks").over(w)).withColumn("sL", F.sum("L").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("sU", F.sum("U").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    first = r.select(KEY, F.col("rk").alias("rk0"), "run", F.col("a").alias("a0"), (F.col("sL") - F.col("L")).alias("L0"), (F.col("sU") - F.col("U")).alias("U0"), F.explode(F.sequence(F.lit(0), F.lit(longest - 1))).alias("k")).withColumn("rk", F.col("rk0") + F.col("k"))
-    runs = first.join(r.select(KEY, "rk", "run", F.col("b").alias("b0"), "sL", "sU"), [KEY, "rk", "run"]).select(KEY, F.col("a0").alias("a"), F.col("b0").alias("b"), (F.col("sL") - F.col("L0")).alias("sumL"), (F.col("sU") - F.col("U0")).alias("sumU"))
-    own = band(observed_mass(obs, runs), totals(obs), o).select(KEY, "a", "b", F.col("L").alias("bL"), F.col("U").alias("bU"))
-    c = runs.join(own, [KEY, "a", "b"]).withColumn("L", F.greatest("bL", "sumL")).withColumn("U", F.least("bU", "sumU"))
+    r = bands.select(KEY, "a", "b", "L", "U").withColumn("breaks", F.when(F.col("a") - F.lag("b").over(w) > 1, 1).otherwise(0)).withColumn("run", F.sum("breaks").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # Each window carries the runs that begin with it, so nothing is joined.
+    ends = [F.when(F.lead("run", k).over(w) == F.col("run"), F.struct(F.lead("b", k).over(w).alias("b"), *[F.sum(c).over(w.rowsBetween(0, k)).alias(f"sum{c}") for c in ("L", "U")])) for k in range(longest)]
+    runs = r.withColumn("ends", F.array(*ends)).select(KEY, "a", F.explode(F.filter("ends", lambda e: e.isNotNull())).alias("e")).select(KEY, "a", "e.*")
+    own = band(observed_mass(obs, runs, "sumL", "sumU"), totals(obs), o)
+    c = own.withColumn("L", F.greatest("L", "sumL")).withColumn("U", F.least("U", "sumU"))
     c = c.withColumn("gain", (F.col("sumU") - F.col("sumL")) - (F.col("U") - F.col("L"))).filter((F.col("gain") > 0) & (F.col("L") <= F.col("U")))
     return top_unions(c, o.max_unions_to_keep).select(KEY, "a", "b", "L", "U", "gain")
 
 
-def acceptance_windows(obs: DataFrame, o: WindowOptions = WindowOptions()) -> DataFrame:
-    """Acceptance bounds (a, b, L, U) of each series: bands of clusters, segments and gaps, unions, the total, folded by interval."""
+def acceptance_windows(obs: DataFrame, o: WindowOptions | RowOptions = WindowOptions(), segments: DataFrame | None = None) -> DataFrame:
+    """Acceptance bounds (a, b, L, U) of each series: bands of clusters, segments and gaps, unions, the total, folded by interval.
+    ``segments`` are windows (series_id, a, b) in place of segment_windows(), which RowOptions need."""
     t = totals(obs)
-    base = None
+    one = isinstance(o, WindowOptions)
+    by = (lambda *names: o.strategy in names) if one else (lambda *names: o.strategy.isin(*names))
     clusters = cluster_windows(obs, o)
-    if o.strategy in ("both", "cluster"):
-        base = clusters
-    if o.strategy in ("both", "segment"):
-        seg = segment_windows(obs, o)
-        base = seg if base is None else union_windows(base, seg)
-    if o.include_gap_windows and o.strategy != "segment":
-        base = union_windows(base, gap_windows(clusters, o.gap_scale))
+    gaps = _with_gaps(_where(clusters, by("both", "cluster")), o.gap_scale)
+    both = F.array(F.struct("a", "b"), F.when(F.col("ga").isNotNull() & F.lit(o.include_gap_windows), F.struct(F.col("ga").alias("a"), F.col("gb").alias("b"))))
+    base = gaps.select(KEY, F.explode(F.filter(both, lambda x: x.isNotNull())).alias("w")).select(KEY, "w.*")
+    if not one or by("both", "segment"):
+        base = union_windows(base, _where(segment_windows(obs, o) if segments is None else segments, by("both", "segment")))
     bands = band(observed_mass(obs, base), t, o).select(KEY, "a", "b", "L", "U").join(t, KEY)
     bands = bands.withColumn("a", F.greatest("a", F.least("first", F.lit(0.0)))).withColumn("b", F.least("b", F.col("last")))
-    if o.day_snap:
-        bands = bands.withColumn("a", F.floor("a").cast("double")).withColumn("b", F.ceil("b").cast("double"))
+    snap = F.lit(o.day_snap)
+    bands = bands.withColumn("a", F.when(snap, F.floor("a").cast("double")).otherwise(F.col("a"))).withColumn("b", F.when(snap, F.ceil("b").cast("double")).otherwise(F.col("b")))
     # Unions are made of the clamped windows and their folded bounds; a window without length is none.
     out = fold_bounds(bands.filter("b > a").select(KEY, "a", "b", "L", "U", F.lit(0).alias("ord"))).withColumn("ord", F.lit(0))
-    if o.include_union_windows:
-        out = out.unionByName(union_candidates(out, obs, o).select(KEY, "a", "b", "L", "U", F.lit(1).alias("ord")))
-    if o.include_global_total:
-        all_ = t.select(KEY, F.least("first", F.lit(0.0)).alias("a"), F.col("last").alias("b"), F.col("N").alias("M"))
-        total = band(all_, t, o).select(KEY, "a", "b", "L", "U", F.lit(2).alias("ord"))
-        out = out.unionByName(total)
+    parts = [out]
+    if not one or o.include_union_windows:
+        parts.append(union_candidates(_where(out, o.include_union_windows), obs, o).select(KEY, "a", "b", "L", "U", F.lit(1).alias("ord")))
+    if not one or o.include_global_total:
+        all_ = _where(t, o.include_global_total).select(KEY, F.least("first", F.lit(0.0)).alias("a"), F.col("last").alias("b"), F.col("N").alias("M"))
+        parts.append(band(all_, t, o).select(KEY, "a", "b", "L", "U", F.lit(2).alias("ord")))
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return fold_bounds(out)
 
 
@@ -254,33 +281,6 @@ def segment_bands(obs: DataFrame, win: DataFrame, o: WindowOptions = WindowOptio
     return band(both, totals(obs), o, y="M", m="E")
 
 
-def score_options(obs: DataFrame, events: DataFrame, options: dict[int, WindowOptions]) -> DataFrame:
-    """Each option's windows tested on the trajectories of ``events`` (series_id, traj_id, t): accepted number and the squared distance
-    between observed and mean accepted cumulative counts at the observations; the best option of each series."""
-    scored = None
-    ids = events.select(KEY, "traj_id").distinct()
-    for oid, o in options.items():
-        win = acceptance_windows(obs, o).withColumn("w", F.monotonically_increasing_id())
-        w = win.withColumn("day", F.explode(F.sequence(F.floor("a").cast("long"), F.greatest(F.floor("a"), F.floor("b")).cast("long"))))
-        e = events.withColumn("day", F.floor("t").cast("long"))
-        n = e.join(w, [KEY, "day"]).filter(F.col("t").between(F.col("a"), F.col("b"))).groupBy(KEY, "traj_id", "a", "b").agg(F.count("*").alias("n"))
-        need = ids.join(win.select(KEY, "a", "b", "L", "U"), KEY).join(n, [KEY, "traj_id", "a", "b"], "left")
-        ok = need.groupBy(KEY, "traj_id").agg(F.min(F.coalesce("n", F.lit(0)).between(F.col("L"), F.col("U")).cast("int")).alias("ok")).filter("ok = 1")
-        kept = ok.groupBy(KEY).agg(F.count("*").alias("accepted"))
-        observed = obs.groupBy(KEY, "d").agg(F.sum("n").alias("n")).withColumn("y", F.sum("n").over(_w()))
-        acc = events.join(ok, [KEY, "traj_id"], "left_semi").select(KEY, F.col("t").alias("d"), F.lit(1).alias("e"), F.lit(None).cast("double").alias("y"))
-        marks = acc.union(observed.select(KEY, "d", F.lit(0), F.col("y").cast("double")))
-        cum = marks.withColumn("c", F.sum("e").over(_w().rangeBetween(Window.unboundedPreceding, 0))).filter("y IS NOT NULL").join(kept, KEY)
-        l2 = cum.groupBy(KEY, "accepted").agg(F.avg(F.pow(F.col("y") - F.col("c") / F.col("accepted"), F.lit(2))).alias("l2"))
-        l2 = l2.select(KEY, F.lit(oid).alias("option_id"), "accepted", (F.col("l2") + F.when(F.col("accepted") < 80, F.pow(80 - F.col("accepted"), F.lit(2))).otherwise(0.0)).alias("objective"))
-        scored = l2 if scored is None else scored.unionByName(l2)
-    return scored
-
-
-def best_options(scored: DataFrame) -> DataFrame:
-    return scored.groupBy(KEY).agg(F.min_by(F.struct("option_id", "accepted", "objective"), F.struct("objective", "option_id")).alias("b")).select(KEY, "b.*")
-
-
 def with_option(o: WindowOptions, **changes) -> WindowOptions:
     return replace(o, **changes)
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.expr import z_value
 from ..model import WindowOptions
-from ..operators import collect, spatial, stats, windows
+from ..operators import collect, options, spatial, stats, windows
 from ..session import shared_folder
 from ..streaming import monitor
 from .bindings import with_
@@ -206,12 +206,72 @@ def _(t):
     return rounded(windows.segment_bands(_obs(t), windows.cluster_windows(_obs(t)).withColumn("a", F.floor("a").cast("double")), o).select("series_id", "a", "b", "E", "L", "U"), 4)
 
 
+def _seen(t):
+    """Trajectories to test: the parents of a series in seven parts, in the days of its observations."""
+    return t.parents.select(F.col("traj_id").alias("series_id"), (F.col("parent_id") % 7).alias("traj_id"), (F.col("t") * 3 + 109.6).alias("t"))
+
+
 @query("k10_score_options")
 def _(t):
-    ev = t.parents.select(F.col("traj_id").alias("series_id"), (F.col("parent_id") % 7).alias("traj_id"), (F.col("t") * 3 + 109.6).alias("t"))
     o = windows.with_option(O, grid_step_days=1.0)
-    s = windows.score_options(_obs(t), ev, {0: o, 1: windows.with_option(o, strategy="cluster", baseline_p=0.6, h_max=0.8)})
-    return rounded(windows.best_options(s))
+    s = options.score_options(_obs(t), _seen(t), {0: o, 1: windows.with_option(o, strategy="cluster", baseline_p=0.6, h_max=0.8)})
+    return rounded(options.best_options(s))
+
+
+# Options by number: 27 of clusters, gaps and the total. In SQL a series' key is 32 times its number plus the option's.
+_GRID = {9 * i + 3 * j + k: windows.with_option(O, strategy="cluster", include_union_windows=False, sigma_days=s, baseline_p=p, gap_scale=g, h_max=0.8) for i, s in enumerate((0.5, 1.8, 4.0)) for j, p in enumerate((0.3, 0.6, 0.95)) for k, g in enumerate((0.2, 0.4, 0.8))}
+_OPT = ("opt", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {o.sigma_days}e0, {o.baseline_p}e0, {o.gap_scale}e0)" for i, o in _GRID.items()) + ") v(oid, sigma, p, gs)")
+_ROW = f"(p + least(0.8e0, ({ZA}*sqrt(pi*(1-pi)/N+{ZA}*{ZA}/(4*N*N))/(1+{ZA}*{ZA}/N))/greatest(pi, {O.eps_share})))"
+
+
+def _band_row(mass: str) -> str:
+    return f"SELECT series_id, a, b, CAST(greatest(0, floor((1-{_ROW})*M)) AS BIGINT) AS L, CAST(ceil((1+{_ROW})*M) AS BIGINT) AS U FROM (SELECT m.*, N, M / N AS pi, p FROM ({mass}) m JOIN tot USING (series_id) JOIN opt ON oid = series_id % 32)"
+
+
+_BY_OPTION = (
+    _OPT,
+    ("oo", "SELECT series_id * 32 + oid AS series_id, d, n FROM observations, opt"),
+    ("days", "SELECT series_id, CAST(floor(d) AS BIGINT) AS day, sum(n) AS c FROM oo GROUP BY ALL"),
+    ("tot", "SELECT series_id, sum(n)::DOUBLE AS N FROM oo GROUP BY series_id"),
+    ("span", "SELECT series_id, min(d) AS first, max(d) AS last, sum(n)::DOUBLE AS M FROM oo GROUP BY series_id"),
+    ("half", f"SELECT series_id, d, greatest({ZB} * sigma, CASE WHEN gp IS NOT NULL AND gn IS NOT NULL THEN {O.neighbor_weight}*(gp+gn)/4 ELSE coalesce({O.neighbor_weight}*coalesce(gp, gn)/2, 0) END) AS h FROM (SELECT series_id, d, d - lag(d) OVER w AS gp, lead(d) OVER w - d AS gn FROM oo WINDOW w AS (PARTITION BY series_id ORDER BY d)) JOIN opt ON oid = series_id % 32"),
+    ("raw", "SELECT series_id, d - h AS a, d + h AS b FROM half"),
+    ("cl", _merge_sql("raw", 0)),
+    ("gaps", "SELECT series_id, mid - h AS a, mid + h AS b FROM (SELECT series_id, (b+nx)/2 AS mid, least(gs*(nx-b), med/2) AS h FROM (SELECT *, lead(a) OVER (PARTITION BY series_id ORDER BY a) AS nx FROM cl) JOIN (SELECT series_id, quantile_cont(b-a, 0.5) AS med FROM cl GROUP BY series_id) USING (series_id) JOIN opt ON oid = series_id % 32 WHERE nx IS NOT NULL) WHERE h > 1e-3"),
+    ("base", "SELECT series_id, a, b FROM cl UNION SELECT series_id, a, b FROM gaps"),
+    ("bb", _band_row(_mass_sql("base"))),
+    ("held", "SELECT bb.series_id, greatest(a, least(first, 0e0)) AS a, least(b, last) AS b, L, U, 0 AS ord FROM bb JOIN span USING (series_id) WHERE least(b, last) > greatest(a, least(first, 0e0))"),
+    ("cb", _fold("held")),
+    ("whole", _band_row("SELECT series_id, least(first, 0e0) AS a, last AS b, M FROM span")),
+    ("every", "SELECT series_id, a, b, L, U, 0 AS ord FROM cb UNION ALL SELECT series_id, a, b, L, U, 2 FROM whole"),
+    ("win", "SELECT series_id // 32 AS series_id, series_id % 32 AS option_id, a, b, L, U FROM (" + _fold("every") + ")"),
+)
+
+
+@query("k10_windows_by_option", with_("observations", "SELECT series_id, option_id, round(a, 6) AS a, round(b, 6) AS b, L, U FROM win", *_BY_OPTION))
+def _(t):
+    return rounded(options.windows_by_option(_obs(t), options.option_table(t.spark, _GRID)))
+
+
+@query("k10_option_grid", with_(
+    "observations parents", "SELECT series_id, option_id, accepted, round(avg((y - cum / accepted) * (y - cum / accepted)) + CASE WHEN accepted < 80 THEN (80 - accepted) * (80 - accepted) ELSE 0 END, 4) AS objective FROM mean GROUP BY series_id, option_id, accepted",
+    *_BY_OPTION,
+    ("seen", "SELECT traj_id AS series_id, parent_id % 7 AS traj_id, t * 3 + 109.6e0 AS t FROM parents"),
+    ("tested", "SELECT w.series_id, option_id, i.traj_id, bool_and((SELECT count(*) FROM seen e WHERE e.series_id = w.series_id AND e.traj_id = i.traj_id AND e.t BETWEEN w.a AND w.b) BETWEEN L AND U) AS ok FROM win w JOIN (SELECT DISTINCT series_id, traj_id FROM seen) i ON i.series_id = w.series_id GROUP BY ALL"),
+    ("kept", "SELECT series_id, option_id, count(*) AS accepted FROM tested WHERE ok GROUP BY ALL"),
+    ("cumul", "SELECT series_id, d, sum(sum(n)) OVER (PARTITION BY series_id ORDER BY d) AS y FROM observations GROUP BY series_id, d"),
+    ("mean", "SELECT k.series_id, k.option_id, accepted, d, y, (SELECT count(*) FROM tested x JOIN seen e ON e.series_id = x.series_id AND e.traj_id = x.traj_id WHERE x.ok AND x.series_id = k.series_id AND x.option_id = k.option_id AND e.t <= c.d) AS cum FROM kept k JOIN cumul c ON c.series_id = k.series_id"),
+))
+def _(t):
+    return rounded(options.score_options(_obs(t), _seen(t), options.option_table(t.spark, _GRID)), 4)
+
+
+@query("k10_option_search")
+def _(t):
+    log = f"{shared_folder(t.spark)}/outspan-options-{uuid.uuid4().hex}"
+    start = windows.with_option(O, strategy="cluster", baseline_p=0.6, h_max=0.8)
+    found = options.search_options(_obs(t), _seen(t), start, {"sigma_days": (0.25, 4.0), "baseline_p": (0.3, 0.99), "gap_scale": (0.1, 0.9), "include_union_windows": (0, 1)}, log, population=4, generations=3)
+    return rounded(found.select("series_id", "generation", "option_id", "sigma_days", "baseline_p", "gap_scale", "include_union_windows", "accepted", "objective"))
 
 
 @query("k11_spec_sweep", with_("draws", "SELECT 'all' AS spec, count(*) AS n FROM draws UNION ALL SELECT 'low', count(*) FILTER (R0 < 6) FROM draws UNION ALL SELECT 'short', count(*) FILTER (alpha * theta < 12 AND k > 1) FROM draws"))

@@ -5,8 +5,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from outspan.model import WindowOptions
+from outspan.operators import options as option_rows
 from outspan.operators import windows
 
 
@@ -60,7 +62,67 @@ def test_scores_are_counts_of_accepted(spark):
                 seen = [(d, sum(n for q, e, n in obs_rows if q == s and e <= d)) for q, d, _ in obs_rows if q == s]
                 l2 = np.mean([(y - sum(t <= d for i in kept for t in times[i]) / len(kept)) ** 2 for d, y in seen])
                 want[s, oid] = (len(kept), l2 + max(0, 80 - len(kept)) ** 2)
-    scored = windows.score_options(obs, ev, options)
-    assert {(r["series_id"], r["option_id"]): (r["accepted"], pytest.approx(r["objective"])) for r in scored.collect()} == want and len(want) >= 2
-    for r in windows.best_options(scored).collect():
+    rows = option_rows.score_options(obs, ev, options).collect()
+    scored = spark.createDataFrame(rows)
+    assert {(r["series_id"], r["option_id"]): (r["accepted"], pytest.approx(r["objective"])) for r in rows} == want and len(want) >= 2
+    for r in option_rows.best_options(scored).collect():
         assert r["objective"] == pytest.approx(min(v[1] for (s, _), v in want.items() if s == r["series_id"]))
+
+
+def series(spark, seed=3):
+    rng = np.random.default_rng(seed)
+    obs = [(s, float(d), int(n)) for s in (1, 2, 3) for d, n in zip((0, 6, 7, 15, 19), rng.integers(1, 4, 5), strict=True)]
+    ev = [(s, i, float(np.round(t, 3))) for s in (1, 2, 3) for i in range(30) for t in rng.uniform(-1, 20, rng.integers(1, 16))]
+    return spark.createDataFrame(obs, "series_id long, d double, n long"), spark.createDataFrame(ev, "series_id long, traj_id long, t double")
+
+
+def test_windows_of_option_rows_are_those_of_each_option(spark):
+    """All strategies and flags in one plan, whose size doesn't depend on the number of options; also options for one series alone."""
+    obs, _ = series(spark)
+    o = WindowOptions(grid_step_days=1.0)
+    some = {
+        0: o, 1: windows.with_option(o, strategy="segment", kmax=2, include_union_windows=False, include_global_total=False), 2: windows.with_option(o, strategy="cluster", day_snap=True, include_gap_windows=False),
+        3: windows.with_option(o, alpha=0.3, beta=0.5, sigma_days=0.4, max_unions_to_keep=1, min_seg_days=4.0),
+    }
+    norm = lambda rows: sorted((r["series_id"], round(r["a"], 6), round(r["b"], 6), r["L"], r["U"]) for r in rows)
+    table = option_rows.option_table(spark, some)
+    got = option_rows.windows_by_option(obs, table).collect()
+    for oid, option in some.items():
+        assert norm(r for r in got if r["option_id"] == oid) == norm(windows.acceptance_windows(obs, option).collect()), oid
+    own = table.selectExpr("*", "option_id % 3 + 1 AS series_id")
+    alone = option_rows.windows_by_option(obs, own).collect()
+    assert {(r["series_id"], r["option_id"]) for r in alone} == {(i % 3 + 1, i) for i in some}
+    assert norm(alone) == norm(r for r in got if r["series_id"] == r["option_id"] % 3 + 1)
+    size = lambda table: option_rows.windows_by_option(obs, table)._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert size(table) == size(option_rows.option_table(spark, {i: o for i in range(300)}))
+
+
+def test_no_options_no_events_no_observations(spark):
+    obs, ev = series(spark)
+    table = option_rows.option_table(spark, {0: WindowOptions(strategy="cluster")})
+    assert option_rows.score_options(obs, ev.limit(0), table).count() == 0
+    assert option_rows.score_options(obs.limit(0), ev, table).count() == 0
+    assert option_rows.score_options(obs, ev, table.limit(0)).count() == 0
+
+
+def test_search_keeps_the_best_and_stops(spark, tmp_path):
+    """The result is the least objective of all options asked, never worse than the start's, the same on other partitions; without
+    a range nothing is gained, so the second generation is the last."""
+    obs, ev = series(spark)
+    start = WindowOptions(strategy="cluster", baseline_p=0.8, h_max=2.0, include_global_total=False)
+    ranges = {"sigma_days": (0.25, 4.0), "baseline_p": (0.3, 0.99), "alpha": (0.05, 0.4), "max_unions_to_keep": (0, 5), "include_gap_windows": (0, 1)}
+    found = {r["series_id"]: r for r in option_rows.search_options(obs, ev, start, ranges, f"file://{tmp_path}/a", population=5, generations=3).collect()}
+    first = {r["series_id"]: r["objective"] for r in option_rows.score_options(obs, ev, {0: start}).collect()}
+    assert first and all(found[s]["objective"] <= v + 1e-9 for s, v in first.items())
+    asked = spark.read.parquet(f"file://{tmp_path}/a/asked").toPandas()
+    assert asked["sigma_days"].between(0.25, 4.0).all() and (asked[asked["option_id"] == 0]["sigma_days"] == start.sigma_days).all()
+    own = option_rows.option_table(spark, {s: windows.with_option(start, **{c: r[c] for c in ranges}) for s, r in found.items()})
+    again = {r["series_id"]: r for r in option_rows.score_options(obs, ev, own.withColumn("series_id", F.col("option_id"))).collect()}
+    assert {s: (r["accepted"], pytest.approx(r["objective"])) for s, r in again.items()} == {s: (r["accepted"], r["objective"]) for s, r in found.items()}
+    other = option_rows.search_options(obs.repartition(1), ev.repartition(3), start, ranges, f"file://{tmp_path}/b", population=5, generations=2)
+    scored = spark.read.parquet(f"file://{tmp_path}/a/scored")
+    least = option_rows.best_logged(scored.filter("generation < 2")).collect()
+    assert {r["series_id"]: (r["option_id"], round(r["objective"], 9)) for r in other.collect()} == {r["series_id"]: (r["option_id"], round(r["objective"], 9)) for r in least}
+    assert {r["series_id"]: r["objective"] for r in scored.groupBy("series_id").agg(F.min("objective").alias("objective")).collect()} == {s: r["objective"] for s, r in found.items()}
+    option_rows.search_options(obs, ev, start, {}, f"file://{tmp_path}/c", population=2, generations=6).collect()
+    assert spark.read.parquet(f"file://{tmp_path}/c/asked").select("generation").distinct().count() == 2
