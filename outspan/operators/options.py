@@ -1,5 +1,4 @@
-"""Many options of acceptance windows at once: options are rows, so one plan makes and scores the windows of all of them, and a search in
-generations perturbs the best option of each series.
+"""Many options of acceptance windows at once: options are rows, so one plan makes and scores the windows of all of them.
 
 An option table has ``option_id`` and a column for each field of WindowOptions; with a column ``series_id`` each option is for that
 series alone, without it for all. ``z_alpha`` and ``z_beta`` hold the normal quantiles of alpha and beta.
@@ -12,9 +11,7 @@ from dataclasses import asdict, fields
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import gamma_quantile_native
 from ..model import WindowOptions
-from ..sources.ingest import unit_hash
 from .criteria import small
 from .windows import KEY, RowOptions, acceptance_windows, segments_by_shape
 
@@ -31,11 +28,6 @@ def option_table(spark: SparkSession, options: dict[int, WindowOptions]) -> Data
     return spark.createDataFrame([(oid, *asdict(o).values(), o.z_alpha, o.z_beta) for oid, o in options.items()], SCHEMA)
 
 
-def quantile_of_share(p: Column) -> Column:
-    """z with the share p of a normal variable within -z and z: the root of a chi-squared quantile."""
-    return F.sqrt(gamma_quantile_native(p, F.lit(0.5), F.lit(2.0)))
-
-
 def _meet(rows: DataFrame, options: DataFrame) -> DataFrame:
     """Rows of each series with the options for it."""
     return rows.join(options, KEY) if KEY in options.columns else rows.crossJoin(small(options))
@@ -95,55 +87,3 @@ def score_options(obs: DataFrame, events: DataFrame, options: DataFrame | dict[i
 
 def best_options(scored: DataFrame) -> DataFrame:
     return scored.groupBy(KEY).agg(F.min_by(F.struct("option_id", "accepted", "objective"), F.struct("objective", "option_id")).alias("b")).select(KEY, "b.*")
-
-
-def perturbed(best: DataFrame, ranges: dict[str, tuple[float, float]], population: int, generation: int, seed: int) -> DataFrame:
-    """Options about the best option of each series (series_id and the fields): the first is the best itself, the others lie within half a
-    range, halved each generation, to both sides of it and inside the range. Flags in ``ranges`` are drawn afresh, whole numbers rounded. The draws are digests of
-    seed, series, option and field."""
-    numbers = F.sequence(F.lit(generation * population).cast("long"), F.lit((generation + 1) * population - 1).cast("long"))
-    rows = best.withColumn("option_id", F.explode(numbers))
-    first = F.col("option_id") == generation * population
-
-    def moved(name: str) -> Column:
-        u = unit_hash(seed, KEY, "option_id", F.lit(name))
-        lo, hi = ranges[name]
-        if _KIND[name] == "bool":
-            return u < 0.5
-        at = F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), F.col(name) + (u - 0.5) * (hi - lo) * 0.5**generation))
-        return F.round(at).cast("long") if _KIND[name] == "int" else at
-
-    cols = [F.when(first, F.col(c)).otherwise(moved(c)).alias(c) if c in ranges else F.col(c) for c in FIELDS]
-    return rows.select(KEY, "option_id", *cols)
-
-def search_options(obs: DataFrame, events: DataFrame, start: WindowOptions, ranges: dict[str, tuple[float, float]], log: str, population: int = 16, generations: int = 8, seed: int = 1, least_gain: float = 1e-9) -> DataFrame:
-    """The best option of each series (series_id, generation, option_id, fields, accepted, objective), found in generations: score ``population`` options a
-    series, keep the best, perturb it, and stop when no series gains more than ``least_gain``. ``log`` is a new shared folder: each generation writes
-    its options (``asked``) and their scores (``scored``) there once and reads the bests back, so plans stay short. Series for which no option
-    accepts a trajectory have no row."""
-    spark = obs.sparkSession
-    base = obs.select(KEY).distinct().select(KEY, *[F.lit(v).alias(k) for k, v in asdict(start).items()])
-    best = base
-    for g in range(generations):
-        z = {"z_alpha": quantile_of_share(1 - F.col("alpha")), "z_beta": quantile_of_share(F.col("beta"))}
-        asked = perturbed(best, ranges, population, g, seed).withColumns(z)
-        asked.write.mode("overwrite").parquet(f"{log}/asked/generation={g}")
-        asked = spark.read.parquet(f"{log}/asked/generation={g}")
-        scored = asked.drop("z_alpha", "z_beta").join(score_options(obs, events, asked), [KEY, "option_id"])
-        scored.write.mode("overwrite").parquet(f"{log}/scored/generation={g}")
-        every = spark.read.parquet(f"{log}/scored")
-        found = best_logged(every)
-        if g:
-            past = best_logged(every.filter(F.col("generation") < g)).select(KEY, F.col("objective").alias("__past"))
-            gain = F.col("__past") - F.col("objective")
-            if found.join(past, KEY, "left").filter(gain.isNull() | (gain > least_gain)).isEmpty():
-                break
-        fresh = found.select(KEY, *[F.col(c).alias(f"__{c}") for c in FIELDS])
-        best = base.join(fresh, KEY, "left").select(KEY, *[F.coalesce(f"__{c}", c).alias(c) for c in FIELDS])
-    return best_logged(spark.read.parquet(f"{log}/scored"))
-
-
-def best_logged(log: DataFrame) -> DataFrame:
-    """Of a log of scored options the least objective of each series; ties go to the earlier option."""
-    cols = [c for c in log.columns if c != KEY]
-    return log.groupBy(KEY).agg(F.min_by(F.struct(*cols), F.struct("objective", "option_id")).alias("b")).select(KEY, "b.*")

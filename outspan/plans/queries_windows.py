@@ -266,14 +266,6 @@ def _(t):
     return rounded(options.score_options(_obs(t), _seen(t), options.option_table(t.spark, _GRID)), 4)
 
 
-@query("k10_option_search")
-def _(t):
-    log = f"{shared_folder(t.spark)}/outspan-options-{uuid.uuid4().hex}"
-    start = windows.with_option(O, strategy="cluster", baseline_p=0.6, h_max=0.8)
-    found = options.search_options(_obs(t), _seen(t), start, {"sigma_days": (0.25, 4.0), "baseline_p": (0.3, 0.99), "gap_scale": (0.1, 0.9), "include_union_windows": (0, 1)}, log, population=4, generations=3)
-    return rounded(found.select("series_id", "generation", "option_id", "sigma_days", "baseline_p", "gap_scale", "include_union_windows", "accepted", "objective"))
-
-
 @query("k11_spec_sweep", with_("draws", "SELECT 'all' AS spec, count(*) AS n FROM draws UNION ALL SELECT 'low', count(*) FILTER (R0 < 6) FROM draws UNION ALL SELECT 'short', count(*) FILTER (alpha * theta < 12 AND k > 1) FROM draws"))
 def _(t):
     return windows.spec_sweep(t.draws, {"all": [], "low": ["R0 < 6"], "short": ["alpha * theta < 12", "k > 1"]}).groupBy("spec").agg(F.count("*").alias("n"))

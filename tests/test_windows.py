@@ -5,7 +5,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from outspan.model import WindowOptions
 from outspan.operators import options as option_rows
@@ -103,26 +102,3 @@ def test_no_options_no_events_no_observations(spark):
     assert option_rows.score_options(obs, ev.limit(0), table).count() == 0
     assert option_rows.score_options(obs.limit(0), ev, table).count() == 0
     assert option_rows.score_options(obs, ev, table.limit(0)).count() == 0
-
-
-def test_search_keeps_the_best_and_stops(spark, tmp_path):
-    """The result is the least objective of all options asked, never worse than the start's, the same on other partitions; without
-    a range nothing is gained, so the second generation is the last."""
-    obs, ev = series(spark)
-    start = WindowOptions(strategy="cluster", baseline_p=0.8, h_max=2.0, include_global_total=False)
-    ranges = {"sigma_days": (0.25, 4.0), "baseline_p": (0.3, 0.99), "alpha": (0.05, 0.4), "max_unions_to_keep": (0, 5), "include_gap_windows": (0, 1)}
-    found = {r["series_id"]: r for r in option_rows.search_options(obs, ev, start, ranges, f"file://{tmp_path}/a", population=5, generations=3).collect()}
-    first = {r["series_id"]: r["objective"] for r in option_rows.score_options(obs, ev, {0: start}).collect()}
-    assert first and all(found[s]["objective"] <= v + 1e-9 for s, v in first.items())
-    asked = spark.read.parquet(f"file://{tmp_path}/a/asked").toPandas()
-    assert asked["sigma_days"].between(0.25, 4.0).all() and (asked[asked["option_id"] == 0]["sigma_days"] == start.sigma_days).all()
-    own = option_rows.option_table(spark, {s: windows.with_option(start, **{c: r[c] for c in ranges}) for s, r in found.items()})
-    again = {r["series_id"]: r for r in option_rows.score_options(obs, ev, own.withColumn("series_id", F.col("option_id"))).collect()}
-    assert {s: (r["accepted"], pytest.approx(r["objective"])) for s, r in again.items()} == {s: (r["accepted"], r["objective"]) for s, r in found.items()}
-    other = option_rows.search_options(obs.repartition(1), ev.repartition(3), start, ranges, f"file://{tmp_path}/b", population=5, generations=2)
-    scored = spark.read.parquet(f"file://{tmp_path}/a/scored")
-    least = option_rows.best_logged(scored.filter("generation < 2")).collect()
-    assert {r["series_id"]: (r["option_id"], round(r["objective"], 9)) for r in other.collect()} == {r["series_id"]: (r["option_id"], round(r["objective"], 9)) for r in least}
-    assert {r["series_id"]: r["objective"] for r in scored.groupBy("series_id").agg(F.min("objective").alias("objective")).collect()} == {s: r["objective"] for s, r in found.items()}
-    option_rows.search_options(obs, ev, start, {}, f"file://{tmp_path}/c", population=2, generations=6).collect()
-    assert spark.read.parquet(f"file://{tmp_path}/c/asked").select("generation").distinct().count() == 2
