@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import gaussian_distance_weight
 from .criteria import small
+from .nested import percentiles_reaching, reach, reaching
 from .ranks import attach, percentiles
 from .stats import weighted_tail_mean_band
 
@@ -62,10 +63,12 @@ def tail_mean_band(matrix: DataFrame, p: float, by: str = "g", value: str = "y")
 
 def cond_cumulative(first: DataFrame, events: DataFrame, t_star: float, Ts: DataFrame, start: float, step: float, n: int) -> DataFrame:
     """For each T the mean number of events since t_star by relative time, over trajectories that stay quiet for T."""
-    survivors = first.crossJoin(F.broadcast(Ts)).filter(F.col("first_post").isNull() | (F.col("first_post") > F.col("T")))
-    total = survivors.groupBy("T").agg(F.count("*").alias("N"))
+    quiet = lambda T: F.col("first_post").isNull() | (F.col("first_post") > T)
+    reached = reach(first.select("traj_id", "first_post"), Ts, quiet)
+    total = reaching(reached, Ts, [], {"N": F.count("*")}).filter("N > 0").select("T", "N")
     rel = events.filter(F.col("t") > t_star).select("traj_id", F.greatest(F.lit(0), F.ceil((F.col("t") - t_star - start) / step)).cast("long").alias("i"))
-    hits = rel.groupBy("traj_id", "i").agg(F.count("*").alias("c")).join(survivors.select("traj_id", "T"), "traj_id").groupBy("T", "i").agg(F.sum("c").alias("c"))
+    own = rel.groupBy("traj_id", "i").agg(F.count("*").alias("c")).join(reached.select("traj_id", "__i"), "traj_id")
+    hits = reaching(own, Ts, ["i"], {"c": F.sum("c")}).select("T", "i", "c")
     dense = total.select("T", "N", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i"))
     w = Window.partitionBy("T").orderBy("i")
     return dense.join(hits, ["T", "i"], "left").select("T", (F.lit(float(start)) + F.col("i") * F.lit(float(step))).alias("g"), (F.sum(F.coalesce("c", F.lit(0))).over(w) / F.col("N")).alias("mean"), F.col("N").alias("n"))
@@ -125,8 +128,10 @@ def _survivors(first: DataFrame, grid: DataFrame, keys: tuple[str, ...]) -> Data
 def timepath(first: DataFrame, metrics: list[str], grid: DataFrame, probs: tuple[float, ...] = (0.05, 0.5, 0.95), keys: tuple[str, ...] = ()) -> DataFrame:
     """Of each T and metric percentiles over the draws that are still quiet; ``first`` has draws joined with first_post. With keys, as of
     snapshots, the grid may have them too."""
-    long = _survivors(first, grid, keys).unpivot([*keys, "traj_id", "T"], metrics, "metric", "value")
-    return percentiles(long, [*keys, "T", "metric"], "value", {f"q{round(p * 1000):03d}": p for p in probs}, n="n")
+    rows = reach(first, grid, lambda T: F.col("first_post").isNull() | (F.col("first_post") > T), keys)
+    long = rows.unpivot([*keys, "__i"], metrics, "metric", "value")
+    out = percentiles_reaching(long, grid, [*keys, "metric"], "value", {f"q{round(p * 1000):03d}": p for p in probs}, "n")
+    return out.select(*keys, "T", "metric", "n", *[c for c in out.columns if c not in (*keys, "T", "metric", "n")])
 
 
 def timepath_weighted(first: DataFrame, metric: str, grid: DataFrame, sigma: float, level: float = 0.9, keys: tuple[str, ...] = ()) -> DataFrame:

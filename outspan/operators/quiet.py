@@ -14,6 +14,7 @@ from ..functions.special import gamma_cdf, gamma_cdf_np, gamma_pdf, gamma_pdf_np
 from ..session import ship
 from ..sources.ingest import unit_hash
 from .criteria import first_post
+from .nested import reach, reaching
 from .ranks import attach, percentiles
 
 
@@ -82,8 +83,8 @@ def multiplicity(events: DataFrame) -> DataFrame:
 
 def empirical_uncond(entities: DataFrame, events: DataFrame, grid: DataFrame, t_star: float) -> DataFrame:
     """Share of trajectories whose last event is not after t_star + T, with its binomial error; empty ones are over."""
-    last = first_post(entities, events, t_star)
-    rows = grid_cross(last, grid).groupBy("T").agg(F.avg((F.col("last_t").isNull() | (F.col("last_t") <= t_star + F.col("T"))).cast("double")).alias("p"), F.count("*").alias("n"))
+    last = reach(first_post(entities, events, t_star), grid, lambda T: F.col("last_t") > t_star + T)
+    rows = reaching(last, grid, [], {"__open": F.count("*")}, {"__open": "n"}).withColumn("p", (F.col("n") - F.col("__open")) / F.col("n"))
     return rows.select("T", "p", F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n")).alias("se"))
 
 
@@ -93,12 +94,8 @@ def empirical_cond(entities: DataFrame, events: DataFrame, grid: DataFrame, t_st
 
 
 def cond_from_first(first: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    # One row for each different first time before the product with the grid: it no longer grows with trajectories that end.
-    runs = first.groupBy(*keys, "first_post").agg(F.count("*").alias("c"))
-    quiet = F.col("first_post").isNull() | (F.col("first_post") > F.col("T"))
-    n = F.coalesce(F.sum(F.when(quiet, F.col("c"))), F.lit(0)).cast("long")
-    over = F.coalesce(F.sum(F.when(F.col("first_post").isNull(), F.col("c"))), F.lit(0)).cast("long")
-    out = grid_cross(runs, grid).groupBy(*keys, "T").agg(over.alias("over"), n.alias("n"))
+    rows = reach(first, grid, lambda T: F.col("first_post").isNull() | (F.col("first_post") > T), keys)
+    out = reaching(rows, grid, list(keys), {"over": F.count_if(F.col("first_post").isNull()), "n": F.count("*")})
     p = F.when(F.col("n") > 0, F.col("over") / F.col("n"))
     return out.select(*keys, "T", "over", "n", p.alias("p"), F.when(F.col("n") > 0, F.sqrt(p * (1 - p) / F.col("n"))).alias("se"))
 

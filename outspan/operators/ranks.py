@@ -37,19 +37,24 @@ def _bucket(value: Column) -> Column:
     return F.when(value.isNull(), -last - 1).when(F.isnan(value), last + 1).when(value == float("-inf"), -last).when(value == float("inf"), last).otherwise(inner).cast("long")
 
 
-def cumulated(rows: DataFrame, keys: list[str], value: str, amount: str, upto: str, total: str) -> DataFrame:
-    """Adds the sum of ``amount`` over rows (never negative) of the key up to this value, and over all. Each value of a key has one row. Columns __least
-    and __most are the key's least and greatest finite value."""
+def dealt(rows: DataFrame, keys: list[str], value: str, amount: str) -> DataFrame:
+    """Adds __bucket, which never falls as the value rises within a key, and the key's least and greatest finite value."""
     # The amount is named here too, so that this reads the same columns as what follows and Spark runs ``rows`` once for both.
     finite = F.when(is_finite(value) & (F.col(amount) >= 0), F.col(value))
     ends = rows.groupBy(*keys).agg(F.min(finite).alias("__least"), F.max(finite).alias("__most"))
-    dealt = attach(rows, ends, keys).withColumn("__bucket", _bucket(F.col(value)))
-    sums = dealt.groupBy(*keys, "__bucket").agg(F.sum(amount).alias("__sum"))
+    return attach(rows, ends, keys).withColumn("__bucket", _bucket(F.col(value)))
+
+
+def cumulated(rows: DataFrame, keys: list[str], value: str, amount: str, upto: str, total: str) -> DataFrame:
+    """Adds the sum of ``amount`` over rows (never negative) of the key up to this value, and over all. Each value of a key has one row. Columns __least
+    and __most are the key's least and greatest finite value."""
+    placed = dealt(rows, keys, value, amount)
+    sums = placed.groupBy(*keys, "__bucket").agg(F.sum(amount).alias("__sum"))
     over = Window.partitionBy(*keys)
     before = F.sum("__sum").over(over.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(*keys, "__bucket", before.alias("__before"), F.sum("__sum").over(over).alias(total))
     inside = F.sum(amount).over(Window.partitionBy(*keys, "__bucket").orderBy(value))
-    out = attach(dealt, sums, [*keys, "__bucket"])
+    out = attach(placed, sums, [*keys, "__bucket"])
     return out.withColumn(upto, F.when(F.col("__before").isNull(), inside).otherwise(F.col("__before") + inside)).drop("__bucket", "__before")
 
 
@@ -59,22 +64,32 @@ def value_runs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return cumulated(runs, keys, value, "c", "upto", "N").drop("__least", "__most")
 
 
+def holds_rank(rank: Column, upto: Column, amount: Column) -> Column:
+    """Whether a run of ``amount`` values, ``upto`` with those before it, has the rank, counted from 0."""
+    return (upto > rank) & (upto - amount <= rank)
+
+
+def between_ranks(runs: DataFrame, keys: list[str], probs: dict[str, float], *more: Column) -> DataFrame:
+    """By key the percentiles of runs __v of __a values, __upto with those before them, of __N; further aggregates as given."""
+    aggs = list(more)
+    for i, p in enumerate(probs.values()):
+        at = (F.col("__N") - 1) * F.lit(float(p))
+        value = lambda rank: F.max(F.when(holds_rank(rank, F.col("__upto"), F.col("__a")), F.col("__v")))
+        aggs += [value(F.floor(at)).alias(f"__lo{i}"), value(F.ceil(at)).alias(f"__hi{i}"), F.max(at).alias(f"__at{i}")]
+    out = runs.groupBy(*keys).agg(*aggs)
+    for i, name in enumerate(probs):
+        lo, hi, at = F.col(f"__lo{i}"), F.col(f"__hi{i}"), F.col(f"__at{i}")
+        out = out.withColumn(name, F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi)).drop(f"__lo{i}", f"__hi{i}", f"__at{i}")
+    return out
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], n: str | None = None) -> DataFrame:
     """Exact percentiles by key, linear between ranks, by name; nulls don't count. ``n`` names the number of rows, nulls included."""
     runs = df.select(*keys, F.col(value).cast("double").alias("__v")).groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
     runs = runs.withColumn("__a", F.when(F.col("__v").isNull(), F.lit(0)).otherwise(F.col("__c")))
     r = cumulated(runs, keys, "__v", "__a", "__upto", "__N")
-    aggs = [F.sum("__c").alias("__n")]
-    for i, p in enumerate(probs.values()):
-        at = (F.col("__N") - 1) * F.lit(float(p))
-        holds = lambda rank: (F.col("__upto") > rank) & (F.col("__upto") - F.col("__a") <= rank)  # noqa: E731  ranks from 0
-        aggs += [F.max(F.when(holds(F.floor(at)), F.col("__v"))).alias(f"__lo{i}"), F.max(F.when(holds(F.ceil(at)), F.col("__v"))).alias(f"__hi{i}"), F.max(at).alias(f"__at{i}")]
-    out = r.groupBy(*keys).agg(*aggs)
-    cols = []
-    for i, name in enumerate(probs):
-        lo, hi, at = F.col(f"__lo{i}"), F.col(f"__hi{i}"), F.col(f"__at{i}")
-        cols.append(F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(name))
-    return out.select(*keys, *([F.coalesce("__n", F.lit(0)).alias(n)] if n else []), *cols)
+    out = between_ranks(r, keys, probs, F.sum("__c").alias("__n"))
+    return out.select(*keys, *([F.coalesce("__n", F.lit(0)).alias(n)] if n else []), *probs)
 
 
 def shortest_window(df: DataFrame, keys: list[str], value: str, offset: Column) -> DataFrame:
