@@ -342,7 +342,7 @@ def _stream(t):
 
 
 def _drain(t, df, schema: T.StructType, mode: str = "complete"):
-    """Runs the stream over what there is and reads the last complete result, or, in update mode, the rows of all batches; a batch that
+    """Runs the stream over what there is and reads the last complete result, or, in update and append mode, the rows of all batches; a batch that
     runs again writes over its own rows."""
     path = f"{shared_folder(t.spark)}/outspan-stream-{uuid.uuid4().hex}"
 
@@ -372,6 +372,25 @@ def _(t):
     return rounded(monitor.quiet_times(_drain(t, s, s.schema, "update")))
 
 
+_ALARMS = "SELECT traj_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS last_ts, strftime(ts + INTERVAL 3 DAY, '%Y-%m-%d %H:%M:%S') AS alarm_ts FROM (SELECT traj_id, ts, lead(ts) OVER (PARTITION BY traj_id ORDER BY ts) AS next, max(ts) OVER () AS most FROM ev) WHERE (next IS NULL OR epoch_us(next) - epoch_us(ts) > 3 * 86400000000) AND epoch_us(ts) // 1000 + 2 * 86400000 < epoch_us(most) // 1000"
+
+
+def _as_text(df):
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return df.select("traj_id", at("last_ts"), at("alarm_ts"))
+
+
+@query("m3_stream_quiet_alarms", with_("ev", _ALARMS))
+def _(t):
+    s = monitor.stream_quiet_alarms(_stream(t), "3 days")
+    return _as_text(_drain(t, s, s.schema, "append"))
+
+
+@query("m3_quiet_alarms", with_("ev", _ALARMS))
+def _(t):
+    return _as_text(monitor.quiet_alarms(t.ev, "3 days"))
+
+
 @query("n6_collector_group", with_("entities ev", "SELECT e.traj_id, n, round(first_t, 6) AS first_t, signups FROM entities e LEFT JOIN (SELECT traj_id, count(*) AS n, min(t) AS first_t, count(*) FILTER (event_type = 'signup') AS signups FROM ev GROUP BY traj_id) x ON e.traj_id = x.traj_id"))
 def _(t):
     group = [collect.Collector("n", F.count("*")), collect.Collector("first_t", F.min("t")), collect.Collector("signups", F.count_if(F.col("event_type") == "signup"))]
