@@ -143,15 +143,15 @@ def seed_uncond(draws: DataFrame, edges: DataFrame, grid: DataFrame, t_star: flo
     return grid_cross(d.select("traj_id"), grid).join(per, ["traj_id", "T"], "left").groupBy("T").agg(F.avg(F.coalesce("g", F.lit(1.0))).alias("p"))
 
 
-def with_reff(parents: DataFrame, draws: DataFrame, t_star: float) -> DataFrame:
+def with_reff(parents: DataFrame, draws: DataFrame, t_star: float | Column) -> DataFrame:
     """Parents up to the cutoff with their draw: R of the root is R0, of others r * R0; age at the cutoff."""
     p = parents.filter(F.col("t") <= t_star).join(draws, "traj_id")
     return p.withColumn("Reff", F.when(F.col("is_root"), F.col("R0")).otherwise(F.col("r") * F.col("R0"))).withColumn("age", t_star - F.col("t")).withColumn("alpha", F.col("alpha").cast("double"))
 
 
-def rao_blackwell(parents: DataFrame, draws: DataFrame, grid: DataFrame, t_star: float, posterior: bool, cdf=gamma_cdf) -> DataFrame:
+def rao_blackwell(parents: DataFrame, draws: DataFrame, grid: DataFrame, t_star: float | Column, posterior: bool, cdf=gamma_cdf, keys: tuple[str, ...] = ()) -> DataFrame:
     """Rows (traj_id, T, g_inf, g_quiet): chances that no parent has another child ever, and none within T. ``posterior`` takes the
-    children before the cutoff (n_pre) into account."""
+    children before the cutoff (n_pre) into account. With keys, as of snapshots, the cutoff may be a column, and the grid may have the keys too."""
     ship(draws.sparkSession)
     p = with_reff(parents, draws, t_star)
     beta, k = F.col("k") / F.col("Reff"), F.col("k")
@@ -160,10 +160,37 @@ def rao_blackwell(parents: DataFrame, draws: DataFrame, grid: DataFrame, t_star:
         p = p.withColumn("kk", k + F.col("n_pre")).withColumn("b", beta + F.col("F0"))
     else:
         p = p.withColumn("kk", k).withColumn("b", beta)
-    inf = p.groupBy("traj_id").agg(F.exp(F.sum(F.col("kk") * F.log(F.col("b") / (F.col("b") + 1 - F.col("F0"))))).alias("g_inf"))
-    rows = grid_cross(p.select("traj_id", "kk", "b", "F0", "age", "alpha", "theta"), grid).withColumn("mu", cdf(F.col("age") + F.col("T"), F.col("alpha"), F.col("theta")) - F.col("F0"))
-    quiet = rows.groupBy("traj_id", "T").agg(F.exp(F.sum(F.col("kk") * F.log(F.col("b") / (F.col("b") + F.col("mu"))))).alias("g_quiet"))
-    return quiet.join(inf, "traj_id")
+    by, own = [*keys, "traj_id"], [k for k in keys if k in grid.columns]
+    inf = p.groupBy(*by).agg(F.exp(F.sum(F.col("kk") * F.log(F.col("b") / (F.col("b") + 1 - F.col("F0"))))).alias("g_inf"))
+    p = p.select(*by, "kk", "b", "F0", "age", "alpha", "theta")
+    rows = (p.join(grid, own) if own else grid_cross(p, grid)).withColumn("mu", cdf(F.col("age") + F.col("T"), F.col("alpha"), F.col("theta")) - F.col("F0"))
+    quiet = rows.groupBy(*by, "T").agg(F.exp(F.sum(F.col("kk") * F.log(F.col("b") / (F.col("b") + F.col("mu"))))).alias("g_quiet"))
+    return quiet.join(inf, by)
+
+
+def snapshot_parents(parents: DataFrame, edges: DataFrame, snaps: DataFrame) -> DataFrame:
+    """Parents of each snapshot (snap_id, t_star) that has begun by then, with n_pre of that time: columns snap_id and t_star are added.
+
+    A child is counted once, at the first snapshot that has it, and those counts are added along the snapshots; edges are shuffled once whatever
+    the number of snapshots, and a parent is repeated only in the task that has its counts."""
+    points = snaps.filter("t_star IS NOT NULL").agg(F.array_sort(F.collect_list(F.struct("t_star", "snap_id"))).alias("__snaps"))
+    kids = edges.filter(F.col("child_t") > F.col("parent_t")).select("traj_id", "parent_id", "child_t").crossJoin(F.broadcast(points))
+    kids = kids.select("traj_id", "parent_id", F.size(F.filter("__snaps", lambda s: s["t_star"] < F.col("child_t"))).alias("__from"))
+    counts = kids.groupBy("traj_id", "parent_id", "__from").agg(F.count("*").alias("__c"))
+    counts = counts.groupBy("traj_id", "parent_id").agg(F.collect_list(F.struct("__from", "__c")).alias("__counts"))
+    rows = parents.join(counts, ["traj_id", "parent_id"], "left").crossJoin(F.broadcast(points))
+    rows = rows.select(*parents.columns, "__counts", F.posexplode("__snaps").alias("__pos", "__snap")).filter(F.col("t") <= F.col("__snap.t_star"))
+    n = F.aggregate(F.filter("__counts", lambda x: x["__from"] <= F.col("__pos")), F.lit(0).cast("long"), lambda a, x: a + x["__c"])
+    return rows.select(*parents.columns, F.col("__snap.snap_id").alias("snap_id"), F.col("__snap.t_star").alias("t_star"), F.coalesce(n, F.lit(0).cast("long")).alias("n_pre"))
+
+
+def snapshot_curves(parents: DataFrame, edges: DataFrame, draws: DataFrame, snaps: DataFrame, grid: DataFrame, posterior: bool = True, cdf=gamma_cdf) -> DataFrame:
+    """The conditional curve of each snapshot (snap_id, t_star), all in one plan: snap_id, t_star, T, p and the number n of draws with a parent by
+    then. The grid has column T, and snap_id where each snapshot has times of its own, as up to the next one (``curves.segment_grid``)."""
+    keys = ("snap_id", "t_star")
+    own = grid.select(*[c for c in ("snap_id", "T") if c in grid.columns])
+    rb = rao_blackwell(snapshot_parents(parents, edges, snaps), draws, own, F.col("t_star"), posterior, cdf, keys)
+    return rb_cond_curve(rb, keys).select(*keys, "T", "p", "n")
 
 
 def rb_cond_curve(rb: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -189,12 +189,8 @@ def _(t):
 
 @query("p14_snapshot_curves", " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS snap_id, {star}e0 AS t_star, T, p, n FROM ({_rb_sql(True).replace(str(EDGE_STAR), str(star))})" for i, star in enumerate((40.0, 50.0, 60.0))))
 def _(t):
-    out = None
-    for i, star in enumerate((40.0, 50.0, 60.0)):
-        p = quiet.pre_children(criteria.mark_roots(t.parents, "parent_id"), t.edges, star)
-        c = quiet.rb_cond_curve(quiet.rao_blackwell(p, t.draws, t.grid(0, 20, 4), star, True)).select(F.lit(i).alias("snap_id"), F.lit(star).alias("t_star"), "T", "p", "n")
-        out = c if out is None else out.unionByName(c)
-    return rounded(out)
+    snaps = t.spark.createDataFrame([(i, star) for i, star in enumerate((40.0, 50.0, 60.0))], "snap_id int, t_star double")
+    return rounded(quiet.snapshot_curves(criteria.mark_roots(t.parents, "parent_id"), t.edges, t.draws, snaps, t.grid(0, 20, 4)))
 
 
 _STATE = ("state", "SELECT traj_id, coalesce(min(day) FILTER (day > 20 AND day <= 28), 29) AS fa FROM (SELECT traj_id, CAST(greatest(0, least(floor(t), 29)) AS BIGINT) AS day FROM ev WHERE event_type = 'signup') GROUP BY traj_id")
