@@ -174,9 +174,14 @@ def kernel(u: Column, kind: str) -> Column:
     return F.when(F.abs(u) <= 1, 0.75 * (1 - u * u)).otherwise(0.0)
 
 
-def kde(df: DataFrame, keys: list[str], value: str, grid: DataFrame, rule: str = "scott", kind: str = "gaussian", bounds: tuple[float, float] | None = None, method: str = "none") -> DataFrame:
+def kde(df: DataFrame, keys: list[str], value: str, grid: DataFrame, rule: str = "scott", kind: str = "gaussian", bounds: tuple[float, float] | None = None, method: str = "none", per_bandwidth: int | None = None) -> DataFrame:
     """Kernel density on the grid (column x, of a checked size). Equal values are weighted, not repeated.
 
+    With ``per_bandwidth`` each value is shared between the two nearest nodes, so many to a bandwidth, in the task that reads it, and only nodes
+    meet the grid: shuffle and work follow the range in bandwidths, not the sample. The error falls with the square of the number: at 512
+    it is below 5e-7 of the kernel's peak for the Gaussian; a kernel with an edge has up to 1.5 / (4 * 512) of the share of values at a grid
+    point's edge on top. Values further than 10^15 nodes from 0 are taken there.
+
     ``reflect`` adds the sample mirrored at both bounds, as far from them as 0.4 of the sample's range, and takes the bandwidth of both
     together; ``truncate`` divides each kernel by its mass inside the bounds. With bounds nothing is outside, and the area counts
     between the grid points inside only. The result has area 1 by the trapezoid rule."""
@@ -188,13 +193,20 @@ def kde(df: DataFrame, keys: list[str], value: str, grid: DataFrame, rule: str =
         high = ranged.withColumn(value, 2 * b - F.col(value)).filter(F.col(value) < b + F.col("__near"))
         df = ranged.unionByName(low).unionByName(high).drop("__near")
     bw = bandwidth(df, keys, value, rule)
-    v = attach(df.groupBy(*keys, value).agg(F.count("*").alias("c")), bw, keys)
+    v = attach(df.select(*keys, value, F.lit(1).alias("c")) if per_bandwidth else df.groupBy(*keys, value).agg(F.count("*").alias("c")), bw, keys)
     weight = F.col("c")
     if bounds and method == "truncate":
         a, b = bounds
         v = v.withColumn("mass", normal_cdf((b - F.col(value)) / F.col("bw")) - normal_cdf((a - F.col(value)) / F.col("bw")))
         weight = F.col("c") / F.greatest("mass", F.lit(1e-15))
-    rows = v.withColumn("wt", weight).crossJoin(F.broadcast(grid))
+    v = v.withColumn("wt", weight)
+    if per_bandwidth:
+        place = F.least(F.greatest(F.col(value) / (F.col("bw") / per_bandwidth), F.lit(-1e15)), F.lit(1e15))
+        v = v.withColumn("__at", place).withColumn("__node", F.floor("__at"))
+        ends = [F.struct((F.col("__node") + i).alias("node"), (F.col("wt") * F.abs(1 - i - (F.col("__at") - F.col("__node")))).alias("wt")) for i in (0, 1)]
+        v = v.select(*keys, "bw", "n", F.explode(F.array(*ends)).alias("e")).groupBy(*keys, "bw", "n", "e.node").agg(F.sum("e.wt").alias("wt"))
+        v = v.withColumn(value, F.col("node") * (F.col("bw") / per_bandwidth))
+    rows = v.crossJoin(F.broadcast(grid))
     d = rows.groupBy(*keys, "x").agg((F.sum(F.col("wt") * kernel((F.col("x") - F.col(value)) / F.col("bw"), kind)) / F.max(F.col("n") * F.col("bw"))).alias("density"))
     inside = F.col("x").between(*bounds) if bounds else F.lit(True)
     d = d.withColumn("density", F.when(inside, F.col("density")).otherwise(0.0)).withColumn("__in", inside)

@@ -189,6 +189,14 @@ def _(t):
     return rounded(stats.kde(t.draws, ["alpha"], "R0", t.grid(-2, 18, 0.5, "x")))
 
 
+_NODES = f"SELECT alpha, (j + o) * dl AS v, sum(CASE WHEN o = 0 THEN 1 - f ELSE f END) AS w FROM (SELECT alpha, dl, floor(R0/dl) AS j, R0/dl - floor(R0/dl) AS f FROM draws JOIN (SELECT alpha, {_SCOTT}/512 AS dl FROM draws GROUP BY alpha) USING (alpha)), (SELECT unnest([0, 1]) AS o) GROUP BY ALL"
+
+
+@query("g9_kde_binned", _kde_sql(_SCOTT, _GK, _NODES, "w"))
+def _(t):
+    return rounded(stats.kde(t.draws, ["alpha"], "R0", t.grid(-2, 18, 0.5, "x"), per_bandwidth=512))
+
+
 @query("g10_kde_epanechnikov", _kde_sql(_SILV, "(CASE WHEN abs((x-v)/bw) <= 1 THEN 0.75*(1-pow((x-v)/bw,2)) ELSE 0e0 END)"))
 def _(t):
     return rounded(stats.kde(t.draws, ["alpha"], "R0", t.grid(-2, 18, 0.5, "x"), "silverman", "epanechnikov"))
