@@ -16,7 +16,8 @@ from .ranks import attach, between_ranks, dealt, holds_rank
 def _points(grid: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     """The different points in one array, for each of the keys that the grid has, and those keys."""
     own = [k for k in keys if k in grid.columns]
-    return grid.groupBy(*own).agg(F.array_sort(F.collect_set(F.col("T").cast("double"))).alias("__ts")), own
+    # The grid is small: one task gathers it without a shuffle.
+    return grid.coalesce(1).groupBy(*own).agg(F.array_sort(F.collect_set(F.col("T").cast("double"))).alias("__ts")), own
 
 
 def reach(df: DataFrame, grid: DataFrame, there: Callable[[Column], Column], keys: tuple[str, ...] = ()) -> DataFrame:
