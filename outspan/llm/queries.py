@@ -18,7 +18,7 @@ from .quality_rules import quality_rules
 from .quality_sql import op1_sql
 from .site_style_tree import extract_main_text
 from .spelling_variants import spelling_variants, word_counts
-from .suffix_dedup import remove_repeats
+from .suffix_dedup import PASSAGE, remove_repeats
 from .text_sql import op11_sql, op12_sql, op13_sql
 from .toxicity import toxicity_scores
 
@@ -52,7 +52,7 @@ def op5_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs, digest=True)
+    return remove_repeats(docs, digest=True, passage=PASSAGE)
 
 
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

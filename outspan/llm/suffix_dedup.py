@@ -30,6 +30,7 @@ from .chosen_path import _in_groups
 from .common import materialize, part_count, scratch
 
 LENGTH = 400
+PASSAGE = 250  # bytes of a passage: fifty words of four letters and a space
 COVER = 64
 BUCKET = 2000  # different contexts of an anchor that are sorted together; more are split
 WIDTHS = (16, 1)  # places of one part of a split bucket, and of a part's part
@@ -352,37 +353,58 @@ def _cut(base: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return part.join(wanted, "key").select("key", "t", "want").mapInArrow(cut, "gram long, bytes binary, anchor long, n long, kinds long, key binary, lo long, hi long")
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", *, length: int = LENGTH, digest: bool = False) -> DataFrame:
+def _nested_runs(docs: DataFrame, text: str, length: int, passage: int) -> DataFrame:
+    """removed_runs() for ``length`` bytes with ``parts``, those for ``passage`` bytes, fewer. Where a string occurs again so do all strings in
+    it, so runs of the longer ones lie in texts with a part of ``length`` bytes, and only these texts are looked at again."""
+    parts = removed_runs(docs, text, passage).withColumnRenamed("runs", "parts")
+    long = parts.filter(F.exists("parts", lambda p: p["end"] - p["start"] >= length)).select("key")
+    few = F.broadcast(long) if long.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else long
+    texts = docs.select(docs[text].cast("string").alias("t")).mapInArrow(_add_key("t", "key"), "t string, key binary").join(few, "key", "left_semi")
+    return parts.join(removed_runs(texts, "t", length), "key", "left")
+
+
+def _add_key(text: str, name: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column(name, pa.array([text_key((x.as_py() or "").encode()) for x in b.column(text)], pa.binary()))
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", *, length: int = LENGTH, digest: bool = False, passage: int | None = None) -> DataFrame:
     """``docs`` with ``removed``, an array of maximal removed runs (start, end) in bytes, and the text without them: each byte that a
     string of ``length`` bytes covers which starts anywhere else too.
 
     The text column holds the remaining bytes; where a run cuts a character, what is left of it is dropped from the text. With ``digest``
-    there are n_bytes, n_removed, n_spans and kept_sha256 (of the exact remaining bytes) instead. A null text counts as empty; texts
+    there are n_bytes, n_removed, n_spans and kept_sha256 (of the exact remaining bytes) instead. With ``passage``, fewer bytes than ``length``,
+    n_repeated counts the bytes that strings of ``passage`` bytes cover which start elsewhere too; they are not removed. A null text counts as empty; texts
     under ``length`` bytes keep all. Rows with equal texts are removed whole from ``length`` bytes on. Other columns stay, columns of those
     names are replaced."""
+    if passage is not None and passage >= length:
+        raise ValueError("passage must be shorter than length")
     extra = ("n_bytes", "n_removed", "n_spans", "kept_sha256") if digest else ("removed",)
-    docs = docs.drop(*extra, "__key", "__runs")
-    runs = removed_runs(docs, text, length).select(F.col("key").alias("__found"), F.col("runs").alias("__runs"))
+    docs = docs.drop(*extra, *(("n_repeated",) if passage else ()), "__key", "__runs", "__parts")
+    found = ["runs", "parts"] if passage else ["runs"]
+    runs = _nested_runs(docs, text, length, passage) if passage else removed_runs(docs, text, length)
+    runs = runs.select(F.col("key").alias("__found"), *[F.col(c).alias(f"__{c}") for c in found])
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     rest = [f for f in docs.schema.fields if f.name != text]
     keyed_schema = T.StructType([*docs.schema.fields, T.StructField("__key", T.BinaryType())])
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.append_column("__key", pa.array([text_key((x.as_py() or "").encode()) for x in b.column(text)], pa.binary()))
-
-    keyed = docs.mapInArrow(key, keyed_schema)
+    keyed = docs.mapInArrow(_add_key(text, "__key"), keyed_schema)
     if digest:
         new = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
         schema = T.StructType([*rest, *new])
     else:
         schema = T.StructType([*docs.schema.fields, T.StructField("removed", span)])
+    if passage:
+        schema = schema.add("n_repeated", T.LongType())
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, found = b.column(text).to_pylist(), b.column("__runs").to_pylist()
+            texts, runs_of = b.column(text).to_pylist(), b.column("__runs").to_pylist()
             kept, cut = [], []
-            for t, r in zip(texts, found, strict=True):
+            for t, r in zip(texts, runs_of, strict=True):
                 data, r = (t or "").encode(), r or []
                 cut.append(r)
                 edges = [0, *(x for s in r for x in (s["start"], s["end"])), len(data)]
@@ -396,11 +418,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", *, length: int = LENGTH,
             else:
                 cols[text] = pa.array([None if t is None else k.decode("utf-8", "ignore") for t, k in zip(texts, kept, strict=True)], pa.string())
                 cols["removed"] = pa.array(cut, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            if passage:
+                cols["n_repeated"] = pa.array([sum(s["end"] - s["start"] for s in r or []) for r in b.column("__parts").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([cols[f.name] for f in schema.fields], names=schema.fieldNames())
 
     # Whole texts move only if what is to be removed is too much for a broadcast: a count proves keys and runs small.
-    size = runs.agg(F.count("*").alias("keys"), F.coalesce(F.sum(F.size("__runs")), F.lit(0)).alias("spans")).first()
+    spans = sum((F.coalesce(F.array_size(f"__{c}"), F.lit(0)) for c in found), F.lit(0))
+    size = runs.agg(F.count("*").alias("keys"), F.coalesce(F.sum(spans), F.lit(0)).alias("spans")).first()
     if size["keys"] <= BROADCAST_KEYS and size["spans"] <= 4 * BROADCAST_KEYS:
         runs = F.broadcast(runs)
     joined = keyed.join(runs, keyed["__key"] == runs["__found"], "left")
-    return joined.select(*docs.columns, "__runs").mapInArrow(apply, schema)
+    return joined.select(*docs.columns, *[f"__{c}" for c in found]).mapInArrow(apply, schema)

@@ -282,6 +282,27 @@ def test_suffix_dedup(spark, docs, tables):
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_passages(spark, tables):
+    """Passages under 400 bytes are counted, not removed; both lengths against brute force."""
+    d = tables["documents"]
+    want = {i: (*long, short[1]) for i, long, short in zip(d.doc_id, brute_repeats(d.text), brute_repeats(d.text, 250), strict=True)}
+    cols = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated")
+    assert {r["doc_id"]: tuple(r[c] for c in cols) for r in queries.op7_suffix_dedup(spark, SF).collect()} == want
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    short, long = word(300), word(500)
+    rows = [(1, word(700) + short + word(80)), (2, short + word(900)), (3, word(450) + long), (4, long + short[:249]), (5, None), (6, word(260)), (7, word(30) + long[:399] + "Z" + short), (8, "x" * 399), (9, "y" * 260), (10, "y" * 260)]
+    small = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: tuple(r[c] for c in cols) for r in remove_repeats(small, digest=True, passage=250).collect()}
+    texts = [t for _, t in rows]
+    assert got == {i: (*a, b[1]) for (i, _), a, b in zip(rows, brute_repeats(texts), brute_repeats(texts, 250), strict=True)}
+    assert got[2][1] == 0 and got[2][4] == 300 and got[9][4] == 260
+    out = {r["doc_id"]: r for r in remove_repeats(small, passage=250).collect()}
+    assert out[2]["text"] == texts[1] and out[2]["n_repeated"] == 300 and out[5]["text"] is None and out[5]["n_repeated"] == 0
+    with pytest.raises(ValueError):
+        remove_repeats(small, passage=400)
+
+
 @pytest.mark.parametrize("length,bucket", [(400, 5), (200, 5), (200, 0), (129, 2000)])
 def test_suffix_dedup_splits_large_buckets(spark, monkeypatch, length, bucket):
     """A passage in 60 texts, with few kinds of surroundings at some places and their own at others: buckets over the limit are split twice."""
