@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,7 @@ COVER = 64
 BUCKET = 2000  # different contexts of an anchor that are sorted together; more are split
 WIDTHS = (16, 1)  # places of one part of a split bucket, and of a part's part
 CHUNK = 1 << 18  # window starts of a very long text that are looked at together
+CHUNK_SMALL = 1 << 15  # bytes of short texts that are looked at together
 BLOCK_BYTES = 400_000  # of contexts, sorted at once
 BROADCAST_KEYS = 200_000  # keys that a broadcast may hold
 
@@ -96,35 +97,79 @@ def _signed_hash(data: bytes, seed: int = 0) -> int:
     return xxhash.xxh3_64_intdigest(data, seed) - (1 << 63)
 
 
-def contexts(data: bytes, length: int = LENGTH) -> list[np.ndarray]:
-    """Of each anchor in a text: hash of its gram, hash of its context, first and last window start, place of the gram. Five arrays."""
-    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
-    x, gram = np.frombuffer(data, np.uint8), length // 2
-    for c in range(0, max(0, len(x) - length + 1), CHUNK):
-        grams = rolling(x[c : c + CHUNK + length - 1], gram)
-        keys = (grams & ~_U(_SIZE)) | np.arange(len(grams), dtype=np.uint64)
-        at = (_sliding_min(keys, length - gram + 1) & _U(_SIZE)).astype(np.int64)
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        last = np.append(first[1:], len(at)) - 1
-        whole = np.array([_signed_hash(data[lo : hi + length]) for lo, hi in zip((first + c).tolist(), (last + c).tolist(), strict=True)], np.int64)
-        for cols, new in zip(out, (grams[at[first]].view(np.int64), whole, first + c, last + c, at[first] + c), strict=True):
+def _signed_hashes(data: bytes, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    found = np.array([digest(data[a:z]) for a, z in zip(first.tolist(), end.tolist(), strict=True)], np.uint64)
+    return (found ^ _U(1 << 63)).view(np.int64)
+
+
+def _anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams of up to _SIZE bytes, and of each window the place of its anchor."""
+    gram = length // 2
+    grams = rolling(np.frombuffer(data, np.uint8), gram)
+    keys = (grams & ~_U(_SIZE)) | np.arange(len(grams), dtype=np.uint64)
+    return grams, (_sliding_min(keys, length - gram + 1) & _U(_SIZE)).astype(np.int64)
+
+
+def contexts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+    """Of each anchor in each text: number of the text, hash of its gram, hash of its context, first and last window start, place of the gram.
+    Six arrays. Texts are looked at together, CHUNK_SMALL bytes at a time; windows over an edge between two aren't theirs."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(6)]
+    held: list[int] = []
+
+    def add(data: bytes, numbers: np.ndarray, sizes: np.ndarray, before: int) -> None:
+        grams, at = _anchors(data, length)
+        ends = np.cumsum(sizes)
+        text = np.repeat(np.arange(len(sizes)), sizes)[: len(at)]
+        edge = np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
+        first = np.flatnonzero(edge & (np.arange(len(at)) + length <= ends[text]))
+        text = text[first]
+        last = np.minimum(np.append(first[1:], len(at)) - 1, ends[text] - length)
+        shift = (ends - sizes)[text] - before
+        for cols, new in zip(out, (numbers[text], grams[at[first]].view(np.int64), _signed_hashes(data, first, last + length), first - shift, last - shift, at[first] - shift), strict=True):
             cols.append(new)
+
+    def flush() -> None:
+        if held:
+            add(b"".join([texts[i] for i in held]), np.array(held), np.array([len(texts[i]) for i in held]), 0)
+            held.clear()
+
+    size = 0
+    for i, t in enumerate(texts):
+        if len(t) > CHUNK_SMALL:
+            for c in range(0, len(t) - length + 1, CHUNK):
+                part = t[c : c + CHUNK + length - 1]
+                add(part, np.array([i]), np.array([len(part)]), c)
+        elif len(t) >= length:
+            if size + len(t) > CHUNK_SMALL:
+                flush()
+                size = 0
+            held.append(i)
+            size += len(t)
+    flush()
     return [np.concatenate(cols) for cols in out]
 
 
-def text_key(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
+def _refined(group: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Order of rows, which lie sorted by dense groups, by group and k, and their new dense groups; None if no group's rows differ in k.
+    Only groups whose rows differ are sorted."""
+    differ = k != k[np.flatnonzero(np.diff(group, prepend=-1))][group]
+    if not differ.any():
+        return None
+    mixed = np.zeros(len(group), bool)
+    mixed[group[differ]] = True
+    rows = np.flatnonzero(mixed[group])
+    order = np.arange(len(group))
+    order[rows] = rows[np.lexsort((k[rows], group[rows]))]
+    k = k[order]
+    edge = (group[1:] != group[:-1]) | (k[1:] != k[:-1])
+    return order, np.concatenate([[0], np.cumsum(edge)])
 
 
-def _ranks(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """Dense ranks of rows by keys, the first one first; order sorts them."""
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    out = np.empty(len(order), np.int32)
-    out[order] = np.cumsum(new)
-    return out
+def _shared(group: np.ndarray) -> np.ndarray:
+    """Whether each of some rows, sorted by group, has another of its group beside it."""
+    same = np.concatenate([[False], group[1:] == group[:-1], [False]])
+    return same[1:] | same[:-1]
 
 
 def window_parts(length: int) -> tuple[list[tuple[int, int]], list[int]]:
@@ -140,39 +185,36 @@ def window_parts(length: int) -> tuple[list[tuple[int, int]], list[int]]:
     return ranks, list(range(length - 8, at - 8, -8))[::-1]
 
 
-def repeated_in_block(bucket: np.ndarray, parts: list[bytes], anchors: np.ndarray, copies: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """Sorts the windows of contexts by bucket and content; of each context says which windows occur again in the block.
-
-    ``anchors`` is the place of the gram in each context. Contexts lie in one buffer with their grams at multiples of COVER, so that
-    windows that may be equal have equal residues and share their sample positions. Windows are told apart a key at a time, and those
-    that have no equal left are done with."""
+def _repeated_windows(bucket: np.ndarray, parts: list[bytes], anchors: np.ndarray, copies: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """repeated_in_block() as one array over the windows of all contexts, and how many windows each context has."""
     ranks, tail = window_parts(length)
-    starts, end = [], COVER
+    starts, pieces, end = [], [bytes(COVER)], COVER
     for p, a in zip(parts, anchors.tolist(), strict=True):
-        end += -(end + a) % COVER
-        starts.append(end)
-        end += len(p)
+        pad = -(end + a) % COVER
+        starts.append(end + pad)
+        pieces += (bytes(pad), p)
+        end += pad + len(p)
     top = max((size for _, size in ranks), default=COVER)
-    buffer = np.zeros(end + top + 3 * COVER, np.uint8)
-    for s, p in zip(starts, parts, strict=True):
-        buffer[s : s + len(p)] = np.frombuffer(p, np.uint8)
-
-    def word(at: np.ndarray) -> np.ndarray:  # of 8 bytes, in the order of bytes
-        out = np.zeros(len(at), np.uint64)
-        for i in range(8):
-            out = (out << _U(8)) | buffer[at + i]
-        return out
+    pieces.append(bytes(top + 3 * COVER))
+    word = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint64)  # of 8 bytes from each place on, in the order of bytes
+    for n in (1, 2, 4):
+        word[:-n] = (word[:-n] << _U(8 * n)) | word[n:]
 
     # Ranks of the sample's first 64, 128, ... bytes; a position of the sample plus COVER is one too.
-    sample = np.flatnonzero(np.isin(np.arange(end + COVER) % COVER, _COVER))
-    keys = [word(sample + 8 * i) for i in range(COVER // 8)]
-    by, size = {COVER: np.zeros(end + top + 2 * COVER, np.int32)}, COVER
-    by[COVER][sample] = _ranks(np.lexsort(keys[::-1]), *keys)
-    del keys
-    while size < top:
-        one, two = by[size][sample], by[size][sample + size]
-        by[2 * size] = np.zeros(len(by[size]), np.int32)
-        by[2 * size][sample] = _ranks(np.lexsort((two, one)), one, two)
+    sample = np.flatnonzero(np.isin(np.arange(COVER), _COVER)[np.arange(end + COVER) % COVER])
+    group, by, size = np.zeros(len(sample), np.int64), {}, COVER
+    for i in range(COVER // 8):
+        if refined := _refined(group, word[sample + 8 * i]):
+            order, group = refined
+            sample = sample[order]
+    while True:
+        by[size] = np.zeros(end + top + 2 * COVER, np.int32)
+        by[size][sample] = group
+        if size >= top:
+            break
+        if refined := _refined(group, by[size][sample + size]):
+            order, group = refined
+            sample = sample[order]
         size *= 2
     sizes = np.array([len(p) - length + 1 for p in parts])
     which = np.repeat(np.arange(len(parts)), sizes)
@@ -180,68 +222,90 @@ def repeated_in_block(bucket: np.ndarray, parts: list[bytes], anchors: np.ndarra
     p = np.array(starts)[which] + offset
     often = copies[which] > 1
     _, dense = np.unique(bucket, return_inverse=True)
-    group, left = dense[which] * (1 << 24) + (anchors[which] - offset), np.arange(len(p))
-    keys = [lambda q, i=i: word(q + 8 * i) for i in range(COVER // 8)]
+    group = dense[which] * (1 << 24) + (anchors[which] - offset)
+    left = np.argsort(group, kind="stable")
+    left, group = left[shared := _shared(group[left])], group[left][shared]
+    group = np.cumsum(np.diff(group, prepend=-1) != 0) - 1
+    keys = [lambda q, i=i: word[q + 8 * i] for i in range(COVER // 8)]
     keys += [lambda q, d=d, s=s: by[s][q + _NEXT[q % COVER] + d] for d, s in ranks]
-    keys += [lambda q, t=t: word(q + t) for t in tail]
+    keys += [lambda q, t=t: word[q + t] for t in tail]
     for key in keys:
-        k = key(p[left])
-        order = np.lexsort((k, group))
-        group = _ranks(order, group, k)
-        more = np.bincount(group)[group] > 1
-        group, left = group[more], left[more]
+        if refined := _refined(group, key(p[left])):
+            order, group = refined
+            shared = _shared(group)
+            left, group = left[order][shared], group[shared]
+            group = np.cumsum(np.diff(group, prepend=-1) != 0) - 1
     often[left] = True
+    return often, sizes
+
+
+def repeated_in_block(bucket: np.ndarray, parts: list[bytes], anchors: np.ndarray, copies: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """Sorts the windows of contexts by bucket and content; of each context says which windows occur again in the block.
+
+    ``anchors`` is the place of the gram in each context. Contexts lie in one buffer with their grams at multiples of COVER, so that
+    windows that may be equal have equal residues and share their sample positions. Windows are told apart a key at a time; only where
+    those of a group differ in it are they sorted, and those that have no equal left are done with."""
+    often, sizes = _repeated_windows(bucket, parts, anchors, copies, length)
     return np.split(often, np.cumsum(sizes)[:-1])
 
 
-def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-    return edge[::2], edge[1::2] - 1
+def _runs(flags: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of set flags of rows that have ``sizes`` of them: row, first and last place in it."""
+    ends = np.cumsum(sizes)
+    shift = np.arange(len(sizes))  # one unset flag between rows
+    apart = np.zeros(len(flags) + len(sizes) + 1, np.int8)
+    apart[np.flatnonzero(flags) + np.repeat(shift, sizes)[flags] + 1] = 1
+    edge = np.flatnonzero(np.diff(apart, append=0))
+    first, last = edge[::2], edge[1::2] - 1
+    row = np.searchsorted(ends + shift, first, side="right")
+    start = (ends - sizes + shift)[row]
+    return row, first - start, last - start
 
 
-_PLACES = ("gram", "context", "n", "key", "lo", "hi", "anchor", "bytes")
-_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-_PLACE_SCHEMA = "gram long, context long, n long, key binary, lo long, hi long, anchor long, bytes binary"
+KEY = ("key", "key2")  # of a text: 128 bits, in two numbers, as aggregates over numbers need no sorting
+_PLACES = ("gram", "context", "n", *KEY, "lo", "hi", "anchor", "bytes")
+_KINDS = (*(pa.int64(),) * 8, pa.binary())
+_PLACE_SCHEMA = "gram long, context long, n long, key long, key2 long, lo long, hi long, anchor long, bytes binary"
 
 
 def _batch(cols: list, names: tuple[str, ...] = _PLACES, kinds: tuple = _KINDS) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=list(names))
 
 
+def with_key(df: DataFrame, data: str, names: tuple[str, str] = KEY) -> DataFrame:
+    """``df`` with the two numbers of the key of the bytes in column ``data``, half a SHA-256."""
+    hashed = df.withColumn("__hash", F.sha2(data, 256))
+    for at, name in zip((1, 17), names, strict=True):
+        hashed = hashed.withColumn(name, F.conv(F.substring("__hash", at, 16), 16, -10).cast("long"))
+    return hashed.drop("__hash")
+
+
+def _bytes_of(df: DataFrame, text: str) -> Column:
+    return F.coalesce(df[text].cast("string").cast("binary"), F.lit(b""))
+
+
 def _describe(length: int) -> Callable:
-    """Places of texts t: an anchor's gram and context, one occurrence a row."""
+    """Places of texts (key, key2, t): an anchor's gram and context, one occurrence a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [n for n in _PLACES if n not in ("n", "bytes")]
         for b in batches:
             for at in range(0, b.num_rows, 200):
-                found, keys = [[np.zeros(0, np.int64)] * 5], []
-                for t in b.column("t").slice(at, 200):
-                    data = (t.as_py() or "").encode()
-                    if len(data) >= length:
-                        found.append(contexts(data, length))
-                        keys += [text_key(data)] * len(found[-1][0])
-                gram, context, lo, hi, anchor = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(context), pa.array(keys, pa.binary()), pa.array(lo), pa.array(hi), pa.array(anchor - lo)], names=names)
+                s = b.slice(at, 200)
+                text, gram, context, lo, hi, anchor = contexts(s.column("t").to_pylist(), length)
+                yield _batch([gram, context, *(s.column(k).to_numpy()[text] for k in KEY), lo, hi, anchor - lo], names, (pa.int64(),) * 7)
 
     return run
 
 
 def _sorted_buckets(length: int) -> Callable:
-    """Window ranges (text key, first, last) that repeat, of contexts that occur once; input is sorted by gram."""
+    """Window ranges (text's key, first, last) that repeat, of contexts that occur once; input is sorted by gram."""
 
     def solve(t: pa.Table) -> pa.RecordBatch:
         copies, parts, lo = t.column("n").to_numpy(), t.column("bytes").to_pylist(), t.column("lo").to_numpy()
-        flags = repeated_in_block(t.column("gram").to_numpy(), parts, t.column("anchor").to_numpy(), copies, length)
-        row, first, last = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for r in np.flatnonzero(copies == 1).tolist():
-            a, z = _runs(flags[r])
-            row.append(np.full(len(a), r))
-            first.append(a + lo[r])
-            last.append(z + lo[r])
-        keys = t.column("key").combine_chunks().take(pa.array(np.concatenate(row)))
-        keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
-        return pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(first)), pa.array(np.concatenate(last))], names=["key", "lo", "hi"])
+        often, sizes = _repeated_windows(t.column("gram").to_numpy(), parts, t.column("anchor").to_numpy(), copies, length)
+        row, first, last = _runs(often & np.repeat(copies == 1, sizes), sizes)
+        return _batch([*(t.column(k).to_numpy()[row] for k in KEY), first + lo[row], last + lo[row]], (*KEY, "lo", "hi"), (pa.int64(),) * 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500))
@@ -266,109 +330,121 @@ def _split(length: int, width: int) -> Callable:
             for at in range(0, b.num_rows, 200):
                 s = b.slice(at, 200)
                 rows = []
-                for gram, n, key, lo, anchor, data in zip(*(s.column(c).to_pylist() for c in ("gram", "n", "key", "lo", "anchor", "bytes")), strict=True):
+                for gram, n, key, key2, lo, anchor, data in zip(*(s.column(c).to_pylist() for c in ("gram", "n", *KEY, "lo", "anchor", "bytes")), strict=True):
                     last = len(data) - length  # places run from anchor down to anchor - last
                     for block in range((anchor - last) // width, anchor // width + 1):
                         a, z = max(0, anchor - (block + 1) * width + 1), min(last, anchor - block * width)
                         core = data[anchor - block * width : anchor - (block + 1) * width + 1 + length]
                         part = data[a : z + length]
                         where = (gram ^ block * _BASE) & ((1 << 64) - 1)
-                        rows.append((_signed_hash(core, where), _signed_hash(part, where ^ 1), n, key, lo + a, lo + z, anchor - a, part))
+                        rows.append((_signed_hash(core, where), _signed_hash(part, where ^ 1), n, key, key2, lo + a, lo + z, anchor - a, part))
                 yield _batch(list(zip(*rows, strict=True)) if rows else [()] * len(_PLACES))
 
     return run
 
 
-def _whole(places: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
-    """Ranges of the places whose (gram, context) is in ``repeated`` (gram, context, n). Kinds with more than total / BROADCAST_KEYS
-    places number fewer than BROADCAST_KEYS and are broadcast; their places don't move, so a frequent kind isn't gathered in a task."""
-    by, hot = ["gram", "context"], F.col("n") * BROADCAST_KEYS > F.lit(max(total, BROADCAST_KEYS * 100))
-    rows, frequent = places.select(*by, "key", "lo", "hi"), F.broadcast(repeated.filter(hot).select(*by))
-    rare = rows.join(frequent, by, "left_anti").join(repeated.filter(~hot).select(*by), by)
-    return rows.join(frequent, by).select("key", "lo", "hi").union(rare.select("key", "lo", "hi"))
+def _with(places: DataFrame, found: DataFrame, by: list[str], n: str, total: int) -> DataFrame:
+    """Places whose ``by`` is in ``found`` (``by``, ``n`` places, more columns), with these. Where there are more than total / BROADCAST_KEYS
+    places they number fewer than BROADCAST_KEYS and are broadcast; their places don't move, so what is frequent isn't gathered in a task."""
+    hot = F.col(n) * BROADCAST_KEYS > F.lit(max(total, BROADCAST_KEYS * 100))
+    frequent = F.broadcast(found.filter(hot).drop(n))
+    rare = places.join(frequent.select(*by), by, "left_anti").join(found.filter(~hot).drop(n).hint("shuffle_hash"), by)
+    return places.join(frequent, by).unionByName(rare)
 
 
 def removed_runs(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """Rows (key, runs) of texts with bytes to remove: the text's key and the maximal runs (start, end) in bytes, end exclusive. A text that two rows have is one run if it has ``length`` bytes."""
+    """Rows (key, key2, runs) of texts with bytes to remove: the text's key and the maximal runs (start, end) in bytes, end exclusive. A text that two rows have is one run if it has ``length`` bytes."""
+    return _removed_runs(with_key(docs.select(_bytes_of(docs, text).alias("t")), "t"), length)
+
+
+def _removed_runs(base: DataFrame, length: int) -> DataFrame:
+    """removed_runs() of byte strings t with their keys."""
     with scratch():
-        return _removed_runs(docs, text, length)
+        return _runs_of_places(base, length)
 
 
-def _removed_runs(docs: DataFrame, text: str, length: int) -> DataFrame:
-    base = docs.select(docs[text].cast("string").alias("t"))
-    places = materialize(base.mapInArrow(_describe(length), "gram long, context long, key binary, lo long, hi long, anchor long"), "contexts")
-    places = places.withColumn("n", F.lit(1).cast("long"))
-    first, ranges = ["key", "lo", "hi", "anchor"], []
+def _runs_of_places(base: DataFrame, length: int) -> DataFrame:
+    parts = part_count(base)
+    at = [*KEY, "lo", "hi", "anchor"]
+    places = base.filter(F.octet_length("t") >= length).mapInArrow(_describe(length), "gram long, context long, key long, key2 long, lo long, hi long, anchor long")
+    places = materialize(places, "contexts").withColumn("n", F.lit(1).cast("long"))
+    ranges = []
     for depth, width in enumerate((*WIDTHS, None)):
-        kinds = places.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min(F.struct(*first)).alias("at"))
-        kinds = materialize(kinds, "kinds")
-        grams = kinds.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
-        open_ = materialize(kinds.join(grams, "gram").select("gram", "context", "n", "kinds", "at.*"), "repeated")
-        total = kinds.agg(F.sum("n")).first()[0] or 0
-        ranges.append(_whole(places, open_.filter("n > 1"), total))
-        cuts = open_.filter("kinds > 1")
+        total = places.agg(F.sum("n")).first()[0] or 0
+        grams = places.groupBy("gram").agg(F.sum("n").alias("total"), (F.min("context") == F.max("context")).alias("whole")).filter("total > 1")
+        places = materialize(_with(places, materialize(grams, "grams"), ["gram"], "total", total), "repeated")
+        ranges.append(places.filter("whole").select(*KEY, "lo", "hi"))
+        places = places.filter("not whole")
+        # One occurrence of each kind: all columns of first() are of the same row, as in dropDuplicates().
+        kinds = materialize(places.groupBy("gram", "context").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in at]), "kinds")
+        again = kinds.filter("n > 1").select("gram", "context", F.col("n").alias("of"))
+        ranges.append(_with(places, again, ["gram", "context"], "of", total).select(*KEY, "lo", "hi"))
+        many = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.count("*").alias("of"))
+        cuts = _with(kinds, many, ["gram"], "of", total)
         if depth == 0:
             cuts = materialize(_cut(base, cuts, length), "cuts")
         few = cuts if width is None else cuts.filter(F.col("kinds") <= BUCKET)
-        few = few.select("gram", "bytes", "anchor", "n", "key", "lo").repartition(part_count(docs), "gram").sortWithinPartitions("gram")
-        ranges.append(few.mapInArrow(_sorted_buckets(length), "key binary, lo long, hi long"))
+        few = few.select("gram", "bytes", "anchor", "n", *KEY, "lo").repartition(parts, "gram").sortWithinPartitions("gram")
+        ranges.append(few.mapInArrow(_sorted_buckets(length), "key long, key2 long, lo long, hi long"))
         many = cuts.filter(F.col("kinds") > BUCKET)
         if width is None or many.limit(1).count() == 0:
             break
-        many = many.select("gram", "n", "key", "lo", "anchor", "bytes")
-        places, first = materialize(many.mapInArrow(_split(length, width), _PLACE_SCHEMA), "parts"), ["key", "lo", "hi", "anchor", "bytes"]
+        many = many.select("gram", "n", *KEY, "lo", "anchor", "bytes")
+        places, at = materialize(many.mapInArrow(_split(length, width), _PLACE_SCHEMA), "parts"), [*KEY, "lo", "hi", "anchor", "bytes"]
     found = ranges[0]
     for more in ranges[1:]:
         found = found.union(more)
     # Maximal runs: a new one starts where a range begins beyond the end of all ranges before it.
-    by = Window.partitionBy("key").orderBy("lo", "hi")
+    by = Window.partitionBy(*KEY).orderBy("lo", "hi")
     far = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
     island = found.distinct().withColumn("new", F.coalesce(F.col("lo") > far + length, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(by))
-    run = island.groupBy("key", "island").agg(F.min("lo").alias("start"), (F.max("hi") + length).alias("end"))
-    return materialize(run.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs")), "runs", keep=True)
+    run = island.groupBy(*KEY, "island").agg(F.min("lo").alias("start"), (F.max("hi") + length).alias("end"))
+    return materialize(run.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs")), "runs", keep=True)
 
 
-def _cut(base: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``wanted`` with the bytes of each context; texts are cut where they lie unless their keys are too many for a broadcast."""
-    wanted = materialize(wanted.groupBy("key").agg(F.collect_list(F.struct("gram", "n", "kinds", "lo", "hi", "anchor")).alias("want")), "wanted")
+def _few_keys(keys: DataFrame) -> DataFrame:
+    """Marks rows with keys for a broadcast if a count proves them few."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
 
-    def add_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t = b.column("t").cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([text_key(x.as_py() or b"") for x in t], pa.binary()), t], names=["key", "t"])
 
-    few = wanted.select("key")
-    few = F.broadcast(few) if few.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else few
-    part = base.mapInArrow(add_key, "key binary, t binary").join(few, "key", "left_semi")
-    part = part.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("key"))).filter("rn = 1").drop("rn")  # one row a text, limited before the shuffle too
-    names, kinds = ("gram", "bytes", "anchor", "n", "kinds", "key", "lo", "hi"), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+def _cut(base: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """``wanted`` with the bytes of each context; texts are cut where they lie unless their keys are too many for a broadcast."""
+    wanted = materialize(wanted.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "n", "kinds", "lo", "hi", "anchor")).alias("want")), "wanted")
+    part = base.join(_few_keys(wanted.select(*KEY)), [*KEY], "left_semi")
+    part = part.withColumn("rn", F.row_number().over(Window.partitionBy(*KEY).orderBy("key"))).filter("rn = 1").drop("rn")  # one row a text, limited before the shuffle too
+    names, kinds = ("gram", "bytes", "anchor", "n", "kinds", *KEY, "lo", "hi"), (pa.int64(), pa.binary(), *(pa.int64(),) * 7)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 100):
                 s = b.slice(at, 100)
-                rows = [(w["gram"], t[w["lo"] : w["hi"] + length], w["anchor"], w["n"], w["kinds"], k, w["lo"], w["hi"]) for k, t, want in zip(*(s.column(c).to_pylist() for c in ("key", "t", "want")), strict=True) for w in want]
-                yield _batch(list(zip(*rows, strict=True)) if rows else [()] * len(names), names, kinds)
+                want = s.column("want")
+                of, w = np.repeat(np.arange(len(want)), want.value_lengths().to_numpy()), want.flatten()
+                gram, n, many, lo, hi, anchor = (w.field(i).to_numpy() for i in range(6))
+                texts = s.column("t").to_pylist()
+                data = [texts[i][a:z] for i, a, z in zip(of.tolist(), lo.tolist(), (hi + length).tolist(), strict=True)]
+                yield _batch([gram, data, anchor, n, many, *(s.column(k).to_numpy()[of] for k in KEY), lo, hi], names, kinds)
 
-    return part.join(wanted, "key").select("key", "t", "want").mapInArrow(cut, "gram long, bytes binary, anchor long, n long, kinds long, key binary, lo long, hi long")
+    return part.join(wanted, [*KEY]).select(*KEY, "t", "want").mapInArrow(cut, "gram long, bytes binary, anchor long, n long, kinds long, key long, key2 long, lo long, hi long")
 
 
-def _nested_runs(docs: DataFrame, text: str, length: int, passage: int) -> DataFrame:
-    """removed_runs() for ``length`` bytes with ``parts``, those for ``passage`` bytes, fewer. Where a string occurs again so do all strings in
-    it, so runs of the longer ones lie in texts with a part of ``length`` bytes, and only these texts are looked at again."""
-    parts = removed_runs(docs, text, passage).withColumnRenamed("runs", "parts")
-    long = parts.filter(F.exists("parts", lambda p: p["end"] - p["start"] >= length)).select("key")
-    few = F.broadcast(long) if long.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else long
-    texts = docs.select(docs[text].cast("string").alias("t")).mapInArrow(_add_key("t", "key"), "t string, key binary").join(few, "key", "left_semi")
-    return parts.join(removed_runs(texts, "t", length), "key", "left")
-
-
-def _add_key(text: str, name: str) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.append_column(name, pa.array([text_key((x.as_py() or "").encode()) for x in b.column(text)], pa.binary()))
-
-    return run
+def _nested_runs(base: DataFrame, length: int, passage: int) -> DataFrame:
+    """Runs for ``length`` bytes of byte strings t with their keys, and ``parts``, those for ``passage`` bytes, fewer. Where a string occurs
+    again so do all strings in it, so each longer one that does lies in a part, and only parts of ``length`` bytes are searched again, as
+    strings of their own. Each occurrence of a part counts, in equal texts too."""
+    parts = _removed_runs(base, passage).withColumnRenamed("runs", "parts")
+    with scratch():
+        long = parts.select(*KEY, F.filter("parts", lambda p: p["end"] - p["start"] >= length).alias("long")).filter("size(long) > 0")
+        each = base.join(_few_keys(long), [*KEY]).select(*KEY, "t", F.explode("long").alias("p"))
+        cut = F.substring("t", (F.col("p.start") + 1).cast("int"), (F.col("p.end") - F.col("p.start")).cast("int"))
+        each = with_key(each.select(*KEY, F.col("p.start").alias("start"), cut.alias("t")), "t", ("part", "part2"))
+        each = materialize(each, "passages")
+        inner = _removed_runs(each.select(F.col("part").alias("key"), F.col("part2").alias("key2"), "t"), length)
+        inner = inner.select(F.col("key").alias("part"), F.col("key2").alias("part2"), "runs")
+        again = each.select(*KEY, "start", "part", "part2").distinct().join(_few_keys(inner), ["part", "part2"])
+        again = again.select(*KEY, F.explode(F.transform("runs", lambda r: F.struct((r["start"] + F.col("start")).alias("start"), (r["end"] + F.col("start")).alias("end")))).alias("r"))
+        runs = materialize(again.groupBy(*KEY).agg(F.sort_array(F.collect_list("r")).alias("runs")), "runs", keep=True)
+    return parts.join(runs, [*KEY], "left")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", *, length: int = LENGTH, digest: bool = False, passage: int | None = None) -> DataFrame:
@@ -383,15 +459,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", *, length: int = LENGTH,
     if passage is not None and passage >= length:
         raise ValueError("passage must be shorter than length")
     extra = ("n_bytes", "n_removed", "n_spans", "kept_sha256") if digest else ("removed",)
-    docs = docs.drop(*extra, *(("n_repeated",) if passage else ()), "__key", "__runs", "__parts")
+    own = ("__key", "__key2")
+    docs = docs.drop(*extra, *(("n_repeated",) if passage else ()), *own, "__runs", "__parts")
     found = ["runs", "parts"] if passage else ["runs"]
-    runs = _nested_runs(docs, text, length, passage) if passage else removed_runs(docs, text, length)
-    runs = runs.select(F.col("key").alias("__found"), *[F.col(c).alias(f"__{c}") for c in found])
+    base = with_key(docs.select(_bytes_of(docs, text).alias("t")), "t")
+    runs = _nested_runs(base, length, passage) if passage else _removed_runs(base, length)
+    runs = runs.select(*[F.col(k).alias(o) for k, o in zip(KEY, own, strict=True)], *[F.col(c).alias(f"__{c}") for c in found])
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     rest = [f for f in docs.schema.fields if f.name != text]
-    keyed_schema = T.StructType([*docs.schema.fields, T.StructField("__key", T.BinaryType())])
-
-    keyed = docs.mapInArrow(_add_key(text, "__key"), keyed_schema)
+    keyed = with_key(docs.withColumn("__bytes", _bytes_of(docs, text)), "__bytes", own).drop("__bytes")
     if digest:
         new = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
         schema = T.StructType([*rest, *new])
@@ -427,5 +503,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", *, length: int = LENGTH,
     size = runs.agg(F.count("*").alias("keys"), F.coalesce(F.sum(spans), F.lit(0)).alias("spans")).first()
     if size["keys"] <= BROADCAST_KEYS and size["spans"] <= 4 * BROADCAST_KEYS:
         runs = F.broadcast(runs)
-    joined = keyed.join(runs, keyed["__key"] == runs["__found"], "left")
+    joined = keyed.join(runs, [*own], "left")
     return joined.select(*docs.columns, *[f"__{c}" for c in found]).mapInArrow(apply, schema)

@@ -316,6 +316,60 @@ def test_suffix_dedup_splits_large_buckets(spark, monkeypatch, length, bucket):
     assert got == dict(zip([r[0] for r in rows], brute_repeats([r[1] for r in rows], length), strict=True))
 
 
+def test_suffix_dedup_searches_parts_again(spark, monkeypatch):
+    """Only what repeats at 250 bytes is searched at 400, from where it lies in its text; parts may start inside a character."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("éüñabc") for _ in range(n))
+    long, other = word(500), word(400)
+    rows = [(1, word(900) + "é" + long + word(70)), (2, word(40) + "ü" + long + "ü" + word(800)), (3, other[:280] + word(700)), (4, word(33) + other + "x" + long[50:]), (5, None), (6, other + word(1200) + other), (7, other + word(30)), (8, word(2000))]
+    rows += [(9, rows[1][1]), (10, long), (11, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    searched, search = {}, suffix_dedup._removed_runs
+
+    def spy(base, *rest):
+        searched[rest[-1]] = base.selectExpr("sum(octet_length(t))").first()[0]
+        return search(base, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "_removed_runs", spy)
+    got = {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated")) for r in remove_repeats(df, digest=True, passage=250).collect()}
+    texts = [t for _, t in rows]
+    assert got == {i: (*a, b[1]) for (i, _), a, b in zip(rows, brute_repeats(texts), brute_repeats(texts, 250), strict=True)}
+    assert searched[250] == sum(g[0] for g in got.values()) and 0 < searched[400] <= sum(g[4] for g in got.values()) < searched[250]
+
+
+def test_contexts_of_joined_texts(monkeypatch):
+    """Texts that are looked at together have the contexts that each has alone; long ones go in chunks."""
+    rng = random.Random(5)
+    texts = [bytes(rng.choice(b"abcd") for _ in range(n)) for n in (10, 399, 400, 401, 900, 0, 3000, 650)] + [b"a" * 1000]
+    alone = [(i, *row) for i, t in enumerate(texts) for row in zip(*(c.tolist() for c in suffix_dedup.contexts([t])[1:]), strict=True)]
+    for small in (1 << 15, 1000, 700):
+        monkeypatch.setattr(suffix_dedup, "CHUNK_SMALL", small)
+        rows = list(zip(*(c.tolist() for c in suffix_dedup.contexts(texts)), strict=True))
+        assert sorted(rows) == sorted(alone)
+        for i, t in enumerate(texts):  # each window start lies in one context
+            assert [x for r in sorted(rows, key=lambda r: r[3]) if r[0] == i for x in range(r[3], r[4] + 1)] == list(range(len(t) - 399))
+    assert suffix_dedup.contexts([b"", b"x"])[0].tolist() == []
+
+
+def test_equal_windows_are_not_sorted(monkeypatch):
+    """Windows are sorted where those of a group differ: of two contexts that differ in a last byte, those that hold it, and the sample."""
+    rng = random.Random(9)
+    base = bytes(rng.randrange(256) for _ in range(900))
+    sorted_rows, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorted_rows.append(len(keys[0])) or lexsort(keys))
+    flags = repeated_in_block(np.array([7, 7]), [base, base[:-1] + bytes([base[-1] ^ 1])], np.array([150, 150]), np.ones(2))
+    assert [f.tolist() for f in flags] == [[True] * 500 + [False]] * 2
+    assert sum(sorted_rows) < 2 * 501  # a sort of all windows would pass that with two keys
+
+
+def test_runs_of_rows():
+    flags = [[True, True, False, True], [True], [False, False], [True, False, True, True]]
+    sizes = np.array([len(f) for f in flags])
+    got = suffix_dedup._runs(np.array(sum(flags, [])), sizes)
+    assert list(zip(*(c.tolist() for c in got), strict=True)) == [(0, 0, 1), (0, 3, 3), (1, 0, 0), (3, 0, 0), (3, 2, 3)]
+    assert [len(c) for c in suffix_dedup._runs(np.zeros(5, bool), np.array([2, 3]))] == [0, 0, 0]
+
+
 def test_window_parts():
     for length in range(128, 700):
         ranks, tail = window_parts(length)
