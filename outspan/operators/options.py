@@ -6,18 +6,21 @@ series alone, without it for all. ``z_alpha`` and ``z_beta`` hold the normal qua
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import asdict, fields
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import series
 from ..model import WindowOptions
-from .criteria import small
-from .windows import KEY, RowOptions, acceptance_windows, segments_by_shape
+from .windows import KEY, option_arrays
 
 _KIND = {f.name: f.type for f in fields(WindowOptions)}
 FIELDS = tuple(_KIND)
-SHAPE = ("grid_step_days", "min_seg_days", "kmax")
 _TYPES = {"float": "double", "int": "long", "bool": "boolean", "str": "string"}
 SCHEMA = ", ".join(["option_id long", *(f"{c} {_TYPES[kind]}" for c, kind in _KIND.items()), "z_alpha double", "z_beta double"])
 #: Accepted trajectories below which the objective takes a surcharge.
@@ -28,24 +31,54 @@ def option_table(spark: SparkSession, options: dict[int, WindowOptions]) -> Data
     return spark.createDataFrame([(oid, *asdict(o).values(), o.z_alpha, o.z_beta) for oid, o in options.items()], SCHEMA)
 
 
-def _meet(rows: DataFrame, options: DataFrame) -> DataFrame:
-    """Rows of each series with the options for it."""
-    return rows.join(options, KEY) if KEY in options.columns else rows.crossJoin(small(options))
+_NAMES = ("option_id", *FIELDS, "z_alpha", "z_beta")
+
+
+class _Units:
+    """The units of a batch, which are series with one of their options: options that are rows of the batch, or all of ``shared``."""
+
+    def __init__(self, options: DataFrame):
+        self.own = KEY in options.columns
+        self.shared = [] if self.own else [r.asDict() for r in options.select(*_NAMES).collect()]
+
+    def rows(self, obs: DataFrame, options: DataFrame) -> DataFrame:
+        """Observations (kind 0) and, where options have a series, those (kind 2)."""
+        out = obs.select(KEY, F.lit(0).alias("kind"), F.col("d").cast("double").alias("x"), F.col("n").cast("double").alias("y"))
+        if self.own:
+            out = out.unionByName(options.select(KEY, F.lit(2).alias("kind"), F.struct(*_NAMES).alias("option")), allowMissingColumns=True)
+        return out.filter(F.col(KEY).isNotNull())
+
+    def of(self, table: pa.Table, s: np.ndarray, kind: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """Series, number and options of each unit."""
+        if self.own:
+            at = np.flatnonzero(kind == 2)
+            own, every = s[at], table["option"].take(pa.array(at)).to_pylist()
+        else:
+            own, every = np.repeat(np.arange(count), len(self.shared)), self.shared
+        o, ids = option_arrays(every), np.array([x["option_id"] for x in every])
+        return (own, ids, o) if self.own else (own, np.tile(ids, count), {k: np.tile(v, count) for k, v in o.items()})
+
+
+def _batch(table: pa.Table, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, series.Observed]:
+    s = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(table))))
+    kind, x = table["kind"].to_numpy(), series.floats(table["x"])
+    seen = np.flatnonzero(kind == 0)
+    return s, kind, x, series.Observed(s[seen], x[seen], series.floats(table["y"])[seen], len(start))
 
 
 def windows_by_option(obs: DataFrame, options: DataFrame) -> DataFrame:
-    """Acceptance windows (series_id, option_id, a, b, L, U) of every option. The plan doesn't grow with the options; series are cut into
-    segments once for all options of equal step, least length and number of chords."""
-    o = RowOptions()
-    rest = [c for c in options.columns if c != KEY]
-    keyed = F.struct(F.col(KEY).alias("series"), *rest).alias(KEY)
-    rows = _meet(obs.select(KEY, "d", "n"), options).select(keyed, "d", "n")
-    cut = options.filter(F.col("strategy") != "cluster")
-    shapes = cut.select(*[c for c in (KEY, *SHAPE) if c in options.columns]).distinct()
-    segments = segments_by_shape(_meet(obs.select(KEY, "d", "n"), shapes))
-    own = segments.join(cut, [c for c in (KEY, *SHAPE) if c in options.columns]).select(keyed, "a", "b")
-    win = acceptance_windows(rows, o, own)
-    return win.select(F.col(f"{KEY}.series").alias(KEY), F.col(f"{KEY}.option_id").alias("option_id"), "a", "b", "L", "U")
+    """Acceptance windows (series_id, option_id, a, b, L, U) of every option. Neither the plan nor what is shuffled grows with the options: a series is dealt to a task as
+    its observations, and its options meet it there. Series are cut into segments once for all options of equal step, least length and number of chords."""
+    units = _Units(options)
+
+    def kernel(table: pa.Table, start: np.ndarray) -> Iterator[pa.Table]:
+        s, kind, _, seen = _batch(table, start)
+        own, ids, o = units.of(table, s, kind, len(start))
+        for part, (g, a, b, L, U) in seen.windows(own, o) if len(own) else ():
+            yield pa.table({KEY: table[KEY].take(pa.array(start[own[part]][g])), "option_id": ids[part][g], "a": a, "b": b, "L": L, "U": U})
+
+    kinds = T.StructType([obs.schema[KEY], options.schema["option_id"], *(T.StructField(c, k) for c, k in zip("abLU", (T.DoubleType(),) * 2 + (T.LongType(),) * 2, strict=True))])
+    return series.by_series(units.rows(obs, options), [KEY], ["kind", "x"], kernel, kinds)
 
 
 def accepted_by_option(events: DataFrame, win: DataFrame) -> DataFrame:

@@ -3,32 +3,22 @@ are days (d) since the series' origin."""
 
 from __future__ import annotations
 
-from dataclasses import replace
+from collections.abc import Iterator
+from dataclasses import asdict, fields, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import series
 from ..functions.expr import wilson_halfwidth
 from ..model import WindowOptions
 
 KEY = "series_id"
 
 
-class RowOptions:
-    """Options that each row brings along: the key is then a struct of the series and its option's columns (``operators/options.py``)."""
-
-    def __getattr__(self, name: str) -> Column:
-        return F.col(f"{KEY}.{name}")
-
-
-def _where(df: DataFrame, flag: bool | Column) -> DataFrame:
-    """Rows whose option sets the flag; all or none where one option holds for all of them."""
-    return df.filter(flag) if isinstance(flag, Column) else df if flag else df.limit(0)
-
-
 def _w(order: str = "d") -> Window:
     return Window.partitionBy(KEY).orderBy(order)
 
@@ -89,7 +79,7 @@ def observed_mass(obs: DataFrame, win: DataFrame, *also: str) -> DataFrame:
     return w.join(days, [KEY, "day"], "left").groupBy(KEY, "a", "b", *also).agg(F.sum(F.coalesce("c", F.lit(0)) * part).alias("M"))
 
 
-def band(mass: DataFrame, total: DataFrame, o: WindowOptions | RowOptions = WindowOptions(), y: str = "M", m: str = "M") -> DataFrame:
+def band(mass: DataFrame, total: DataFrame, o: WindowOptions = WindowOptions(), y: str = "M", m: str = "M") -> DataFrame:
     """Lower and upper counts: the share's Wilson half-width relative to it widens the baseline tolerance."""
     z = o.z_alpha
     df = mass.join(total.select(KEY, F.col("N").cast("double").alias("N")), KEY)
@@ -103,7 +93,7 @@ def totals(obs: DataFrame) -> DataFrame:
     return obs.groupBy(KEY).agg(F.sum("n").alias("N"), F.min("d").alias("first"), F.max("d").alias("last"))
 
 
-def cluster_windows(obs: DataFrame, o: WindowOptions | RowOptions = WindowOptions()) -> DataFrame:
+def cluster_windows(obs: DataFrame, o: WindowOptions = WindowOptions()) -> DataFrame:
     """A window about each observation, half the larger of z * sigma and a share of the neighbouring gaps; overlapping ones merge."""
     z = o.z_beta
     g = neighbour_gaps(obs)
@@ -151,81 +141,43 @@ def monotone_interpolant(obs: DataFrame, step: float | Column) -> DataFrame:
     return g.select(KEY, "i", "x", v.alias("v"))
 
 
+def _rows(obs: DataFrame) -> DataFrame:
+    return obs.select(KEY, F.col("d").cast("double").alias("d"), F.col("n").cast("double").alias("n"))
+
+
+def _schema(df: DataFrame, *columns: str, key: str = KEY) -> T.StructType:
+    """The key and further columns, as "name type"."""
+    kinds = {"double": T.DoubleType(), "long": T.LongType()}
+    return T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(*c.split()[:1], kinds[c.split()[1]]) for c in columns)])
+
+
+def _table(key: pa.ChunkedArray, **columns: np.ndarray) -> pa.Table:
+    return pa.table({KEY: key, **columns})
+
+
 def segment_windows(obs: DataFrame, o: WindowOptions = WindowOptions()) -> DataFrame:
     """Ends of the best fit of the interpolant by 1 to kmax chords, each at least min_seg_days and two steps long, none for a shorter series; the number by
-    n log(mse) + 2 K log n. One small dynamic programme a series, over its grid."""
-    shape = {"grid_step_days": o.grid_step_days, "min_seg_days": o.min_seg_days, "kmax": o.kmax}
-    return segments_by_shape(obs.select("*", *[F.lit(v).alias(k) for k, v in shape.items()])).select(KEY, "a", "b")
-
-
-def segments_by_shape(obs: DataFrame) -> DataFrame:
-    """segment_windows() of each series and shape (columns grid_step_days, min_seg_days, kmax of ``obs``), which stay as columns."""
-    shape = ["grid_step_days", "min_seg_days", "kmax"]
-    keyed = obs.select(F.struct(F.col(KEY).alias("series"), *shape).alias(KEY), "d", "n")
-    curve = monotone_interpolant(keyed, F.col(f"{KEY}.grid_step_days"))
-    flat = curve.select(F.col(f"{KEY}.series").alias(KEY), *[F.col(f"{KEY}.{c}").alias(c) for c in shape], "i", "x", "v")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        x, v = pdf["x"].to_numpy(), pdf["v"].to_numpy()
-        own = {c: pdf[c].iloc[0] for c in (KEY, *shape)}
-        n, least, kmax = len(x), max(2, int(round(own["min_seg_days"] / own["grid_step_days"]))), int(own["kmax"])
-        if n - 1 < least:
-            return pd.DataFrame({**{c: pdf[c].iloc[:0] for c in own}, "a": pd.Series([], dtype=float), "b": pd.Series([], dtype=float)})
-        cum = lambda z: np.concatenate([[0.0], np.cumsum(z)])
-        s1, sx, sxx, sv, svv, sxv = cum(np.ones(n)), cum(x), cum(x * x), cum(v), cum(v * v), cum(x * v)
-
-        def costs(j: np.ndarray) -> np.ndarray:
-            """Squared errors of the chords from each point i to the points j, over points i..j; infinite where a chord is too short."""
-            i = np.arange(n)[:, None]
-            b = (v[j] - v[:, None]) / np.where(x[j] > x[:, None], x[j] - x[:, None], 1.0)
-            a = v[:, None] - b * x[:, None]
-            d = lambda s: s[j + 1] - s[:-1, None]
-            error = np.maximum(0.0, d(svv) + a * a * d(s1) + b * b * d(sxx) - 2 * a * d(sv) - 2 * b * d(sxv) + 2 * a * b * d(sx))
-            return np.where(j - i >= least, error, np.inf)
-
-        best = np.full((kmax + 1, n), np.inf)
-        back = np.zeros((kmax + 1, n), int)
-        best[0, 0] = 0.0
-        for at in range(0, n, 256):  # a block of ends at a time bounds memory for long series
-            j = np.arange(at, min(n, at + 256))
-            error = costs(j)
-            for K in range(1, kmax + 1):
-                # Starts of a K-th chord lie before its end, so within this block they are settled one after another.
-                outside = best[K - 1][:at, None] + error[:at] if at else np.full((1, len(j)), np.inf)
-                back[K, j], best[K, j] = outside.argmin(axis=0), outside.min(axis=0)
-                total = best[K - 1][at : at + len(j), None] + error[at : at + len(j)]
-                inner, where = total.min(axis=0), total.argmin(axis=0) + at
-                better = inner < best[K, j]
-                best[K, j], back[K, j] = np.where(better, inner, best[K, j]), np.where(better, where, back[K, j])
-        score = [n * np.log(max(best[K, n - 1] / n, 1e-12)) + 2 * K * np.log(n) if np.isfinite(best[K, n - 1]) else np.inf for K in range(1, kmax + 1)]
-        K, j, ends = int(np.argmin(score)) + 1, n - 1, []
-        while K:
-            i = back[K, j]
-            ends.append((x[i], x[j]))
-            K, j = K - 1, i
-        ends = ends[::-1]
-        return pd.DataFrame({**{c: [value] * len(ends) for c, value in own.items()}, "a": [e[0] for e in ends], "b": [e[1] for e in ends]})
-
-    fields = [f for f in flat.schema.fields if f.name in (KEY, *shape)]
-    return flat.groupBy(KEY, *shape).applyInPandas(fit, T.StructType([*fields, T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())]))
-
-
-def _with_gaps(clusters: DataFrame, scale: float | Column) -> DataFrame:
-    """Clusters with the window (ga, gb) in the gap after each, null where there is none."""
-    w = Window.partitionBy(KEY)
-    g = clusters.withColumn("next", F.lead("a").over(w.orderBy("a"))).withColumn("med", F.percentile(F.col("b") - F.col("a"), F.lit(0.5)).over(w))
-    half = F.least(scale * (F.col("next") - F.col("b")), F.col("med") / 2)
-    mid = F.when(F.col("next").isNotNull() & (half > 1e-3), (F.col("b") + F.col("next")) / 2)
-    return g.select(KEY, "a", "b", (mid - half).alias("ga"), (mid + half).alias("gb"))
+    n log(mse) + 2 K log n. One small dynamic programme a series, over its grid, which is made where the programme runs."""
+
+    def kernel(table: pa.Table, start: np.ndarray) -> Iterator[pa.Table]:
+        s = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(table))))
+        each = lambda v: np.full(len(start), v)
+        g, a, b = series.segments(s, series.floats(table["d"]), np.nan_to_num(series.floats(table["n"])), each(o.grid_step_days), each(o.min_seg_days), each(o.kmax))
+        yield _table(table[KEY].take(pa.array(start[g])), a=a, b=b)
+
+    return series.by_series(_rows(obs).filter("d IS NOT NULL"), [KEY], ["d"], kernel, _schema(obs, "a double", "b double"))
 
 
 def gap_windows(clusters: DataFrame, scale: float | Column) -> DataFrame:
     """A window in the middle of each gap between clusters, half at most the scaled gap and half the median cluster; slivers are left out."""
-    return _with_gaps(clusters, scale).filter("ga IS NOT NULL").select(KEY, F.col("ga").alias("a"), F.col("gb").alias("b"))
+    w = Window.partitionBy(KEY)
+    g = clusters.withColumn("next", F.lead("a").over(w.orderBy("a"))).withColumn("med", F.percentile(F.col("b") - F.col("a"), F.lit(0.5)).over(w))
+    half = F.least(scale * (F.col("next") - F.col("b")), F.col("med") / 2)
+    mid = F.when(F.col("next").isNotNull() & (half > 1e-3), (F.col("b") + F.col("next")) / 2)
+    return g.select(KEY, (mid - half).alias("a"), (mid + half).alias("b")).filter("a IS NOT NULL")
 
 
-def union_candidates(bands: DataFrame, obs: DataFrame, o: WindowOptions | RowOptions = WindowOptions(), longest: int = 5) -> DataFrame:
+def union_candidates(bands: DataFrame, obs: DataFrame, o: WindowOptions = WindowOptions(), longest: int = 5) -> DataFrame:
     """Runs of up to five consecutive windows without a gap above a day, with the bound of the union and what it gains on the sum."""
     w = Window.partitionBy(KEY).orderBy("a", "b")
     r = bands.select(KEY, "a", "b", "L", "U").withColumn("breaks", F.when(F.col("a") - F.lag("b").over(w) > 1, 1).otherwise(0)).withColumn("run", F.sum("breaks").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -238,33 +190,23 @@ def union_candidates(bands: DataFrame, obs: DataFrame, o: WindowOptions | RowOpt
     return top_unions(c, o.max_unions_to_keep).select(KEY, "a", "b", "L", "U", "gain")
 
 
-def acceptance_windows(obs: DataFrame, o: WindowOptions | RowOptions = WindowOptions(), segments: DataFrame | None = None) -> DataFrame:
-    """Acceptance bounds (a, b, L, U) of each series: bands of clusters, segments and gaps, unions, the total, folded by interval.
-    ``segments`` are windows (series_id, a, b) in place of segment_windows(), which RowOptions need."""
-    t = totals(obs)
-    one = isinstance(o, WindowOptions)
-    by = (lambda *names: o.strategy in names) if one else (lambda *names: o.strategy.isin(*names))
-    clusters = cluster_windows(obs, o)
-    gaps = _with_gaps(_where(clusters, by("both", "cluster")), o.gap_scale)
-    both = F.array(F.struct("a", "b"), F.when(F.col("ga").isNotNull() & F.lit(o.include_gap_windows), F.struct(F.col("ga").alias("a"), F.col("gb").alias("b"))))
-    base = gaps.select(KEY, F.explode(F.filter(both, lambda x: x.isNotNull())).alias("w")).select(KEY, "w.*")
-    if not one or by("both", "segment"):
-        base = union_windows(base, _where(segment_windows(obs, o) if segments is None else segments, by("both", "segment")))
-    bands = band(observed_mass(obs, base), t, o).select(KEY, "a", "b", "L", "U").join(t, KEY)
-    bands = bands.withColumn("a", F.greatest("a", F.least("first", F.lit(0.0)))).withColumn("b", F.least("b", F.col("last")))
-    snap = F.lit(o.day_snap)
-    bands = bands.withColumn("a", F.when(snap, F.floor("a").cast("double")).otherwise(F.col("a"))).withColumn("b", F.when(snap, F.ceil("b").cast("double")).otherwise(F.col("b")))
-    # Unions are made of the clamped windows and their folded bounds; a window without length is none.
-    out = fold_bounds(bands.filter("b > a").select(KEY, "a", "b", "L", "U", F.lit(0).alias("ord"))).withColumn("ord", F.lit(0))
-    parts = [out]
-    if not one or o.include_union_windows:
-        parts.append(union_candidates(_where(out, o.include_union_windows), obs, o).select(KEY, "a", "b", "L", "U", F.lit(1).alias("ord")))
-    if not one or o.include_global_total:
-        all_ = _where(t, o.include_global_total).select(KEY, F.least("first", F.lit(0.0)).alias("a"), F.col("last").alias("b"), F.col("N").alias("M"))
-        parts.append(band(all_, t, o).select(KEY, "a", "b", "L", "U", F.lit(2).alias("ord")))
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return fold_bounds(out)
+def option_arrays(options: list[dict]) -> dict[str, np.ndarray]:
+    """Fields of options, with the normal quantiles z_alpha and z_beta, as arrays over them."""
+    return {k: np.array([o[k] for o in options]) for k in (*(f.name for f in fields(WindowOptions)), "z_alpha", "z_beta")}
+
+
+def acceptance_windows(obs: DataFrame, o: WindowOptions = WindowOptions()) -> DataFrame:
+    """Acceptance bounds (a, b, L, U) of each series: bands of clusters, segments and gaps, unions, the total, folded by interval. A series is dealt to a task once, as
+    its observations, and all steps run there over batches of series (``functions/series.py``)."""
+    own = option_arrays([asdict(o) | {"z_alpha": o.z_alpha, "z_beta": o.z_beta}])
+
+    def kernel(table: pa.Table, start: np.ndarray) -> Iterator[pa.Table]:
+        s = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(table))))
+        seen = series.Observed(s, series.floats(table["d"]), series.floats(table["n"]), len(start))
+        for part, (g, a, b, L, U) in seen.windows(np.arange(len(start)), {k: np.repeat(v, len(start)) for k, v in own.items()}):
+            yield _table(table[KEY].take(pa.array(start[part][g])), a=a, b=b, L=L, U=U)
+
+    return series.by_series(_rows(obs).filter(F.col(KEY).isNotNull()), [KEY], ["d"], kernel, _schema(obs, "a double", "b double", "L long", "U long"))
 
 
 def segment_bands(obs: DataFrame, win: DataFrame, o: WindowOptions = WindowOptions()) -> DataFrame:
