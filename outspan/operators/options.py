@@ -11,12 +11,13 @@ from dataclasses import asdict, fields
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import series
 from ..model import WindowOptions
+from .criteria import small
 from .windows import KEY, option_arrays
 
 _KIND = {f.name: f.type for f in fields(WindowOptions)}
@@ -25,6 +26,8 @@ _TYPES = {"float": "double", "int": "long", "bool": "boolean", "str": "string"}
 SCHEMA = ", ".join(["option_id long", *(f"{c} {_TYPES[kind]}" for c, kind in _KIND.items()), "z_alpha double", "z_beta double"])
 #: Accepted trajectories below which the objective takes a surcharge.
 LEAST = 80
+#: Events of a series from which its trajectories are dealt to several tasks, each with the series' observations.
+CHUNK = 20_000
 
 
 def option_table(spark: SparkSession, options: dict[int, WindowOptions]) -> DataFrame:
@@ -81,41 +84,69 @@ def windows_by_option(obs: DataFrame, options: DataFrame) -> DataFrame:
     return series.by_series(units.rows(obs, options), [KEY], ["kind", "x"], kernel, kinds)
 
 
-def accepted_by_option(events: DataFrame, win: DataFrame) -> DataFrame:
-    """Trajectories (series_id, option_id, traj_id) whose events (series_id, traj_id, t) lie within the bounds of all windows of an option.
+def _accepted(obs: DataFrame, events: DataFrame, options: DataFrame) -> DataFrame:
+    """Of each series, option and part of the trajectories: how many are accepted, their cumulative counts at the observations and those observed (arrays).
 
-    An interval that several options share is counted once. Windows without an event are not met one by one: a trajectory holds all
-    windows if those that no event is needed for, corrected where it has events, are as many as the option has."""
-    spans = win.select(KEY, "a", "b").distinct()
-    days = spans.withColumn("day", F.explode(F.sequence(F.floor("a").cast("long"), F.greatest(F.floor("a"), F.floor("b")).cast("long"))))
-    hit = events.withColumn("day", F.floor("t").cast("long")).join(days, [KEY, "day"]).filter(F.col("t").between(F.col("a"), F.col("b")))
-    n = hit.groupBy(KEY, "traj_id", "a", "b").agg(F.count("*").alias("n"))
-    zero = F.lit(0).between(F.col("L"), F.col("U")).cast("long")
-    change = n.join(win, [KEY, "a", "b"]).groupBy(KEY, "option_id", "traj_id").agg(F.sum(F.col("n").between(F.col("L"), F.col("U")).cast("long") - zero).alias("__change"))
-    size = win.groupBy(KEY, "option_id").agg(F.count("*").alias("__all"), F.sum(zero).alias("__zero"))
-    every = events.select(KEY, "traj_id").distinct().join(size, KEY).join(change, [KEY, "option_id", "traj_id"], "left")
-    return every.filter(F.col("__zero") + F.coalesce("__change", F.lit(0)) == F.col("__all")).select(KEY, "option_id", "traj_id")
+    Windows are made where the trajectories are, from the series' observations, so they are never shuffled. A series with more than CHUNK events
+    is dealt to several tasks by trajectory."""
+    units = _Units(options)
+    t = events.select(KEY, F.lit(1).alias("kind"), "traj_id", F.col("t").cast("double").alias("x")).filter(F.col(KEY).isNotNull())
+    many = t.groupBy(KEY).agg(F.count("*").alias("__n")).filter(F.col("__n") > CHUNK).select(KEY, F.ceil(F.col("__n") / CHUNK).cast("int").alias("__parts"))
+    many = small(many)
+    dealt = t.join(many, KEY, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("traj_id"), F.col("__parts")).cast("int"), F.lit(0)))
+    every = units.rows(obs, options).join(many, KEY, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
+    rows = every.drop("__parts").unionByName(dealt.drop("__parts"), allowMissingColumns=True)
+
+    def kernel(table: pa.Table, start: np.ndarray) -> Iterator[pa.Table]:
+        s, kind, x, seen = _batch(table, start)
+        own, ids, o = units.of(table, s, kind, len(start))
+        at = np.flatnonzero(kind == 1)
+        # A trajectory without an id has no events, but is one.
+        traj = table["traj_id"].take(pa.array(at))
+        here = series.Tested(s[at], series.codes(traj), np.where(traj.is_null().to_numpy(), np.nan, x[at]), len(start))
+        some = np.flatnonzero(here.many[own] * seen.size[own])
+        own, ids, o = own[some], ids[some], {k: v[some] for k, v in o.items()}
+        if not len(own):
+            return
+        slot, marks, upto, after = seen.slots(here)
+        for part, win in seen.windows(own, o, here.many[own] + 1):
+            mine = own[part]
+            unit, q = here.accepted(mine, win)
+            accepted = np.bincount(unit, minlength=len(mine))
+            kept = np.flatnonzero(accepted)
+            where = np.cumsum(marks[mine[kept]]) - marks[mine[kept]]
+            length = int(marks[mine[kept]].sum())
+            which, e = series.units(q, here.start, here.size)
+            u = np.searchsorted(kept, unit[which])
+            inside = slot[e] < marks[mine[kept]][u]
+            c = np.cumsum(np.bincount((where[u] + slot[e])[inside], minlength=length))
+            before = np.concatenate([[0], c])[where]
+            c = c - np.repeat(before, marks[mine[kept]])
+            _, at = series.units(mine[kept], after, marks)
+            ends = pa.array(np.append(where, length).astype(np.int32))
+            yield pa.table({
+                KEY: table[KEY].take(pa.array(start[mine[kept]])), "option_id": ids[part][kept], "accepted": accepted[kept].astype(np.int64),
+                "cum": pa.ListArray.from_arrays(ends, pa.array(c.astype(np.int64))), "y": pa.ListArray.from_arrays(ends, pa.array(upto[at])),
+            })
+
+    kinds = T.StructType([obs.schema[KEY], options.schema["option_id"], T.StructField("accepted", T.LongType()), T.StructField("cum", T.ArrayType(T.LongType())), T.StructField("y", T.ArrayType(T.DoubleType()))])
+    return series.by_series(rows, [KEY, "part"], ["kind", "traj_id", "x"], kernel, kinds)
 
 
 def score_options(obs: DataFrame, events: DataFrame, options: DataFrame | dict[int, WindowOptions]) -> DataFrame:
     """Rows (series_id, option_id, accepted, objective): trajectories of ``events`` that an option's windows accept, and the mean squared
     distance between observed and mean accepted cumulative counts at the observations, with a surcharge below 80. Options that accept
-    none have no row. Events are counted between observations before they meet the options."""
+    none have no row."""
     if isinstance(options, dict):
         options = option_table(obs.sparkSession, options)
-    ok = accepted_by_option(events, windows_by_option(obs, options))
-    kept = ok.groupBy(KEY, "option_id").agg(F.count("*").alias("accepted"))
-    w = Window.partitionBy(KEY).orderBy("d")
-    seen = obs.groupBy(KEY, "d").agg(F.sum("n").alias("n")).withColumn("y", F.sum("n").over(w)).withColumn("slot", F.row_number().over(w) - 1)
-    marks = seen.groupBy(KEY).agg(F.array_sort(F.collect_list("d")).alias("__ds"))
-    slots = events.join(marks, KEY).groupBy(KEY, "traj_id", F.size(F.filter("__ds", lambda d: d < F.col("t"))).alias("slot")).agg(F.count("*").alias("c"))
-    counts = slots.join(ok, [KEY, "traj_id"]).groupBy(KEY, "option_id", "slot").agg(F.sum("c").alias("c"))
-    dense = kept.join(seen.select(KEY, "slot", "y"), KEY).join(counts, [KEY, "option_id", "slot"], "left")
-    upto = F.sum(F.coalesce("c", F.lit(0))).over(Window.partitionBy(KEY, "option_id").orderBy("slot"))
-    off = dense.withColumn("__off", F.pow(F.col("y") - upto / F.col("accepted"), F.lit(2)))
-    l2 = off.groupBy(KEY, "option_id", "accepted").agg(F.avg("__off").alias("l2"))
+    parts = _accepted(obs, events, options)
+    both = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    kept = parts.groupBy(KEY, "option_id").agg(F.sum("accepted").alias("accepted"), F.collect_list("cum").alias("cums"), F.first("y").alias("y"))
+    cum = F.when(F.size("cums") == 1, F.col("cums")[0]).otherwise(F.aggregate(F.slice("cums", F.lit(2), F.size("cums")), F.col("cums")[0], both))
+    off = F.zip_with("y", "cum", lambda y, c: F.pow(y - c / F.col("accepted"), F.lit(2)))
+    l2 = F.aggregate(off, F.lit(0.0), lambda a, x: a + x) / F.size("y")
     short = F.when(F.col("accepted") < LEAST, F.pow(LEAST - F.col("accepted"), F.lit(2))).otherwise(0.0)
-    return l2.select(KEY, "option_id", "accepted", (F.col("l2") + short).alias("objective"))
+    return kept.withColumn("cum", cum).select(KEY, "option_id", "accepted", (l2 + short).alias("objective"))
 
 
 def best_options(scored: DataFrame) -> DataFrame:

@@ -210,17 +210,36 @@ def acceptance_windows(obs: DataFrame, o: WindowOptions = WindowOptions()) -> Da
 
 
 def segment_bands(obs: DataFrame, win: DataFrame, o: WindowOptions = WindowOptions()) -> DataFrame:
-    """Bands whose expected mass is the interpolant's difference; windows with hardly any are skipped."""
-    grid = monotone_interpolant(obs, o.grid_step_days)
-    first = grid.groupBy(KEY).agg(F.min("x").alias("x0"), F.max("i").alias("last"))
-    w = win.join(first, KEY)
-    at = lambda c: F.greatest(F.lit(0), F.least(F.round((F.col(c) - F.col("x0")) / o.grid_step_days).cast("long"), F.col("last")))
-    w = w.withColumn("ia", at("a")).withColumn("ib", at("b"))
-    v = grid.select(KEY, "i", "v")
-    w = w.join(v.select(KEY, F.col("i").alias("ia"), F.col("v").alias("va")), [KEY, "ia"]).join(v.select(KEY, F.col("i").alias("ib"), F.col("v").alias("vb")), [KEY, "ib"])
-    w = w.withColumn("E", F.col("vb") - F.col("va")).filter("E > 1e-9").select(KEY, "a", "b", "E")
-    both = w.join(observed_mass(obs, w), [KEY, "a", "b"])
-    return band(both, totals(obs), o, y="M", m="E")
+    """Bands whose expected mass is the interpolant's difference; windows with hardly any are skipped. Observations and windows of a series meet in one task."""
+    none = F.lit(None).cast("double")
+    rows = _rows(obs).select(KEY, F.lit(0).alias("kind"), F.col("d").alias("x"), F.col("n").alias("y"), none.alias("b"))
+    rows = rows.unionByName(win.select(KEY, F.lit(1).alias("kind"), F.col("a").cast("double").alias("x"), none.alias("y"), F.col("b").cast("double").alias("b"))).filter(F.col(KEY).isNotNull())
+    own = option_arrays([asdict(o) | {"z_alpha": o.z_alpha, "z_beta": o.z_beta}])
+
+    def kernel(table: pa.Table, start: np.ndarray) -> Iterator[pa.Table]:
+        s = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(table))))
+        kind, x, y, b = table["kind"].to_numpy(), *(series.floats(table[c]) for c in "xyb")
+        seen = series.Observed(s[kind == 0], x[kind == 0], y[kind == 0], len(start))
+        g, i, t, v = series.interpolant(seen.s, seen.d, seen.n, np.full(len(start), o.grid_step_days))
+        points = np.bincount(g, minlength=len(start))
+        first = np.cumsum(points) - points
+        at = np.flatnonzero((kind == 1) & (points[s] > 0) & ~np.isnan(x) & ~np.isnan(b))
+        s, a, b = s[at], x[at], b[at]
+        f = first[s]
+
+        def value(c: np.ndarray) -> np.ndarray:
+            place = (c - t[f]) / o.grid_step_days
+            near = np.trunc(place) + np.where(np.abs(place - np.trunc(place)) >= 0.5, np.sign(place), 0.0)
+            return v[f + np.clip(near, 0, points[s] - 1).astype(np.int64)]
+
+        E = value(b) - value(a)
+        at = np.flatnonzero(E > 1e-9)
+        s, a, b, E = s[at], a[at], b[at], E[at]
+        M = seen.days.mass(s, a, b)
+        L, U = series.band(M, E, seen.N[s], {k: np.repeat(w, len(s)) for k, w in own.items()})
+        yield _table(table[KEY].take(pa.array(start[s])), a=a, b=b, E=E, M=M, L=L, U=U)
+
+    return series.by_series(rows, [KEY], ["kind", "x"], kernel, _schema(obs, "a double", "b double", "E double", "M double", "L long", "U long"))
 
 
 def with_option(o: WindowOptions, **changes) -> WindowOptions:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from outspan.model import WindowOptions
+from outspan.operators import options as option_rows
 from outspan.operators import windows
 
 KEY = windows.KEY
@@ -73,3 +74,41 @@ def test_a_series_without_counts_has_bounds_of_zero(spark):
     obs = spark.createDataFrame([(1, 0.0, 0), (1, 4.0, 0), (2, 0.0, 3)], "series_id long, d double, n long")
     got = rows(windows.acceptance_windows(obs, WindowOptions(grid_step_days=1.0)))
     assert {x[3:] for x in got if x[0] == 1} == {(0, 0)} and any(x[0] == 2 for x in got)
+
+
+def scored(spark, options, chunk=None, monkeypatch=None):
+    rng = np.random.default_rng(2)
+    obs = spark.createDataFrame([(s, float(d), int(n)) for s in (1, 2) for d, n in zip((0, 6, 7, 15), rng.integers(1, 4, 4), strict=True)], "series_id long, d double, n long")
+    ev = [(s, f"t{i}", float(np.round(t, 3))) for s in (1, 2, 3) for i in range(40) for t in rng.uniform(-1, 16, rng.integers(1, 9))]
+    ev += [(1, "t3", None), (1, None, 2.0), (None, "t3", 2.0), (2, "none", None)]
+    return obs, spark.createDataFrame(ev, "series_id long, traj_id string, t double"), ev
+
+
+OPTIONS = {i: windows.with_option(WindowOptions(strategy="cluster", include_global_total=False, grid_step_days=1.0), baseline_p=p, h_max=3.0) for i, p in enumerate((0.3, 0.9, 1.5))} | {7: WindowOptions(grid_step_days=1.0, h_max=3.0, baseline_p=2.0)}
+
+
+def test_scores_of_parts_of_a_series(spark, monkeypatch):
+    """Trajectories of a series that are dealt to several tasks give the scores of one; no time is no event, and no id is a trajectory without events."""
+    obs, events, ev = scored(spark, OPTIONS)
+    got = lambda: {(r[KEY], r["option_id"]): (r["accepted"], pytest.approx(r["objective"])) for r in option_rows.score_options(obs, events, OPTIONS).collect()}
+    want = {}
+    for oid, o in OPTIONS.items():
+        win = rows(windows.acceptance_windows(obs, o))
+        for s in (1, 2):
+            times = {i: [t for q, j, t in ev if q == s and j == i and t is not None and i is not None] for i in {j for q, j, _ in ev if q == s}}
+            kept = [ts for ts in times.values() if all(L <= sum(a <= t <= b for t in ts) <= U for q, a, b, L, U in win if q == s)]
+            seen, y, l2 = sorted((r["d"], r["n"]) for r in obs.filter(F.col(KEY) == s).collect()), 0, []
+            for d, n in seen:
+                y += n
+                l2.append((y - sum(t <= d for ts in kept for t in ts) / max(1, len(kept))) ** 2)
+            if kept:
+                want[s, oid] = (len(kept), np.mean(l2) + max(0, 80 - len(kept)) ** 2)
+    assert got() == want and len(want) > 4
+    monkeypatch.setattr(option_rows, "CHUNK", 9)
+    assert got() == want
+
+
+def test_scores_deal_observations_and_events_alone(spark):
+    """Windows of options, most of the rows, are used where they are made."""
+    obs, events, _ = scored(spark, OPTIONS)
+    assert exchanges(option_rows.score_options(obs, events, OPTIONS)) <= 6  # large series and their broadcast, for both sides; the series; the sums of their parts
