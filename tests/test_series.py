@@ -119,3 +119,19 @@ def test_a_query_of_best_options_is_a_small_plan(spark):
     obs, events, _ = scored(spark, OPTIONS)
     best = option_rows.best_options(option_rows.score_options(obs, events, {0: OPTIONS[7], 1: OPTIONS[1]}))
     assert exchanges(best) <= 7
+
+
+def test_bands_of_windows_are_a_small_plan(spark):
+    """Windows meet observations and their curve in one task; the plan had 30 deals of rows and made the grid three times."""
+    obs = observations(spark)
+    win = obs.filter("d IS NOT NULL").select(KEY, F.floor("d").cast("double").alias("a"), (F.col("d") + 2).alias("b")).union(obs.select(KEY, F.col("d").alias("a"), F.lit(None).cast("double").alias("b")))
+    o = WindowOptions(grid_step_days=1.0)
+    got = windows.segment_bands(obs, win, o)
+    assert exchanges(got) == 1
+    curve = windows.monotone_interpolant(obs.filter("d IS NOT NULL"), 1.0).collect()
+    grid = {}
+    for r in sorted(curve, key=lambda r: r["i"]):
+        grid.setdefault(r[KEY], []).append((r["x"], r["v"]))
+    at = lambda s, t: grid[s][int(np.clip(np.floor(t - grid[s][0][0] + 0.5), 0, len(grid[s]) - 1))][1]
+    want = sorted((r[KEY], r["a"], r["b"], round(e, 6)) for r in win.collect() if r["b"] is not None and r[KEY] in grid and r[KEY] is not None and (e := at(r[KEY], r["b"]) - at(r[KEY], r["a"])) > 1e-9)
+    assert sorted((r[KEY], r["a"], r["b"], round(r["E"], 6)) for r in got.collect()) == want != []
