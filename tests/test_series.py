@@ -135,3 +135,14 @@ def test_bands_of_windows_are_a_small_plan(spark):
     at = lambda s, t: grid[s][int(np.clip(np.floor(t - grid[s][0][0] + 0.5), 0, len(grid[s]) - 1))][1]
     want = sorted((r[KEY], r["a"], r["b"], round(e, 6)) for r in win.collect() if r["b"] is not None and r[KEY] in grid and r[KEY] is not None and (e := at(r[KEY], r["b"]) - at(r[KEY], r["a"])) > 1e-9)
     assert sorted((r[KEY], r["a"], r["b"], round(r["E"], 6)) for r in got.collect()) == want != []
+
+
+def test_options_do_not_deal_windows(spark):
+    """Windows of options come from one deal of the series, for shared options as for those of single series; the plan had 68."""
+    obs = observations(spark)
+    table = option_rows.option_table(spark, OPTIONS)
+    for options in (table, table.withColumn(KEY, F.col("option_id") % 3)):
+        assert exchanges(option_rows.windows_by_option(obs, options)) == 1
+    got = option_rows.windows_by_option(obs, table.withColumn(KEY, F.col("option_id") % 3)).collect()
+    for oid, o in OPTIONS.items():
+        assert sorted((r["a"], r["b"], r["L"], r["U"]) for r in got if r["option_id"] == oid) == sorted((r["a"], r["b"], r["L"], r["U"]) for r in windows.acceptance_windows(obs.filter(F.col(KEY) == oid % 3), o).collect())
