@@ -15,7 +15,7 @@ from ..session import ship
 BLOCK = 400_000
 
 
-def _starts(values: list[np.ndarray]) -> np.ndarray:
+def starts(values: list[np.ndarray]) -> np.ndarray:
     """Where runs of equal codes begin."""
     n = len(values[0])
     new = np.zeros(n, bool)
@@ -42,7 +42,7 @@ def by_series(rows: DataFrame, keys: list[str], order: list[str], kernel: Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(parts).combine_chunks()
-            for out in kernel(table, _starts([codes(table[k]) for k in keys])):
+            for out in kernel(table, starts([codes(table[k]) for k in keys])):
                 if out.num_rows:
                     yield from out.to_batches()
 
@@ -55,7 +55,7 @@ def by_series(rows: DataFrame, keys: list[str], order: list[str], kernel: Callab
             if held and first != key:
                 yield from done(held)
                 held = []
-            cut = int(_starts([codes(b[k]) for k in keys])[-1])
+            cut = int(starts([codes(b[k]) for k in keys])[-1])
             if cut:
                 yield from done([*held, b.slice(0, cut)])
                 held = []
@@ -83,7 +83,7 @@ def _edges(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _running_max(v: np.ndarray, g: np.ndarray) -> np.ndarray:
     out, k = v.copy(), 1
-    longest = np.diff(np.append(_starts([g]), len(g))).max(initial=0)
+    longest = np.diff(np.append(starts([g]), len(g))).max(initial=0)
     while k < longest:
         before = np.where(g[k:] == g[:-k], out[:-k], -np.inf)
         out[k:] = np.maximum(out[k:], before)
@@ -94,7 +94,7 @@ def _running_max(v: np.ndarray, g: np.ndarray) -> np.ndarray:
 def _grouped(values: np.ndarray, g: np.ndarray, count: int, at: np.ufunc, none: float) -> np.ndarray:
     out = np.full(count, none, values.dtype)
     if len(g):
-        s = _starts([g])
+        s = starts([g])
         out[g[s]] = at.reduceat(values, s)
     return out
 
@@ -104,7 +104,7 @@ class Days:
 
     def __init__(self, s: np.ndarray, d: np.ndarray, n: np.ndarray, count: int):
         day = np.floor(d)
-        at = _starts([s, day])
+        at = starts([s, day])
         self.s, self.day = s[at], day[at]
         self.c = np.add.reduceat(n, at) if len(at) else np.zeros(0)
         self.upto = np.concatenate([[0.0], np.cumsum(self.c)])
@@ -158,7 +158,7 @@ def gaps(g: np.ndarray, a: np.ndarray, b: np.ndarray, scale: np.ndarray) -> tupl
     follows = ~_edges(g)[1]
     nxt = np.append(a[1:], 0.0)
     width = (b - a)[np.lexsort((b - a, g))]
-    s = _starts([g])
+    s = starts([g])
     m = np.diff(np.append(s, len(g)))
     lo, hi = width[s + (m - 1) // 2], width[s + m // 2]
     med = np.repeat(np.where(lo == hi, lo, 0.5 * lo + 0.5 * hi), m)
@@ -172,7 +172,7 @@ def fold(g: np.ndarray, a: np.ndarray, b: np.ndarray, L: np.ndarray, U: np.ndarr
     """``windows.fold_bounds`` of each group and interval, in their order."""
     order = np.lexsort((U, L, rank, b, a, g))
     g, a, b, L, U = (x[order] for x in (g, a, b, L, U))
-    s = _starts([g, a, b])
+    s = starts([g, a, b])
     size = np.diff(np.append(s, len(g)))
     l, u = L[s], U[s]  # noqa: E741
     for k in range(1, size.max(initial=0)):
@@ -198,7 +198,7 @@ def acceptance(s: np.ndarray, g: np.ndarray, d: np.ndarray, days: Days, N: np.nd
     g, a, b = (np.concatenate(x) for x in zip((cg, ca, cb), (gg[keep], ga[keep], gb[keep]), cuts, strict=True))
     order = np.lexsort((b, a, g))
     g, a, b = g[order], a[order], b[order]
-    at = _starts([g, a, b])
+    at = starts([g, a, b])
     g, a, b = g[at], a[at], b[at]
     M = days.mass(s[g], a, b)
     L, U = band(M, M, N[g], of(g))
@@ -225,10 +225,10 @@ def acceptance(s: np.ndarray, g: np.ndarray, d: np.ndarray, days: Days, N: np.nd
         g, a, b, L, U, sL, sU, gain = (x[at] for x in (g, a, b, L, U, sL, sU, gain))
         order = np.lexsort((sU, sL, b, a, -gain, g))
         g, a, b, L, U, sL, sU = (x[order] for x in (g, a, b, L, U, sL, sU))
-        at = _starts([g, a, b, sL, sU])
+        at = starts([g, a, b, sL, sU])
         g, a, b, L, U = (x[at] for x in (g, a, b, L, U))
         if len(g):
-            f = _starts([g])
+            f = starts([g])
             at = np.arange(len(g)) - np.repeat(f, np.diff(np.append(f, len(g)))) < o["max_unions_to_keep"][g]
             parts.append((g[at], a[at], b[at], L[at], U[at], np.ones(int(at.sum()), int)))
     u = np.flatnonzero(o["include_global_total"] & ~np.isnan(last))
@@ -242,15 +242,15 @@ def interpolant(s: np.ndarray, d: np.ndarray, n: np.ndarray, step: np.ndarray) -
     none = np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0)
     if not len(s):
         return none
-    at = _starts([s, d])
+    at = starts([s, d])
     s, d, n = s[at], d[at], np.add.reduceat(n, at)
-    f = _starts([s])
+    f = starts([s])
     size = np.diff(np.append(f, len(s)))
     keep = np.repeat(size >= 2, size)
     s, d, n = s[keep], d[keep], n[keep]
     if not len(s):
         return none
-    f = _starts([s])
+    f = starts([s])
     size = np.diff(np.append(f, len(s)))
     total = np.cumsum(n)
     y = total - np.repeat(total[f] - n[f], size)
@@ -342,7 +342,7 @@ def chords(x: np.ndarray, v: np.ndarray, least: int, kmax: int) -> list[tuple[fl
 def segments(s: np.ndarray, d: np.ndarray, n: np.ndarray, step: np.ndarray, least_days: np.ndarray, kmax: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``windows.segment_windows`` of a batch of series (series, a, b); step, least length and number of chords of each series."""
     s, i, x, v = interpolant(s, d, n, step)
-    f = np.append(_starts([s]), len(s))
+    f = np.append(starts([s]), len(s))
     who, ends = [], []
     for lo, hi in zip(f[:-1], f[1:], strict=True):
         k = s[lo]
@@ -403,7 +403,7 @@ class Observed:
 
     def slots(self, here: Tested) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Number of observed times before each event; of each series their number, the cumulative counts at them, and where these begin."""
-        at = _starts([self.s, self.d]) if len(self.s) else np.zeros(0, int)
+        at = starts([self.s, self.d]) if len(self.s) else np.zeros(0, int)
         s, d = self.s[at], self.d[at]
         marks = np.bincount(s, minlength=self.count)
         after = np.cumsum(marks) - marks
@@ -418,7 +418,7 @@ class Tested:
     """Trajectories of a batch of series with their events, in the order of series, trajectory and time."""
 
     def __init__(self, s: np.ndarray, traj: np.ndarray, t: np.ndarray, count: int):
-        q = _starts([s, traj])
+        q = starts([s, traj])
         self.many = np.bincount(s[q], minlength=count)
         self.first = np.cumsum(self.many) - self.many
         own = np.repeat(np.arange(len(q)), np.diff(np.append(q, len(s))))

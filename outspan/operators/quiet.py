@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ..functions.expr import interp_array, ultimate_extinction
+from ..functions import series
+from ..functions.expr import ultimate_extinction
 from ..functions.special import gamma_cdf, gamma_cdf_np, gamma_pdf, gamma_pdf_np, thinned_gamma_cdf
 from ..session import ship
 from ..sources.ingest import unit_hash
@@ -106,41 +109,87 @@ def seed_cond(entities: DataFrame, edges: DataFrame, grid: DataFrame, t_star: fl
     return cond_from_first(entities.join(first, "traj_id", "left"), grid)
 
 
+def extinction(R: np.ndarray, k: np.ndarray, alpha: np.ndarray, theta: np.ndarray, n: int, h: float) -> np.ndarray:
+    """Extinction by age of each (R, k, alpha, theta) in a row: H(0) = (b / (b + 1))^k and H(u) = (b / (b + 1 - (f * H)(u)))^k with
+    b = k / R, on the grid of step h up to n steps. The recursion runs over all of them at once."""
+    f = gamma_pdf_np(h * np.arange(1, n + 1)[None, :], alpha[:, None], theta[:, None]) * h
+    beta = k / R
+    H = np.empty((len(k), n + 1))
+    H[:, 0] = (beta / (beta + 1)) ** k
+    for i in range(1, n + 1):
+        conv = (f[:, :i] * H[:, i - 1 :: -1]).sum(axis=1) if i > 1 else f[:, 0] * H[:, 0]
+        H[:, i] = (beta / np.maximum(beta + 1 - conv, 1e-12)) ** k
+    return H
+
+
 def survival_table(keys: DataFrame, u_max: float, h: float) -> DataFrame:
-    """Extinction by age for each distinct (R, k, alpha, theta): H(0) = (b / (b + 1))^k and H(u) = (b / (b + 1 - (f * H)(u)))^k with
-    b = k / R, on the grid of step h. The recursion runs over all keys of a batch at once."""
+    """``extinction`` of each distinct (R, k, alpha, theta) up to u_max, as an array."""
     ship(keys.sparkSession)
     n = int(round(u_max / h))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            R, k, a, th = (b[c].to_numpy(float)[:, None] for c in ("R", "k", "alpha", "theta"))
-            f = gamma_pdf_np(h * np.arange(1, n + 1)[None, :], a, th) * h
-            beta, kk = (k / R)[:, 0], k[:, 0]
-            H = np.empty((len(b), n + 1))
-            H[:, 0] = (beta / (beta + 1)) ** kk
-            for i in range(1, n + 1):
-                conv = (f[:, :i] * H[:, i - 1 :: -1]).sum(axis=1) if i > 1 else f[:, 0] * H[:, 0]
-                H[:, i] = (beta / np.maximum(beta + 1 - conv, 1e-12)) ** kk
-            yield b.assign(H=list(H))
+            yield b.assign(H=list(extinction(*(b[c].to_numpy(float) for c in KEYS), n, h)))
 
     return keys.mapInPandas(run, "R double, k double, alpha double, theta double, H array<double>")
 
 
+KEYS = ("R", "k", "alpha", "theta")
+#: Draws, and rows of draws, whose tables are in a task's memory at a time.
+DRAWS, ROWS = 2_000, 10_000
+
+
 def _key_columns(reff: Column) -> list[Column]:
     return [F.round(reff, 6).alias("R"), F.round("k", 6).alias("k"), F.round(F.col("alpha").cast("double"), 6).alias("alpha"), F.round("theta", 6).alias("theta")]
 
 
+def _by_draw(draws: DataFrame, rows: DataFrame, kernel, n: int, h: float, schema) -> DataFrame:
+    """``kernel`` of batches of draws with their rows: the batch, the first row of each draw, ``extinction`` up to n steps of each different key, and of each row's slice the
+    rows, their draw and their key. A draw and its rows meet in one task, where the table of its key is made, so tables are never shuffled."""
+    named = draws.select("traj_id", F.lit(0).alias("kind"), "R0", (F.col("r") * F.col("R0")).alias("later"), *_key_columns(F.col("r") * F.col("R0")))
+    both = named.unionByName(rows.filter("traj_id IS NOT NULL").withColumn("kind", F.lit(1)), allowMissingColumns=True)
+
+    def run(table: pa.Table, start: np.ndarray) -> Iterator[pa.Table]:
+        kind, end = table["kind"].to_numpy(), np.append(start[1:], len(table))
+        drawn = kind[start] == 0  # others have no draw
+        start, end = start[drawn], end[drawn]
+        keys = np.stack([series.floats(table[c])[start] for c in KEYS], 1)
+        for at in range(0, len(start), DRAWS):
+            first, last = start[at : at + DRAWS], end[at : at + DRAWS]
+            own, key = np.unique(keys[at : at + DRAWS], axis=0, return_inverse=True)
+            H = extinction(*own.T, n, h)
+            draw, place = series.units(np.arange(len(first)), first, last - first)
+            there = kind[place] == 1
+            draw, place = draw[there], place[there]
+            parts = ((place[i : i + ROWS], draw[i : i + ROWS], key.reshape(-1)[draw[i : i + ROWS]]) for i in range(0, len(draw), ROWS))
+            yield kernel(table, first, np.array([np.count_nonzero(kind[x:y] == 0) for x, y in zip(first, last, strict=True)]), H, parts)
+
+    return series.by_series(both, ["traj_id"], ["kind"], run, schema)
+
+
 def seed_uncond(draws: DataFrame, edges: DataFrame, grid: DataFrame, t_star: float, h: float = 0.2, pad: float = 10.0, t_max: float = 20.0) -> DataFrame:
     """Mean over draws of the product of H(t_star + T - s) over crossing seeds s; 0 before the last seed, 1 without seeds."""
-    table = survival_table(draws.select(*_key_columns(F.col("r") * F.col("R0"))).distinct(), t_max + pad, h)
-    d = draws.select("traj_id", *_key_columns(F.col("r") * F.col("R0")))
-    seeds = active_at(edges, t_star).select("traj_id", F.col("child_t").alias("s"))
-    rows = grid_cross(seeds.join(d, "traj_id"), grid).join(table, ["R", "k", "alpha", "theta"])
-    u = t_star + F.col("T") - F.col("s")
-    per = rows.groupBy("traj_id", "T").agg(F.exp(F.sum(F.log(F.greatest(interp_array("H", F.greatest(u, F.lit(0.0)), h), F.lit(1e-300))))).alias("g"), F.max("s").alias("last"))
-    per = per.select("traj_id", "T", F.when(t_star + F.col("T") < F.col("last"), 0.0).otherwise(F.col("g")).alias("g"))
-    return grid_cross(d.select("traj_id"), grid).join(per, ["traj_id", "T"], "left").groupBy("T").agg(F.avg(F.coalesce("g", F.lit(1.0))).alias("p"))
+    times = np.array(sorted(r["T"] for r in grid.select(F.col("T").cast("double").alias("T")).distinct().collect()))
+    n = int(round((t_max + pad) / h))
+
+    def kernel(table: pa.Table, first: np.ndarray, weight: np.ndarray, H: np.ndarray, parts: Iterator[tuple[np.ndarray, ...]]) -> pa.Table:
+        logs, last = np.zeros((len(first), len(times))), np.full(len(first), -np.inf)
+        seeds = series.floats(table["s"])
+        for place, draw, key in parts:
+            s = seeds[place]
+            pos = np.maximum(t_star + times[None, :] - s[:, None], 0.0) / h
+            i = np.minimum(np.floor(pos).astype(np.int64), n)
+            w = np.clip(pos - i, 0.0, 1.0)
+            v = H[key[:, None], i] * (1 - w) + H[key[:, None], np.minimum(i + 1, n)] * w
+            at = series.starts([draw])
+            logs[draw[at]] += np.add.reduceat(np.log(np.maximum(v, 1e-300)), at)
+            last[draw[at]] = np.maximum(last[draw[at]], np.maximum.reduceat(s, at))
+        g = np.where(t_star + times[None, :] < last[:, None], 0.0, np.exp(logs))
+        return pa.table({"T": times, "g": (g * weight[:, None]).sum(axis=0), "n": np.full(len(times), weight.sum(), np.int64)})
+
+    rows = active_at(edges, t_star).select("traj_id", F.col("child_t").cast("double").alias("s"))
+    sums = _by_draw(draws, rows, kernel, n, h, "T double, g double, n long")
+    return sums.groupBy("T").agg((F.sum("g") / F.sum("n")).alias("p"))
 
 
 def with_reff(parents: DataFrame, draws: DataFrame, t_star: float | Column) -> DataFrame:
@@ -201,33 +250,38 @@ def rb_cond_curve(rb: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def rb_uncond(parents: DataFrame, draws: DataFrame, grid: list[float], t_star: float, h: float = 0.2, pad: float = 10.0) -> DataFrame:
     """Per-draw chances (traj_id, T, g) that all descendants of the parents end by T: with psi(T) = int f(D+s)(1-H(T-s)) ds + 1 - F(D+T)
     the product of (b / (b + psi))^k over parents, after the children before the cutoff are taken into account. H is tabulated once a
-    distinct key; a batch of parents is one convolution."""
+    distinct key of a batch of draws; a batch of parents is one convolution."""
     n = int(round((max(grid) + pad) / h))
     near = [min(int(x / h + 1e-9), n - 1) for x in grid]  # psi is needed at the points of the table on both sides of each T only
     points = sorted({i for x in near for i in (x, x + 1)})
     left = np.array([points.index(i) for i in near])
     share = np.asarray(grid, float) / h - np.array(near)
-    keys = survival_table(draws.select(*_key_columns(F.col("r") * F.col("R0"))).distinct(), max(grid) + pad, h)
-    p = with_reff(parents, draws, t_star)
-    own = p.select("traj_id", "age", "Reff", "n_pre", *_key_columns(F.col("r") * F.col("R0"))).join(keys, ["R", "k", "alpha", "theta"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            age, a, th, k, R, m = (b[c].to_numpy(float)[:, None] for c in ("age", "alpha", "theta", "k", "Reff", "n_pre"))
-            H = np.stack(b["H"].to_numpy())
+    def kernel(table: pa.Table, first: np.ndarray, weight: np.ndarray, H: np.ndarray, parts: Iterator[tuple[np.ndarray, ...]]) -> pa.Table:
+        sums, some = np.zeros((len(first), len(grid))), np.zeros(len(first), bool)
+        t, root, pre = series.floats(table["t"]), table["is_root"].fill_null(False).to_numpy(), series.floats(table["n_pre"])
+        R0, later, ks, alpha, theta = (series.floats(table[c])[first] for c in ("R0", "later", "k", "alpha", "theta"))
+        for place, draw, key in parts:
+            age, a, th, k, m = (t_star - t[place])[:, None], alpha[draw][:, None], theta[draw][:, None], ks[draw][:, None], pre[place][:, None]
+            R = np.where(root[place], R0[draw], later[draw])[:, None]
+            own = 1 - H[key]
             f = gamma_pdf_np(age + h * np.arange(1, points[-1] + 1)[None, :], a, th) * h
             psi = 1 - gamma_cdf_np(age + h * np.array(points)[None, :], a, th)
             for at, i in enumerate(points):
                 if i:
-                    psi[:, at] += np.einsum("ij,ij->i", f[:, :i], 1 - H[:, i - 1 :: -1] if i == H.shape[1] else 1 - H[:, :i][:, ::-1])
+                    psi[:, at] += np.einsum("ij,ij->i", f[:, :i], own[:, i - 1 :: -1] if i == own.shape[1] else own[:, :i][:, ::-1])
             beta = k / R + gamma_cdf_np(age, a, th)
             logs = (k + m) * np.log(beta / (beta + psi))
-            yield pd.DataFrame({"traj_id": b["traj_id"], "logs": list(logs[:, left] * (1 - share) + logs[:, left + 1] * share)})
-
-    logs = own.mapInPandas(run, "traj_id long, logs array<double>")
-    flat = logs.select("traj_id", F.posexplode("logs").alias("i", "x")).groupBy("traj_id", "i").agg(F.exp(F.sum("x")).alias("g"))
+            at = series.starts([draw])
+            sums[draw[at]] += np.add.reduceat(logs[:, left] * (1 - share) + logs[:, left + 1] * share, at)
+            some[draw] = True
+        g = pa.array(np.exp(sums[some]).reshape(-1))
+        ends = pa.array(np.arange(int(some.sum()) + 1, dtype=np.int32) * len(grid))
+        return pa.table({"traj_id": table["traj_id"].take(pa.array(first[some])), "g": pa.ListArray.from_arrays(ends, g)})
+
+    rows = parents.filter(F.col("t") <= t_star).select("traj_id", F.col("t").cast("double").alias("t"), "is_root", F.col("n_pre").cast("long").alias("n_pre"))
+    kinds = StructType([StructField("traj_id", draws.schema["traj_id"].dataType), StructField("g", ArrayType(DoubleType()))])
+    flat = _by_draw(draws, rows, kernel, n, h, kinds).select("traj_id", F.posexplode("g").alias("i", "g"))
     return flat.select("traj_id", F.element_at(F.array(*[F.lit(float(x)) for x in grid]), (F.col("i") + 1).cast("int")).alias("T"), "g")
 
 
