@@ -55,3 +55,27 @@ def test_parents(spark, small):
             if mine:
                 want[i, T] = pytest.approx(float(np.exp(logs)), abs=1e-6)
     assert {(r["traj_id"], r["T"]): r["g"] for r in got.collect()} == want and len(want) > 60
+
+
+def test_seeds(spark, small):
+    """Draws without seeds count as over; the plan deals draws and seeds once, and then one row a batch and time."""
+    own, draws, ids, rng = drawn(spark)
+    edges = [(i, float(p), float(p + c)) for i in ids for p, c in zip(rng.uniform(0, 14, i % 4), rng.uniform(0, 9, i % 4), strict=True)]
+    grid = spark.createDataFrame([(0.0,), (3.0,), (8.1,), (3.0,)], "T double")
+    got = quiet.seed_uncond(draws, spark.createDataFrame(edges, "traj_id long, parent_t double, child_t double"), grid, 12.0)
+    assert exchanges(got) == 2
+    for row in got.collect():
+        g = []
+        for i, (R0, k, r, a, th) in own.items():
+            seeds = [c for j, p, c in edges if j == i and p <= 12 < c]
+            x = np.maximum(12 + row["T"] - np.array(seeds), 0.0)
+            v = np.interp(x, H * np.arange(N + 1), table(r * R0, k, a, th))
+            g.append(0.0 if seeds and 12 + row["T"] < max(seeds) else np.prod(v))
+        assert row["p"] == pytest.approx(np.mean(g), abs=1e-6)
+    assert got.count() == 3
+
+
+def test_no_rows(spark):
+    _, draws, _, _ = drawn(spark, 4)
+    none = spark.createDataFrame([], "traj_id long, parent_t double, child_t double")
+    assert [r["p"] for r in quiet.seed_uncond(draws, none, spark.range(2).select(F.col("id").cast("double").alias("T")), 1.0).collect()] == [1.0, 1.0]
