@@ -79,3 +79,13 @@ def test_no_rows(spark):
     _, draws, _, _ = drawn(spark, 4)
     none = spark.createDataFrame([], "traj_id long, parent_t double, child_t double")
     assert [r["p"] for r in quiet.seed_uncond(draws, none, spark.range(2).select(F.col("id").cast("double").alias("T")), 1.0).collect()] == [1.0, 1.0]
+
+
+def test_compared_estimators_hold_no_tables(spark):
+    """No step of the comparison carries a draw's table of extinction by age."""
+    from conftest import SF
+
+    from outspan.plans import catalog
+
+    plan = catalog.QUERIES["p23_compare_estimators"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "g#" in plan and "H#" not in plan
