@@ -146,3 +146,11 @@ def test_options_do_not_deal_windows(spark):
     got = option_rows.windows_by_option(obs, table.withColumn(KEY, F.col("option_id") % 3)).collect()
     for oid, o in OPTIONS.items():
         assert sorted((r["a"], r["b"], r["L"], r["U"]) for r in got if r["option_id"] == oid) == sorted((r["a"], r["b"], r["L"], r["U"]) for r in windows.acceptance_windows(obs.filter(F.col(KEY) == oid % 3), o).collect())
+
+
+def test_clusters_alone_are_dealt_once(spark):
+    """Over a series of 3,000 days: each window was a row for each of its days."""
+    obs = spark.createDataFrame([(s, float(d), 1) for s in (1, 2) for d in range(s, 3000, 211)], "series_id long, d double, n long")
+    o = WindowOptions(strategy="cluster")
+    got = windows.acceptance_windows(obs, o)
+    assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString() and rows(got) == rows(by_operators(obs, o))
