@@ -297,9 +297,9 @@ def chords(x: np.ndarray, v: np.ndarray, least: int, kmax: int) -> list[tuple[fl
     cum = lambda z: np.concatenate([[0.0], np.cumsum(z)])
     s1, sx, sxx, sv, svv, sxv = cum(np.ones(n)), cum(x), cum(x * x), cum(v), cum(v * v), cum(x * v)
 
-    def costs(at: int, to: int, frm: int = 0) -> np.ndarray:
-        """Squared errors of the chords from the points before ``to`` (from ``frm`` on) to those from ``at`` to ``to``; infinite where a chord is too short."""
-        j, i = np.arange(at, to), np.arange(frm, to)[:, None]
+    def costs(at: int, to: int) -> np.ndarray:
+        """Squared errors of the chords from the points before ``to`` to those from ``at`` on; infinite where a chord is too short."""
+        j, i = np.arange(at, to), np.arange(to)[:, None]
         gap = x[j] - x[i]
         b = (v[j] - v[i]) / np.where(gap > 0, gap, 1.0)
         a = v[i] - b * x[i]
@@ -317,8 +317,8 @@ def chords(x: np.ndarray, v: np.ndarray, least: int, kmax: int) -> list[tuple[fl
     best = np.full((kmax + 1, n), np.inf)
     back = np.zeros((kmax + 1, n), int)
     best[0, 0] = 0.0
-    for at in range(0, n, 64):  # a block of ends at a time bounds memory for long series
-        to = min(n, at + 64)
+    for at in range(0, n, 128):  # a block of ends at a time bounds memory for long series
+        to = min(n, at + 128)
         # The last chord of the most is asked for at the last point alone.
         error = costs(at, to)
         own = error[0]

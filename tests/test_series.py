@@ -154,3 +154,25 @@ def test_clusters_alone_are_dealt_once(spark):
     o = WindowOptions(strategy="cluster")
     got = windows.acceptance_windows(obs, o)
     assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString() and rows(got) == rows(by_operators(obs, o))
+
+
+def test_segments_of_long_series(spark):
+    """Curves of more points than a block of ends, against a plain search; grids are made where they are cut, so only observations are dealt."""
+    rng = np.random.default_rng(8)
+    data = [(s, float(d), int(n)) for s, last in ((1, 150), (2, 300)) for d, n in zip(sorted({0, last, *rng.choice(last, 8)}), rng.integers(1, 9, 10), strict=False)]
+    obs = spark.createDataFrame(data, "series_id long, d double, n long")
+    got = windows.segment_windows(obs, WindowOptions(grid_step_days=1.0, min_seg_days=5.0))
+    assert exchanges(got) == 1
+    curve = windows.monotone_interpolant(obs, 1.0).toPandas().sort_values("i")
+    for s, own in curve.groupby(KEY):
+        x, v = own["x"].to_numpy(), own["v"].to_numpy()
+        n = len(x)
+        cost = np.full((n, n), np.inf)
+        for i in range(n):
+            for j in range(i + 5, n):
+                cost[i, j] = ((v[i : j + 1] - np.linspace(v[i], v[j], j - i + 1)) ** 2).sum()
+        two = (cost[0][:, None] + cost).min(axis=0)
+        sse = [cost[0, -1], two[-1], (two + cost[:, -1]).min()]
+        k = int(np.argmin([n * np.log(max(e / n, 1e-12)) + 2 * (q + 1) * np.log(n) for q, e in enumerate(sse)]))
+        ends = sorted((r["a"], r["b"]) for r in got.filter(F.col(KEY) == s).collect())
+        assert len(ends) == k + 1 and sum(cost[int(a - x[0]), int(b - x[0])] for a, b in ends) == pytest.approx(sse[k], abs=1e-6)
